@@ -5,7 +5,9 @@ Stand-ins for the reference's inputs (see README): ``events`` is the raw rain fe
 daily series and the actual-vs-predicted pairs.
 
 Every query returns doubles rounded to 6 decimals, in Spark and in SQL alike, so that
-different (equally valid) float summation orders compare equal.
+different (equally valid) float summation orders compare equal. Both sides round with the
+same IEEE arithmetic, floor(x * 1e6 + 0.5) / 1e6 (Spark's ``round`` is decimal HALF_UP,
+DuckDB's works on the binary value; they disagree on ties such as 3.4238255).
 """
 from __future__ import annotations
 
@@ -36,15 +38,25 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-def rounded(df: DataFrame, digits: int = ROUND) -> DataFrame:
-    return df.select(*[F.round(F.col(f.name), digits).alias(f.name)
+_SCALE = 10.0 ** ROUND
+
+
+def _round_col(c):
+    x = c.cast("double")
+    r = F.floor(x * F.lit(_SCALE) + F.lit(0.5)).cast("double") / F.lit(_SCALE)
+    return F.when(F.abs(x) < F.lit(1e12), r + F.lit(0.0)).otherwise(x)
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[_round_col(F.col(f.name)).alias(f.name)
                        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
                        for f in df.schema.fields])
 
 
 def R(expr: str, alias: str) -> str:
-    # "+ 0" turns DuckDB's -0.0 into 0.0, as Spark's round does
-    return f"(round(CAST({expr} AS DOUBLE), {ROUND}) + CAST(0 AS DOUBLE)) AS {alias}"
+    x = f"CAST({expr} AS DOUBLE)"
+    return (f"(CASE WHEN abs({x}) < {D(1e12)} THEN floor({x} * {D(_SCALE)} + {D(0.5)}) / {D(_SCALE)} "
+            f"+ CAST(0 AS DOUBLE) ELSE {x} END) AS {alias}")
 
 
 def D(x: float) -> str:
@@ -73,8 +85,13 @@ def _w(frame: str = "") -> str:
 
 
 def _roll(x: str, n: int, how: str = "sum") -> str:
+    """Full-window rolling sum/mean. The sum is spelled out oldest-first, the order in which
+    Spark accumulates a bounded ROWS frame, so both engines add the same doubles in the
+    same order."""
     fr = _w(f"ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW")
-    return f"CASE WHEN count({x}) {fr} = {n} THEN {how}({x}) {fr} END"
+    terms = " + ".join([f"lag({x}, {k}) {_w()}" for k in range(n - 1, 0, -1)] + [x])
+    total = f"({terms})" if how == "sum" else f"({terms}) / {D(float(n))}"
+    return f"CASE WHEN count({x}) {fr} = {n} THEN {total} END"
 
 
 def _bfill(x: str) -> str:
@@ -217,3 +234,321 @@ def q_prep_rainfall(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_prep_rainfall(spark, sf_dir)
+
+
+# ---------------------------------------------------------------- extra lags / temperature
+
+from ..operators import joins, metrics, ranking, reshape, split  # noqa: E402
+from ..operators.blocked import with_series_windows  # noqa: E402
+
+TEMP_SCALE = 0.1
+
+
+def hourly_temp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in temperature: peak reading per (site, hour) x 0.1, only hours that have readings."""
+    ev = sensor_feed(spark, sf_dir)
+    return (ev.groupBy("site", cal.trunc_hour("ts").alias("ts"))
+            .agg((F.max("value") * F.lit(TEMP_SCALE)).alias("temp")))
+
+
+SQL_TEMP = f"""
+tp AS (SELECT event_type AS site, date_trunc('hour', ts) AS ts, max(value) * {D(TEMP_SCALE)} AS temp
+       FROM events GROUP BY 1, 2),
+ft AS MATERIALIZED (SELECT hr.site, hr.ts, hr.Rainfall, tp.temp FROM hr LEFT JOIN tp ON hr.site = tp.site AND hr.ts = tp.ts)"""
+
+
+def _ffbf(x: str) -> str:
+    return f"coalesce({_ffill(x)}, {_bfill(x)})"
+
+
+@register("feature_join", f"""WITH {SQL_HOURLY}, {SQL_TEMP}
+SELECT site, ts, {R('Rainfall', 'Rainfall')}, {R('temp', 'temp')} FROM ft""")
+def q_feature_join(spark, sf_dir):
+    """Gap-free hourly rain ⟕ temperature on (site, hour); missing temperature stays NULL."""
+    out = joins.left_on_hour(hourly_rain(spark, sf_dir).select("site", "ts", "Rainfall"),
+                             [hourly_temp(spark, sf_dir)], ["site"])
+    return rounded(out)
+
+
+_TL = (1, 2, 3, 24)
+
+
+@register("lags_ffill_bfill", f"""WITH {SQL_HOURLY}, {SQL_TEMP},
+l AS (SELECT site, ts, {', '.join(f'lag(temp, {k}) {_w()} AS t{k}' for k in _TL)}, lag(Rainfall, 3) {_w()} AS r3 FROM ft)
+SELECT site, ts, {', '.join(R(_ffbf(f't{k}'), f'temp_lag{k}') for k in _TL)}, {R(_ffbf('r3'), 'Rainlag3')} FROM l""")
+def q_lags_ffill_bfill(spark, sf_dir):
+    """shift(k) then forward fill then back fill, on a temperature series with gaps."""
+    t = q_feature_join(spark, sf_dir).withColumn("_pos", cal.hour_id("ts"))
+    specs = {f"temp_lag{k}": ("temp", k) for k in _TL}
+    specs["Rainlag3"] = ("Rainfall", 3)
+    out = windows.add_lags(t, ["site"], "_pos", specs, fill_how="ffill_bfill")
+    return rounded(out.select("site", "ts", *specs))
+
+
+@register("temp_rolling_mean", f"""WITH {SQL_HOURLY}, {SQL_TEMP},
+m AS (SELECT site, ts, {', '.join(f"{_roll('temp', n, 'avg')} AS m{n}" for n in (6, 12, 24))} FROM ft)
+SELECT site, ts, {', '.join(R(_bfill(f'm{n}'), f'Temp_{n}HR_mean') for n in (6, 12, 24))} FROM m""")
+def q_temp_rolling_mean(spark, sf_dir):
+    """Full-window rolling means 6/12/24 h (NULL while any hour in the window is missing),
+    then back fill."""
+    t = q_feature_join(spark, sf_dir).withColumn("_pos", cal.hour_id("ts"))
+    specs = {f"Temp_{n}HR_mean": ("temp", n) for n in (6, 12, 24)}
+    out = windows.add_rolling(t, ["site"], "_pos", specs, "mean", fill_how="bfill")
+    return rounded(out.select("site", "ts", *specs))
+
+
+@register("ffill_temperature", f"""WITH {SQL_HOURLY}, {SQL_TEMP}
+SELECT site, ts, {R(_ffill('temp'), 'temp_ffill')}, {R(_bfill('temp'), 'temp_bfill')} FROM ft""")
+def q_ffill_temperature(spark, sf_dir):
+    """W4 + W5: forward fill and backward fill of every gap, exact across blocks."""
+    t = q_feature_join(spark, sf_dir).withColumn("_pos", cal.hour_id("ts"))
+    t = t.withColumns({"temp_ffill": F.col("temp"), "temp_bfill": F.col("temp")})
+    t = windows.fill_columns(t, ["site"], "_pos", ["temp_ffill"], "ffill")
+    t = windows.fill_columns(t, ["site"], "_pos", ["temp_bfill"], "bfill")
+    return rounded(t.select("site", "ts", "temp_ffill", "temp_bfill"))
+
+
+# ---------------------------------------------------------------- actual vs predicted (orders ⟕ lineitem)
+
+MODELS = ("gross", "net", "charge")
+PRICE_SCALE = 0.001  # prices in thousands
+
+
+def order_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actual = o_totalprice; three 'model predictions' = per-order line sums. site =
+    o_orderpriority (5), scenario = o_orderstatus (3): 15 series like the reference's 3x5."""
+    o = load(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus",
+                                       "o_totalprice"])
+    l = load(spark, sf_dir, "lineitem", ["l_orderkey", "l_extendedprice", "l_discount", "l_tax"])
+    k = F.lit(PRICE_SCALE)
+    ext = F.col("l_extendedprice") * k
+    net = ext * (1 - F.col("l_discount"))
+    agg = l.groupBy("l_orderkey").agg(F.sum(ext).alias("gross"), F.sum(net).alias("net"),
+                                      F.sum(net * (1 + F.col("l_tax"))).alias("charge"))
+    return (o.join(agg, o.o_orderkey == agg.l_orderkey, "left")
+            .select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("ts"),
+                    F.col("o_orderpriority").alias("site"), F.col("o_orderstatus").alias("scenario"),
+                    (F.col("o_totalprice") * k).alias("actual"), *MODELS))
+
+
+def long_pairs(spark, sf_dir):
+    return reshape.unpivot(order_pairs(spark, sf_dir), ["id", "ts", "site", "scenario", "actual"], MODELS,
+                           "model", "pred")
+
+
+_K = D(PRICE_SCALE)
+SQL_PAIRS = f"""
+pairs AS (SELECT o_orderkey AS id, o_orderdate AS ts, o_orderpriority AS site, o_orderstatus AS scenario,
+                 o_totalprice * {_K} AS actual, l.gross, l.net, l.charge
+          FROM orders o LEFT JOIN (
+            SELECT l_orderkey, sum(l_extendedprice * {_K}) AS gross, sum(l_extendedprice * {_K} * (1 - l_discount)) AS net,
+                   sum(l_extendedprice * {_K} * (1 - l_discount) * (1 + l_tax)) AS charge
+            FROM lineitem GROUP BY l_orderkey) l ON o.o_orderkey = l.l_orderkey),
+lp AS (SELECT id, ts, site, scenario, actual, 'gross' AS model, gross AS pred FROM pairs
+       UNION ALL SELECT id, ts, site, scenario, actual, 'net', net FROM pairs
+       UNION ALL SELECT id, ts, site, scenario, actual, 'charge', charge FROM pairs)"""
+
+_E = "(pred - actual)"
+SQL_ERR = (f"CAST(count({_E}) AS BIGINT) AS n, {R(f'avg({_E}*{_E})', 'mse')}, {R(f'sqrt(avg({_E}*{_E}))', 'rmse')}, "
+           f"{R(f'avg(abs({_E}))', 'mae')}, "
+           f"{R(f'1 - sum({_E}*{_E}) / (count({_E}) * var_pop(CASE WHEN pred IS NOT NULL THEN actual END))', 'r2')}")
+
+
+@register("unpivot_models", f"""WITH {SQL_PAIRS}
+SELECT id, site, scenario, model, {R('actual', 'actual')}, {R('pred', 'pred')} FROM lp""")
+def q_unpivot_models(spark, sf_dir):
+    """V2 + U1: wide predictions -> long (model, pred)."""
+    return rounded(long_pairs(spark, sf_dir).select("id", "site", "scenario", "model", "actual", "pred"))
+
+
+@register("error_metrics", f"""WITH {SQL_PAIRS}
+SELECT model, {SQL_ERR} FROM lp GROUP BY model""")
+def q_error_metrics(spark, sf_dir):
+    """A7 + A8 + A11: n, MSE, RMSE, MAE, R2 (1 - SSE/SST) per model, one aggregation."""
+    return rounded(long_pairs(spark, sf_dir).groupBy("model").agg(*metrics.error_metric_columns("actual", "pred")))
+
+
+@register("site_metrics", f"""WITH {SQL_PAIRS}
+SELECT site, scenario, model, {SQL_ERR} FROM lp GROUP BY site, scenario, model""")
+def q_site_metrics(spark, sf_dir):
+    """Accuracy per (site, scenario, model), the shape of the published metrics table."""
+    lp = long_pairs(spark, sf_dir)
+    return rounded(lp.groupBy("site", "scenario", "model").agg(*metrics.error_metric_columns("actual", "pred")))
+
+
+@register("nse_bias_corr", f"""WITH {SQL_PAIRS}
+SELECT model, {R(f'1 - sum({_E}*{_E}) / (count({_E}) * var_pop(CASE WHEN pred IS NOT NULL THEN actual END))', 'nse')},
+       {R(f'avg({_E})', 'bias')}, {R('corr(actual, pred)', 'r')}, {R('corr(actual, pred) * corr(actual, pred)', 'r2_corr')}
+FROM lp GROUP BY model""")
+def q_nse_bias_corr(spark, sf_dir):
+    """A9 + A10: NSE, mean bias, Pearson r and squared correlation per model."""
+    return rounded(long_pairs(spark, sf_dir).groupBy("model").agg(*metrics.agreement_columns("actual", "pred")))
+
+
+@register("taylor_stats", f"""WITH {SQL_PAIRS}
+SELECT model, {R('stddev_samp(actual)', 'sd_obs')}, {R('stddev_samp(pred)', 'sd_sim')},
+       {R('corr(actual, pred)', 'r')}, {R(f'stddev_pop({_E})', 'crmsd')} FROM lp GROUP BY model""")
+def q_taylor_stats(spark, sf_dir):
+    """Taylor diagram statistics per model."""
+    return rounded(metrics.taylor_stats(long_pairs(spark, sf_dir), ["model"], "actual", "pred"))
+
+
+@register("fit_line", f"""WITH {SQL_PAIRS}
+SELECT model, {R('regr_slope(pred, actual)', 'slope')}, {R('regr_intercept(pred, actual)', 'intercept')},
+       {R('regr_r2(pred, actual)', 'fit_r2')} FROM lp GROUP BY model""")
+def q_fit_line(spark, sf_dir):
+    """Least-squares line prediction ~ actual per model."""
+    return rounded(metrics.fit_line(long_pairs(spark, sf_dir), ["model"], "actual", "pred"))
+
+
+@register("residual_histogram", f"""WITH {SQL_PAIRS},
+e AS (SELECT model, pred - actual AS e FROM lp WHERE pred IS NOT NULL),
+b AS (SELECT model, min(e) AS lo, max(e) AS hi FROM e GROUP BY model),
+x AS (SELECT e.model, b.lo, (b.hi - b.lo) / {D(60.0)} AS w, e.e FROM e JOIN b ON e.model = b.model),
+y AS (SELECT model, lo, w, CAST(CASE WHEN w > 0 THEN least(floor((e - lo) / w), 59) ELSE 0 END AS INTEGER) AS bin FROM x)
+SELECT model, bin, CAST(count(*) AS BIGINT) AS count, {R('min(lo + bin * w)', 'bin_lo')} FROM y GROUP BY model, bin""")
+def q_residual_histogram(spark, sf_dir):
+    """Residual histogram, 60 equal-width bins per model."""
+    lp = long_pairs(spark, sf_dir).withColumn("e", F.col("pred") - F.col("actual"))
+    return rounded(metrics.residual_histogram(lp, ["model"], "e", 60))
+
+
+@register("zscore_metrics", f"""WITH {SQL_PAIRS},
+m AS (SELECT model, sqrt(avg({_E}*{_E})) AS rmse, avg(abs({_E})) AS mae,
+             1 - sum({_E}*{_E}) / (count({_E}) * var_pop(CASE WHEN pred IS NOT NULL THEN actual END)) AS r2
+      FROM lp GROUP BY model)
+SELECT model, {', '.join(R(f'({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER ()', f'z_{c}') for c in ('rmse', 'mae', 'r2'))}
+FROM m""")
+def q_zscore_metrics(spark, sf_dir):
+    """Z-scores of the per-model metrics (radar chart data)."""
+    m = long_pairs(spark, sf_dir).groupBy("model").agg(*metrics.error_metric_columns("actual", "pred"))
+    return rounded(metrics.zscore(m.select("model", "rmse", "mae", "r2"), ["rmse", "mae", "r2"]))
+
+
+@register("pivot_site_metric", f"""WITH {SQL_PAIRS},
+m AS (SELECT site, model, 1 - sum({_E}*{_E}) / (count({_E}) * var_pop(CASE WHEN pred IS NOT NULL THEN actual END)) AS r2
+      FROM lp GROUP BY site, model)
+SELECT site, {', '.join(R(f"max(CASE WHEN model = '{m}' THEN r2 END)", m) for m in MODELS)} FROM m GROUP BY site""")
+def q_pivot_site_metric(spark, sf_dir):
+    """V1: site x model R2 table."""
+    m = long_pairs(spark, sf_dir).groupBy("site", "model").agg(*metrics.error_metric_columns("actual", "pred"))
+    return rounded(reshape.pivot(m, ["site"], "model", MODELS, "r2"))
+
+
+@register("clip_negative", f"""WITH {SQL_PAIRS}
+SELECT id, {R('CASE WHEN net - actual < 0 THEN 0.0 ELSE net - actual END', 'excess')} FROM pairs""")
+def q_clip_negative(spark, sf_dir):
+    """P8 + P9: residual clipped at 0; NULL (orders without lines) stays NULL."""
+    p = order_pairs(spark, sf_dir)
+    r = F.col("net") - F.col("actual")
+    return rounded(p.select("id", F.when(r < 0, F.lit(0.0)).otherwise(r).alias("excess")))
+
+
+def _season_sql(ts: str) -> str:
+    return (f"CASE WHEN month({ts}) IN (12, 1, 2) THEN 'Summer' WHEN month({ts}) IN (3, 4, 5) THEN 'Autumn' "
+            f"WHEN month({ts}) IN (6, 7, 8) THEN 'Winter' ELSE 'Spring' END")
+
+
+@register("season_year_mean", f"""WITH {SQL_PAIRS}
+SELECT CAST(year(ts) AS INTEGER) AS year, {_season_sql('ts')} AS season, {R('avg(actual)', 'mean_actual')},
+       {R('avg(net)', 'mean_net')},
+       CAST(CASE {_season_sql('ts')} WHEN 'Summer' THEN 1 WHEN 'Autumn' THEN 2 WHEN 'Winter' THEN 3 ELSE 4 END AS INTEGER) AS season_order
+FROM pairs GROUP BY 1, 2, 5""")
+def q_season_year_mean(spark, sf_dir):
+    """A4 + P17: mean per (year, NZ season)."""
+    return rounded(reshape.season_year_mean(order_pairs(spark, sf_dir), "ts", ["actual", "net"]))
+
+
+@register("month_mean", f"""WITH {SQL_PAIRS}
+SELECT CAST(month(ts) AS INTEGER) AS month, {R('avg(actual)', 'mean_actual')}, {R('avg(net)', 'mean_net')},
+       strftime(make_date(2000, month(ts), 1), '%b') AS month_label
+FROM pairs GROUP BY 1, 4""")
+def q_month_mean(spark, sf_dir):
+    """A5 + F10: mean per calendar month with its label."""
+    return rounded(reshape.month_mean(order_pairs(spark, sf_dir), "ts", ["actual", "net"]))
+
+
+@register("high_inflow_flag", f"""WITH {SQL_PAIRS},
+q AS (SELECT site, quantile_cont(actual, 0.9) AS threshold FROM pairs GROUP BY site)
+SELECT p.site, {R('q.threshold', 'threshold')}, CAST(count_if(p.actual > q.threshold) AS BIGINT) AS n_high,
+       CAST(count(*) AS BIGINT) AS n
+FROM pairs p JOIN q ON p.site = q.site GROUP BY p.site, q.threshold""")
+def q_high_inflow_flag(spark, sf_dir):
+    """A6 + P18: exact 0.9 quantile (type 7) per site, rows above it flagged and counted.
+    The quantile is found by histogram refinement, never by sorting a site in one task."""
+    p = order_pairs(spark, sf_dir)
+    t = ranking.quantile_type7(p, ["site"], "actual", 0.9, "threshold")
+    j = p.join(t, "site")
+    return rounded(j.groupBy("site", "threshold").agg(
+        F.sum((F.col("actual") > F.col("threshold")).cast("long")).alias("n_high"),
+        F.count(F.lit(1)).alias("n")))
+
+
+# ---------------------------------------------------------------- splits
+
+def _h_sql(key: str, seed: int = 42) -> str:
+    return f"('0x' || substr(md5(concat_ws('|', CAST({key} AS VARCHAR), '{seed}')), 1, 8))::UBIGINT"
+
+
+@register("time_split_counts", f"""WITH {SQL_HOURLY},
+s AS (SELECT site, Rainfall, CASE WHEN rn - 1 < floor(count(*) OVER (PARTITION BY site) * {D(0.8)}) THEN 'train' ELSE 'test' END AS split FROM hr)
+SELECT site, split, CAST(count(*) AS BIGINT) AS n, {R('sum(Rainfall)', 'rain')} FROM s GROUP BY site, split""")
+def q_time_split_counts(spark, sf_dir):
+    """First 80% of each series by time is train."""
+    s = split.time_split(hourly_rain(spark, sf_dir), ["site"], "ts", 0.8)
+    return rounded(s.groupBy("site", "split").agg(F.count(F.lit(1)).alias("n"), F.sum("Rainfall").alias("rain")))
+
+
+@register("hash_split_counts", f"""
+SELECT CASE WHEN {_h_sql('o_orderkey')} < {D(0.8 * 2 ** 32)} THEN 'train' ELSE 'test' END AS split,
+       CAST(count(*) AS BIGINT) AS n, {R('sum(o_totalprice)', 'total')}
+FROM orders GROUP BY 1""")
+def q_hash_split_counts(spark, sf_dir):
+    """M2: seeded 80/20 split by md5 prefix of the key."""
+    o = load(spark, sf_dir, "orders", ["o_orderkey", "o_totalprice"])
+    s = split.hash_split(o, ["o_orderkey"], 0.8, 42)
+    return rounded(s.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total")))
+
+
+_LKC = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")  # the row key of lineitem
+_LK = "concat_ws('|', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in _LKC) + ")"
+
+
+@register("stratified_split", f"""
+WITH l AS (SELECT coalesce(CAST(l_linenumber AS INTEGER), 0) AS stratum, {_LK} AS k, l_quantity FROM lineitem),
+r AS (SELECT stratum, k, l_quantity,
+             row_number() OVER (PARTITION BY stratum ORDER BY {_h_sql('k')}, k) - 1 AS rk,
+             count(*) OVER (PARTITION BY stratum) AS n FROM l)
+SELECT stratum, CASE WHEN rk < floor(n * {D(0.7)}) THEN 'train' ELSE 'test' END AS split,
+       CAST(count(*) AS BIGINT) AS n, {R('sum(l_quantity)', 'qty')}
+FROM r GROUP BY 1, 2""")
+def q_stratified_split(spark, sf_dir):
+    """M3 + P19: exact 70% train per stratum (l_linenumber), rows chosen by hash rank."""
+    l = load(spark, sf_dir, "lineitem", [*_LKC, "l_quantity"])
+    l = l.withColumn("k", F.concat_ws("|", *[F.col(c).cast("string") for c in _LKC]))
+    s = split.stratified_split(l, "l_linenumber", "k", 0.7, 42)
+    return rounded(s.groupBy(F.coalesce(F.col("l_linenumber").cast("int"), F.lit(0)).alias("stratum"), "split")
+                   .agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("qty")))
+
+
+@register("kfold_assign", f"""
+SELECT CAST({_h_sql('o_orderkey')} % 5 AS INTEGER) AS fold, CAST(count(*) AS BIGINT) AS n,
+       {R('sum(o_totalprice)', 'total')} FROM orders GROUP BY 1""")
+def q_kfold_assign(spark, sf_dir):
+    """M4: 5 folds by hash."""
+    o = load(spark, sf_dir, "orders", ["o_orderkey", "o_totalprice"])
+    f = split.kfold(o, ["o_orderkey"], 5, 42)
+    return rounded(f.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total")))
+
+
+@register("month_sample", f"""
+WITH o AS (SELECT o_orderkey, o_orderdate, strftime(o_orderdate, '%Y-%m') AS ym FROM orders),
+m AS (SELECT ym, count(*) AS nm FROM o GROUP BY ym),
+c AS (SELECT ym, nm, greatest(1, floor(5000 / count(*) OVER ())) AS cap FROM m),
+r AS (SELECT o.*, c.nm, c.cap, row_number() OVER (PARTITION BY o.ym ORDER BY {_h_sql('o.o_orderkey')}, o.o_orderkey) - 1 AS rk
+      FROM o JOIN c ON o.ym = c.ym)
+SELECT o_orderkey, o_orderdate FROM r WHERE rk < least(nm, cap)""")
+def q_month_sample(spark, sf_dir):
+    """Month-stratified sample of about 5,000 rows, hash-ranked per month."""
+    o = load(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate"])
+    return split.month_sample(o, "o_orderdate", "o_orderkey", 5000, 42).select("o_orderkey", "o_orderdate")
