@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -552,3 +552,282 @@ def q_month_sample(spark, sf_dir):
     """Month-stratified sample of about 5,000 rows, hash-ranked per month."""
     o = load(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate"])
     return split.month_sample(o, "o_orderdate", "o_orderkey", 5000, 42).select("o_orderkey", "o_orderdate")
+
+
+# ---------------------------------------------------------------- forecast ablation (L8 vote, A3, A19, A20, W14)
+
+from ..operators import tsstats  # noqa: E402
+
+# Fixed order of the cumulative feature groups (order matters: groups are added one by one).
+ABL_GROUPS = ("lag1", "lag2", "mean2h", "mean5h", "mean11h", "mean23h", "mean47h")
+ABL_ALGOS = ("MEAN", "MAX", "MIN", "MID")
+
+
+def _abl_features(spark, sf_dir) -> DataFrame:
+    """Per-hour-rate rain features of the previous hours (no fill, rows with a NULL dropped)."""
+    h = hourly_rain(spark, sf_dir).withColumn("_pos", cal.hour_id("ts"))
+    r = "Rainfall"
+
+    def build(w):
+        cols = {"f1": windows.lag(r, 1, w), "f2": windows.lag(r, 2, w)}
+        for i, n in enumerate((3, 6, 12, 24, 48), start=3):
+            cols[f"f{i}"] = (windows.rolling_full(r, n, w) - F.col(r)) / F.lit(float(n - 1))
+        return cols
+
+    d = with_series_windows(h, ["site"], "_pos", build, halo=47)
+    return d.dropna(subset=[f"f{i}" for i in range(1, 8)])
+
+
+def _abl_preds(k: int) -> dict[str, Column]:
+    fs = [F.col(f"f{i}") for i in range(1, k + 1)]
+    tot = fs[0]
+    for f in fs[1:]:
+        tot = tot + f
+    mx = F.greatest(*fs) if k > 1 else fs[0]
+    mn = F.least(*fs) if k > 1 else fs[0]
+    return {"MEAN": tot / F.lit(float(k)), "MAX": mx, "MIN": mn, "MID": (mx + mn) / F.lit(2.0)}
+
+
+def forecast_ablation_table(spark, sf_dir) -> DataFrame:
+    """Long ablation table: site, step, feature_group, n_features, algorithm, rmse, mae.
+    All 7 x 4 predictors are columns of one pass; ONE grouped aggregation computes every
+    error sum; the small result is reshaped with an explode."""
+    d = _abl_features(spark, sf_dir)
+    aggs, cells = [], []
+    for k in range(1, len(ABL_GROUPS) + 1):
+        for a, p in _abl_preds(k).items():
+            e = p - F.col("Rainfall")
+            aggs += [F.sum(e * e).alias(f"_se_{k}_{a}"), F.sum(F.abs(e)).alias(f"_ae_{k}_{a}")]
+            cells.append(F.struct(F.lit(k).alias("step"), F.lit(ABL_GROUPS[k - 1]).alias("feature_group"),
+                                  F.lit(k).alias("n_features"), F.lit(a).alias("algorithm"),
+                                  F.sqrt(F.col(f"_se_{k}_{a}") / F.col("_n")).alias("rmse"),
+                                  (F.col(f"_ae_{k}_{a}") / F.col("_n")).alias("mae")))
+    g = d.groupBy("site").agg(F.count(F.lit(1)).alias("_n"), *aggs)
+    return g.select("site", F.explode(F.array(*cells)).alias("_c")).select("site", "_c.*")
+
+
+def _sql_abl_feats() -> str:
+    fs = ", ".join([f"lag(Rainfall, 1) {_w()} AS f1", f"lag(Rainfall, 2) {_w()} AS f2"]
+                   + [f"({_roll('Rainfall', n)} - Rainfall) / {D(float(n - 1))} AS f{i}"
+                      for i, n in enumerate((3, 6, 12, 24, 48), start=3)])
+    return f"af0 AS (SELECT site, ts, Rainfall, {fs} FROM hr), af AS (SELECT * FROM af0 WHERE " + \
+        " AND ".join(f"f{i} IS NOT NULL" for i in range(1, 8)) + ")"
+
+
+def _sql_pred(k: int, a: str) -> str:
+    fs = [f"f{i}" for i in range(1, k + 1)]
+    mx = f"greatest({', '.join(fs)})" if k > 1 else fs[0]
+    mn = f"least({', '.join(fs)})" if k > 1 else fs[0]
+    return {"MEAN": f"({' + '.join(fs)}) / {D(float(k))}", "MAX": mx, "MIN": mn,
+            "MID": f"({mx} + {mn}) / {D(2.0)}"}[a]
+
+
+def _sql_abl() -> str:
+    sums = ", ".join(f"sum(({_sql_pred(k, a)} - Rainfall) * ({_sql_pred(k, a)} - Rainfall)) AS se_{k}_{a}, "
+                     f"sum(abs({_sql_pred(k, a)} - Rainfall)) AS ae_{k}_{a}"
+                     for k in range(1, 8) for a in ABL_ALGOS)
+    rows = " UNION ALL ".join(
+        f"SELECT site, {k} AS step, '{ABL_GROUPS[k - 1]}' AS feature_group, {k} AS n_features, '{a}' AS algorithm, "
+        f"sqrt(se_{k}_{a} / n) AS rmse, ae_{k}_{a} / n AS mae FROM ag"
+        for k in range(1, 8) for a in ABL_ALGOS)
+    return (f"{_sql_abl_feats()}, ag AS (SELECT site, count(*) AS n, {sums} FROM af GROUP BY site), "
+            f"abl AS ({rows}), "
+            f"eff AS (SELECT *, coalesce(rmse < lag(rmse) OVER (PARTITION BY site, algorithm ORDER BY step), true) "
+            f"AND coalesce(mae < lag(mae) OVER (PARTITION BY site, algorithm ORDER BY step), true) AS eff FROM abl), "
+            f"votes AS (SELECT site, step, feature_group, n_features, CAST(sum(CAST(eff AS INTEGER)) AS BIGINT) AS n_effective, "
+            f"sum(CAST(eff AS INTEGER)) >= 3 AS consensus FROM eff GROUP BY site, step, feature_group, n_features)")
+
+
+SQL_ABL = _sql_abl()
+
+
+@register("forecast_ablation", f"""WITH {SQL_HOURLY}, {SQL_ABL}
+SELECT site, CAST(step AS INTEGER) AS step, feature_group, CAST(n_features AS INTEGER) AS n_features, algorithm,
+       {R('rmse', 'rmse')}, {R('mae', 'mae')} FROM abl""")
+def q_forecast_ablation(spark, sf_dir):
+    """L8 metrics: cumulative feature groups x 4 naive forecasters, RMSE/MAE per site."""
+    return rounded(forecast_ablation_table(spark, sf_dir))
+
+
+@register("ablation_votes", f"""WITH {SQL_HOURLY}, {SQL_ABL}
+SELECT site, CAST(step AS INTEGER) AS step, feature_group, CAST(n_features AS INTEGER) AS n_features,
+       n_effective, consensus FROM votes""")
+def q_ablation_votes(spark, sf_dir):
+    """A20 + L8: effective when RMSE and MAE both fell vs the previous step; consensus >= 3 of 4."""
+    v = reshape.consensus_from_ablation(forecast_ablation_table(spark, sf_dir), ["site"])
+    return v.select("site", "step", "feature_group", "n_features", F.col("n_effective").cast("long"), "consensus")
+
+
+@register("consensus_summary", f"""WITH {SQL_HOURLY}, {SQL_ABL}
+SELECT feature_group, {R('avg(CAST(consensus AS DOUBLE)) * 100', 'consensus_pct')},
+       CAST(min(n_features) AS INTEGER) AS n_features, {R('avg(n_effective)', 'avg_n_effective')}
+FROM votes GROUP BY feature_group""")
+def q_consensus_summary(spark, sf_dir):
+    """A3: % of series with consensus per feature group, n_features, mean n_effective."""
+    v = reshape.consensus_from_ablation(forecast_ablation_table(spark, sf_dir), ["site"])
+    return rounded(reshape.consensus_summary(v))
+
+
+@register("improvement_pct", f"""WITH {SQL_HOURLY}, {SQL_ABL}
+SELECT site, algorithm, {R('arg_min(rmse, step)', 'first_rmse')}, {R('arg_max(rmse, step)', 'last_rmse')},
+       {R('(arg_min(rmse, step) - arg_max(rmse, step)) / arg_min(rmse, step) * 100', 'improvement_pct')}
+FROM abl GROUP BY site, algorithm""")
+def q_improvement_pct(spark, sf_dir):
+    """W15 + A19: first vs last step of each (site, algorithm), improvement %."""
+    a = forecast_ablation_table(spark, sf_dir)
+    g = a.groupBy("site", "algorithm").agg(F.min_by("rmse", "step").alias("first_rmse"),
+                                           F.max_by("rmse", "step").alias("last_rmse"))
+    return rounded(g.withColumn("improvement_pct", metrics.improvement_pct(F.col("first_rmse"), F.col("last_rmse"))))
+
+
+@register("best_algorithm", f"""WITH {SQL_HOURLY}, {SQL_ABL}
+SELECT site, first(algorithm ORDER BY rmse, algorithm) AS best_algorithm, {R('min(rmse)', 'best_rmse')}
+FROM abl WHERE step = 7 GROUP BY site""")
+def q_best_algorithm(spark, sf_dir):
+    """Argmin of RMSE over algorithms at the last step (ties by name)."""
+    a = forecast_ablation_table(spark, sf_dir).where(F.col("step") == len(ABL_GROUPS))
+    return rounded(a.groupBy("site").agg(
+        F.min_by("algorithm", F.struct("rmse", "algorithm")).alias("best_algorithm"),
+        F.min("rmse").alias("best_rmse")))
+
+
+# ---------------------------------------------------------------- ACF
+
+ACF_LAGS = 48
+
+
+def rain_acf(spark, sf_dir) -> DataFrame:
+    h = hourly_rain(spark, sf_dir).withColumn("_pos", cal.hour_id("ts"))
+    return tsstats.acf(h, ["site"], "_pos", "Rainfall", ACF_LAGS)
+
+
+def _sql_acf() -> str:
+    prods = ", ".join(f"x * lag(x, {k}) {_w()} AS p{k}" for k in range(1, ACF_LAGS + 1))
+    sums = ", ".join(f"sum(p{k}) AS s{k}" for k in range(1, ACF_LAGS + 1))
+    rows = " UNION ALL ".join([f"SELECT site, n, 0 AS lag, 1.0 AS acf FROM sa"]
+                              + [f"SELECT site, n, {k}, s{k} / s0 FROM sa" for k in range(1, ACF_LAGS + 1)])
+    return (f"cx AS (SELECT site, ts, Rainfall - avg(Rainfall) OVER (PARTITION BY site) AS x FROM hr), "
+            f"px AS (SELECT site, x * x AS p0, {prods} FROM cx), "
+            f"sa AS (SELECT site, count(*) AS n, sum(p0) AS s0, {sums} FROM px GROUP BY site), "
+            f"acf AS ({rows})")
+
+
+SQL_ACF = _sql_acf()
+
+
+@register("acf", f"""WITH {SQL_HOURLY}, {SQL_ACF}
+SELECT site, CAST(n AS BIGINT) AS n, CAST(lag AS INTEGER) AS lag, {R('acf', 'acf')} FROM acf""")
+def q_acf(spark, sf_dir):
+    """Biased autocorrelation of hourly rain, lags 0..48, per site."""
+    return rounded(rain_acf(spark, sf_dir))
+
+
+@register("acf_significant", f"""WITH {SQL_HOURLY}, {SQL_ACF}
+SELECT site, CAST(n AS BIGINT) AS n,
+       CAST(sum(CASE WHEN lag BETWEEN 1 AND 24 AND abs(acf) > 1.96 / sqrt(n) THEN 1 ELSE 0 END) AS INTEGER) AS sig_lags,
+       {R('1.96 / sqrt(n)', 'band')},
+       sum(CASE WHEN lag BETWEEN 1 AND 24 AND abs(acf) > 1.96 / sqrt(n) THEN 1 ELSE 0 END) < 17 AS acf_decays
+FROM acf GROUP BY site, n""")
+def q_acf_significant(spark, sf_dir):
+    """Y3 + Y6 (ACF part): lags 1..24 outside 1.96/sqrt(n); decays when fewer than 17."""
+    s = tsstats.acf_significance(rain_acf(spark, sf_dir), ["site"])
+    return rounded(s.select("site", "n", F.col("sig_lags").cast("int"), "band", "acf_decays"))
+
+
+# ---------------------------------------------------------------- lookups and job matrix
+
+@register("per_capita", f"""
+WITH pop AS (SELECT c_nationkey AS nation, count(*) AS population FROM customer GROUP BY 1),
+fl AS (SELECT c.c_nationkey AS nation, o.o_orderdate AS ts, sum(o.o_totalprice * {D(PRICE_SCALE)}) AS flow
+       FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY 1, 2)
+SELECT fl.nation, fl.ts, {R('fl.flow', 'flow')},
+       {R(f'abs(fl.flow) * {D(3600.0)} / pop.population', 'per_capita')}
+FROM fl LEFT JOIN pop ON fl.nation = pop.nation""")
+def q_per_capita(spark, sf_dir):
+    """Per-capita flow abs(q) * 3600 / population where the lookup knows the site."""
+    o = load(spark, sf_dir, "orders", ["o_custkey", "o_orderdate", "o_totalprice"])
+    c = load(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"])
+    pop = c.groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("population"))
+    fl = (o.join(c, o.o_custkey == c.c_custkey)
+          .groupBy(F.col("c_nationkey").alias("nation"), F.col("o_orderdate").alias("ts"))
+          .agg(F.sum(F.col("o_totalprice") * F.lit(PRICE_SCALE)).alias("flow")))
+    j = fl.join(pop, "nation", "left")
+    return rounded(j.select("nation", "ts", "flow",
+                            (F.abs(F.col("flow")) * F.lit(3600.0) / F.col("population")).alias("per_capita")))
+
+
+# Run status codes a scoring job can end with (job matrix suffixes).
+JOB_SUFFIXES = ("F", "O", "P", "Q", "R")
+
+
+@register("job_matrix_anti", f"""
+WITH s AS (SELECT DISTINCT o_orderpriority AS site FROM orders),
+m AS (SELECT site, unnest(['{"', '".join(JOB_SUFFIXES)}']) AS scenario FROM s),
+done AS (SELECT DISTINCT o_orderpriority AS site, o_orderstatus AS scenario FROM orders)
+SELECT m.site, m.scenario FROM m ANTI JOIN done ON m.site = done.site AND m.scenario = done.scenario""")
+def q_job_matrix_anti(spark, sf_dir):
+    """J5 + J6: every site x suffix, minus the combinations that already have output."""
+    o = load(spark, sf_dir, "orders", ["o_orderpriority", "o_orderstatus"])
+    sites = o.select(F.col("o_orderpriority").alias("site")).distinct()
+    m = joins.job_matrix(sites, "scenario", JOB_SUFFIXES)
+    done = o.select(F.col("o_orderpriority").alias("site"), F.col("o_orderstatus").alias("scenario"))
+    return joins.pending_jobs(m, done, ["site", "scenario"])
+
+
+@register("theta_first_match", """
+WITH c AS (SELECT s.s_suppkey, n.n_nationkey FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey
+           WHERE contains(s.s_name, replace(n.n_name, 'NATION_', '')))
+SELECT s.s_suppkey, s.s_nationkey, min(c.n_nationkey) AS match_n_nationkey
+FROM supplier s LEFT JOIN c ON s.s_suppkey = c.s_suppkey GROUP BY s.s_suppkey, s.s_nationkey""")
+def q_theta_first_match(spark, sf_dir):
+    """Equal key AND the listing entry's tag is a substring of the name; first match by
+    listing order; unmatched rows kept with NULL (reported, never reusing a previous match).
+    The right side is the nation listing (bounded), so it is broadcast."""
+    s = load(spark, sf_dir, "supplier", ["s_suppkey", "s_nationkey", "s_name"])
+    n = load(spark, sf_dir, "nation", ["n_nationkey", "n_name"]).withColumn("s_nationkey", F.col("n_nationkey"))
+    cond = F.col("s_name").contains(F.regexp_replace("n_name", "NATION_", ""))
+    out = joins.first_match(s, n, ["s_nationkey"], cond, "n_nationkey", "s_suppkey", small_right=True)
+    return out.select("s_suppkey", "s_nationkey", "match_n_nationkey")
+
+
+@register("leap_free_calendar", f"""
+WITH b AS (SELECT min(o_orderdate) AS lo, max(o_orderdate) AS hi FROM orders),
+g AS (SELECT unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS ts FROM b),
+d AS (SELECT o_orderdate AS ts, sum(o_totalprice * {D(PRICE_SCALE)}) AS total, count(*) AS n FROM orders GROUP BY 1)
+SELECT g.ts, {R('coalesce(d.total, 0.0)', 'total')}, CAST(coalesce(d.n, 0) AS BIGINT) AS n_orders
+FROM g LEFT JOIN d ON g.ts = d.ts WHERE NOT (month(g.ts) = 2 AND day(g.ts) = 29)""")
+def q_leap_free_calendar(spark, sf_dir):
+    """F11 + P16 + A1 (daily): gap-free daily grid without 29 February, zero-filled totals."""
+    o = load(spark, sf_dir, "orders", ["o_orderdate", "o_totalprice"])
+    b = o.agg(F.min("o_orderdate").alias("lo"), F.max("o_orderdate").alias("hi"))
+    g = b.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 DAY"))).alias("ts")) \
+         .where(~cal.is_leap_day("ts"))
+    d = o.groupBy(F.col("o_orderdate").alias("ts")).agg(
+        F.sum(F.col("o_totalprice") * F.lit(PRICE_SCALE)).alias("total"), F.count(F.lit(1)).alias("n"))
+    j = g.join(d, "ts", "left")
+    return rounded(j.select("ts", F.coalesce("total", F.lit(0.0)).alias("total"),
+                            F.coalesce("n", F.lit(0)).cast("long").alias("n_orders")))
+
+
+@register("top_features", f"""
+SELECT p.p_name AS feature, {R(f'avg(l.l_extendedprice * {D(PRICE_SCALE)})', 'importance')}
+FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
+GROUP BY p.p_name ORDER BY avg(l.l_extendedprice * {D(PRICE_SCALE)}) DESC, p.p_name LIMIT 10""")
+def q_top_features(spark, sf_dir):
+    """A16 + R1: mean score per feature, top 10 (ties by name)."""
+    l = load(spark, sf_dir, "lineitem", ["l_partkey", "l_extendedprice"])
+    p = load(spark, sf_dir, "part", ["p_partkey", "p_name"])
+    m = (l.join(p, l.l_partkey == p.p_partkey).groupBy(F.col("p_name").alias("feature"))
+         .agg(F.avg(F.col("l_extendedprice") * F.lit(PRICE_SCALE)).alias("importance")))
+    return rounded(reshape.top_n(m, "importance", 10, "feature"))
+
+
+@register("greedy_weights")
+def q_greedy_weights(spark, sf_dir):
+    """Greedy forward ensemble weights of the three predictors maximising R2. The data
+    pass is ONE aggregation (Gramian); the search runs on its 15 numbers on the driver."""
+    p = order_pairs(spark, sf_dir).dropna(subset=list(MODELS))
+    g = metrics.gramian(p, "actual", MODELS).first().asDict()
+    w, r2 = metrics.greedy_weights_from_gramian(g, MODELS)
+    return spark.createDataFrame([(m, float(x), float(r2)) for m, x in zip(MODELS, w)],
+                                 "model string, weight double, r2 double")
