@@ -46,6 +46,9 @@ def order_statistics(df: DataFrame, groups: Sequence[str], x: str, targets: Data
                      bins: int = 4096, final_rows: int = 200_000, max_passes: int = 8) -> DataFrame:
     """Value of 0-based rank ``k`` (ascending, NULLs excluded) for each row of ``targets``
     (columns: groups..., k). Returns groups..., k, value."""
+    if not groups:
+        return order_statistics(df.withColumn("_all", F.lit(0)), ["_all"], x,
+                                targets.withColumn("_all", F.lit(0)), bins, final_rows, max_passes).drop("_all")
     g = list(groups)
     data = df.select(*g, F.col(x).cast("double").alias("_x")).where(F.col("_x").isNotNull())
     bounds = data.groupBy(*g).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
