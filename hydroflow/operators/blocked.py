@@ -26,6 +26,14 @@ HALO = "_halo"
 DEFAULT_BLOCK = 720  # 30 days of hours; halo of 47 rows adds ~6.5% rows
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the cluster's shared ``spark.checkpoint.dir``: cuts lineage at
+    a stage boundary (so self-joins of carries do not recompute upstream stages) and survives
+    executor loss. The checkpoint keeps the (series, block) hash partitioning."""
+    from ..session import cut_lineage
+    return cut_lineage(df)
+
+
 def block_of(pos: str, block: int) -> Column:
     return F.floor(F.col(pos) / F.lit(block)).cast("long")
 

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import calendar_columns, hour_id
-from .blocked import DEFAULT_BLOCK, fill, with_series_windows
-from .scan import affine_scan
+from .blocked import DEFAULT_BLOCK, fill, materialize, with_series_windows
+from .scan import affine_scan_many
 from .windows import lag, rolling_full
 
 # Fixed values of the rainfall features.
@@ -35,20 +35,18 @@ def prep_rainfall(hourly: DataFrame, keys: Sequence[str], ts: str = "ts", rain:
         cols["_first"] = F.lag(F.col("_pos"), 1).over(w).isNull()
         return cols
 
-    d = with_series_windows(d, keys, "_pos", build, halo=max(RAIN_WINDOWS) - 1, block=block)
-    # previous hour's rain before any fill: the recurrences use the raw value
-    d = d.withColumn("_prev", F.col("Rainlag1"))
-    d = affine_scan(d, keys, "_pos", cap=F.lit(None),
-                    coef=F.when(F.col("_first"), 0.0).otherwise(api_decay),
-                    offset=F.when(F.col("_first"), 0.0).otherwise(F.col("_prev")),
-                    out="API", block=block)
-    d = affine_scan(d, keys, "_pos", cap=F.lit(soil_max),
-                    coef=F.when(F.col("_first"), 0.0).otherwise(soil_decay),
-                    offset=F.when(F.col("_first"), F.col(rain)).otherwise(F.col("_prev")),
-                    out="SoilMoisture", block=block)
+    d = materialize(with_series_windows(materialize(d), keys, "_pos", build,
+                                        halo=max(RAIN_WINDOWS) - 1, block=block))
+    # the recurrences use the previous hour's raw rain (Rainlag1 before any fill)
+    first, prev = F.col("_first"), F.col("Rainlag1")
+    d = affine_scan_many(d, keys, "_pos", {
+        "API": (F.lit(None), F.when(first, 0.0).otherwise(api_decay), F.when(first, 0.0).otherwise(prev)),
+        "SoilMoisture": (F.lit(soil_max), F.when(first, 0.0).otherwise(soil_decay),
+                         F.when(first, F.col(rain)).otherwise(prev)),
+    }, block=block)
     filled = [f"Rainlag{k}" for k in RAIN_LAGS] + [f"Rain_L{n}HR" for n in RAIN_WINDOWS]
     if fill_how:
-        d = fill(d, keys, "_pos", filled, fill_how, block)
+        d = fill(materialize(d), keys, "_pos", filled, fill_how, block)
     d = d.withColumns(calendar_columns(ts))
     order = [*keys, ts, rain, "hour", "wday", "month", "mday", "doy", *filled,
              "sin_hour", "cos_hour", "API", "SoilMoisture"]
@@ -88,7 +86,7 @@ def add_lag_features(df: DataFrame, keys: Sequence[str], ts: str = "ts", site_na
         out.update({o: rolling_full(s, n, w, "mean") for o, (s, n) in means.items()})
         return out
 
-    d = with_series_windows(d, keys, "_pos", build, halo=halo, block=block)
+    d = materialize(with_series_windows(d, keys, "_pos", build, halo=halo, block=block))
     d = fill(d, keys, "_pos", list(lags), "ffill_bfill", block)
-    d = fill(d, keys, "_pos", list(means), "bfill", block)
+    d = fill(materialize(d), keys, "_pos", list(means), "bfill", block)
     return d.drop("_pos", "_blk")

@@ -28,18 +28,21 @@ def hourly_sum(df: DataFrame, keys: Sequence[str], ts: str, value: str, out: str
     """A1: sum ``value * scale`` per (series, hour). With ``fill_zero`` (pandas ``resample().sum()``)
     every hour from the series' first to last hour is present and empty hours are 0.
 
-    The gap fill adds the grid rows (value 0) to the same aggregation, so it costs no join:
-    one shuffle total, with map-side partial sums over the raw rows."""
+    The raw rows are read once: map-side partial sums, one shuffle, then the (much smaller)
+    sparse hourly table is materialised; the grid rows (value 0) are unioned into a second,
+    hourly-sized aggregation instead of a join."""
+    from .blocked import materialize
     v = F.col(value).cast("double")
     if scale != 1.0:
         v = v * F.lit(float(scale))
-    h = df.select(*keys, hour_id(ts).alias(HID), v.alias(out))
+    h = (df.select(*keys, hour_id(ts).alias(HID), v.alias(out))
+         .groupBy(*keys, HID).agg(F.sum(out).alias(out)))
     if fill_zero:
+        h = materialize(h)
         bounds = h.groupBy(*keys).agg(F.min(HID).alias("_lo"), F.max(HID).alias("_hi"))
         grid = hourly_grid(bounds, keys, "_lo", "_hi", block).withColumn(out, F.lit(0.0))
-        h = h.unionByName(grid)
-    return (h.groupBy(*keys, HID).agg(F.sum(out).alias(out))
-            .withColumn(ts, from_hour_id(HID)))
+        h = h.unionByName(grid).groupBy(*keys, HID).agg(F.sum(out).alias(out))
+    return h.withColumn(ts, from_hour_id(HID))
 
 
 def hourly_sum_no_gap(df: DataFrame, keys: Sequence[str], ts: str, values: Sequence[str],

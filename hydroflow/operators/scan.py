@@ -49,43 +49,59 @@ def affine_scan(df: DataFrame, keys: Sequence[str], pos: str, cap: Column, coef:
     """Add column ``out`` = scan of the maps (cap, coef, offset) along ``pos`` per series.
 
     ``coef`` must be >= 0. A row whose map has coef 0 restarts the recurrence (series start)."""
+    return affine_scan_many(df, keys, pos, {out: (cap, coef, offset)}, block, sub)
+
+
+def affine_scan_many(df: DataFrame, keys: Sequence[str], pos: str,
+                     specs: dict[str, tuple[Column, Column, Column]], block: int = DEFAULT_BLOCK,
+                     sub: int = DEFAULT_SUB) -> DataFrame:
+    """Several scans over the same series in one pass: one sub-block aggregation, one carry
+    table, one join, one replay window. ``specs``: out -> (cap, coef, offset).
+
+    ``df`` is read twice (summaries and replay): pass a materialised table
+    (``blocked.materialize``) when it is expensive to recompute."""
     if block % sub:
         raise ValueError("sub must divide block")
     if BLK not in df.columns:
         df = df.withColumn(BLK, block_of(pos, block))
+    outs = list(specs)
+    m = {o: f"_m{i}" for i, o in enumerate(outs)}
     d = df.withColumns({
         SUB: F.floor(F.col(pos) / F.lit(sub)).cast("long"),
-        "_m": F.struct(cap.cast("double").alias("c"), coef.cast("double").alias("a"),
-                       offset.cast("double").alias("b")),
+        **{m[o]: F.struct(c.cast("double").alias("c"), a.cast("double").alias("a"),
+                          b.cast("double").alias("b")) for o, (c, a, b) in specs.items()},
     })
     # 1. sub-block summaries (grouping keys include _blk: no shuffle after a blocked window)
-    subs = (d.groupBy(*keys, BLK, SUB)
-            .agg(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.col("_m").alias("m"))))
-                 .alias("_l"))
-            .select(*keys, BLK, SUB, _fold("transform(_l, e -> e.m)").alias("_S")))
+    items = F.struct(F.col(pos).alias("p"), *[F.col(m[o]).alias(m[o]) for o in outs])
+    subs = (d.groupBy(*keys, BLK, SUB).agg(F.sort_array(F.collect_list(items)).alias("_l"))
+            .select(*keys, BLK, SUB, *[_fold(f"transform(_l, e -> e.{m[o]})").alias(f"_S{m[o]}") for o in outs]))
     # 2a. exclusive prefix of sub-blocks inside the block, and the block total
     wsub = Window.partitionBy(*keys, BLK).orderBy(SUB)
-    subs = (subs
-            .withColumn("_pl", F.collect_list("_S").over(wsub.rowsBetween(Window.unboundedPreceding, -1)))
-            .withColumn("_P", _fold("_pl"))
-            .withColumn("_tl", F.collect_list("_S").over(wsub.rowsBetween(Window.unboundedPreceding,
-                                                                          Window.unboundedFollowing)))
-            .drop("_pl"))
+    before = wsub.rowsBetween(Window.unboundedPreceding, -1)
+    whole = wsub.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    for o in outs:
+        subs = (subs.withColumn("_pl", F.collect_list(f"_S{m[o]}").over(before))
+                .withColumn(f"_P{m[o]}", _fold("_pl"))
+                .withColumn(f"_tl{m[o]}", F.collect_list(f"_S{m[o]}").over(whole)).drop("_pl"))
     # 2b. exclusive prefix of block totals per series (one row per block)
-    blocks = (subs.groupBy(*keys, BLK).agg(F.first("_tl").alias("_tl"))
-              .withColumn("_T", _fold("_tl")).drop("_tl"))
+    blocks = subs.groupBy(*keys, BLK).agg(*[F.first(f"_tl{m[o]}").alias(f"_tl{m[o]}") for o in outs])
     wblk = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (blocks.withColumn("_bl", F.collect_list("_T").over(wblk))
-              .withColumn("_BP", _fold("_bl")).select(*keys, BLK, "_BP"))
+    for o in outs:
+        blocks = (blocks.withColumn(f"_T{m[o]}", _fold(f"_tl{m[o]}"))
+                  .withColumn("_bl", F.collect_list(f"_T{m[o]}").over(wblk))
+                  .withColumn(f"_BP{m[o]}", _fold("_bl")).drop("_bl", f"_T{m[o]}", f"_tl{m[o]}"))
     # carry into each sub-block = (block prefix, then in-block prefix) applied to 0
-    carry = (subs.join(blocks, [*keys, BLK])
-             .withColumn("_x0", F.expr(f"{_apply('_P', _apply('_BP', 'CAST(0.0 AS DOUBLE)'))}"))
-             .groupBy(*keys, BLK).agg(F.map_from_entries(F.collect_list(F.struct(SUB, "_x0"))).alias("_cm")))
+    carry = subs.join(blocks, [*keys, BLK])
+    for o in outs:
+        carry = carry.withColumn(f"_x{m[o]}", F.expr(_apply(f"_P{m[o]}", _apply(f"_BP{m[o]}", "CAST(0.0 AS DOUBLE)"))))
+    carry = carry.groupBy(*keys, BLK).agg(
+        F.map_from_entries(F.collect_list(F.struct(SUB, F.struct(*[f"_x{m[o]}" for o in outs])))).alias("_cm"))
     # 3. replay inside each sub-block from its carry
     wrow = Window.partitionBy(*keys, BLK, SUB).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    j = d.join(carry, [*keys, BLK], "left")
-    j = j.withColumn("_x0", F.coalesce(F.try_element_at("_cm", F.col(SUB)), F.lit(0.0)))
-    replay = F.expr("aggregate(_rl, _x0, (x, m) -> " + _apply("m", "x") + ")")
-    return (j.withColumn("_rl", F.collect_list("_m").over(wrow))
-            .withColumn(out, replay)
-            .drop("_rl", "_x0", "_cm", "_m", SUB))
+    j = d.join(carry, [*keys, BLK], "left").withColumn("_c0", F.try_element_at("_cm", F.col(SUB)))
+    res = {}
+    for o in outs:
+        x0 = F.coalesce(F.col(f"_c0._x{m[o]}"), F.lit(0.0))
+        res[o] = F.aggregate(F.collect_list(m[o]).over(wrow), x0,
+                             lambda x, e: F.least(e["c"], e["a"] * x + e["b"]))
+    return j.withColumns(res).drop("_cm", "_c0", SUB, *m.values())

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocked import DEFAULT_BLOCK, fill, with_series_windows
+from .blocked import DEFAULT_BLOCK, fill, materialize, with_series_windows
 
 
 def lag(x: str, k: int, w) -> Column:
@@ -35,7 +35,7 @@ def add_lags(df: DataFrame, keys: Sequence[str], pos: str, specs: dict[str, tupl
     out = with_series_windows(df, keys, pos, lambda w: {n: lag(s, k, w) for n, (s, k) in specs.items()},
                               halo=halo, block=block)
     if fill_how:
-        out = fill(out, keys, pos, list(specs), fill_how, block)
+        out = fill(materialize(out), keys, pos, list(specs), fill_how, block)
     return out
 
 
@@ -47,7 +47,7 @@ def add_rolling(df: DataFrame, keys: Sequence[str], pos: str, specs: dict[str, t
                               lambda w: {o: rolling_full(s, n, w, how) for o, (s, n) in specs.items()},
                               halo=halo, block=block)
     if fill_how:
-        out = fill(out, keys, pos, list(specs), fill_how, block)
+        out = fill(materialize(out), keys, pos, list(specs), fill_how, block)
     return out
 
 
