@@ -102,3 +102,27 @@ def quantile_type7(df: DataFrame, groups: Sequence[str], x: str, q: float, out:
     v1 = vals.withColumnRenamed("k", "_k1").withColumnRenamed("value", "_v1")
     return (base.join(v0, [*g, "_k0"]).join(v1, [*g, "_k1"])
             .select(*g, (F.col("_v0") + F.col("_frac") * (F.col("_v1") - F.col("_v0"))).alias(out)))
+
+
+def quantiles_type7(df: DataFrame, groups: Sequence[str], x: str, qs: dict[str, float]) -> DataFrame:
+    """Several exact type-7 quantiles per group from ONE refinement run (all target ranks
+    searched together). ``qs``: output column -> q."""
+    g = list(groups)
+    n = df.where(F.col(x).isNotNull()).groupBy(*g).agg(F.count(F.lit(1)).alias("_cnt"))
+    ks = []
+    for name, q in qs.items():
+        h = (F.col("_cnt") - 1) * F.lit(float(q))
+        ks += [F.floor(h).cast("long").alias(f"_k0_{name}"),
+               F.least(F.floor(h).cast("long") + 1, F.col("_cnt") - 1).alias(f"_k1_{name}"),
+               (h - F.floor(h)).alias(f"_f_{name}")]
+    base = n.select(*g, *ks)
+    allk = F.array_distinct(F.array(*[F.col(f"_k{i}_{nm}") for nm in qs for i in (0, 1)]))
+    vals = order_statistics(df, g, x, base.select(*g, F.explode(allk).alias("k")))
+    vm = vals.groupBy(*g).agg(F.map_from_entries(F.collect_list(F.struct("k", "value"))).alias("_vm"))
+    j = base.join(vm, g)
+    outs = []
+    for nm in qs:
+        v0 = F.element_at("_vm", F.col(f"_k0_{nm}"))
+        v1 = F.element_at("_vm", F.col(f"_k1_{nm}"))
+        outs.append((v0 + F.col(f"_f_{nm}") * (v1 - v0)).alias(nm))
+    return j.select(*g, *outs)

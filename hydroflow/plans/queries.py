@@ -831,3 +831,105 @@ def q_greedy_weights(spark, sf_dir):
     w, r2 = metrics.greedy_weights_from_gramian(g, MODELS)
     return spark.createDataFrame([(m, float(x), float(r2)) for m, x in zip(MODELS, w)],
                                  "model string, weight double, r2 double")
+
+
+# ---------------------------------------------------------------- data profile (Q1, Q3, Q4, Q7, Q8, Q10-Q12, Q14)
+
+from ..operators import profile  # noqa: E402
+
+PROF_NUM = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+PROF_ALL = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *PROF_NUM, "l_returnflag", "l_linestatus",
+            "l_shipdate")
+
+
+def _lineitem(spark, sf_dir, cols=PROF_ALL):
+    return load(spark, sf_dir, "lineitem", list(cols))
+
+
+def _union_cols(cols, body) -> str:
+    return " UNION ALL ".join(body(c) for c in cols)
+
+
+@register("profile_missing", "SELECT * FROM (" + _union_cols(PROF_ALL, lambda c: (
+    f"SELECT '{c}' AS column, CAST(sum(CASE WHEN {c} IS NULL"
+    + (f" OR trim({c}) = ''" if c in ("l_returnflag", "l_linestatus") else "")
+    + (f" OR isnan({c})" if c in PROF_NUM else "")
+    + f" THEN 1 ELSE 0 END) AS BIGINT) AS n_missing, "
+    + R(f"sum(CASE WHEN {c} IS NULL" + (f" OR trim({c}) = ''" if c in ("l_returnflag", "l_linestatus") else "")
+        + (f" OR isnan({c})" if c in PROF_NUM else "") + " THEN 1 ELSE 0 END) * 100.0 / count(*)", "missing_pct")
+    + " FROM lineitem")) + ")")
+def q_profile_missing(spark, sf_dir):
+    """Q10: missing-value share per column (NULL, NaN, blank strings)."""
+    return rounded(profile.missing_ranking(_lineitem(spark, sf_dir)))
+
+
+@register("profile_cardinality", "SELECT * FROM (" + _union_cols(PROF_ALL, lambda c: (
+    f"SELECT '{c}' AS column, CAST(count(DISTINCT {c}) AS BIGINT) AS n_unique FROM lineitem")) + ")")
+def q_profile_cardinality(spark, sf_dir):
+    """Q11: exact distinct count per column."""
+    return profile.cardinality_ranking(_lineitem(spark, sf_dir))
+
+
+def _sql_describe(c: str) -> str:
+    x = f"CAST({c} AS DOUBLE)"
+    mean = f"CAST(sum(CAST({x} AS DECIMAL(38, 6))) AS DOUBLE) / count({x})"
+    return (f"SELECT '{c}' AS column, CAST(count({x}) AS BIGINT) AS n, {R(mean, 'mean')}, "
+            f"{R(f'min({x})', 'min')}, {R(f'max({x})', 'max')}, {R(f'stddev_pop({x})', 'std')}, "
+            f"{R(f'avg(power({x} - m, 3)) / power(avg(power({x} - m, 2)), 1.5)', 'skew')}, "
+            f"{R(f'avg(power({x} - m, 4)) / power(avg(power({x} - m, 2)), 2)', 'kurtosis')}, "
+            f"CAST(count(DISTINCT {x}) AS BIGINT) AS n_unique, {R(f'quantile_cont({x}, 0.5)', 'median')}, "
+            f"abs(avg(power({x} - m, 3)) / power(avg(power({x} - m, 2)), 1.5)) > 3 AS skew_warning "
+            f"FROM lineitem, (SELECT avg({x}) AS m FROM lineitem) mm WHERE {x} IS NOT NULL")
+
+
+@register("profile_describe", "SELECT * FROM (" + _union_cols(PROF_NUM, _sql_describe) + ")")
+def q_profile_describe(spark, sf_dir):
+    """Q3 + Q12 + Q14: descriptive statistics per numeric column with exact medians."""
+    return rounded(profile.describe(_lineitem(spark, sf_dir, PROF_NUM), PROF_NUM))
+
+
+def _sql_outliers(c: str) -> str:
+    x = f"CAST({c} AS DOUBLE)"
+    return (f"SELECT '{c}' AS column, {R('q.p5', 'p5')}, {R('q.p95', 'p95')}, {R('q.med', 'median')}, "
+            f"{R('r.rstd', 'rstd')}, CAST(r.n AS BIGINT) AS n, "
+            f"CAST(sum(CASE WHEN {x} > q.med + 5 * r.rstd OR {x} < q.med - 5 * r.rstd THEN 1 ELSE 0 END) AS BIGINT) AS n_outliers, "
+            f"{R(f'sum(CASE WHEN {x} > q.med + 5 * r.rstd OR {x} < q.med - 5 * r.rstd THEN 1 ELSE 0 END) * 100.0 / r.n', 'outlier_pct')} "
+            f"FROM lineitem, (SELECT quantile_cont({x}, 0.05) AS p5, quantile_cont({x}, 0.95) AS p95, "
+            f"quantile_cont({x}, 0.5) AS med FROM lineitem) q, "
+            f"(SELECT stddev_pop(least(greatest({x}, q2.p5), q2.p95)) AS rstd, count(*) AS n FROM lineitem, "
+            f"(SELECT quantile_cont({x}, 0.05) AS p5, quantile_cont({x}, 0.95) AS p95 FROM lineitem) q2 "
+            f"WHERE {x} IS NOT NULL) r WHERE {x} IS NOT NULL GROUP BY q.p5, q.p95, q.med, r.rstd, r.n")
+
+
+@register("profile_outliers", "SELECT * FROM (" + _union_cols(PROF_NUM, _sql_outliers) + ")")
+def q_profile_outliers(spark, sf_dir):
+    """Q4: robust outliers per numeric column (median ± 5 RSTD, RSTD from [p5, p95] clipping)."""
+    return rounded(profile.outliers(_lineitem(spark, sf_dir, PROF_NUM), PROF_NUM))
+
+
+@register("profile_duplicates", f"""
+WITH g AS (SELECT {', '.join(PROF_ALL)}, count(*) AS c FROM lineitem GROUP BY ALL)
+SELECT CAST(sum(c) AS BIGINT) AS n_rows, CAST(sum(c - 1) AS BIGINT) AS n_duplicates,
+       {R('sum(c - 1) * 100.0 / sum(c)', 'duplicate_pct')} FROM g""")
+def q_profile_duplicates(spark, sf_dir):
+    """Q7: duplicate-row share over the full table."""
+    return rounded(profile.duplicate_share(_lineitem(spark, sf_dir)))
+
+
+@register("profile_corr", "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, {R(f'corr({a}, {b})', 'r')} FROM lineitem"
+    for i, a in enumerate(PROF_NUM) for b in PROF_NUM[i + 1:]) + ")")
+def q_profile_corr(spark, sf_dir):
+    """Q8: Pearson matrix of the numeric columns, one aggregation."""
+    return rounded(profile.corr_matrix(_lineitem(spark, sf_dir, PROF_NUM), PROF_NUM))
+
+
+@register("profile_overview", f"""
+SELECT CAST(count(*) AS BIGINT) AS n_rows,
+       CAST(sum({' + '.join(f'CAST({c} IS NULL AS BIGINT)' for c in PROF_ALL)}) AS BIGINT) AS n_missing_cells,
+       {len(PROF_ALL)} AS n_columns,
+       {R(f"sum({' + '.join(f'CAST({c} IS NULL AS BIGINT)' for c in PROF_ALL)}) * 100.0 / (count(*) * {len(PROF_ALL)})", 'missing_pct')}
+FROM lineitem""")
+def q_profile_overview(spark, sf_dir):
+    """Q1: rows, columns, missing cells."""
+    return rounded(profile.overview(_lineitem(spark, sf_dir)))
