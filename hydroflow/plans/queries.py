@@ -933,3 +933,64 @@ FROM lineitem""")
 def q_profile_overview(spark, sf_dir):
     """Q1: rows, columns, missing cells."""
     return rounded(profile.overview(_lineitem(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- model training table and MLlib jobs (tier 3)
+
+from ..operators import models  # noqa: E402
+from ..operators.blocked import materialize  # noqa: E402
+
+
+def training_table(spark, sf_dir) -> DataFrame:
+    """The reference's processed feature table for every site at once: rain features, the
+    temperature stand-in and its lags/means, and a target ``flow`` = number of readings in the
+    hour (an inflow proxy, zero-filled on the same grid)."""
+    ev = sensor_feed(spark, sf_dir)
+    rain = features.prep_rainfall(hourly_rain(spark, sf_dir), ["site"])
+    flow = resample.hourly_sum(ev.withColumn("one", F.lit(1.0)), ["site"], "ts", "one", out="flow").drop("hid")
+    t = joins.left_on_hour(rain, [hourly_temp(spark, sf_dir), flow], ["site"])
+    t = features.add_lag_features(t, ["site"], "ts", temp="temp")
+    t = t.withColumn("_pos", cal.hour_id("ts"))
+    t = windows.fill_columns(materialize(t), ["site"], "_pos", ["temp"], "ffill_bfill")
+    return materialize(t.drop("_pos", "_blk"))
+
+
+ALL_FEATURES = [c for g in models.FEATURE_GROUPS.values() for c in g]
+
+
+def _split(t: DataFrame):
+    s = split.time_split(t, ["site"], "ts", 0.7).cache()
+    return s.where("split = 'train'"), s.where("split = 'test'")
+
+
+@register("algorithm_benchmark")
+def q_algorithm_benchmark(spark, sf_dir):
+    """Six MLlib regressors on the full feature set, time split 70/30 per site."""
+    tr, te = _split(training_table(spark, sf_dir))
+    return models.algorithm_benchmark(tr, te, "flow", ALL_FEATURES)
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    """Impurity importances (extra-trees configuration), sorted."""
+    tr, _ = _split(training_table(spark, sf_dir))
+    return models.feature_importance(tr, "flow", ALL_FEATURES).orderBy(F.desc("importance"))
+
+
+@register("hybrid_model")
+def q_hybrid_model(spark, sf_dir):
+    """Linear base + GBT on residuals; test metrics per site."""
+    tr, te = _split(training_table(spark, sf_dir))
+    p = models.hybrid(tr, te, "flow", ALL_FEATURES)
+    return p.groupBy("site").agg(*metrics.error_metric_columns("flow", "prediction"))
+
+
+@register("scored_predictions")
+def q_scored_predictions(spark, sf_dir):
+    """L20 + L21: fit two models once, score every hour of every site (features built once),
+    clip at 0, and the accuracy table per (site, model) over all rows."""
+    t = training_table(spark, sf_dir)
+    tr, _ = _split(t)
+    fitted = {a: models.pipeline(ALL_FEATURES, a, "flow").fit(tr) for a in ("LR", "RF")}
+    scored = models.score(fitted, t, ["site", "ts", "flow"])
+    return scored.groupBy("site", "model").agg(*metrics.error_metric_columns("flow", "pred"))
