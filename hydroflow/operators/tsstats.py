@@ -96,7 +96,10 @@ def lag_recommendation(pacf_long: DataFrame, keys: Sequence[str], n_col_df: Data
     sig = j.where((F.col("lag") >= 1) & (F.col("lag") <= max_lag) & (F.abs(F.col("pacf")) > band)
                   & (F.abs(F.col("pacf")) > min_abs))
     lst = F.array_sort(F.collect_list("lag"))
-    return (sig.groupBy(*k).agg(F.slice(lst, 1, 7).alias("sig_pacf_lags"))
+    found = sig.groupBy(*k).agg(F.slice(lst, 1, 7).alias("sig_pacf_lags"))
+    every = n_col_df.select(*k).distinct().join(found, k, "left")
+    lags = F.coalesce(F.col("sig_pacf_lags"), F.array().cast("array<int>"))
+    return (every.withColumn("sig_pacf_lags", lags)
             .withColumn("recommended_lags", F.filter("sig_pacf_lags", lambda v: v <= max_keep)))
 
 
@@ -105,45 +108,148 @@ def lag_recommendation(pacf_long: DataFrame, keys: Sequence[str], n_col_df: Data
 # KPSS level-stationarity critical values (Kwiatkowski et al. 1992, table 1).
 KPSS_CRIT = ((0.10, 0.347), (0.05, 0.463), (0.025, 0.574), (0.01, 0.739))
 
+# MacKinnon (1994) response surface for the constant-only unit-root test, N = 1:
+# bounds, switch point, small-p and large-p polynomial coefficients (lowest order first).
+ADF_TAU_MAX = 2.74
+ADF_TAU_MIN = -18.83
+ADF_TAU_STAR = -1.61
+ADF_SMALLP = (2.1659, 1.4412, 0.038269)
+ADF_LARGEP = (1.7339, 0.93202, -0.12745, -0.010368)
+
+
+def _norm_cdf(z: float) -> float:
+    return 0.5 * (1.0 + math.erf(z / math.sqrt(2.0)))
+
+
+def adf_pvalue(stat: float) -> float:
+    if stat > ADF_TAU_MAX:
+        return 1.0
+    if stat < ADF_TAU_MIN:
+        return 0.0
+    coef = ADF_SMALLP if stat <= ADF_TAU_STAR else ADF_LARGEP
+    return _norm_cdf(sum(c * stat ** i for i, c in enumerate(coef)))
+
 
 def kpss_pvalue(stat: float) -> float:
     """Interpolated in the published table, clipped to [0.01, 0.10]."""
-    ps = [p for p, _ in KPSS_CRIT]
-    cs = [c for _, c in KPSS_CRIT]
-    return float(np.interp(stat, cs, ps))
+    return float(np.interp(stat, [c for _, c in KPSS_CRIT], [p for p, _ in KPSS_CRIT]))
+
+
+def _autocov_sums(d: DataFrame, keys: Sequence[str], pos: str, e: str, lags: int, block: int) -> DataFrame:
+    """sum_t e_t e_{t-i} for i = 0..lags per series: one blocked window pass + one aggregation."""
+    w = with_series_windows(d, keys, pos, lambda w: {f"_g{i}": F.col(e) * F.lag(e, i).over(w)
+                                                     for i in range(1, lags + 1)}, halo=lags, block=block)
+    return w.groupBy(*keys).agg(F.sum(F.col(e) * F.col(e)).alias("_g0"),
+                                *[F.sum(f"_g{i}").alias(f"_g{i}") for i in range(1, lags + 1)])
 
 
 def kpss_level(df: DataFrame, keys: Sequence[str], pos: str, x: str) -> DataFrame:
-    """KPSS level test per series. Partial sums S_t of (x - mean) are a running sum, done
-    with the blocked affine scan (coef 1, no cap); the long-run variance uses Bartlett weights
-    with the automatic bandwidth of Hobijn et al. (1998) from autocovariances of one blocked
-    window pass. Returns keys, n, kpss_stat, lags; p-values via ``kpss_pvalue``."""
+    """KPSS level test per series (automatic Hobijn et al. bandwidth, Bartlett kernel).
+    Partial sums of (x - mean) are a running sum: the blocked affine scan with coef 1. Pass 1
+    gets the autocovariances the bandwidth rule needs, pass 2 those of the chosen lag count;
+    only (series x lag) sums reach the driver. ``pos`` dense per series."""
+    from .blocked import materialize
     k = list(keys)
     means = df.groupBy(*k).agg(F.avg(x).alias("_m"), F.count(x).alias("n"))
     d = df.join(means, k).withColumn("_e", F.col(x) - F.col("_m"))
-    d = affine_scan(d, k, pos, cap=F.lit(None), coef=F.lit(1.0), offset=F.col("_e"), out="_S")
-    maxl = 60
-    d = with_series_windows(d.drop("_blk"), k, pos, lambda w: {f"_g{j}": F.col("_e") * F.lag("_e", j).over(w)
-                                                               for j in range(1, maxl + 1)}, halo=maxl)
-    agg = d.groupBy(*k).agg(F.first("n").alias("n"), F.sum(F.col("_S") * F.col("_S")).alias("_ss"),
-                            F.sum(F.col("_e") * F.col("_e")).alias("_g0"),
-                            *[F.sum(f"_g{j}").alias(f"_g{j}") for j in range(1, maxl + 1)])
-
-    @F.udf(T.StructType([T.StructField("kpss_stat", T.DoubleType()), T.StructField("lags", T.IntegerType())]))
-    def finish(n, ss, g):
-        n = float(n)
-        g = [v / n for v in g]
-        # Hobijn et al. automatic bandwidth
-        nl = int(math.floor(4 * (n / 100) ** (2 / 9)))
-        nl = min(nl, len(g) - 1)
-        s0 = g[0] + 2 * sum(g[1:nl + 1])
-        s1 = 2 * sum(i * g[i] for i in range(1, nl + 1))
-        if s0 <= 0:
-            return (None, None)
-        gamma = 1.1447 * ((s1 / s0) ** 2) ** (1 / 3)
-        lags = min(int(gamma * n ** (1 / 3)), int(n) - 1, len(g) - 1)
-        lr = g[0] + 2 * sum((1 - i / (lags + 1)) * g[i] for i in range(1, lags + 1))
-        return (ss / (n * n) / lr, lags)
-
-    return agg.select(*k, "n", finish("n", "_ss", F.array("_g0", *[f"_g{j}" for j in range(1, maxl + 1)])).alias("_r")) \
-              .select(*k, "n", "_r.kpss_stat", "_r.lags")
+    d = affine_scan(d, k, pos, cap=F.lit(None), coef=F.lit(1.0), offset=F.col("_e"), out="_S").drop("_blk")
+    d = materialize(d)
+    base = d.groupBy(*k).agg(F.first("n").alias("n"), F.sum(F.col("_S") * F.col("_S")).alias("_ss"))
+    ns = {tuple(r[c] for c in k): r for r in base.collect()}
+    cov = max(int(np.power(r["n"], 2.0 / 9.0)) for r in ns.values())
+    g1 = {tuple(r[c] for c in k): r for r in _autocov_sums(d, k, pos, "_e", max(cov, 1), 720).collect()}
+    lags = {}
+    for key, r in ns.items():
+        n = float(r["n"])
+        cl = int(np.power(n, 2.0 / 9.0))
+        s0 = g1[key]["_g0"] / n + sum(2 * g1[key][f"_g{i}"] / n for i in range(1, cl + 1))
+        s1 = sum(i * 2 * g1[key][f"_g{i}"] / n for i in range(1, cl + 1))
+        gamma = 1.1447 * np.power((s1 / s0) ** 2, 1.0 / 3.0)
+        lags[key] = min(int(gamma * np.power(n, 1.0 / 3.0)), int(n) - 1)
+    mx = max(max(lags.values()), 1)
+    g2 = {tuple(r[c] for c in k): r for r in _autocov_sums(d, k, pos, "_e", mx, max(720, mx)).collect()}
+    out = []
+    for key, r in ns.items():
+        n, L = float(r["n"]), lags[key]
+        lr = (g2[key]["_g0"] + 2 * sum((1 - i / (L + 1)) * g2[key][f"_g{i}"] for i in range(1, L + 1))) / n
+        stat = r["_ss"] / (n * n) / lr
+        out.append((*key, int(n), float(stat), int(L), kpss_pvalue(stat)))
+    schema = T.StructType([*[df.schema[c] for c in k], T.StructField("n", T.LongType()),
+                           T.StructField("kpss_stat", T.DoubleType()), T.StructField("kpss_lags", T.IntegerType()),
+                           T.StructField("kpss_pvalue", T.DoubleType())])
+    return df.sparkSession.createDataFrame(out, schema)
+
+
+def adf_test(df: DataFrame, keys: Sequence[str], pos: str, x: str) -> DataFrame:
+    """Augmented Dickey-Fuller with constant, lag order by AIC (library default maxlag
+    ceil(12 (n/100)^(1/4))). Candidate orders are compared on the common sample t > maxlag
+    from ONE Gramian of [1, x_{t-1}, dx_{t-1..t-maxlag}, dx_t]; the chosen order is refitted
+    on its own sample from a second Gramian. Returns keys, n, adf_stat, adf_lags, adf_pvalue."""
+    from .blocked import materialize
+    k = list(keys)
+    first = df.groupBy(*k).agg(F.min(pos).alias("_p0"), F.count(x).alias("n"))
+    ns = {tuple(r[c] for c in k): r for r in first.collect()}
+    maxlags = {key: min(int(r["n"]) // 2 - 2, int(np.ceil(12.0 * np.power(r["n"] / 100.0, 0.25))))
+               for key, r in ns.items()}
+    ml = max(maxlags.values())
+    d = df.join(first, k).withColumn("_t", F.col(pos) - F.col("_p0"))
+
+    def build(w):
+        cols = {"_lev": F.lag(x, 1).over(w), "_dy": F.col(x) - F.lag(x, 1).over(w)}
+        for i in range(1, ml + 1):
+            cols[f"_d{i}"] = F.lag(x, i).over(w) - F.lag(x, i + 1).over(w)
+        return cols
+
+    d = materialize(with_series_windows(d, k, pos, build, halo=ml + 1, block=max(720, ml + 1)))
+    names = ["_one", "_lev"] + [f"_d{i}" for i in range(1, ml + 1)] + ["_dy"]
+    d = d.withColumn("_one", F.lit(1.0))
+    ml_tbl = d.sparkSession.createDataFrame([(*key, v) for key, v in maxlags.items()],
+                                            T.StructType([*[df.schema[c] for c in k],
+                                                          T.StructField("_ml", T.IntegerType())]))
+
+    def gram(rows: DataFrame, cond):
+        aggs = [F.sum(F.when(cond, F.col(a) * F.col(b))).alias(f"{a}*{b}")
+                for i, a in enumerate(names) for b in names[i:]]
+        return {tuple(r[c] for c in k): r for r in rows.groupBy(*k).agg(*aggs).collect()}
+
+    def matrix(r, m):
+        cols = names[:m]
+        G = np.array([[r[f"{a}*{b}"] if f"{a}*{b}" in r else r[f"{b}*{a}"] for b in cols] for a in cols], float)
+        Xy = np.array([r[f"{a}*_dy"] for a in cols], float)
+        return G, Xy, float(r["_dy*_dy"])
+
+    def fit(G, Xy, yy, nobs):
+        beta = np.linalg.solve(G, Xy)
+        ssr = yy - 2 * beta @ Xy + beta @ G @ beta
+        return beta, ssr
+
+    common = gram(d.join(ml_tbl, k), F.col("_t") >= F.col("_ml") + 1)
+    best = {}
+    for key, r in common.items():
+        L = maxlags[key]
+        nobs = int(ns[key]["n"]) - 1 - L
+        aics = []
+        for p in range(0, L + 1):
+            G, Xy, yy = matrix(r.asDict(), 2 + p)
+            _, ssr = fit(G, Xy, yy, nobs)
+            llf = -nobs / 2.0 * (math.log(2 * math.pi) + math.log(ssr / nobs) + 1)
+            aics.append((-2 * llf + 2 * (2 + p), p))
+        best[key] = min(aics)[1]
+    p_tbl = d.sparkSession.createDataFrame([(*key, v) for key, v in best.items()],
+                                           T.StructType([*[df.schema[c] for c in k],
+                                                         T.StructField("_bp", T.IntegerType())]))
+    own = gram(d.join(p_tbl, k), F.col("_t") >= F.col("_bp") + 1)
+    out = []
+    for key, r in own.items():
+        p = best[key]
+        nobs = int(ns[key]["n"]) - 1 - p
+        G, Xy, yy = matrix(r.asDict(), 2 + p)
+        beta, ssr = fit(G, Xy, yy, nobs)
+        sigma2 = ssr / (nobs - (2 + p))
+        se = math.sqrt(sigma2 * np.linalg.inv(G)[1, 1])
+        stat = float(beta[1] / se)
+        out.append((*key, int(ns[key]["n"]), stat, int(p), adf_pvalue(stat)))
+    schema = T.StructType([*[df.schema[c] for c in k], T.StructField("n", T.LongType()),
+                           T.StructField("adf_stat", T.DoubleType()), T.StructField("adf_lags", T.IntegerType()),
+                           T.StructField("adf_pvalue", T.DoubleType())])
+    return df.sparkSession.createDataFrame(out, schema)

@@ -994,3 +994,46 @@ def q_scored_predictions(spark, sf_dir):
     fitted = {a: models.pipeline(ALL_FEATURES, a, "flow").fit(tr) for a in ("LR", "RF")}
     scored = models.score(fitted, t, ["site", "ts", "flow"])
     return scored.groupBy("site", "model").agg(*metrics.error_metric_columns("flow", "pred"))
+
+
+# ---------------------------------------------------------------- stationarity, PACF, lag recommendation (tier 3)
+
+@register("pacf")
+def q_pacf(spark, sf_dir):
+    """Y2: Yule-Walker PACF (adjusted autocovariances) of hourly rain, lags 0..20, per site."""
+    return tsstats.pacf(rain_acf(spark, sf_dir), ["site"], 20)
+
+
+@register("lag_recommendation")
+def q_lag_recommendation(spark, sf_dir):
+    """Significant PACF lags 1..10 (|pacf| > band and > 0.05); lags <= 3 recommended."""
+    a = rain_acf(spark, sf_dir)
+    n = a.select("site", "n").distinct()
+    return tsstats.lag_recommendation(tsstats.pacf(a, ["site"], 20), ["site"], n)
+
+
+def _diff_series(h: DataFrame) -> DataFrame:
+    d = windows.add_diff(h, ["site"], "_pos", {"dx": "Rainfall"}).where(F.col("dx").isNotNull())
+    return d.withColumn("_pos", F.col("_pos") - 1).drop("_blk")
+
+
+@register("stationarity")
+def q_stationarity(spark, sf_dir):
+    """ADF (AIC lag order), KPSS (auto bandwidth) and ACF significant lags of the
+    original and the differenced hourly rain per site; stationary = ADF p < .05 and
+    KPSS p > .05 and fewer than 17 of lags 1..24 significant. The differenced series reuses
+    the original n for its ACF band, as the reference does."""
+    h = materialize(hourly_rain(spark, sf_dir).withColumn("_pos", cal.hour_id("ts")).select("site", "_pos", "Rainfall"))
+    out = None
+    for tag, src, col in (("orig", h, "Rainfall"), ("diff", materialize(_diff_series(h)), "dx")):
+        adf = tsstats.adf_test(src, ["site"], "_pos", col).drop("n")
+        kp = tsstats.kpss_level(src, ["site"], "_pos", col).drop("n")
+        ac = tsstats.acf(src, ["site"], "_pos", col, 40)
+        n0 = h.groupBy("site").agg(F.count(F.lit(1)).alias("n0"))
+        sig = tsstats.acf_significance(ac.drop("n").join(n0, "site"), ["site"], "n0").drop("n0", "band")
+        part = adf.join(kp, "site").join(sig, "site").select(
+            "site", F.col("adf_pvalue").alias(f"{tag}_adf_pvalue"), F.col("kpss_pvalue").alias(f"{tag}_kpss_pvalue"),
+            F.col("sig_lags").alias(f"{tag}_sig_lags"),
+            ((F.col("adf_pvalue") < 0.05) & (F.col("kpss_pvalue") > 0.05) & F.col("acf_decays")).alias(f"{tag}_stationary"))
+        out = part if out is None else out.join(part, "site")
+    return out
