@@ -1037,3 +1037,21 @@ def q_stationarity(spark, sf_dir):
             ((F.col("adf_pvalue") < 0.05) & (F.col("kpss_pvalue") > 0.05) & F.col("acf_decays")).alias(f"{tag}_stationary"))
         out = part if out is None else out.join(part, "site")
     return out
+
+
+# ---------------------------------------------------------------- streaming form of A1
+
+@register("stream_hourly_sum", f"""
+SELECT event_type AS site, date_trunc('hour', ts) AS ts, {R(f'sum(value) * {D(RAIN_SCALE)}', 'Rainfall')},
+       CAST(count(*) AS BIGINT) AS n
+FROM events WHERE ts IS NOT NULL GROUP BY 1, 2""")
+def q_stream_hourly_sum(spark, sf_dir):
+    """A1 in Structured Streaming: the events table read as a stream, event-time hourly
+    windows with a watermark, update mode into an upsert log; final table per (site, hour)."""
+    from ..streaming.hourly import run_to_completion
+    import os
+    schema = spark.read.parquet(os.path.join(sf_dir, "events.parquet")).schema
+    out = run_to_completion(spark, sf_dir, schema, "event_type", "ts", "value", scale=RAIN_SCALE,
+                            glob="events.parquet")
+    out = out.withColumnRenamed("event_type", "site")
+    return rounded(out.select("site", "ts", "Rainfall", F.col("n").cast("long")))
