@@ -34,6 +34,28 @@ def materialize(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+# Largest per-series side we broadcast; above it the join stays a sort-merge join and AQE
+# splits skewed partitions (spark.sql.adaptive.skewJoin.enabled).
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def attach(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner",
+           max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Join a per-series (or per-group) table onto the rows. A hot series would make a
+    shuffle join put a third of all rows in one task, so the small side is broadcast -
+    but only after its row count is checked against ``max_rows``."""
+    if small.count() <= max_rows:
+        return big.join(F.broadcast(small), list(keys), how)
+    return big.join(small, list(keys), how)
+
+
+def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row aggregate to every row (equi-join on a constant key,
+    broadcast: the size is one row by construction)."""
+    return (df.withColumn("_one", F.lit(1))
+            .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+
+
 def block_of(pos: str, block: int) -> Column:
     return F.floor(F.col(pos) / F.lit(block)).cast("long")
 

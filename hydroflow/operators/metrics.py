@@ -54,9 +54,10 @@ def fit_line(df: DataFrame, groups: Sequence[str], y: str, p: str) -> DataFrame:
 def zscore(metrics: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(x - mean) / sd_samp across the rows of a (small, aggregated) metric table.
     The one-row statistics table is broadcast: its size is one row by construction."""
+    from .blocked import with_scalars
     stats = metrics.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols],
                         *[F.stddev_samp(c).alias(f"_s_{c}") for c in cols])
-    j = metrics.crossJoin(F.broadcast(stats))
+    j = with_scalars(metrics, stats)
     return j.select(*[c for c in metrics.columns if c not in cols],
                     *[((F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).alias(f"z_{c}") for c in cols])
 
@@ -64,8 +65,9 @@ def zscore(metrics: DataFrame, cols: Sequence[str]) -> DataFrame:
 def residual_histogram(df: DataFrame, groups: Sequence[str], e: str, bins: int = 60) -> DataFrame:
     """Equal-width bins from each group's min to max; the top edge goes to the last bin.
     Per-group edges are a small table (one row per group) joined back."""
+    from .blocked import attach
     edges = df.groupBy(*groups).agg(F.min(e).alias("_lo"), F.max(e).alias("_hi"))
-    j = df.join(edges, list(groups)).where(F.col(e).isNotNull())
+    j = attach(df, edges, groups).where(F.col(e).isNotNull())
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     b = F.when(width > 0, F.least(F.floor((F.col(e) - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(0)
     return (j.withColumn("bin", b.cast("int"))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocked import dense_position
+from .blocked import attach, dense_position, with_scalars
 from .ranking import hash32, hash_rank
 
 TWO32 = float(2 ** 32)
@@ -20,7 +20,7 @@ def time_split(df: DataFrame, keys: Sequence[str], ts: str, frac: float = 0.8,
     b = bucket if bucket is not None else F.date_trunc("month", F.col(ts))
     d = dense_position(df, keys, ts, b, out="_pos")
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return (d.join(n, list(keys))
+    return (attach(d, n, keys)
             .withColumn("split", F.when(F.col("_pos") < F.floor(F.col("_n") * F.lit(frac)), "train")
                         .otherwise("test"))
             .drop("_pos", "_n"))
@@ -39,7 +39,7 @@ def stratified_split(df: DataFrame, strata: str, key: str, frac: float = 0.7, se
           .withColumn("_h", hash32(key, seed=seed))
     n = d.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"))
     r = hash_rank(d, ["_s"], "_h", key, out="_r")
-    return (r.join(n, "_s")
+    return (attach(r, n, ["_s"])
             .withColumn("split", F.when(F.col("_r") < F.floor(F.col("_n") * F.lit(frac)), "train")
                         .otherwise("test"))
             .drop("_s", "_h", "_r", "_n"))
@@ -63,8 +63,9 @@ def month_sample(df: DataFrame, ts: str, key: str, total: int = 5000, seed: int
     ``n_months`` is a window over the small month table, not a driver round trip."""
     d = df.withColumn("_ym", F.date_format(F.col(ts), "yyyy-MM"))
     months = d.groupBy("_ym").agg(F.count(F.lit(1)).alias("_nm"))
-    from pyspark.sql import Window
-    months = months.withColumn("_cap", F.greatest(F.lit(1), F.floor(F.lit(total) / F.count(F.lit(1)).over(Window.partitionBy()))))
-    d = d.join(months, "_ym")
+    n_months = months.agg(F.count(F.lit(1)).alias("_k"))
+    months = with_scalars(months, n_months).withColumn(
+        "_cap", F.greatest(F.lit(1), F.floor(F.lit(total) / F.col("_k")))).drop("_k")
+    d = attach(d, months, ["_ym"])
     quota = F.least(F.col("_nm"), F.col("_cap"))
     return ranked_sample(d, ["_ym"], key, quota, seed).drop("_ym", "_nm", "_cap")

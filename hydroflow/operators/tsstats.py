@@ -18,9 +18,10 @@ def acf(df: DataFrame, keys: Sequence[str], pos: str, x: str, max_lag: int = 48)
     """Biased ACF  sum_{t>=k}(x_t - m)(x_{t-k} - m) / sum_t (x_t - m)^2  for k = 0..max_lag.
     ``pos`` must be dense within each series. One blocked window pass yields all lag products,
     one grouped aggregation sums them: no self-joins, no series in one task."""
+    from .blocked import attach
     k = list(keys)
     means = df.groupBy(*k).agg(F.avg(x).alias("_m"), F.count(x).alias("n"))
-    d = df.join(means, k).withColumn("_c", F.col(x) - F.col("_m"))
+    d = attach(df, means, k).withColumn("_c", F.col(x) - F.col("_m"))
     d = with_series_windows(d, k, pos, lambda w: {f"_p{j}": F.col("_c") * F.lag("_c", j).over(w)
                                                   for j in range(1, max_lag + 1)}, halo=max_lag)
     agg = d.groupBy(*k).agg(F.first("n").alias("n"), F.sum(F.col("_c") * F.col("_c")).alias("_s0"),
@@ -136,63 +137,100 @@ def kpss_pvalue(stat: float) -> float:
 
 
 def _autocov_sums(d: DataFrame, keys: Sequence[str], pos: str, e: str, lags: int, block: int) -> DataFrame:
-    """sum_t e_t e_{t-i} for i = 0..lags per series: one blocked window pass + one aggregation."""
+    """sum_t e_t e_{t-i} for i = 0..lags per series as an array: one blocked window pass + one
+    aggregation."""
     w = with_series_windows(d, keys, pos, lambda w: {f"_g{i}": F.col(e) * F.lag(e, i).over(w)
                                                      for i in range(1, lags + 1)}, halo=lags, block=block)
-    return w.groupBy(*keys).agg(F.sum(F.col(e) * F.col(e)).alias("_g0"),
-                                *[F.sum(f"_g{i}").alias(f"_g{i}") for i in range(1, lags + 1)])
+    return w.groupBy(*keys).agg(F.array(F.sum(F.col(e) * F.col(e)),
+                                        *[F.sum(f"_g{i}") for i in range(1, lags + 1)]).alias("_g"))
 
 
-def kpss_level(df: DataFrame, keys: Sequence[str], pos: str, x: str) -> DataFrame:
+def _kpss_lags(n: float, g: list) -> int:
+    """Hobijn et al. (1998) automatic bandwidth from autocovariance sums g[0..]."""
+    cl = int(np.power(n, 2.0 / 9.0))
+    s0 = g[0] / n + sum(2 * g[i] / n for i in range(1, cl + 1))
+    s1 = sum(i * 2 * g[i] / n for i in range(1, cl + 1))
+    gamma = 1.1447 * np.power((s1 / s0) ** 2, 1.0 / 3.0)
+    return min(int(gamma * np.power(n, 1.0 / 3.0)), int(n) - 1)
+
+
+def kpss_level(df: DataFrame, keys: Sequence[str], pos: str, x: str, block: int = 720) -> DataFrame:
     """KPSS level test per series (automatic Hobijn et al. bandwidth, Bartlett kernel).
     Partial sums of (x - mean) are a running sum: the blocked affine scan with coef 1. Pass 1
-    gets the autocovariances the bandwidth rule needs, pass 2 those of the chosen lag count;
-    only (series x lag) sums reach the driver. ``pos`` dense per series."""
-    from .blocked import materialize
+    gets the autocovariances the bandwidth rule needs, pass 2 those of the chosen lag count.
+    Per-series arithmetic runs in ``mapInPandas`` over one row per series; only the largest
+    lag count (a scalar, it sizes the window halo) reaches the driver."""
+    from .blocked import attach, materialize
     k = list(keys)
     means = df.groupBy(*k).agg(F.avg(x).alias("_m"), F.count(x).alias("n"))
-    d = df.join(means, k).withColumn("_e", F.col(x) - F.col("_m"))
+    d = attach(df, means, k).withColumn("_e", F.col(x) - F.col("_m"))
     d = affine_scan(d, k, pos, cap=F.lit(None), coef=F.lit(1.0), offset=F.col("_e"), out="_S").drop("_blk")
     d = materialize(d)
     base = d.groupBy(*k).agg(F.first("n").alias("n"), F.sum(F.col("_S") * F.col("_S")).alias("_ss"))
-    ns = {tuple(r[c] for c in k): r for r in base.collect()}
-    cov = max(int(np.power(r["n"], 2.0 / 9.0)) for r in ns.values())
-    g1 = {tuple(r[c] for c in k): r for r in _autocov_sums(d, k, pos, "_e", max(cov, 1), 720).collect()}
-    lags = {}
-    for key, r in ns.items():
-        n = float(r["n"])
-        cl = int(np.power(n, 2.0 / 9.0))
-        s0 = g1[key]["_g0"] / n + sum(2 * g1[key][f"_g{i}"] / n for i in range(1, cl + 1))
-        s1 = sum(i * 2 * g1[key][f"_g{i}"] / n for i in range(1, cl + 1))
-        gamma = 1.1447 * np.power((s1 / s0) ** 2, 1.0 / 3.0)
-        lags[key] = min(int(gamma * np.power(n, 1.0 / 3.0)), int(n) - 1)
-    mx = max(max(lags.values()), 1)
-    g2 = {tuple(r[c] for c in k): r for r in _autocov_sums(d, k, pos, "_e", mx, max(720, mx)).collect()}
-    out = []
-    for key, r in ns.items():
-        n, L = float(r["n"]), lags[key]
-        lr = (g2[key]["_g0"] + 2 * sum((1 - i / (L + 1)) * g2[key][f"_g{i}"] for i in range(1, L + 1))) / n
-        stat = r["_ss"] / (n * n) / lr
-        out.append((*key, int(n), float(stat), int(L), kpss_pvalue(stat)))
+    cov = max(1, int(np.power(base.agg(F.max("n")).first()[0], 2.0 / 9.0)))
+    t1 = base.join(_autocov_sums(d, k, pos, "_e", cov, max(block, cov)), k)
+
+    def lags_fn(it):
+        for pdf in it:
+            pdf["kpss_lags"] = [_kpss_lags(float(n), list(g)) for n, g in zip(pdf["n"], pdf["_g"])]
+            yield pdf.drop(columns=["_g"])
+
+    t1 = materialize(t1.mapInPandas(lags_fn, T.StructType([f for f in t1.schema.fields if f.name != "_g"]
+                                                          + [T.StructField("kpss_lags", T.LongType())])))
+    mx = max(1, int(t1.agg(F.max("kpss_lags")).first()[0]))
+    t2 = t1.join(_autocov_sums(d, k, pos, "_e", mx, max(block, mx)), k)
+
+    def stat_fn(it):
+        import pandas as pd
+        for pdf in it:
+            st, pv = [], []
+            for n, ss, L, g in zip(pdf["n"], pdf["_ss"], pdf["kpss_lags"], pdf["_g"]):
+                n, L = float(n), int(L)
+                lr = (g[0] + 2 * sum((1 - i / (L + 1)) * g[i] for i in range(1, L + 1))) / n
+                v = ss / (n * n) / lr
+                st.append(float(v))
+                pv.append(kpss_pvalue(v))
+            out = pdf[k + ["n", "kpss_lags"]].copy()
+            out["kpss_stat"], out["kpss_pvalue"] = st, pv
+            yield out[k + ["n", "kpss_stat", "kpss_lags", "kpss_pvalue"]]
+
     schema = T.StructType([*[df.schema[c] for c in k], T.StructField("n", T.LongType()),
-                           T.StructField("kpss_stat", T.DoubleType()), T.StructField("kpss_lags", T.IntegerType()),
+                           T.StructField("kpss_stat", T.DoubleType()), T.StructField("kpss_lags", T.LongType()),
                            T.StructField("kpss_pvalue", T.DoubleType())])
-    return df.sparkSession.createDataFrame(out, schema)
+    return t2.mapInPandas(stat_fn, schema)
 
 
-def adf_test(df: DataFrame, keys: Sequence[str], pos: str, x: str) -> DataFrame:
+def _gram_names(ml: int) -> list[str]:
+    return ["_one", "_lev"] + [f"_d{i}" for i in range(1, ml + 1)] + ["_dy"]
+
+
+def _gram_matrix(row: dict, names: list[str], m: int):
+    cols = names[:m]
+    G = np.array([[row[f"{a}*{b}"] if f"{a}*{b}" in row else row[f"{b}*{a}"] for b in cols] for a in cols], float)
+    Xy = np.array([row[f"{a}*_dy"] for a in cols], float)
+    return G, Xy, float(row["_dy*_dy"])
+
+
+def _ols(G, Xy, yy):
+    beta = np.linalg.solve(G, Xy)
+    return beta, yy - 2 * beta @ Xy + beta @ G @ beta
+
+
+def adf_test(df: DataFrame, keys: Sequence[str], pos: str, x: str, block: int = 720) -> DataFrame:
     """Augmented Dickey-Fuller with constant, lag order by AIC (library default maxlag
-    ceil(12 (n/100)^(1/4))). Candidate orders are compared on the common sample t > maxlag
-    from ONE Gramian of [1, x_{t-1}, dx_{t-1..t-maxlag}, dx_t]; the chosen order is refitted
-    on its own sample from a second Gramian. Returns keys, n, adf_stat, adf_lags, adf_pvalue."""
-    from .blocked import materialize
+    ceil(12 (n/100)^(1/4)), at most n/2 - 2). Candidate orders are compared on the common
+    sample t > maxlag from ONE Gramian of [1, x_{t-1}, dx_{t-1..t-maxlag}, dx_t]; the chosen
+    order is refitted on its own sample from a second Gramian. The small solves run per series
+    in ``mapInPandas``; only the largest maxlag (it sizes the halo) reaches the driver.
+    Returns keys, n, adf_stat, adf_lags, adf_pvalue."""
+    from .blocked import attach, materialize
     k = list(keys)
     first = df.groupBy(*k).agg(F.min(pos).alias("_p0"), F.count(x).alias("n"))
-    ns = {tuple(r[c] for c in k): r for r in first.collect()}
-    maxlags = {key: min(int(r["n"]) // 2 - 2, int(np.ceil(12.0 * np.power(r["n"] / 100.0, 0.25))))
-               for key, r in ns.items()}
-    ml = max(maxlags.values())
-    d = df.join(first, k).withColumn("_t", F.col(pos) - F.col("_p0"))
+    first = first.withColumn("_ml", F.least(F.floor(F.col("n") / 2) - 2,
+                                            F.ceil(F.lit(12.0) * F.pow(F.col("n") / 100.0, 0.25))).cast("int"))
+    first = materialize(first)
+    ml = int(first.agg(F.max("_ml")).first()[0])
+    d = attach(df, first, k).withColumn("_t", F.col(pos) - F.col("_p0"))
 
     def build(w):
         cols = {"_lev": F.lag(x, 1).over(w), "_dy": F.col(x) - F.lag(x, 1).over(w)}
@@ -200,56 +238,57 @@ def adf_test(df: DataFrame, keys: Sequence[str], pos: str, x: str) -> DataFrame:
             cols[f"_d{i}"] = F.lag(x, i).over(w) - F.lag(x, i + 1).over(w)
         return cols
 
-    d = materialize(with_series_windows(d, k, pos, build, halo=ml + 1, block=max(720, ml + 1)))
-    names = ["_one", "_lev"] + [f"_d{i}" for i in range(1, ml + 1)] + ["_dy"]
-    d = d.withColumn("_one", F.lit(1.0))
-    ml_tbl = d.sparkSession.createDataFrame([(*key, v) for key, v in maxlags.items()],
-                                            T.StructType([*[df.schema[c] for c in k],
-                                                          T.StructField("_ml", T.IntegerType())]))
-
-    def gram(rows: DataFrame, cond):
-        aggs = [F.sum(F.when(cond, F.col(a) * F.col(b))).alias(f"{a}*{b}")
-                for i, a in enumerate(names) for b in names[i:]]
-        return {tuple(r[c] for c in k): r for r in rows.groupBy(*k).agg(*aggs).collect()}
-
-    def matrix(r, m):
-        cols = names[:m]
-        G = np.array([[r[f"{a}*{b}"] if f"{a}*{b}" in r else r[f"{b}*{a}"] for b in cols] for a in cols], float)
-        Xy = np.array([r[f"{a}*_dy"] for a in cols], float)
-        return G, Xy, float(r["_dy*_dy"])
-
-    def fit(G, Xy, yy, nobs):
-        beta = np.linalg.solve(G, Xy)
-        ssr = yy - 2 * beta @ Xy + beta @ G @ beta
-        return beta, ssr
-
-    common = gram(d.join(ml_tbl, k), F.col("_t") >= F.col("_ml") + 1)
-    best = {}
-    for key, r in common.items():
-        L = maxlags[key]
-        nobs = int(ns[key]["n"]) - 1 - L
-        aics = []
-        for p in range(0, L + 1):
-            G, Xy, yy = matrix(r.asDict(), 2 + p)
-            _, ssr = fit(G, Xy, yy, nobs)
-            llf = -nobs / 2.0 * (math.log(2 * math.pi) + math.log(ssr / nobs) + 1)
-            aics.append((-2 * llf + 2 * (2 + p), p))
-        best[key] = min(aics)[1]
-    p_tbl = d.sparkSession.createDataFrame([(*key, v) for key, v in best.items()],
-                                           T.StructType([*[df.schema[c] for c in k],
-                                                         T.StructField("_bp", T.IntegerType())]))
-    own = gram(d.join(p_tbl, k), F.col("_t") >= F.col("_bp") + 1)
-    out = []
-    for key, r in own.items():
-        p = best[key]
-        nobs = int(ns[key]["n"]) - 1 - p
-        G, Xy, yy = matrix(r.asDict(), 2 + p)
-        beta, ssr = fit(G, Xy, yy, nobs)
-        sigma2 = ssr / (nobs - (2 + p))
-        se = math.sqrt(sigma2 * np.linalg.inv(G)[1, 1])
-        stat = float(beta[1] / se)
-        out.append((*key, int(ns[key]["n"]), stat, int(p), adf_pvalue(stat)))
+    d = materialize(with_series_windows(d, k, pos, build, halo=ml + 1, block=max(block, ml + 1))
+                    .withColumn("_one", F.lit(1.0)))
+    names = _gram_names(ml)
+    prods = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+
+    def gram(cond):
+        return d.groupBy(*k).agg(F.first("n").alias("n"), F.first("_ml").alias("_ml"),
+                                 *[F.sum(F.when(cond, F.col(a) * F.col(b))).alias(f"{a}*{b}") for a, b in prods])
+
+    def pick(it):
+        for pdf in it:
+            best = []
+            for row in pdf.to_dict("records"):
+                L, nobs = int(row["_ml"]), int(row["n"]) - 1 - int(row["_ml"])
+                aics = []
+                for p in range(0, L + 1):
+                    G, Xy, yy = _gram_matrix(row, names, 2 + p)
+                    _, ssr = _ols(G, Xy, yy)
+                    llf = -nobs / 2.0 * (math.log(2 * math.pi) + math.log(ssr / nobs) + 1)
+                    aics.append((-2 * llf + 2 * (2 + p), p))
+                best.append(min(aics)[1])
+            out = pdf[k].copy()
+            out["_bp"] = best
+            yield out
+
+    bp = gram(F.col("_t") >= F.col("_ml") + 1).mapInPandas(
+        pick, T.StructType([*[df.schema[c] for c in k], T.StructField("_bp", T.LongType())]))
+    own = attach(d, materialize(bp), k)
+    d = own
+    g2 = d.groupBy(*k).agg(F.first("n").alias("n"), F.first("_bp").alias("_bp"),
+                           *[F.sum(F.when(F.col("_t") >= F.col("_bp") + 1, F.col(a) * F.col(b))).alias(f"{a}*{b}")
+                             for a, b in prods])
+
+    def final(it):
+        for pdf in it:
+            st, pv, lags = [], [], []
+            for row in pdf.to_dict("records"):
+                p = int(row["_bp"])
+                nobs = int(row["n"]) - 1 - p
+                G, Xy, yy = _gram_matrix(row, names, 2 + p)
+                beta, ssr = _ols(G, Xy, yy)
+                se = math.sqrt(ssr / (nobs - (2 + p)) * np.linalg.inv(G)[1, 1])
+                v = float(beta[1] / se)
+                st.append(v)
+                pv.append(adf_pvalue(v))
+                lags.append(p)
+            out = pdf[k + ["n"]].copy()
+            out["adf_stat"], out["adf_lags"], out["adf_pvalue"] = st, lags, pv
+            yield out
+
     schema = T.StructType([*[df.schema[c] for c in k], T.StructField("n", T.LongType()),
-                           T.StructField("adf_stat", T.DoubleType()), T.StructField("adf_lags", T.IntegerType()),
+                           T.StructField("adf_stat", T.DoubleType()), T.StructField("adf_lags", T.LongType()),
                            T.StructField("adf_pvalue", T.DoubleType())])
-    return df.sparkSession.createDataFrame(out, schema)
+    return g2.mapInPandas(final, schema)
