@@ -96,3 +96,95 @@ def overview(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(miss).alias("n_missing_cells")) \
              .withColumn("n_columns", F.lit(len(types))) \
              .withColumn("missing_pct", F.col("n_missing_cells") / (F.col("n_rows") * F.col("n_columns")) * 100)
+
+
+def _robust_bounds(long: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """median, p5, p95, RSTD per group (the Q4 rule's inputs)."""
+    from .blocked import attach
+    q = quantiles_type7(long, list(groups), "x", {"p5": 0.05, "p95": 0.95, "median": 0.5})
+    j = attach(long, q, groups)
+    clipped = F.least(F.greatest(F.col("x"), F.col("p5")), F.col("p95"))
+    return j.groupBy(*groups, "median").agg(F.stddev_pop(clipped).alias("rstd"))
+
+
+def target_histogram(df: DataFrame, x: str, bins: int = 20) -> DataFrame:
+    """Q5: histogram of the target without its outliers (equal width between the inlier
+    min and max) plus one last bar holding the outliers' count and mean (bin = bins)."""
+    from .blocked import with_scalars
+    long = df.select(F.col(x).cast("double").alias("x"), F.lit(0).alias("_g")).where(F.col("x").isNotNull())
+    rb = _robust_bounds(long, ["_g"])
+    j = with_scalars(long, rb.drop("_g"))
+    is_out = (F.col("x") > F.col("median") + 5 * F.col("rstd")) | (F.col("x") < F.col("median") - 5 * F.col("rstd"))
+    j = j.withColumn("_out", is_out)
+    rng = j.where(~F.col("_out")).agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))
+    k = with_scalars(j, rng)
+    w = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
+    b = F.when(F.col("_out"), F.lit(bins)).when(w > 0, F.least(F.floor((F.col("x") - F.col("_lo")) / w),
+                                                                 F.lit(bins - 1))).otherwise(F.lit(0))
+    return (k.withColumn("bin", b.cast("int")).groupBy("bin", F.col("_out").alias("outlier_bar"))
+            .agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean_value")))
+
+
+def outlier_rows(df: DataFrame, x: str, key: str, n: int = 10, seed: int = 42) -> DataFrame:
+    """Q6: a sample of outlier rows (Q4 rule), the n with the smallest key hash."""
+    from .blocked import with_scalars
+    from .ranking import hash32
+    long = df.select(F.col(x).cast("double").alias("x"), F.lit(0).alias("_g")).where(F.col("x").isNotNull())
+    rb = _robust_bounds(long, ["_g"]).drop("_g")
+    j = with_scalars(df.where(F.col(x).isNotNull()), rb)
+    out = (F.col(x) > F.col("median") + 5 * F.col("rstd")) | (F.col(x) < F.col("median") - 5 * F.col("rstd"))
+    return (j.where(out).withColumn("_h", hash32(key, seed=seed))
+            .orderBy("_h", key).limit(n).drop("_h", "median", "rstd"))
+
+
+def column_types(df: DataFrame) -> DataFrame:
+    """Q2 with explicit rules (the report gives definitions, not thresholds): datetime by type;
+    binary = 2 distinct values; numeric = at least 90% of non-missing values cast to a finite
+    double and more than 20 distinct values; categorical = at most max(20, 1% of rows)
+    distinct values; otherwise numeric if castable, else text. One aggregation."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    aggs = []
+    for c, t in types.items():
+        s = F.col(c).cast("string")
+        ok = F.col(c).isNotNull() & (F.trim(s) != "")
+        num = s.try_cast("double")
+        aggs += [F.sum(ok.cast("long")).alias(f"{c}__n"),
+                 F.sum((ok & num.isNotNull() & ~F.isnan(num)).cast("long")).alias(f"{c}__num"),
+                 F.count_distinct(F.col(c)).alias(f"{c}__u")]
+    a = df.agg(*aggs)
+    cells = []
+    for c, t in types.items():
+        n, num, u = F.col(f"{c}__n"), F.col(f"{c}__num"), F.col(f"{c}__u")
+        share = F.when(n > 0, num / n).otherwise(F.lit(0.0))
+        is_dt = isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType))
+        kind = (F.when(F.lit(is_dt), "datetime").when(u == 2, "binary")
+                .when((share >= 0.9) & (u > 20), "numeric")
+                .when(u <= F.greatest(F.lit(20), F.floor(n * 0.01)), "categorical")
+                .when(share >= 0.9, "numeric").otherwise("text"))
+        cells.append(F.struct(F.lit(c).alias("column"), kind.alias("type"), share.alias("numeric_share"),
+                              u.alias("n_unique")))
+    return a.select(F.explode(F.array(*cells)).alias("_c")).select("_c.*")
+
+
+def prediction_power(df: DataFrame, target: str, features: Sequence[str], key: str, frac: float = 0.8,
+                     bins: int = 10, seed: int = 42) -> DataFrame:
+    """Q9 re-aimed: per feature, decile bins fitted on an 80% hash split, the bin's train
+    mean as the prediction, validation R2 clipped to [0, 1]. All features in one job on the
+    unpivoted table; bin edges are exact quantiles (histogram refinement)."""
+    from .blocked import attach
+    from .ranking import hash32
+    d = df.withColumn("_train", hash32(key, seed=seed) < F.lit(frac * 2.0 ** 32))
+    long = (d.select("_train", F.col(target).cast("double").alias("y"),
+                     *[F.col(c).cast("double").alias(c) for c in features])
+            .unpivot(["_train", "y"], list(features), "feature", "x").where(F.col("x").isNotNull()))
+    tr = long.where("_train")
+    edges = quantiles_type7(tr, ["feature"], "x", {f"_e{i}": i / bins for i in range(1, bins)})
+    binned = attach(long, edges, ["feature"]).withColumn(
+        "bin", sum((F.col("x") > F.col(f"_e{i}")).cast("int") for i in range(1, bins)))
+    means = binned.where("_train").groupBy("feature", "bin").agg(F.avg("y").alias("_bm"))
+    overall = tr.groupBy("feature").agg(F.avg("y").alias("_om"))
+    v = attach(attach(binned.where(~F.col("_train")), means, ["feature", "bin"], "left"), overall, ["feature"])
+    p = F.coalesce(F.col("_bm"), F.col("_om"))
+    res = v.groupBy("feature").agg(
+        (F.lit(1.0) - F.sum((F.col("y") - p) * (F.col("y") - p)) / (F.count(F.lit(1)) * F.var_pop("y"))).alias("_r2"))
+    return res.select("feature", F.least(F.greatest(F.col("_r2"), F.lit(0.0)), F.lit(1.0)).alias("prediction_power"))

@@ -1055,3 +1055,122 @@ def q_stream_hourly_sum(spark, sf_dir):
                             glob="events.parquet")
     out = out.withColumnRenamed("event_type", "site")
     return rounded(out.select("site", "ts", "Rainfall", F.col("n").cast("long")))
+
+
+# ---------------------------------------------------------------- more profile pieces (Q2, Q5, Q6, Q9, F14) and L11
+
+from ..functions import clean  # noqa: E402
+
+_RB = f"""
+q AS (SELECT quantile_cont(v, 0.05) AS p5, quantile_cont(v, 0.95) AS p95, quantile_cont(v, 0.5) AS med FROM ev0),
+rb AS (SELECT q.med, stddev_pop(least(greatest(v, q.p5), q.p95)) AS rstd FROM ev0, q GROUP BY q.med)"""
+
+
+@register("target_histogram", f"""
+WITH ev0 AS (SELECT CAST(value AS DOUBLE) AS v FROM events WHERE value IS NOT NULL), {_RB},
+j AS (SELECT v, (v > med + 5 * rstd OR v < med - 5 * rstd) AS o FROM ev0, rb),
+r AS (SELECT min(v) AS lo, max(v) AS hi FROM j WHERE NOT o),
+b AS (SELECT v, o, CAST(CASE WHEN o THEN 20 WHEN (hi - lo) / {D(20.0)} > 0
+                 THEN least(floor((v - lo) / ((hi - lo) / {D(20.0)})), 19) ELSE 0 END AS INTEGER) AS bin FROM j, r)
+SELECT bin, o AS outlier_bar, CAST(count(*) AS BIGINT) AS n, {R('avg(v)', 'mean_value')} FROM b GROUP BY bin, o""")
+def q_target_histogram(spark, sf_dir):
+    """Q5: histogram of raw readings, outliers (median ± 5 RSTD) averaged in a last bar."""
+    ev = load(spark, sf_dir, "events", ["value"])
+    return rounded(profile.target_histogram(ev, "value", 20))
+
+
+@register("outlier_sample", f"""
+WITH ev0 AS (SELECT CAST(value AS DOUBLE) AS v FROM events WHERE value IS NOT NULL), {_RB}
+SELECT e.event_id, e.event_type, {R('e.value', 'value')} FROM events e, rb
+WHERE e.value > rb.med + 5 * rb.rstd OR e.value < rb.med - 5 * rb.rstd
+ORDER BY {_h_sql('e.event_id')}, e.event_id LIMIT 10""")
+def q_outlier_sample(spark, sf_dir):
+    """Q6: ten outlier readings (the sampling is the feature: smallest key hash)."""
+    ev = load(spark, sf_dir, "events", ["event_id", "event_type", "value"])
+    return rounded(profile.outlier_rows(ev, "value", "event_id", 10))
+
+
+_CT_COLS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+            "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+
+
+def _sql_ct(c: str) -> str:
+    dt = c == "l_shipdate"
+    s = f"CAST({c} AS VARCHAR)"
+    ok = f"({c} IS NOT NULL AND trim({s}) <> '')"
+    num = f"TRY_CAST({s} AS DOUBLE)"
+    n, k, u = f"sum(CAST({ok} AS BIGINT))", f"sum(CAST({ok} AND {num} IS NOT NULL AND NOT isnan({num}) AS BIGINT))", \
+        f"count(DISTINCT {c})"
+    share = f"CASE WHEN {n} > 0 THEN {k} / {n} ELSE 0.0 END"
+    kind = (f"CASE WHEN {str(dt).upper()} THEN 'datetime' WHEN {u} = 2 THEN 'binary' "
+            f"WHEN {share} >= 0.9 AND {u} > 20 THEN 'numeric' WHEN {u} <= greatest(20, floor({n} * 0.01)) "
+            f"THEN 'categorical' WHEN {share} >= 0.9 THEN 'numeric' ELSE 'text' END")
+    return (f"SELECT '{c}' AS column, {kind} AS type, {R(share, 'numeric_share')}, CAST({u} AS BIGINT) AS n_unique "
+            f"FROM lineitem")
+
+
+@register("column_types", "SELECT * FROM (" + " UNION ALL ".join(_sql_ct(c) for c in _CT_COLS) + ")")
+def q_column_types(spark, sf_dir):
+    """Q2: numeric / categorical / binary / text / datetime per column, one aggregation."""
+    return rounded(profile.column_types(_lineitem(spark, sf_dir, _CT_COLS)))
+
+
+_PP_FEATS = ("l_quantity", "l_discount", "l_tax", "l_linenumber")
+
+
+def _sql_prediction_power() -> str:
+    edges = ", ".join(f"quantile_cont(x, {D(i / 10)}) AS e{i}" for i in range(1, 10))
+    binexpr = " + ".join(f"CAST(x > e{i} AS INTEGER)" for i in range(1, 10))
+    longs = " UNION ALL ".join(f"SELECT '{c}' AS feature, y, CAST({c} AS DOUBLE) AS x, tr FROM base WHERE {c} IS NOT NULL"
+                               for c in _PP_FEATS)
+    return f"""
+WITH base AS (SELECT *, CAST(l_extendedprice AS DOUBLE) AS y,
+                     {_h_sql(_LK)} < {D(0.8 * 2 ** 32)} AS tr FROM lineitem),
+lg AS ({longs}),
+ed AS (SELECT feature, {edges} FROM lg WHERE tr GROUP BY feature),
+bn AS (SELECT lg.feature, lg.y, lg.tr, {binexpr} AS bin FROM lg JOIN ed ON lg.feature = ed.feature),
+bm AS (SELECT feature, bin, avg(y) AS bm FROM bn WHERE tr GROUP BY feature, bin),
+om AS (SELECT feature, avg(y) AS om FROM bn WHERE tr GROUP BY feature),
+v AS (SELECT bn.feature, bn.y, coalesce(bm.bm, om.om) AS p FROM bn LEFT JOIN bm ON bn.feature = bm.feature AND bn.bin = bm.bin
+      JOIN om ON bn.feature = om.feature WHERE NOT bn.tr)
+SELECT feature, {R('least(greatest(1 - sum((y - p) * (y - p)) / (count(*) * var_pop(y)), 0.0), 1.0)', 'prediction_power')}
+FROM v GROUP BY feature"""
+
+
+@register("prediction_power", _sql_prediction_power())
+def q_prediction_power(spark, sf_dir):
+    """Q9 (re-aimed): decile-bin mean model per feature, validation R2 in [0, 1]."""
+    l = load(spark, sf_dir, "lineitem", [*_LKC, *_PP_FEATS, "l_extendedprice"])
+    l = l.withColumn("k", F.concat_ws("|", *[F.col(c).cast("string") for c in _LKC]))
+    return rounded(profile.prediction_power(l, "l_extendedprice", _PP_FEATS, "k", 0.8, 10))
+
+
+@register("text_word_stats", """
+SELECT doc_id, CAST(len(w) AS INTEGER) AS n_words, CAST(len(list_distinct(w)) AS INTEGER) AS n_unique_words
+FROM (SELECT doc_id, list_filter(regexp_split_to_array(trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(12)), '[ \\t\\n\\r\\f]+'), lambda x: x <> '') AS w
+      FROM documents)""")
+def q_text_word_stats(spark, sf_dir):
+    """words and distinct words of every whole document (whitespace split)."""
+    d = load(spark, sf_dir, "documents", ["doc_id", "text"])
+    w = F.filter(F.split(F.col("text"), r"[ \t\n\r\f]+"), lambda x: x != "")
+    return d.select("doc_id", F.size(w).alias("n_words"), F.size(F.array_distinct(w)).alias("n_unique_words"))
+
+
+# Features of each forecast-ablation group, in group order.
+ABL_FEATURES = {"lag1": ["Rainlag1"], "lag2": ["Rainlag2"], "mean2h": ["Rain_L3HR"], "mean5h": ["Rain_L6HR"],
+                "mean11h": ["Rain_L12HR"], "mean23h": ["Rain_L24HR"], "mean47h": ["Rain_L48HR"]}
+
+
+@register("consensus_features", f"""WITH {SQL_HOURLY}, {SQL_ABL},
+gf AS (SELECT * FROM (VALUES {', '.join(f"('{g}', {i}, '{f}')" for g, fs in ABL_FEATURES.items() for i, f in enumerate(fs))}) t(feature_group, pos, feature))
+SELECT v.site, list(gf.feature ORDER BY v.step, gf.pos) AS features, CAST(count(*) AS BIGINT) AS n_features
+FROM votes v JOIN gf ON v.feature_group = gf.feature_group WHERE v.consensus GROUP BY v.site""")
+def q_consensus_features(spark, sf_dir):
+    """Features of the groups that reached consensus, in group order, per site."""
+    v = reshape.consensus_from_ablation(forecast_ablation_table(spark, sf_dir), ["site"]).where("consensus")
+    gf = spark.createDataFrame([(g, i, f) for g, fs in ABL_FEATURES.items() for i, f in enumerate(fs)],
+                               "feature_group string, pos int, feature string")
+    j = v.join(F.broadcast(gf), "feature_group")
+    s = F.array_sort(F.collect_list(F.struct("step", "pos", "feature")))
+    return j.groupBy("site").agg(F.transform(s, lambda e: e["feature"]).alias("features"),
+                                 F.count(F.lit(1)).alias("n_features"))
