@@ -952,7 +952,10 @@ def training_table(spark, sf_dir) -> DataFrame:
     t = features.add_lag_features(t, ["site"], "ts", temp="temp")
     t = t.withColumn("_pos", cal.hour_id("ts"))
     t = windows.fill_columns(materialize(t), ["site"], "_pos", ["temp"], "ffill_bfill")
-    return materialize(t.drop("_pos", "_blk"))
+    # a feature with no value at all in a series (e.g. a 24 h mean on a sparse feed) stays
+    # NULL after ffill/bfill; MLlib rejects NaN, so such cells are imputed with 0
+    feats = [c for c in ALL_FEATURES if c in t.columns]
+    return materialize(t.drop("_pos", "_blk").fillna(0.0, subset=feats))
 
 
 ALL_FEATURES = [c for g in models.FEATURE_GROUPS.values() for c in g]

@@ -30,10 +30,17 @@ def test_query_matches_oracle(spark, con, name):
     assert digest(df.columns, rows)[0] == digest(ocols, orows)[0]
 
 
+# the MLlib jobs are exercised with small tree counts in test_stats_models.py
+SLOW = {"algorithm_benchmark", "hybrid_model", "stacked_ensemble", "ablation_study"}
+
+
 def test_every_query_runs(spark):
     for name, fn in E.queries().items():
+        if name in SLOW:
+            continue
         df = fn(spark, SF)
         assert df.columns, name
+        df.limit(1).collect()
 
 
 def test_entry(spark):
