@@ -190,3 +190,99 @@ def score(models: dict[str, PipelineModel], table: DataFrame, keep: Sequence[str
                                       .otherwise(F.col("prediction")).alias("pred"))
         out = s if out is None else out.unionByName(s)
     return out
+
+
+# ---------------------------------------------------------------- L16, L17, L18, A21
+
+def gam_basis(df: DataFrame, x: str, knots: Sequence[float], hour: str = "hour", wday: str = "wday",
+              harmonics: int = 3) -> tuple[DataFrame, list[str]]:
+    """L16 re-aimed: smooth(x) as a truncated cubic spline basis at fixed knots, cyclic
+    smooth(hour) as Fourier harmonics, day of week as indicator columns. Fit with a ridge
+    ``LinearRegression(regParam)`` (penalised least squares, the GAM's smoothing)."""
+    cols = {f"{x}_p1": F.col(x), f"{x}_p2": F.pow(F.col(x), 2), f"{x}_p3": F.pow(F.col(x), 3)}
+    for i, k in enumerate(knots):
+        cols[f"{x}_k{i}"] = F.pow(F.greatest(F.col(x) - F.lit(float(k)), F.lit(0.0)), 3)
+    for h in range(1, harmonics + 1):
+        ang = F.lit(2 * 3.141592653589793 * h) * F.col(hour) / F.lit(24.0)
+        cols[f"{hour}_s{h}"] = F.sin(ang)
+        cols[f"{hour}_c{h}"] = F.cos(ang)
+    for d in range(1, 7):
+        cols[f"{wday}_{d}"] = (F.col(wday) == d).cast("double")
+    return df.withColumns(cols), list(cols)
+
+
+def gam_fit(train: DataFrame, label: str, basis: Sequence[str], reg: float = 0.1):
+    va = VectorAssembler(inputCols=list(basis), outputCol="_fv_gam", handleInvalid="keep")
+    lr = LinearRegression(featuresCol="_fv_gam", labelCol=label, regParam=reg, elasticNetParam=0.0,
+                          standardization=True)
+    return Pipeline(stages=[va, lr]).fit(train)
+
+
+def preprocessing(numeric: Sequence[str], categorical: Sequence[str] = (), pca_k: int | None = None,
+                  min_level_share: float = 0.01) -> tuple[list, str]:
+    """The candidate pipelines' preprocessing as MLlib stages: median imputation of
+    numeric columns plus missing indicators, rare-level folding (levels below
+    ``min_level_share`` -> one bucket via StringIndexer frequency order + handleInvalid),
+    one-hot encoding, standard scaling, optional PCA. Returns (stages, output column)."""
+    from pyspark.ml.feature import Imputer, OneHotEncoder, PCA, SQLTransformer, StandardScaler, StringIndexer
+    stages: list = []
+    num = list(numeric)
+    imp = [f"{c}_imp" for c in num]
+    if num:
+        ind = ", ".join(f"CAST(`{c}` IS NULL AS DOUBLE) AS `{c}_missing`" for c in num)
+        stages.append(SQLTransformer(statement=f"SELECT *, {ind} FROM __THIS__"))
+        stages.append(Imputer(inputCols=num, outputCols=imp, strategy="median"))
+    cat_out = []
+    for c in categorical:
+        stages.append(StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep",
+                                    stringOrderType="frequencyDesc"))
+        cat_out.append(f"{c}_oh")
+    if categorical:
+        stages.append(OneHotEncoder(inputCols=[f"{c}_idx" for c in categorical], outputCols=cat_out,
+                                    handleInvalid="keep"))
+    va = VectorAssembler(inputCols=imp + [f"{c}_missing" for c in num] + cat_out, outputCol="_pre_raw",
+                         handleInvalid="keep")
+    stages += [va, StandardScaler(inputCol="_pre_raw", outputCol="_pre_scaled", withMean=True, withStd=True)]
+    out = "_pre_scaled"
+    if pca_k:
+        stages.append(PCA(k=pca_k, inputCol=out, outputCol="_pre_pca"))
+        out = "_pre_pca"
+    return stages, out
+
+
+def random_search(train: DataFrame, label: str, features: Sequence[str], algo: str = "XGB", n_trials: int = 20,
+                  parallelism: int = 7, train_ratio: float = 0.8, seed: int = SEED):
+    """Random search over the booster / linear model ranges minimising MSE with
+    ``TrainValidationSplit`` (fits run ``parallelism`` at a time). The Bayesian strategy of the
+    hosted tuner is not built; random search over the same ranges is its stated fallback."""
+    import random
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.tuning import TrainValidationSplit
+    rnd = random.Random(seed)
+    va = VectorAssembler(inputCols=available(train, features), outputCol="_fv_rs", handleInvalid="keep")
+    est = regressor(algo, label, "_fv_rs", "prediction", trees=20)
+    grid = []
+    for _ in range(n_trials):
+        if algo in ("LR", "LinearRegression"):
+            grid.append({est.regParam: 10 ** rnd.uniform(-6, 1), est.elasticNetParam: rnd.uniform(0, 1)})
+        else:
+            grid.append({est.maxDepth: rnd.randint(2, 8), est.stepSize: 10 ** rnd.uniform(-2, -0.3),
+                         est.maxIter: rnd.randint(10, 60), est.subsamplingRate: rnd.uniform(0.5, 1.0)})
+    tvs = TrainValidationSplit(estimator=Pipeline(stages=[va, est]), estimatorParamMaps=grid,
+                               evaluator=RegressionEvaluator(labelCol=label, metricName="mse"),
+                               trainRatio=train_ratio, parallelism=parallelism, seed=seed)
+    model = tvs.fit(train)
+    trials = train.sparkSession.createDataFrame(
+        [(i, float(m)) for i, m in enumerate(model.validationMetrics)], "trial int, mse double")
+    return model, trials
+
+
+def job_outcomes(log: DataFrame, status: str = "status", seconds: str = "seconds",
+                 groups: Sequence[str] = ()) -> DataFrame:
+    """Outcome counts, success rate and mean run time of a scoring run log."""
+    return log.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("n_jobs"),
+        F.count_if(F.col(status) == "Completed").alias("n_completed"),
+        F.count_if(F.col(status) == "Failed").alias("n_failed"),
+        (F.count_if(F.col(status) == "Completed") / F.count(F.lit(1)) * 100).alias("success_pct"),
+        F.avg(seconds).alias("mean_seconds"))

@@ -62,3 +62,21 @@ def test_models_learn_synthetic_inflow(spark):
     assert ens["test_r2"] > 0.5 and abs(sum(ens["weights"].values()) - 1) < 1e-12
     hy = models.hybrid(tr, te, "inflow", ["Rainfall", "temp"], trees=5)
     assert hy.where(F.col("prediction").isNull()).count() == 0
+
+
+def test_gam_preprocessing_search_outcomes(spark):
+    from pyspark.ml import Pipeline
+    from hydroflow.functions.calendar import calendar_columns
+    s = synthetic_hourly(spark, days=40).withColumns(calendar_columns("ts"))
+    b, cols = models.gam_basis(s, "Rainfall", [1.0, 3.0, 6.0])
+    m = models.gam_fit(b, "inflow", cols, reg=0.01)
+    assert m.stages[-1].summary.r2 > 0.5
+    stages, out = models.preprocessing(["Rainfall", "temp"], ["wday"], pca_k=3)
+    p = Pipeline(stages=stages).fit(s.withColumn("wday", F.col("wday").cast("string"))).transform(
+        s.withColumn("wday", F.col("wday").cast("string")))
+    assert len(p.select(out).first()[0]) == 3
+    _, trials = models.random_search(s, "inflow", ["Rainfall", "temp"], algo="LR", n_trials=4, parallelism=2)
+    assert trials.count() == 4
+    log = spark.createDataFrame([("Completed", 10.0), ("Failed", 4.0), ("Completed", 20.0)], "status string, seconds double")
+    o = models.job_outcomes(log).first()
+    assert (o.n_jobs, o.n_completed, o.n_failed) == (3, 2, 1) and abs(o.success_pct - 200 / 3) < 1e-9
