@@ -18,12 +18,12 @@ def time_split(df: DataFrame, keys: Sequence[str], ts: str, frac: float = 0.8,
     Positions come from ``dense_position`` (distributed prefix counts), not a per-series
     ``row_number`` that would sort a whole series in one task."""
     b = bucket if bucket is not None else F.date_trunc("month", F.col(ts))
-    d = dense_position(df, keys, ts, b, out="_pos")
+    d = dense_position(df, keys, ts, b, out="_tpos")
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     return (attach(d, n, keys)
-            .withColumn("split", F.when(F.col("_pos") < F.floor(F.col("_n") * F.lit(frac)), "train")
+            .withColumn("split", F.when(F.col("_tpos") < F.floor(F.col("_n") * F.lit(frac)), "train")
                         .otherwise("test"))
-            .drop("_pos", "_n"))
+            .drop("_tpos", "_n"))
 
 
 def hash_split(df: DataFrame, key_cols: Sequence[str], frac: float = 0.8, seed: int = 42) -> DataFrame:

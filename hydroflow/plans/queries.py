@@ -1177,3 +1177,15 @@ def q_consensus_features(spark, sf_dir):
     s = F.array_sort(F.collect_list(F.struct("step", "pos", "feature")))
     return j.groupBy("site").agg(F.transform(s, lambda e: e["feature"]).alias("features"),
                                  F.count(F.lit(1)).alias("n_features"))
+
+
+@register("ar_error_regression")
+def q_ar_error_regression(spark, sf_dir):
+    """L7 (re-aimed ARIMAX): per site, regression of the inflow proxy on rain features with
+    AR(p) errors (p by AIC), forecast over the last 30% of hours; test metrics per site."""
+    from ..operators.regress import ar_error_regression
+    t = training_table(spark, sf_dir).withColumn("_pos", cal.hour_id("ts"))
+    s = split.time_split(t, ["site"], "ts", 0.7).cache()
+    tr, te = s.where("split = 'train'"), s.where("split = 'test'")
+    p = ar_error_regression(tr, te, ["site"], "_pos", "flow", ["Rainfall", "Rain_L6HR", "API", "SoilMoisture"])
+    return p.groupBy("site", "ar_p").agg(*metrics.error_metric_columns("flow", "prediction"))

@@ -31,7 +31,7 @@ def test_query_matches_oracle(spark, con, name):
 
 
 # the MLlib jobs are exercised with small tree counts in test_stats_models.py
-SLOW = {"algorithm_benchmark", "hybrid_model", "stacked_ensemble", "ablation_study"}
+SLOW = {"algorithm_benchmark", "hybrid_model", "stacked_ensemble", "ablation_study", "ar_error_regression"}
 
 
 def test_every_query_runs(spark):

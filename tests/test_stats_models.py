@@ -80,3 +80,28 @@ def test_gam_preprocessing_search_outcomes(spark):
     log = spark.createDataFrame([("Completed", 10.0), ("Failed", 4.0), ("Completed", 20.0)], "status string, seconds double")
     o = models.job_outcomes(log).first()
     assert (o.n_jobs, o.n_completed, o.n_failed) == (3, 2, 1) and abs(o.success_pct - 200 / 3) < 1e-9
+
+
+def test_ar_error_regression_recovers_ar1(spark):
+    from hydroflow.operators.regress import ar_error_regression
+    rng = np.random.default_rng(11)
+    rows = []
+    for s in ("a", "b"):
+        n = 900
+        x = rng.normal(size=n)
+        u = np.zeros(n)
+        e = rng.normal(scale=0.3, size=n)
+        for i in range(1, n):
+            u[i] = 0.8 * u[i - 1] + e[i]
+        y = 2.0 + 1.5 * x + u
+        rows += [(s, i, float(x[i]), float(y[i])) for i in range(n)]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["s", "pos", "x", "y"]))
+    tr, te = df.where("pos < 800"), df.where("pos >= 800")
+    p = ar_error_regression(tr, te, ["s"], "pos", "y", ["x"], max_p=3).toPandas()
+    assert len(p) == 200 and set(p.ar_p) <= {1, 2, 3}
+    # the AR forecast helps most right after the end of training
+    first = p[p.pos == 800]
+    for _, r in first.iterrows():
+        assert abs(r.prediction - r.y) < 1.5
+    rmse = float(np.sqrt(((p.prediction - p.y) ** 2).mean()))
+    assert rmse < 0.8
