@@ -1189,3 +1189,15 @@ def q_ar_error_regression(spark, sf_dir):
     tr, te = s.where("split = 'train'"), s.where("split = 'test'")
     p = ar_error_regression(tr, te, ["site"], "_pos", "flow", ["Rainfall", "Rain_L6HR", "API", "SoilMoisture"])
     return p.groupBy("site", "ar_p").agg(*metrics.error_metric_columns("flow", "prediction"))
+
+
+@register("anomalous_rows")
+def q_anomalous_rows(spark, sf_dir):
+    """Q13: isolation-forest scores of every line item on its numeric columns; the ten most
+    anomalous rows (the report lists the lowest-scoring rows; here higher = more anomalous)."""
+    from ..operators import anomaly
+    l = load(spark, sf_dir, "lineitem", [*_LKC, *PROF_NUM])
+    l = l.withColumn("k", F.concat_ws("|", *[F.col(c).cast("string") for c in _LKC]))
+    forest = anomaly.fit_isolation_forest(l, PROF_NUM, "k", trees=100)
+    s = anomaly.score(l, forest, PROF_NUM)
+    return reshape.top_n(s, "anomaly_score", 10, "k")

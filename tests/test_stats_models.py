@@ -105,3 +105,15 @@ def test_ar_error_regression_recovers_ar1(spark):
         assert abs(r.prediction - r.y) < 1.5
     rmse = float(np.sqrt(((p.prediction - p.y) ** 2).mean()))
     assert rmse < 0.8
+
+
+def test_isolation_forest_flags_planted_outliers(spark):
+    from hydroflow.operators import anomaly
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"id": range(3000), "a": rng.normal(size=3000), "b": rng.normal(size=3000)})
+    pdf.loc[:4, ["a", "b"]] = [[8, 8], [-9, 7], [10, -8], [-8, -9], [9, 0]]
+    df = spark.createDataFrame(pdf)
+    forest = anomaly.fit_isolation_forest(df, ["a", "b"], "id", trees=50)
+    sc = anomaly.score(df, forest, ["a", "b"]).toPandas().sort_values("anomaly_score", ascending=False)
+    assert set(sc.id.iloc[:4]) == {0, 1, 2, 3}          # extreme on both axes
+    assert sc.set_index("id").anomaly_score[4] > sc.anomaly_score.quantile(0.95)  # extreme on one axis
