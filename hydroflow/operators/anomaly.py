@@ -95,7 +95,11 @@ def fit_isolation_forest(df: DataFrame, features: Sequence[str], key: str, trees
 def score(df: DataFrame, forest: DataFrame, features: Sequence[str], out: str = "anomaly_score") -> DataFrame:
     feats = list(features)
     nodes = forest.toPandas()  # bounded: trees x <= 511 rows
-    trees = {t: g.sort_values("node").to_numpy() for t, g in nodes.groupby("tree")}
+    trees = {}
+    for t, g in nodes.groupby("tree"):
+        arr = g.sort_values("node")[["feature", "threshold", "left", "right", "size"]].to_numpy(dtype=float)
+        adj = np.array([_c(v) for v in arr[:, 4]])  # leaf path-length adjustment, per node
+        trees[t] = np.column_stack([arr, adj])
     bc = df.sparkSession.sparkContext.broadcast(trees)
     cn = _c(SAMPLE)
 
@@ -109,17 +113,17 @@ def score(df: DataFrame, forest: DataFrame, features: Sequence[str], out: str =
                 depth = np.zeros(len(X))
                 active = np.ones(len(X), dtype=bool)
                 while active.any():
-                    f = arr[node, 2].astype(int)
+                    f = arr[node, 0].astype(int)
                     leaf = f < 0
                     done = active & leaf
                     if done.any():
-                        total[done] += depth[done] + np.array([_c(s) for s in arr[node[done], 6]])
+                        total[done] += depth[done] + arr[node[done], 5]
                         active &= ~leaf
                     if not active.any():
                         break
                     rows = np.where(active)[0]
-                    go_left = X[rows, f[rows]] < arr[node[rows], 3]
-                    node[rows] = np.where(go_left, arr[node[rows], 4], arr[node[rows], 5]).astype(int)
+                    go_left = X[rows, f[rows]] < arr[node[rows], 1]
+                    node[rows] = np.where(go_left, arr[node[rows], 2], arr[node[rows], 3]).astype(int)
                     depth[rows] += 1
             pdf[out] = np.power(2.0, -(total / len(forest_)) / cn)
             yield pdf

@@ -54,6 +54,21 @@ def prep_rainfall(hourly: DataFrame, keys: Sequence[str], ts: str = "ts", rain:
     return d.select(*order, *extra)
 
 
+def rain_recurrences(hourly: DataFrame, keys: Sequence[str], ts: str = "ts", rain: str = "Rainfall",
+                     block: int = DEFAULT_BLOCK) -> DataFrame:
+    """W11 + W12 alone: API and soil moisture without the other rain features."""
+    d = hourly.withColumn("_pos", hour_id(ts))
+    d = materialize(with_series_windows(d, keys, "_pos", lambda w: {
+        "_prev": lag(rain, 1, w), "_first": F.lag(F.col("_pos"), 1).over(w).isNull()}, halo=1, block=block))
+    first, prev = F.col("_first"), F.col("_prev")
+    d = affine_scan_many(d, keys, "_pos", {
+        "API": (F.lit(None), F.when(first, 0.0).otherwise(API_DECAY), F.when(first, 0.0).otherwise(prev)),
+        "SoilMoisture": (F.lit(SOIL_MAX), F.when(first, 0.0).otherwise(SOIL_DECAY),
+                         F.when(first, F.col(rain)).otherwise(prev)),
+    }, block=block)
+    return d.select(*keys, ts, rain, "API", "SoilMoisture")
+
+
 def add_lag_features(df: DataFrame, keys: Sequence[str], ts: str = "ts", site_name: str | None = None,
                      temp: str = "temp", block: int = DEFAULT_BLOCK) -> DataFrame:
     """W2 + W8: extra lags (shift, ffill, bfill) and back-filled rolling temperature means,

@@ -145,11 +145,15 @@ def column_types(df: DataFrame) -> DataFrame:
     types = {f.name: f.dataType for f in df.schema.fields}
     aggs = []
     for c, t in types.items():
-        s = F.col(c).cast("string")
-        ok = F.col(c).isNotNull() & (F.trim(s) != "")
-        num = s.try_cast("double")
-        aggs += [F.sum(ok.cast("long")).alias(f"{c}__n"),
-                 F.sum((ok & num.isNotNull() & ~F.isnan(num)).cast("long")).alias(f"{c}__num"),
+        if isinstance(t, T.NumericType):      # no string round trip for typed numbers
+            ok = F.col(c).isNotNull()
+            good = ok & ~F.isnan(F.col(c).cast("double"))
+        else:
+            s = F.col(c).cast("string")
+            ok = F.col(c).isNotNull() & (F.trim(s) != "")
+            num = s.try_cast("double")
+            good = ok & num.isNotNull() & ~F.isnan(num)
+        aggs += [F.sum(ok.cast("long")).alias(f"{c}__n"), F.sum(good.cast("long")).alias(f"{c}__num"),
                  F.count_distinct(F.col(c)).alias(f"{c}__u")]
     a = df.agg(*aggs)
     cells = []

@@ -198,14 +198,14 @@ rec AS (
 SELECT site, ts, {R('api', 'API')} FROM rec""")
 def q_api_recurrence(spark, sf_dir):
     """API_i = 0.85 API_{i-1} + rain_{i-1}, API_0 = 0 (blocked affine scan)."""
-    return rounded(features.prep_rainfall(hourly_rain(spark, sf_dir), ["site"]).select("site", "ts", "API"))
+    return rounded(features.rain_recurrences(hourly_rain(spark, sf_dir), ["site"]).select("site", "ts", "API"))
 
 
 @register("soil_moisture", f"""WITH RECURSIVE {SQL_HOURLY}, {SQL_REC}
 SELECT site, ts, {R('soil', 'SoilMoisture')} FROM rec""")
 def q_soil_moisture(spark, sf_dir):
     """Capped bucket s_i = min(100, 0.95 s_{i-1} + rain_{i-1}), s_0 = min(100, rain_0)."""
-    return rounded(features.prep_rainfall(hourly_rain(spark, sf_dir), ["site"])
+    return rounded(features.rain_recurrences(hourly_rain(spark, sf_dir), ["site"])
                    .select("site", "ts", "SoilMoisture"))
 
 
