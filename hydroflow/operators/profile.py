@@ -121,8 +121,9 @@ def target_histogram(df: DataFrame, x: str, bins: int = 20) -> DataFrame:
     w = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     b = F.when(F.col("_out"), F.lit(bins)).when(w > 0, F.least(F.floor((F.col("x") - F.col("_lo")) / w),
                                                                  F.lit(bins - 1))).otherwise(F.lit(0))
+    exact_mean = F.sum(F.col("x").cast("decimal(38,6)")).cast("double") / F.count(F.lit(1))
     return (k.withColumn("bin", b.cast("int")).groupBy("bin", F.col("_out").alias("outlier_bar"))
-            .agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean_value")))
+            .agg(F.count(F.lit(1)).alias("n"), exact_mean.alias("mean_value")))
 
 
 def outlier_rows(df: DataFrame, x: str, key: str, n: int = 10, seed: int = 42) -> DataFrame:

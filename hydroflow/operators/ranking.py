@@ -43,50 +43,67 @@ def hash_rank(df: DataFrame, groups: Sequence[str], h: str, tiebreak: str, out:
 
 
 def order_statistics(df: DataFrame, groups: Sequence[str], x: str, targets: DataFrame,
-                     bins: int = 4096, final_rows: int = 200_000, max_passes: int = 8) -> DataFrame:
+                     bins: int = 4096, final_rows: int = 200_000, max_levels: int = 8) -> DataFrame:
     """Value of 0-based rank ``k`` (ascending, NULLs excluded) for each row of ``targets``
-    (columns: groups..., k). Returns groups..., k, value."""
+    (columns: groups..., k). Returns groups..., k, value.
+
+    Hierarchical histogram: level 1 bins every row of a group into ``bins`` equal-width bins
+    of the group's [min, max]; each later level re-bins only the rows of still-open intervals
+    inside their own [min, max]. Rows carry their bin path, so reaching an interval is an
+    equi-join on (group, path) with a small broadcast table - every row matches at most one
+    interval and no row is paired with targets. All targets in one interval share its
+    histogram. A target is finished when its interval holds one distinct value, or at most
+    ``final_rows`` rows, which are then sorted per interval."""
     if not groups:
         return order_statistics(df.withColumn("_all", F.lit(0)), ["_all"], x,
-                                targets.withColumn("_all", F.lit(0)), bins, final_rows, max_passes).drop("_all")
+                                targets.withColumn("_all", F.lit(0)), bins, final_rows, max_levels).drop("_all")
     g = list(groups)
     data = df.select(*g, F.col(x).cast("double").alias("_x")).where(F.col("_x").isNotNull())
     bounds = data.groupBy(*g).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-    t = targets.join(bounds, g).withColumn("_base", F.lit(0).cast("long"))
-    # the target table has one row per (group, rank): broadcast it only below a checked size
+    # checked size: one row per group (targets table is at most a few rows per group)
     small = targets.count() <= 1_000_000
     bc = F.broadcast if small else (lambda d: d)
-    t = t.cache()
-    for _ in range(max_passes):
-        j = data.join(bc(t.select(*g, "k", "_lo", "_hi")), g)
-        j = j.where((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))
+    t = targets.join(bc(bounds), g).withColumn("_base", F.lit(0).cast("long")).cache()
+    rows = data.join(bc(bounds), g)
+    path: list[str] = []
+    results = []
+    for level in range(1, max_levels + 1):
+        b = f"_b{level}"
         span = F.col("_hi") - F.col("_lo")
-        b = F.when(span > 0, F.least(F.floor((F.col("_x") - F.col("_lo")) / span * bins), F.lit(bins - 1))) \
-             .otherwise(F.lit(0)).cast("int")
-        hist = (j.withColumn("_bin", b).groupBy(*g, "k", "_bin")
-                .agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_blo"), F.max("_x").alias("_bhi")))
-        wc = Window.partitionBy(*g, "k").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+        binned = rows.withColumn(b, F.when(span > 0, F.least(F.floor((F.col("_x") - F.col("_lo")) / span * bins),
+                                                           F.lit(bins - 1))).otherwise(F.lit(0)).cast("int"))
+        hist = (binned.groupBy(*g, *path, b)
+                .agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_nlo"), F.max("_x").alias("_nhi")))
+        wc = Window.partitionBy(*g, *path).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
         hist = hist.withColumn("_before", F.coalesce(F.sum("_n").over(wc), F.lit(0)))
-        hit = (hist.join(t.select(*g, "k", "_base"), [*g, "k"])
+        hit = (t.select(*g, *path, "k", "_base").join(hist, [*g, *path])
                .where((F.col("_base") + F.col("_before") <= F.col("k"))
                       & (F.col("k") < F.col("_base") + F.col("_before") + F.col("_n")))
-               .select(*g, "k", F.col("_blo").alias("_lo"), F.col("_bhi").alias("_hi"),
-                       (F.col("_base") + F.col("_before")).alias("_base"), "_n"))
+               .select(*g, *path, b, "k", F.col("_nlo").alias("_lo"), F.col("_nhi").alias("_hi"),
+                       (F.col("_base") + F.col("_before")).alias("_base"), "_n")).cache()
         t.unpersist()
-        t = hit.cache()
-        pending = t.where((F.col("_lo") < F.col("_hi")) & (F.col("_n") > final_rows)).limit(1).count()
-        if pending == 0:
+        t = hit
+        path = [*path, b]
+        # one distinct value left: resolved without touching rows again
+        results.append(t.where(F.col("_lo") == F.col("_hi")).select(*g, "k", F.col("_lo").alias("value")))
+        last = level == max_levels
+        fin = t.where((F.col("_lo") < F.col("_hi")) & ((F.col("_n") <= final_rows) | F.lit(last)))
+        iv = fin.select(*g, *path).distinct()
+        if fin.limit(1).count():
+            sub = binned.join(bc(iv), [*g, *path])
+            wr = Window.partitionBy(*g, *path).orderBy("_x")
+            ranked = sub.withColumn("_rn", F.row_number().over(wr) - 1).select(*g, *path, "_x", "_rn")
+            results.append(ranked.join(fin.select(*g, *path, "k", "_base"), [*g, *path])
+                           .where(F.col("_base") + F.col("_rn") == F.col("k")).select(*g, "k", F.col("_x").alias("value")))
+        t = t.where((F.col("_lo") < F.col("_hi")) & (F.col("_n") > final_rows)).cache()
+        if last or t.limit(1).count() == 0:
             break
-    # a target whose interval shrank to one value is resolved without touching rows again;
-    # the others sort the few rows left in their interval
-    done = t.where(F.col("_lo") == F.col("_hi")).select(*g, "k", F.col("_lo").alias("value"))
-    rest = t.where(F.col("_lo") < F.col("_hi"))
-    j = data.join(bc(rest.select(*g, "k", "_lo", "_hi", "_base")), g) \
-        .where((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))
-    wr = Window.partitionBy(*g, "k").orderBy("_x")
-    res = (j.withColumn("_r", F.col("_base") + F.row_number().over(wr) - 1)
-           .where(F.col("_r") == F.col("k")).select(*g, "k", F.col("_x").alias("value")))
-    return done.unionByName(res)
+        open_iv = t.select(*g, *path, "_lo", "_hi").distinct()
+        rows = binned.drop("_lo", "_hi").join(bc(open_iv), [*g, *path])
+    out = results[0]
+    for r in results[1:]:
+        out = out.unionByName(r)
+    return out
 
 
 def quantile_type7(df: DataFrame, groups: Sequence[str], x: str, q: float, out: str = "quantile") -> DataFrame:

@@ -1075,7 +1075,8 @@ j AS (SELECT v, (v > med + 5 * rstd OR v < med - 5 * rstd) AS o FROM ev0, rb),
 r AS (SELECT min(v) AS lo, max(v) AS hi FROM j WHERE NOT o),
 b AS (SELECT v, o, CAST(CASE WHEN o THEN 20 WHEN (hi - lo) / {D(20.0)} > 0
                  THEN least(floor((v - lo) / ((hi - lo) / {D(20.0)})), 19) ELSE 0 END AS INTEGER) AS bin FROM j, r)
-SELECT bin, o AS outlier_bar, CAST(count(*) AS BIGINT) AS n, {R('avg(v)', 'mean_value')} FROM b GROUP BY bin, o""")
+SELECT bin, o AS outlier_bar, CAST(count(*) AS BIGINT) AS n,
+       {R('CAST(sum(CAST(v AS DECIMAL(38, 6))) AS DOUBLE) / count(*)', 'mean_value')} FROM b GROUP BY bin, o""")
 def q_target_histogram(spark, sf_dir):
     """Q5: histogram of raw readings, outliers (median ± 5 RSTD) averaged in a last bar."""
     ev = load(spark, sf_dir, "events", ["value"])
