@@ -42,6 +42,31 @@ def hash_rank(df: DataFrame, groups: Sequence[str], h: str, tiebreak: str, out:
             .drop("_h1", "_h2", "_b1", "_b2"))
 
 
+def within_quota(df: DataFrame, groups: Sequence[str], h: str, tiebreak: str, quota: DataFrame,
+                 out: str = "selected") -> DataFrame:
+    """Flag the ``_q`` rows of each group (``quota``: groups..., _q) with the smallest
+    (h, tiebreak), h in [0, 2^32). Exact, and cheaper than ranking every row: a histogram of
+    the top 16 hash bits (<= 65,536 rows per group) locates each group's boundary bucket;
+    rows below it are in, rows above are out, and only the boundary bucket's rows (about
+    n / 65,536 per group) are ranked."""
+    from .blocked import attach
+    g = list(groups)
+    d = df.withColumn("_h1", F.shiftright(F.col(h), 16))
+    c1 = d.groupBy(*g, "_h1").agg(F.count(F.lit(1)).alias("_n1"))
+    w1 = Window.partitionBy(*g).orderBy("_h1").rowsBetween(Window.unboundedPreceding, -1)
+    c1 = c1.withColumn("_b1", F.coalesce(F.sum("_n1").over(w1), F.lit(0)))
+    bound = (c1.join(quota, g).where((F.col("_b1") < F.col("_q")) & (F.col("_q") <= F.col("_b1") + F.col("_n1")))
+             .select(*g, F.col("_h1").alias("_hb"), F.col("_b1").alias("_bb")))
+    j = attach(attach(d, quota, g), bound, g, "left")
+    edge = F.col("_h1") == F.col("_hb")
+    wr = Window.partitionBy(*g).orderBy(h, tiebreak)
+    ranked = j.where(edge).withColumn(out, (F.row_number().over(wr) - 1) < (F.col("_q") - F.col("_bb")))
+    rest = j.where(~edge | F.col("_hb").isNull()).withColumn(
+        out, F.when(F.col("_q") <= 0, F.lit(False)).when(F.col("_hb").isNull(), F.lit(True))
+        .otherwise(F.col("_h1") < F.col("_hb")))
+    return ranked.unionByName(rest).drop("_h1", "_q", "_hb", "_bb")
+
+
 def order_statistics(df: DataFrame, groups: Sequence[str], x: str, targets: DataFrame,
                      bins: int = 4096, final_rows: int = 200_000, max_levels: int = 8) -> DataFrame:
     """Value of 0-based rank ``k`` (ascending, NULLs excluded) for each row of ``targets``

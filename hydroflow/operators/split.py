@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocked import attach, dense_position, with_scalars
-from .ranking import hash32, hash_rank
+from .ranking import hash32, within_quota
 
 TWO32 = float(2 ** 32)
 
@@ -37,12 +37,10 @@ def stratified_split(df: DataFrame, strata: str, key: str, frac: float = 0.7, se
     chosen by hash order. Ranks come from ``hash_rank`` (no stratum in one task)."""
     d = df.withColumn("_s", F.coalesce(F.col(strata).cast("int"), F.lit(0))) \
           .withColumn("_h", hash32(key, seed=seed))
-    n = d.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"))
-    r = hash_rank(d, ["_s"], "_h", key, out="_r")
-    return (attach(r, n, ["_s"])
-            .withColumn("split", F.when(F.col("_r") < F.floor(F.col("_n") * F.lit(frac)), "train")
-                        .otherwise("test"))
-            .drop("_s", "_h", "_r", "_n"))
+    q = d.groupBy("_s").agg(F.floor(F.count(F.lit(1)) * F.lit(frac)).alias("_q"))
+    r = within_quota(d, ["_s"], "_h", key, q, out="_in")
+    return (r.withColumn("split", F.when(F.col("_in"), "train").otherwise("test"))
+            .drop("_s", "_h", "_in"))
 
 
 def kfold(df: DataFrame, key_cols: Sequence[str], k: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
@@ -53,9 +51,10 @@ def kfold(df: DataFrame, key_cols: Sequence[str], k: int = 5, seed: int = 42, ou
 def ranked_sample(df: DataFrame, groups: Sequence[str], key: str, quota, seed: int = 42) -> DataFrame:
     """Per group keep the ``quota`` rows (int or column) with the smallest hash."""
     d = df.withColumn("_h", hash32(key, seed=seed))
-    r = hash_rank(d, list(groups), "_h", key, out="_r")
     q = quota if not isinstance(quota, int) else F.lit(quota)
-    return r.where(F.col("_r") < q).drop("_h", "_r")
+    qt = d.groupBy(*groups).agg(F.min(q).alias("_q"))
+    r = within_quota(d, list(groups), "_h", key, qt, out="_in")
+    return r.where("_in").drop("_h", "_in")
 
 
 def month_sample(df: DataFrame, ts: str, key: str, total: int = 5000, seed: int = 42) -> DataFrame:

@@ -63,3 +63,16 @@ def test_greedy_weights_never_below_best_single(spark):
     assert abs(sum(w) - 1) < 1e-12
     blend = sum(wi * pdf[m] for wi, m in zip(w, "abc"))
     assert abs(r2 - (1 - ((blend - y) ** 2).sum() / ((y - y.mean()) ** 2).sum())) < 1e-9
+
+
+def test_within_quota_exact_with_ties_and_edges(spark):
+    df = spark.range(0, 4000).withColumn("g", (F.col("id") % 4).cast("int"))
+    df = df.withColumn("h", ranking.hash32("id", seed=9))
+    df = df.withColumn("h", F.when(F.col("id") < 60, F.lit(77)).otherwise(F.col("h")))  # ties
+    quotas = {0: 0, 1: 37, 2: 500, 3: 5000}
+    q = spark.createDataFrame(list(quotas.items()), "g int, _q long")
+    got = ranking.within_quota(df, ["g"], "h", "id", q, out="sel").toPandas()
+    for g, grp in got.groupby("g"):
+        grp = grp.sort_values(["h", "id"])
+        want = [True] * min(quotas[g], len(grp)) + [False] * max(0, len(grp) - quotas[g])
+        assert grp.sel.tolist() == want
