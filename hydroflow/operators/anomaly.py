@@ -129,4 +129,9 @@ def score(df: DataFrame, forest: DataFrame, features: Sequence[str], out: str =
             yield pdf
 
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType())])
+    # Python scoring is CPU-bound: spread few large input partitions over all cores
+    # (no-op on a cluster-sized input, which already has many partitions)
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        df = df.repartition(par)
     return df.mapInPandas(run, schema)

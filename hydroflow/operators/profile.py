@@ -176,12 +176,12 @@ def prediction_power(df: DataFrame, target: str, features: Sequence[str], key: s
     """Q9 re-aimed: per feature, decile bins fitted on an 80% hash split, the bin's train
     mean as the prediction, validation R2 clipped to [0, 1]. All features in one job on the
     unpivoted table; bin edges are exact quantiles (histogram refinement)."""
-    from .blocked import attach
+    from .blocked import attach, materialize
     from .ranking import hash32
     d = df.withColumn("_train", hash32(key, seed=seed) < F.lit(frac * 2.0 ** 32))
-    long = (d.select("_train", F.col(target).cast("double").alias("y"),
-                     *[F.col(c).cast("double").alias(c) for c in features])
-            .unpivot(["_train", "y"], list(features), "feature", "x").where(F.col("x").isNotNull()))
+    long = materialize(d.select("_train", F.col(target).cast("double").alias("y"),
+                                *[F.col(c).cast("double").alias(c) for c in features])
+                       .unpivot(["_train", "y"], list(features), "feature", "x").where(F.col("x").isNotNull()))
     tr = long.where("_train")
     edges = quantiles_type7(tr, ["feature"], "x", {f"_e{i}": i / bins for i in range(1, bins)})
     binned = attach(long, edges, ["feature"]).withColumn(

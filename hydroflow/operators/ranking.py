@@ -58,13 +58,12 @@ def within_quota(df: DataFrame, groups: Sequence[str], h: str, tiebreak: str, qu
     bound = (c1.join(quota, g).where((F.col("_b1") < F.col("_q")) & (F.col("_q") <= F.col("_b1") + F.col("_n1")))
              .select(*g, F.col("_h1").alias("_hb"), F.col("_b1").alias("_bb")))
     j = attach(attach(d, quota, g), bound, g, "left")
-    edge = F.col("_h1") == F.col("_hb")
-    wr = Window.partitionBy(*g).orderBy(h, tiebreak)
-    ranked = j.where(edge).withColumn(out, (F.row_number().over(wr) - 1) < (F.col("_q") - F.col("_bb")))
-    rest = j.where(~edge | F.col("_hb").isNull()).withColumn(
-        out, F.when(F.col("_q") <= 0, F.lit(False)).when(F.col("_hb").isNull(), F.lit(True))
-        .otherwise(F.col("_h1") < F.col("_hb")))
-    return ranked.unionByName(rest).drop("_h1", "_q", "_hb", "_bb")
+    # rank inside the (group, top-16-bit bucket) partition: ~n/65,536 rows per task
+    wr = Window.partitionBy(*g, "_h1").orderBy(h, tiebreak)
+    flag = (F.when(F.col("_q") <= 0, F.lit(False)).when(F.col("_hb").isNull(), F.lit(True))
+            .when(F.col("_h1") != F.col("_hb"), F.col("_h1") < F.col("_hb"))
+            .otherwise((F.row_number().over(wr) - 1) < (F.col("_q") - F.col("_bb"))))
+    return j.withColumn(out, flag).drop("_h1", "_q", "_hb", "_bb")
 
 
 def order_statistics(df: DataFrame, groups: Sequence[str], x: str, targets: DataFrame,
@@ -86,6 +85,7 @@ def order_statistics(df: DataFrame, groups: Sequence[str], x: str, targets: Data
     data = df.select(*g, F.col(x).cast("double").alias("_x")).where(F.col("_x").isNotNull())
     bounds = data.groupBy(*g).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
     # checked size: one row per group (targets table is at most a few rows per group)
+    targets = targets.cache()
     small = targets.count() <= 1_000_000
     bc = F.broadcast if small else (lambda d: d)
     t = targets.join(bc(bounds), g).withColumn("_base", F.lit(0).cast("long")).cache()

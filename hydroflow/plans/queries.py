@@ -1198,7 +1198,7 @@ def q_anomalous_rows(spark, sf_dir):
     anomalous rows (the report lists the lowest-scoring rows; here higher = more anomalous)."""
     from ..operators import anomaly
     l = load(spark, sf_dir, "lineitem", [*_LKC, *PROF_NUM])
-    l = l.withColumn("k", F.concat_ws("|", *[F.col(c).cast("string") for c in _LKC]))
+    l = l.select(F.concat_ws("|", *[F.col(c).cast("string") for c in _LKC]).alias("k"), *PROF_NUM)
     forest = anomaly.fit_isolation_forest(l, PROF_NUM, "k", trees=100)
     s = anomaly.score(l, forest, PROF_NUM)
     return reshape.top_n(s, "anomaly_score", 10, "k")
