@@ -45,7 +45,7 @@ def _apply(m: str, x: str) -> str:
 
 def affine_scan(df: DataFrame, keys: Sequence[str], pos: str, cap: Column, coef: Column,
                 offset: Column, out: str, block: int = DEFAULT_BLOCK,
-                sub: int = DEFAULT_SUB) -> DataFrame:
+                sub: int | None = None) -> DataFrame:
     """Add column ``out`` = scan of the maps (cap, coef, offset) along ``pos`` per series.
 
     ``coef`` must be >= 0. A row whose map has coef 0 restarts the recurrence (series start)."""
@@ -54,12 +54,14 @@ def affine_scan(df: DataFrame, keys: Sequence[str], pos: str, cap: Column, coef:
 
 def affine_scan_many(df: DataFrame, keys: Sequence[str], pos: str,
                      specs: dict[str, tuple[Column, Column, Column]], block: int = DEFAULT_BLOCK,
-                     sub: int = DEFAULT_SUB) -> DataFrame:
+                     sub: int | None = None) -> DataFrame:
     """Several scans over the same series in one pass: one sub-block aggregation, one carry
     table, one join, one replay window. ``specs``: out -> (cap, coef, offset).
 
     ``df`` is read twice (summaries and replay): pass a materialised table
     (``blocked.materialize``) when it is expensive to recompute."""
+    if sub is None:  # largest divisor of the block not above DEFAULT_SUB
+        sub = max(d for d in range(1, min(block, DEFAULT_SUB) + 1) if block % d == 0)
     if block % sub:
         raise ValueError("sub must divide block")
     if BLK not in df.columns:
