@@ -44,8 +44,7 @@ def attach(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "in
     """Join a per-series (or per-group) table onto the rows. A hot series would make a
     shuffle join put a third of all rows in one task, so the small side is broadcast -
     but only after its row count is checked against ``max_rows``."""
-    from pyspark import StorageLevel
-    small = small.persist(StorageLevel.MEMORY_AND_DISK)  # counted and joined: compute it once
+    small = materialize(small)  # counted and joined: compute it once, hold no executor memory
     if small.count() <= max_rows:
         return big.join(F.broadcast(small), list(keys), how)
     return big.join(small, list(keys), how)
