@@ -1024,22 +1024,24 @@ def _diff_series(h: DataFrame) -> DataFrame:
 def q_stationarity(spark, sf_dir):
     """ADF (AIC lag order), KPSS (auto bandwidth) and ACF significant lags of the
     original and the differenced hourly rain per site; stationary = ADF p < .05 and
-    KPSS p > .05 and fewer than 17 of lags 1..24 significant. The differenced series reuses
-    the original n for its ACF band, as the reference does."""
+    KPSS p > .05 and fewer than 17 of lags 1..24 significant. Original and differenced
+    series are two keys of ONE long table, so every test runs once over all series. The
+    differenced series reuses the original n for its ACF band, as the reference does."""
     h = materialize(hourly_rain(spark, sf_dir).withColumn("_pos", cal.hour_id("ts")).select("site", "_pos", "Rainfall"))
-    out = None
-    for tag, src, col in (("orig", h, "Rainfall"), ("diff", materialize(_diff_series(h)), "dx")):
-        adf = tsstats.adf_test(src, ["site"], "_pos", col).drop("n")
-        kp = tsstats.kpss_level(src, ["site"], "_pos", col).drop("n")
-        ac = tsstats.acf(src, ["site"], "_pos", col, 40)
-        n0 = h.groupBy("site").agg(F.count(F.lit(1)).alias("n0"))
-        sig = tsstats.acf_significance(ac.drop("n").join(n0, "site"), ["site"], "n0").drop("n0", "band")
-        part = adf.join(kp, "site").join(sig, "site").select(
-            "site", F.col("adf_pvalue").alias(f"{tag}_adf_pvalue"), F.col("kpss_pvalue").alias(f"{tag}_kpss_pvalue"),
-            F.col("sig_lags").alias(f"{tag}_sig_lags"),
-            ((F.col("adf_pvalue") < 0.05) & (F.col("kpss_pvalue") > 0.05) & F.col("acf_decays")).alias(f"{tag}_stationary"))
-        out = part if out is None else out.join(part, "site")
-    return out
+    orig = h.select("site", F.lit("orig").alias("variant"), "_pos", F.col("Rainfall").alias("v"))
+    diff = _diff_series(h).select("site", F.lit("diff").alias("variant"), "_pos", F.col("dx").alias("v"))
+    both = materialize(orig.unionByName(diff))
+    k = ["site", "variant"]
+    adf = tsstats.adf_test(both, k, "_pos", "v").drop("n")
+    kp = tsstats.kpss_level(both, k, "_pos", "v").drop("n")
+    n0 = h.groupBy("site").agg(F.count(F.lit(1)).alias("n0"))
+    ac = tsstats.acf(both, k, "_pos", "v", 40).drop("n").join(n0, "site")
+    sig = tsstats.acf_significance(ac, k, "n0").drop("n0", "band")
+    long = adf.join(kp, k).join(sig, k).withColumn(
+        "stationary", (F.col("adf_pvalue") < 0.05) & (F.col("kpss_pvalue") > 0.05) & F.col("acf_decays"))
+    vals = ["adf_pvalue", "kpss_pvalue", "sig_lags", "stationary"]
+    wide = long.groupBy("site").pivot("variant", ["orig", "diff"]).agg(*[F.first(c).alias(c) for c in vals])
+    return wide.select("site", *[F.col(f"{t}_{c}") for t in ("orig", "diff") for c in vals])
 
 
 # ---------------------------------------------------------------- streaming form of A1
