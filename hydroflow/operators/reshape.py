@@ -29,8 +29,14 @@ def top_n(df: DataFrame, by: str, n: int, name: str, groups: Sequence[str] = ())
     which Spark plans as TakeOrderedAndProject (a per-partition heap, no full sort)."""
     if not groups:
         return df.orderBy(F.col(by).desc(), F.col(name)).limit(n)
-    w = Window.partitionBy(*groups).orderBy(F.col(by).desc(), F.col(name))
-    return df.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= n).drop("_rk")
+    # two phases so a hot group is never ranked in one task: top n per (group, input
+    # partition) first, then the final ranking over at most n x partitions rows per group
+    order = [F.col(by).desc(), F.col(name)]
+    pre = (df.withColumn("_pid", F.spark_partition_id())
+           .withColumn("_rk", F.row_number().over(Window.partitionBy(*groups, "_pid").orderBy(*order)))
+           .where(F.col("_rk") <= n).drop("_rk", "_pid"))
+    w = Window.partitionBy(*groups).orderBy(*order)
+    return pre.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= n).drop("_rk")
 
 
 def season_year_mean(df: DataFrame, ts: str, cols: Sequence[str]) -> DataFrame:

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import features, resample, windows
-from ..operators.blocked import DEFAULT_BLOCK
 from ..functions import calendar as cal
 from ..sources.tables import load, sensor_feed
 

@@ -76,3 +76,13 @@ def test_within_quota_exact_with_ties_and_edges(spark):
         grp = grp.sort_values(["h", "id"])
         want = [True] * min(quotas[g], len(grp)) + [False] * max(0, len(grp) - quotas[g])
         assert grp.sel.tolist() == want
+
+
+def test_grouped_top_n_two_phase(spark):
+    from hydroflow.operators import reshape
+    df = spark.range(0, 20000, numPartitions=7).withColumn("g", (F.col("id") % 3).cast("int")) \
+        .withColumn("v", (F.col("id") * 7919) % 1000)
+    got = reshape.top_n(df, "v", 5, "id", ["g"]).toPandas()
+    pdf = df.toPandas()
+    exp = pdf.sort_values(["v", "id"], ascending=[False, True]).groupby("g").head(5)
+    assert sorted(map(tuple, got[["g", "id"]].values.tolist())) == sorted(map(tuple, exp[["g", "id"]].values.tolist()))
