@@ -49,6 +49,10 @@ def hourly_sum_no_gap(df: DataFrame, keys: Sequence[str], ts: str, values: Seque
                       scale: float = 1.0) -> DataFrame:
     """A2 (R ``aggregate``): rows with any NULL among ``values`` dropped first; only hours that
     have rows are emitted."""
-    d = df.dropna(subset=list(values))
+    # explicit IS NOT NULL (not dropna, whose AtLeastNNonNulls is not pushed to the scan)
+    cond = F.lit(True)
+    for c in values:
+        cond = cond & F.col(c).isNotNull()
+    d = df.where(cond)
     return (d.groupBy(*keys, trunc_hour(ts).alias(ts))
             .agg(*[(F.sum(F.col(c).cast("double")) * F.lit(float(scale))).alias(c) for c in values]))
