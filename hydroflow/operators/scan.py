@@ -10,8 +10,9 @@ with c = NULL meaning "no cap" (``least`` skips NULL). So the scan runs in paral
 blocks instead of as one sequential loop per series:
 
 1. per (series, block, sub-block): fold the sub-block's maps (bounded ``collect_list``);
-2. exclusive prefix over sub-blocks inside a block, and over block totals per series (tables
-   ``sub`` and ``block`` times smaller than the input);
+2. exclusive prefix over sub-blocks inside a block, over blocks inside superblocks of
+   ``fanout`` blocks, and over superblock totals per series (tables ``sub``, ``block`` and
+   ``block * fanout`` times smaller than the input; no frame grows beyond ``fanout``);
 3. carry-in joined on (series, block); replay inside the sub-block with a growing window
    frame (cost ``sub`` per row).
 
@@ -54,7 +55,7 @@ def affine_scan(df: DataFrame, keys: Sequence[str], pos: str, cap: Column, coef:
 
 def affine_scan_many(df: DataFrame, keys: Sequence[str], pos: str,
                      specs: dict[str, tuple[Column, Column, Column]], block: int = DEFAULT_BLOCK,
-                     sub: int | None = None) -> DataFrame:
+                     sub: int | None = None, fanout: int = 512) -> DataFrame:
     """Several scans over the same series in one pass: one sub-block aggregation, one carry
     table, one join, one replay window. ``specs``: out -> (cap, coef, offset).
 
@@ -85,13 +86,29 @@ def affine_scan_many(df: DataFrame, keys: Sequence[str], pos: str,
         subs = (subs.withColumn("_pl", F.collect_list(f"_S{m[o]}").over(before))
                 .withColumn(f"_P{m[o]}", _fold("_pl"))
                 .withColumn(f"_tl{m[o]}", F.collect_list(f"_S{m[o]}").over(whole)).drop("_pl"))
-    # 2b. exclusive prefix of block totals per series (one row per block)
+    # 2b. exclusive prefix of block totals per series, two levels so no window frame grows
+    #     beyond ``fanout`` entries per block: inside superblocks of ``fanout`` blocks, then
+    #     over superblock totals (one row per superblock)
     blocks = subs.groupBy(*keys, BLK).agg(*[F.first(f"_tl{m[o]}").alias(f"_tl{m[o]}") for o in outs])
-    wblk = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_sb", F.floor(F.col(BLK) / F.lit(fanout)).cast("long"))
+    wsb = Window.partitionBy(*keys, "_sb").orderBy(BLK)
     for o in outs:
         blocks = (blocks.withColumn(f"_T{m[o]}", _fold(f"_tl{m[o]}"))
-                  .withColumn("_bl", F.collect_list(f"_T{m[o]}").over(wblk))
-                  .withColumn(f"_BP{m[o]}", _fold("_bl")).drop("_bl", f"_T{m[o]}", f"_tl{m[o]}"))
+                  .withColumn("_bl", F.collect_list(f"_T{m[o]}").over(wsb.rowsBetween(Window.unboundedPreceding, -1)))
+                  .withColumn(f"_IP{m[o]}", _fold("_bl"))
+                  .withColumn("_al", F.collect_list(f"_T{m[o]}").over(
+                      wsb.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+                  .withColumn(f"_ST{m[o]}", _fold("_al")).drop("_bl", "_al", f"_T{m[o]}", f"_tl{m[o]}"))
+    supers = blocks.groupBy(*keys, "_sb").agg(*[F.first(f"_ST{m[o]}").alias(f"_ST{m[o]}") for o in outs])
+    wsup = Window.partitionBy(*keys).orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1)
+    for o in outs:
+        supers = (supers.withColumn("_sl", F.collect_list(f"_ST{m[o]}").over(wsup))
+                  .withColumn(f"_SP{m[o]}", _fold("_sl")).drop("_sl", f"_ST{m[o]}"))
+    blocks = blocks.drop(*[f"_ST{m[o]}" for o in outs]).join(supers, [*keys, "_sb"])
+    for o in outs:
+        # block prefix = superblock prefix, then the blocks before it inside the superblock
+        blocks = blocks.withColumn(f"_BP{m[o]}", F.expr(f"aggregate(array(_SP{m[o]}, _IP{m[o]}), {_ID}, {_COMPOSE})"))
+    blocks = blocks.select(*keys, BLK, *[f"_BP{m[o]}" for o in outs])
     # carry into each sub-block = (block prefix, then in-block prefix) applied to 0
     carry = subs.join(blocks, [*keys, BLK])
     for o in outs:

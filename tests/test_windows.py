@@ -61,9 +61,9 @@ def test_lags_rolling_and_fills_match_pandas(spark, block):
             assert _close(a, b), (c, a, b)
 
 
-@pytest.mark.parametrize("block,sub", [(12, 3), (24, 8), (720, 120)])
+@pytest.mark.parametrize("block,sub,fanout", [(12, 3, 2), (24, 8, 512), (720, 120, 512)])
 @pytest.mark.parametrize("cap", [None, 6.0])
-def test_affine_scan_equals_loop(spark, block, sub, cap):
+def test_affine_scan_equals_loop(spark, block, sub, fanout, cap):
     rng = np.random.default_rng(7)
     rows = []
     for s in range(3):
@@ -76,9 +76,10 @@ def test_affine_scan_equals_loop(spark, block, sub, cap):
         "prev": F.lag("r", 1).over(w), "first": F.lag("pos", 1).over(w).isNull()}, halo=1, block=block)
     a = 0.9
     capc = F.lit(cap) if cap is not None else F.lit(None)
-    out = affine_scan(df, ["site"], "pos", cap=capc, coef=F.when(F.col("first"), 0.0).otherwise(a),
-                      offset=F.when(F.col("first"), F.col("r")).otherwise(F.col("prev")), out="x",
-                      block=block, sub=sub)
+    from hydroflow.operators.scan import affine_scan_many
+    out = affine_scan_many(df, ["site"], "pos", {"x": (capc, F.when(F.col("first"), 0.0).otherwise(a),
+                                                      F.when(F.col("first"), F.col("r")).otherwise(F.col("prev")))},
+                           block=block, sub=sub, fanout=fanout)
     got = out.select("site", "pos", "x").toPandas().sort_values(["site", "pos"])
     for s, g in pdf.groupby("site"):
         r = g.sort_values("pos").r.tolist()
