@@ -34,11 +34,18 @@ def missing_ranking(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     return long.select("column", "n_missing", (F.col("n_missing") / F.col("_n") * 100).alias("missing_pct"))
 
 
+def distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Exact distinct count per column as ONE job: a union of single-column aggregations.
+    Each branch reads only its column (columnar pruning) and deduplicates map-side; a single
+    multi-column ``count(DISTINCT)`` would instead expand every row once per column."""
+    from functools import reduce
+    parts = [df.agg(F.lit(c).alias("column"), F.count_distinct(F.col(c)).alias("n_unique")) for c in cols]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def cardinality_ranking(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Q11: exact number of distinct non-null values per column."""
-    cols = list(cols or df.columns)
-    agg = df.agg(*[F.count_distinct(F.col(c)).alias(c) for c in cols])
-    return agg.unpivot([], cols, "column", "n_unique")
+    return distinct_counts(df, list(cols or df.columns))
 
 
 def to_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -142,7 +149,8 @@ def column_types(df: DataFrame) -> DataFrame:
     """Q2 with explicit rules (the report gives definitions, not thresholds): datetime by type;
     binary = 2 distinct values; numeric = at least 90% of non-missing values cast to a finite
     double and more than 20 distinct values; categorical = at most max(20, 1% of rows)
-    distinct values; otherwise numeric if castable, else text. One aggregation."""
+    distinct values; otherwise numeric if castable, else text. One plain aggregation for the
+    counts, one union of single-column aggregations for the distinct counts."""
     types = {f.name: f.dataType for f in df.schema.fields}
     aggs = []
     for c, t in types.items():
@@ -154,21 +162,19 @@ def column_types(df: DataFrame) -> DataFrame:
             ok = F.col(c).isNotNull() & (F.trim(s) != "")
             num = s.try_cast("double")
             good = ok & num.isNotNull() & ~F.isnan(num)
-        aggs += [F.sum(ok.cast("long")).alias(f"{c}__n"), F.sum(good.cast("long")).alias(f"{c}__num"),
-                 F.count_distinct(F.col(c)).alias(f"{c}__u")]
-    a = df.agg(*aggs)
-    cells = []
-    for c, t in types.items():
-        n, num, u = F.col(f"{c}__n"), F.col(f"{c}__num"), F.col(f"{c}__u")
-        share = F.when(n > 0, num / n).otherwise(F.lit(0.0))
-        is_dt = isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType))
-        kind = (F.when(F.lit(is_dt), "datetime").when(u == 2, "binary")
-                .when((share >= 0.9) & (u > 20), "numeric")
-                .when(u <= F.greatest(F.lit(20), F.floor(n * 0.01)), "categorical")
-                .when(share >= 0.9, "numeric").otherwise("text"))
-        cells.append(F.struct(F.lit(c).alias("column"), kind.alias("type"), share.alias("numeric_share"),
-                              u.alias("n_unique")))
-    return a.select(F.explode(F.array(*cells)).alias("_c")).select("_c.*")
+        aggs += [F.sum(ok.cast("long")).alias(f"{c}__n"), F.sum(good.cast("long")).alias(f"{c}__num")]
+    cells = [F.struct(F.lit(c).alias("column"), F.col(f"{c}__n").alias("n"), F.col(f"{c}__num").alias("num"),
+                      F.lit(isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType))).alias("is_dt"))
+             for c, t in types.items()]
+    counts = df.agg(*aggs).select(F.explode(F.array(*cells)).alias("_c")).select("_c.*")
+    j = counts.join(distinct_counts(df, list(types)), "column")   # both one row per column
+    n, num, u = F.col("n"), F.col("num"), F.col("n_unique")
+    share = F.when(n > 0, num / n).otherwise(F.lit(0.0))
+    kind = (F.when(F.col("is_dt"), "datetime").when(u == 2, "binary")
+            .when((share >= 0.9) & (u > 20), "numeric")
+            .when(u <= F.greatest(F.lit(20), F.floor(n * 0.01)), "categorical")
+            .when(share >= 0.9, "numeric").otherwise("text"))
+    return j.select("column", kind.alias("type"), share.alias("numeric_share"), "n_unique")
 
 
 def prediction_power(df: DataFrame, target: str, features: Sequence[str], key: str, frac: float = 0.8,
