@@ -1203,3 +1203,46 @@ def q_anomalous_rows(spark, sf_dir):
     forest = anomaly.fit_isolation_forest(l, PROF_NUM, "k", trees=100)
     s = anomaly.score(l, forest, PROF_NUM)
     return reshape.top_n(s, "anomaly_score", 10, "k")
+
+
+# ---------------------------------------------------------------- P15, A17, R3
+
+@register("year_month_filter", f"""
+SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month,
+       CAST(count(*) AS BIGINT) AS n, {R(f'sum(o_totalprice * {D(PRICE_SCALE)})', 'total')}
+FROM orders WHERE year(o_orderdate) IN (1996, 1998) AND month(o_orderdate) IN (6, 7, 8) GROUP BY 1, 2""")
+def q_year_month_filter(spark, sf_dir):
+    """Rows of a year set and a month set (the R script's winter-of-given-years subset)."""
+    o = load(spark, sf_dir, "orders", ["o_orderdate", "o_totalprice"])
+    f = o.where(clean.in_years_months("o_orderdate", [1996, 1998], [6, 7, 8]))
+    return rounded(f.groupBy(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"))
+                   .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("o_totalprice") * F.lit(PRICE_SCALE)).alias("total")))
+
+
+_PIV_SQL = f"""
+m AS (SELECT site, model, 1 - sum({_E}*{_E}) / (count({_E}) * var_pop(CASE WHEN pred IS NOT NULL THEN actual END)) AS r2
+      FROM lp GROUP BY site, model)"""
+
+
+@register("pivot_summary", f"""WITH {SQL_PAIRS}, {_PIV_SQL}
+SELECT model, CAST(count(r2) AS BIGINT) AS count, {R('avg(r2)', 'mean')}, {R('stddev_samp(r2)', 'std')},
+       {R('min(r2)', 'min')}, {R('quantile_cont(r2, 0.25)', 'q25')}, {R('quantile_cont(r2, 0.5)', 'q50')},
+       {R('quantile_cont(r2, 0.75)', 'q75')}, {R('max(r2)', 'max')} FROM m GROUP BY model""")
+def q_pivot_summary(spark, sf_dir):
+    """Count, mean, std, min, quartiles, max of each column of the site x model R2 table
+    (exact quartiles)."""
+    m = long_pairs(spark, sf_dir).groupBy("site", "model").agg(*metrics.error_metric_columns("actual", "pred"))
+    st = m.groupBy("model").agg(F.count("r2").alias("count"), F.avg("r2").alias("mean"),
+                                F.stddev_samp("r2").alias("std"), F.min("r2").alias("min"), F.max("r2").alias("max"))
+    q = ranking.quantiles_type7(m, ["model"], "r2", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return rounded(st.join(q, "model").select("model", "count", "mean", "std", "min", "q25", "q50", "q75", "max"))
+
+
+@register("leaderboard_top20", f"""WITH {SQL_PAIRS}
+SELECT site, scenario, model, {R('sqrt(avg(' + _E + '*' + _E + '))', 'rmse')} FROM lp GROUP BY site, scenario, model
+ORDER BY sqrt(avg({_E}*{_E})), site, scenario, model LIMIT 20""")
+def q_leaderboard_top20(spark, sf_dir):
+    """The 20 best (site, scenario, model) candidates by RMSE (the limit is the feature)."""
+    m = long_pairs(spark, sf_dir).groupBy("site", "scenario", "model").agg(
+        F.sqrt(F.avg((F.col("pred") - F.col("actual")) ** 2)).alias("rmse"))
+    return rounded(m.orderBy("rmse", "site", "scenario", "model").limit(20))
