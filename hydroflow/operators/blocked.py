@@ -51,10 +51,12 @@ def attach(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "in
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate to every row (equi-join on a constant key,
-    broadcast: the size is one row by construction)."""
-    return (df.withColumn("_one", F.lit(1))
-            .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+    """Attach the columns of a one-row aggregate to every row as literals: the aggregate runs
+    once, its single row (a handful of numbers) comes back, and the main plan carries no join
+    at all (a constant-key join would be folded into a nested-loop cross join)."""
+    row = one_row.first()
+    types = {f.name: f.dataType for f in one_row.schema.fields}
+    return df.withColumns({c: F.lit(row[c]).cast(types[c]) for c in one_row.columns})
 
 
 def block_of(pos: str, block: int) -> Column:

@@ -85,10 +85,11 @@ def order_statistics(df: DataFrame, groups: Sequence[str], x: str, targets: Data
     data = df.select(*g, F.col(x).cast("double").alias("_x")).where(F.col("_x").isNotNull())
     bounds = data.groupBy(*g).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
     # checked size: one row per group (targets table is at most a few rows per group)
-    targets = targets.cache()
+    from .blocked import materialize
+    targets = materialize(targets)
     small = targets.count() <= 1_000_000
     bc = F.broadcast if small else (lambda d: d)
-    t = targets.join(bc(bounds), g).withColumn("_base", F.lit(0).cast("long")).cache()
+    t = materialize(targets.join(bc(bounds), g).withColumn("_base", F.lit(0).cast("long")))
     rows = data.join(bc(bounds), g)
     path: list[str] = []
     results = []
@@ -105,9 +106,8 @@ def order_statistics(df: DataFrame, groups: Sequence[str], x: str, targets: Data
                .where((F.col("_base") + F.col("_before") <= F.col("k"))
                       & (F.col("k") < F.col("_base") + F.col("_before") + F.col("_n")))
                .select(*g, *path, b, "k", F.col("_nlo").alias("_lo"), F.col("_nhi").alias("_hi"),
-                       (F.col("_base") + F.col("_before")).alias("_base"), "_n")).cache()
-        t.unpersist()
-        t = hit
+                       (F.col("_base") + F.col("_before")).alias("_base"), "_n"))
+        t = materialize(hit)
         path = [*path, b]
         # one distinct value left: resolved without touching rows again
         results.append(t.where(F.col("_lo") == F.col("_hi")).select(*g, "k", F.col("_lo").alias("value")))
@@ -120,7 +120,7 @@ def order_statistics(df: DataFrame, groups: Sequence[str], x: str, targets: Data
             ranked = sub.withColumn("_rn", F.row_number().over(wr) - 1).select(*g, *path, "_x", "_rn")
             results.append(ranked.join(fin.select(*g, *path, "k", "_base"), [*g, *path])
                            .where(F.col("_base") + F.col("_rn") == F.col("k")).select(*g, "k", F.col("_x").alias("value")))
-        t = t.where((F.col("_lo") < F.col("_hi")) & (F.col("_n") > final_rows)).cache()
+        t = t.where((F.col("_lo") < F.col("_hi")) & (F.col("_n") > final_rows))
         if last or t.limit(1).count() == 0:
             break
         open_iv = t.select(*g, *path, "_lo", "_hi").distinct()
