@@ -74,9 +74,15 @@ def lookup(df: DataFrame, col: str, mapping: Mapping[str, str], out: str) -> Dat
     return df.withColumn(out, F.try_element_at(m, F.col(col)))
 
 
-def lookup_by_substring(df: DataFrame, col: str, table: DataFrame, key: str) -> DataFrame:
+def lookup_by_substring(df: DataFrame, col: str, table: DataFrame, key: str,
+                        max_entries: int = 10_000) -> DataFrame:
     """Theta lookup - the row whose ``key`` is a substring of ``col``; rows with no match
-    are skipped (inner join). The lookup table is a small dictionary, broadcast."""
+    are skipped (inner join). A substring match has no equi-key, so the dictionary is
+    broadcast and every row is tested against it: its size is checked first (a site -> gauge
+    map has a handful of entries)."""
+    n = table.count()
+    if n > max_entries:
+        raise ValueError(f"substring lookup table has {n} entries (> {max_entries}); use an equi-key lookup")
     return df.join(F.broadcast(table), F.col(col).contains(F.col(key)), "inner")
 
 

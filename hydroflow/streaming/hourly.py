@@ -5,7 +5,12 @@ arriving: ``readStream`` -> watermark -> 1-hour tumbling window per site -> ``up
 into an upsert log (one parquet folder per micro-batch, under the shared checkpoint folder).
 Reading the log keeps the latest value per (site, hour), so late rows inside the watermark
 correct earlier hours and nothing is lost when the stream stops before the watermark passes
-the last hour (append mode would hold those hours back)."""
+the last hour (append mode would hold those hours back).
+
+Failure handling: the query's offsets and state live in the checkpoint location (shared
+folder). A micro-batch replayed after a failure appends the same rows under the same batch
+id, so the read side (latest batch per key, ``max_by``) is idempotent under at-least-once
+delivery. Rows older than the watermark are dropped as late data, the usual streaming rule."""
 from __future__ import annotations
 
 import os
