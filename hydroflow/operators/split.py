@@ -13,10 +13,18 @@ TWO32 = float(2 ** 32)
 
 
 def time_split(df: DataFrame, keys: Sequence[str], ts: str, frac: float = 0.8,
-               bucket=None) -> DataFrame:
+               bucket=None, pos: str | None = None) -> DataFrame:
     """First ``floor(frac * n)`` rows of each series (by time) are 'train'.
-    Positions come from ``dense_position`` (distributed prefix counts), not a per-series
-    ``row_number`` that would sort a whole series in one task."""
+    With ``pos`` (a gap-free position such as the hour id of an hourly grid) the rank is
+    ``pos - min(pos)``: two per-series aggregates, no window. Otherwise positions come from
+    ``dense_position`` (distributed prefix counts), not a per-series ``row_number`` that
+    would sort a whole series in one task."""
+    if pos is not None:
+        st = df.groupBy(*keys).agg(F.min(pos).alias("_p0"), F.count(F.lit(1)).alias("_n"))
+        return (attach(df, st, keys)
+                .withColumn("split", F.when(F.col(pos) - F.col("_p0") < F.floor(F.col("_n") * F.lit(frac)), "train")
+                            .otherwise("test"))
+                .drop("_p0", "_n"))
     b = bucket if bucket is not None else F.date_trunc("month", F.col(ts))
     d = dense_position(df, keys, ts, b, out="_tpos")
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))

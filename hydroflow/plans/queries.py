@@ -494,7 +494,7 @@ s AS (SELECT site, Rainfall, CASE WHEN rn - 1 < floor(count(*) OVER (PARTITION B
 SELECT site, split, CAST(count(*) AS BIGINT) AS n, {R('sum(Rainfall)', 'rain')} FROM s GROUP BY site, split""")
 def q_time_split_counts(spark, sf_dir):
     """First 80% of each series by time is train."""
-    s = split.time_split(hourly_rain(spark, sf_dir), ["site"], "ts", 0.8)
+    s = split.time_split(hourly_rain(spark, sf_dir), ["site"], "ts", 0.8, pos="hid")
     return rounded(s.groupBy("site", "split").agg(F.count(F.lit(1)).alias("n"), F.sum("Rainfall").alias("rain")))
 
 
