@@ -109,9 +109,10 @@ def dense_position(df: DataFrame, keys: Sequence[str], order: str, bucket: Colum
             .drop("_bkt", "_off"))
 
 
-def fill(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[str], how: str,
+def fill(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[str] | dict[str, str], how: str = "ffill",
          block: int = DEFAULT_BLOCK) -> DataFrame:
-    """Fill NULLs of ``cols`` along each series: ``ffill``, ``bfill`` or ``ffill_bfill``.
+    """Fill NULLs of ``cols`` along each series: ``ffill``, ``bfill`` or ``ffill_bfill``
+    (``cols`` may also map column -> mode: all columns then share one carry table and join).
 
     Inside a block: ``last(ignorenulls)`` over a growing frame (ascending for ffill, descending
     for bfill; never ``first`` over an unbounded-following frame, which is quadratic). Across
@@ -119,8 +120,10 @@ def fill(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[str], how:
     joined back on (series, block)."""
     if not cols:
         return df
-    if how not in ("ffill", "bfill", "ffill_bfill"):
-        raise ValueError(how)
+    modes = dict(cols) if isinstance(cols, dict) else {c: how for c in cols}
+    if set(modes.values()) - {"ffill", "bfill", "ffill_bfill"}:
+        raise ValueError(modes)
+    cols = list(modes)
     if BLK not in df.columns:
         df = df.withColumn(BLK, block_of(pos, block))
     p = F.col(pos)
@@ -144,5 +147,6 @@ def fill(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[str], how:
     for c in cols:
         ff = F.coalesce(F.last(F.col(c), ignorenulls=True).over(wf), F.col(f"_cf_{c}"))
         bf = F.coalesce(F.last(F.col(c), ignorenulls=True).over(wb), F.col(f"_cb_{c}"))
-        out[c] = ff if how == "ffill" else bf if how == "bfill" else F.coalesce(ff, bf)
+        m = modes[c]
+        out[c] = ff if m == "ffill" else bf if m == "bfill" else F.coalesce(ff, bf)
     return j.withColumns(out).drop(*carries.keys())

@@ -102,6 +102,5 @@ def add_lag_features(df: DataFrame, keys: Sequence[str], ts: str = "ts", site_na
         return out
 
     d = materialize(with_series_windows(d, keys, "_pos", build, halo=halo, block=block))
-    d = fill(d, keys, "_pos", list(lags), "ffill_bfill", block)
-    d = fill(materialize(d), keys, "_pos", list(means), "bfill", block)
+    d = fill(d, keys, "_pos", {**{c: "ffill_bfill" for c in lags}, **{c: "bfill" for c in means}}, block=block)
     return d.drop("_pos", "_blk")

@@ -238,6 +238,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- extra lags / temperature
 
 from ..operators import joins, metrics, ranking, reshape, split  # noqa: E402
+from ..operators.blocked import fill as blocked_fill  # noqa: E402
+from ..operators.blocked import materialize  # noqa: E402
 from ..operators.blocked import with_series_windows  # noqa: E402
 
 TEMP_SCALE = 0.1
@@ -302,8 +304,7 @@ def q_ffill_temperature(spark, sf_dir):
     """W4 + W5: forward fill and backward fill of every gap, exact across blocks."""
     t = q_feature_join(spark, sf_dir).withColumn("_pos", cal.hour_id("ts"))
     t = t.withColumns({"temp_ffill": F.col("temp"), "temp_bfill": F.col("temp")})
-    t = windows.fill_columns(t, ["site"], "_pos", ["temp_ffill"], "ffill")
-    t = windows.fill_columns(t, ["site"], "_pos", ["temp_bfill"], "bfill")
+    t = blocked_fill(materialize(t), ["site"], "_pos", {"temp_ffill": "ffill", "temp_bfill": "bfill"})
     return rounded(t.select("site", "ts", "temp_ffill", "temp_bfill"))
 
 
@@ -937,7 +938,6 @@ def q_profile_overview(spark, sf_dir):
 # ---------------------------------------------------------------- model training table and MLlib jobs (tier 3)
 
 from ..operators import models  # noqa: E402
-from ..operators.blocked import materialize  # noqa: E402
 
 
 def training_table(spark, sf_dir) -> DataFrame:
