@@ -133,3 +133,31 @@ def _split(df, keys, ts, frac, method, key):
         s = split.hash_split(df, [key or ts, *keys], frac)
     s = s.cache()
     return s.where("split = 'train'"), s.where("split = 'test'")
+
+
+def run_experiments(df: DataFrame, keys: Sequence[str], ts: str, target: str, variables: Sequence[str] = (),
+                    run_acf: bool = True, run_ablation: bool = True, run_benchmark: bool = True,
+                    run_importance: bool = True, run_ensemble: bool = False, key: str | None = None,
+                    train_size: float = 0.7, split_method: str = "time", trees: int = 50) -> dict:
+    """The reference's ``main(flags)`` pipeline as one call over all series: ACF/stationarity,
+    ablation with vote, benchmark and importance on the consensus features (all features when
+    no ablation ran), optional stacked ensemble. Returns a dict of result DataFrames."""
+    out: dict = {}
+    groups = models.FEATURE_GROUPS
+    feats = [c for fs in groups.values() for c in fs if c in df.columns]
+    if run_acf:
+        out.update(run_acf_analysis(df, keys, ts, target, [v for v in variables if v in df.columns]))
+    if run_ablation:
+        abl, votes = feature_ablation_study(df, keys, ts, target, groups, train_size, split_method, key, trees)
+        out["ablation"], out["votes"] = abl, votes
+        chosen = {r.feature_group for r in votes.where("consensus").select("feature_group").distinct().collect()}
+        consensus = [c for g, fs in groups.items() if g in chosen for c in fs if c in df.columns]
+        feats = consensus or feats
+    if run_benchmark:
+        out["algorithms"] = algorithm_benchmark(df, keys, ts, target, feats, train_size, split_method, key, trees)
+    if run_importance:
+        out["importance"] = feature_importance_analysis(df, keys, ts, target, feats, train_size, split_method,
+                                                        key, trees)
+    if run_ensemble and key:
+        out["ensemble"] = train_stacked_ensemble(df, keys, ts, target, feats, key, 5, train_size, split_method, trees)
+    return out

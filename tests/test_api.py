@@ -44,3 +44,11 @@ def test_consolidate_and_statistics_table(spark):
     abl = spark.createDataFrame([("s", 1, 4.0), ("s", 2, 3.0)], "site string, step int, rmse double")
     t = api.generate_statistics_table(algos, abl).first()
     assert (t.best_algorithm, t.best_rmse, t.best_r2, t.feature_improvement_pct) == ("RF", 1.0, 0.9, 25.0)
+
+
+def test_run_experiments_pipeline(spark):
+    s = synthetic_hourly(spark, days=15).withColumn("site", F.lit("a"))
+    s = s.withColumns(calendar_columns("ts")).withColumnRenamed("inflow", "flow")
+    res = api.run_experiments(s, ["site"], "ts", "flow", ["Rainfall"], run_acf=False, trees=3)
+    assert {"ablation", "votes", "algorithms", "importance"} <= set(res)
+    assert res["algorithms"].count() == 6
