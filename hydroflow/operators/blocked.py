@@ -67,12 +67,15 @@ def with_halo(df: DataFrame, pos: str, halo: int, block: int = DEFAULT_BLOCK) ->
     """Add ``_blk``; append copies of each block's last ``halo`` rows to the next block."""
     if halo > block:
         raise ValueError(f"halo {halo} larger than block {block}")
-    core = df.withColumn(BLK, block_of(pos, block)).withColumn(HALO, F.lit(False))
+    own = block_of(pos, block)
     if halo == 0:
-        return core
-    tail = (df.filter(F.pmod(F.col(pos), F.lit(block)) >= F.lit(block - halo))
-            .withColumn(BLK, block_of(pos, block) + 1).withColumn(HALO, F.lit(True)))
-    return core.unionByName(tail)
+        return df.withColumn(BLK, own).withColumn(HALO, F.lit(False))
+    # one pass over the input: a tail row is emitted for its own block and, as a halo copy,
+    # for the next one (no self-union, so the input is read once)
+    tail = F.pmod(F.col(pos), F.lit(block)) >= F.lit(block - halo)
+    blks = F.when(tail, F.array(own, own + 1)).otherwise(F.array(own))
+    return (df.withColumn("_own", own).withColumn(BLK, F.explode(blks))
+            .withColumn(HALO, F.col(BLK) != F.col("_own")).drop("_own"))
 
 
 def block_window(keys: Sequence[str], pos: str, descending: bool = False):

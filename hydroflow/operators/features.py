@@ -35,8 +35,7 @@ def prep_rainfall(hourly: DataFrame, keys: Sequence[str], ts: str = "ts", rain:
         cols["_first"] = F.lag(F.col("_pos"), 1).over(w).isNull()
         return cols
 
-    d = materialize(with_series_windows(materialize(d), keys, "_pos", build,
-                                        halo=max(RAIN_WINDOWS) - 1, block=block))
+    d = materialize(with_series_windows(d, keys, "_pos", build, halo=max(RAIN_WINDOWS) - 1, block=block))
     # the recurrences use the previous hour's raw rain (Rainlag1 before any fill)
     first, prev = F.col("_first"), F.col("Rainlag1")
     d = affine_scan_many(d, keys, "_pos", {
