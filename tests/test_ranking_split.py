@@ -95,3 +95,10 @@ def test_time_split_dense_pos_equals_positions(spark):
     d = spark.range(0, 300).withColumn("g", F.lit(1)).withColumn("ts", F.timestamp_seconds("id"))
     x = split.time_split(d, ["g"], "ts", 0.7, pos="id").where("split = 'train'").agg(F.max("id"), F.count("id")).first()
     assert tuple(x) == (209, 210)
+
+
+def test_hash32_ranges(spark):
+    df = spark.range(0, 20000)
+    for algo in ("md5", "xxhash"):
+        r = df.select(ranking.hash32("id", seed=1, algo=algo).alias("h")).agg(F.min("h"), F.max("h"), F.avg("h")).first()
+        assert r[0] >= 0 and r[1] < 2 ** 32 and abs(r[2] / 2 ** 32 - 0.5) < 0.02
