@@ -102,15 +102,25 @@ def ablation_study(train: DataFrame, test: DataFrame, label: str,
 
 
 def algorithm_benchmark(train: DataFrame, test: DataFrame, label: str, features: Sequence[str],
-                        algos: Sequence[str] = BENCH_ALGOS, trees: int = 50) -> DataFrame:
+                        algos: Sequence[str] = BENCH_ALGOS, trees: int = 50,
+                        per_series: Sequence[str] = ()) -> DataFrame:
     """Every algorithm on one split; the metrics of all models come from ONE aggregation
-    over the stacked predictions."""
+    over the stacked predictions. ``per_series`` (key columns) fits one model per series, as
+    the reference does per site and scenario: the driver loops over the distinct keys (a few
+    rows), every fit is distributed, and metrics are grouped by (keys, algorithm)."""
+    keys = list(per_series)
+    series = [r.asDict() for r in train.select(*keys).distinct().collect()] if keys else [{}]
     preds = None
-    for a in algos:
-        p = (pipeline(available(train, features), a, label, trees=trees).fit(train).transform(test)
-             .select(F.lit(a).alias("algorithm"), F.col(label).alias("y"), F.col("prediction").alias("p")))
-        preds = p if preds is None else preds.unionByName(p)
-    return preds.groupBy("algorithm").agg(*error_metric_columns("y", "p"))
+    for sk in series:
+        cond = F.lit(True)
+        for c, v in sk.items():
+            cond = cond & (F.col(c) == F.lit(v))
+        tr, te = train.where(cond), test.where(cond)
+        for a in algos:
+            p = (pipeline(available(train, features), a, label, trees=trees).fit(tr).transform(te)
+                 .select(*keys, F.lit(a).alias("algorithm"), F.col(label).alias("y"), F.col("prediction").alias("p")))
+            preds = p if preds is None else preds.unionByName(p)
+    return preds.groupBy(*keys, "algorithm").agg(*error_metric_columns("y", "p"))
 
 
 def feature_importance(train: DataFrame, label: str, features: Sequence[str], algo: str = "ET",

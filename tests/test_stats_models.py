@@ -117,3 +117,13 @@ def test_isolation_forest_flags_planted_outliers(spark):
     sc = anomaly.score(df, forest, ["a", "b"]).toPandas().sort_values("anomaly_score", ascending=False)
     assert set(sc.id.iloc[:4]) == {0, 1, 2, 3}          # extreme on both axes
     assert sc.set_index("id").anomaly_score[4] > sc.anomaly_score.quantile(0.95)  # extreme on one axis
+
+
+def test_benchmark_per_series(spark):
+    a = synthetic_hourly(spark, days=20).withColumn("site", F.lit("a"))
+    b = synthetic_hourly(spark, days=20, seed=9).withColumn("site", F.lit("b"))
+    s = a.unionByName(b).withColumn("id", hour_id("ts"))
+    tr, te = (split.hash_split(s, ["site", "id"], 0.7).cache().where(f"split = '{x}'") for x in ("train", "test"))
+    res = models.algorithm_benchmark(tr, te, "inflow", ["Rainfall", "temp"], algos=("LR",), trees=3,
+                                     per_series=["site"]).collect()
+    assert sorted(r.site for r in res) == ["a", "b"] and all(r.r2 > 0.4 for r in res)
