@@ -25,10 +25,10 @@ SEED = 42
 # The ordered feature groups of the ablation (order matters).
 FEATURE_GROUPS: dict[str, list[str]] = {
     "date_basic": ["doy", "month", "mday", "wday", "hour"],
-    "temp": ["temp"],
-    "temp_lag1": ["temp lag1"],
-    "temp_lag2_3": ["temp lag2", "temp lag3"],
-    "temp_lag24": ["temp lag24"],
+    "temp": ["Dry bulb degC"],
+    "temp_lag1": ["Dry bulb degC lag1"],
+    "temp_lag2_3": ["Dry bulb degC lag2", "Dry bulb degC lag3"],
+    "temp_lag24": ["Dry bulb degC lag24"],
     "temp_rolling": ["Temp_6HR_mean", "Temp_12HR_mean", "Temp_24HR_mean"],
     "soilm": ["SoilMoisture"],
     "soilm_lag1": ["SoilMoisturelag1"],

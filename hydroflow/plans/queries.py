@@ -947,10 +947,11 @@ def training_table(spark, sf_dir) -> DataFrame:
     ev = sensor_feed(spark, sf_dir)
     rain = features.prep_rainfall(hourly_rain(spark, sf_dir), ["site"])
     flow = resample.hourly_sum(ev.withColumn("one", F.lit(1.0)), ["site"], "ts", "one", out="flow").drop("hid")
-    t = joins.left_on_hour(rain, [hourly_temp(spark, sf_dir), flow], ["site"])
-    t = features.add_lag_features(t, ["site"], "ts", temp="temp")
+    temp = hourly_temp(spark, sf_dir).withColumnRenamed("temp", TEMP_COL)
+    t = joins.left_on_hour(rain, [temp, flow], ["site"])
+    t = features.add_lag_features(t, ["site"], "ts", temp=TEMP_COL)
     t = t.withColumn("_pos", cal.hour_id("ts"))
-    t = windows.fill_columns(materialize(t), ["site"], "_pos", ["temp"], "ffill_bfill")
+    t = windows.fill_columns(materialize(t), ["site"], "_pos", [TEMP_COL], "ffill_bfill")
     # a feature with no value at all in a series (e.g. a 24 h mean on a sparse feed) stays
     # NULL after ffill/bfill; MLlib rejects NaN, so such cells are imputed with 0
     feats = [c for c in ALL_FEATURES if c in t.columns]
@@ -958,6 +959,7 @@ def training_table(spark, sf_dir) -> DataFrame:
 
 
 ALL_FEATURES = [c for g in models.FEATURE_GROUPS.values() for c in g]
+TEMP_COL = "Dry bulb degC"  # the reference's temperature column name (feature groups use it)
 
 
 def _split(t: DataFrame):
