@@ -5,8 +5,9 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hydroflow.session import cut_lineage, ensure_checkpoint_dir
+from hydroflow.session import cut_lineage, ensure_checkpoint_dir, ship_package
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -80,3 +81,14 @@ def slices(batch, max_rows: int = 500, max_bytes: int = 8 << 20):
     step = max(1, min(max_rows, int(n * max_bytes / max(batch.nbytes, 1)) or 1))
     for i in range(0, n, step):
         yield batch.slice(i, step)
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` with this package sent to the executors."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
+def with_fields(schema: T.StructType, *fields: tuple[str, str | T.DataType]) -> T.StructType:
+    """A copy of ``schema`` with more fields (name, type as DDL or object)."""
+    return T.StructType([*schema.fields, *[T.StructField(n, T.DataType.fromDDL(k) if isinstance(k, str) else k) for n, k in fields]])

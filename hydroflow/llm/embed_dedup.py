@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, stored
+from .common import map_arrow, quoted, stored
 from .components import connected_components
 
 COSINE = 0.93
@@ -91,7 +91,7 @@ def vector_links(reps: DataFrame, cosine: float = COSINE, hashes: int = HASHES,
 
     label = reps.schema["label"].dataType.simpleString()
     bucket = ["label", "dim", "tab", "key"]
-    hashed = stored(reps.select("node", "label", "vec").mapInArrow(keys, f"node long, label {label}, dim int, tab int, key long"))
+    hashed = stored(map_arrow(reps.select("node", "label", "vec"), keys, f"node long, label {label}, dim int, tab int, key long"))
     sizes = (hashed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
              .withColumn("blocks", F.ceil(F.col("size") / block).cast("int")))
     placed = hashed.join(sizes, bucket).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -117,7 +117,7 @@ def vector_links(reps: DataFrame, cosine: float = COSINE, hashes: int = HASHES,
         if rest is not None and rest.num_rows:
             yield from _cell_links(rest, cosine, hashes, tables, width)
 
-    return dealt.mapInArrow(check, "a long, b long")
+    return map_arrow(dealt, check, "a long, b long")
 
 
 def _runs(t: pa.Table, names: list[str]) -> np.ndarray:

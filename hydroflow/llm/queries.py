@@ -1,12 +1,15 @@
 """Registered queries of this subpackage and their DuckDB SQL."""
 from __future__ import annotations
 
-from . import embed_dedup, exact_dedup, mixing, simhash
+from . import bpe, embed_dedup, exact_dedup, html_extract, langid, mixing, simhash
 
 QUERIES = {
     "op4_mix_sources": mixing.op4,
     "op5_simhash_near_dedup": simhash.op5,
     "op6_embedding_near_dedup": embed_dedup.op6,
+    "op7_language_id": langid.op7,
+    "op8_html_extraction": html_extract.op8,
+    "op9_bpe": bpe.op9,
     "op10_exact_dedup": exact_dedup.op10,
 }
 

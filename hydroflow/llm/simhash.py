@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, first_rank, fresh, quoted, slices, stored, with_row_ids
+from .common import checkpointed, first_rank, fresh, map_arrow, quoted, slices, stored, with_fields, with_row_ids
 from .components import connected_components
 
 SHINGLE = 3
@@ -62,8 +62,8 @@ def fingerprints(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                            dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("rank"), pa.array(fps)], ["rid", "rank", "fp"])
 
-    schema = rows.select("rid", "rank").schema.add("fp", "long")
-    return rows.select("rid", "rank", "text").mapInArrow(run, schema)
+    schema = with_fields(rows.select("rid", "rank").schema, ("fp", "long"))
+    return map_arrow(rows.select("rid", "rank", "text"), run, schema)
 
 
 def _bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -80,7 +80,7 @@ def _bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
         cells = np.append(total.ravel(), n)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells))), pa.array(cells)], ["cell", "n"])
 
-    cells = fps.select("fp").mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    cells = map_arrow(fps.select("fp"), run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     flat = np.zeros(BITS * BITS + 1)
     for r in cells:
         flat[r["cell"]] = r["n"]
