@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -31,19 +32,39 @@ def get_spark(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "h
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
+    """The cluster's shared checkpoint folder (``spark.checkpoint.dir``), set on the context.
 
-    Only when the session has none (local tests) a scratch folder is made and set."""
+    A session without one gets a scratch folder in local mode (tests); on a cluster that would be a
+    machine-local folder other executors cannot read, so it is an error."""
     cur = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir()
     if hasattr(cur, "isDefined"):
         cur = cur.get() if cur.isDefined() else None
-    if cur:
-        spark.sparkContext.setCheckpointDir(cur)
-        return cur
-    path = tempfile.mkdtemp(prefix="hydroflow-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    if not cur:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        cur = tempfile.mkdtemp(prefix="hydroflow-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", cur)
+    spark.sparkContext.setCheckpointDir(cur)
+    return cur
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, for operators that run Python there
+    (a no-op where it is installed on every machine, apart from the small file)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_hydroflow_shipped", None):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="hydroflow-pkg-"), "hydroflow.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(here):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("hydroflow", os.path.relpath(full, here)))
+    sc.addPyFile(path)
+    sc._hydroflow_shipped = True
 
 
 def cut_lineage(df):
