@@ -67,6 +67,13 @@ def remainder(id_col: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % F.lit(mod)
 
 
+def own_shuffle(key: str) -> Column:
+    """A long key whose value is the same but which Spark takes for a new expression. An aggregate's result
+    joined on it gets a shuffle of its own, so that the adaptive skew join can split hot keys of the other
+    side (it cannot where the aggregate and the join share one)."""
+    return F.col(key).bitwiseXOR(F.lit(0).cast("long"))
+
+
 def first_rank(id_col: str, rid: str) -> Column:
     """Order of rows for 'smallest id': nulls last, row number breaks ties. Use with ``min``."""
     return F.struct(quoted(id_col).isNull().alias("no_id"), quoted(id_col).alias("id"), quoted(rid).alias("rid"))

@@ -1,9 +1,11 @@
 """Registered queries of this subpackage and their DuckDB SQL."""
 from __future__ import annotations
 
-from . import bpe, embed_dedup, exact_dedup, html_extract, langid, mixing, simhash
+from . import bpe, embed_dedup, exact_dedup, html_extract, langid, line_dedup, mixing, simhash, substring
 
 QUERIES = {
+    "op2_substring_dedup": substring.op2,
+    "op3_line_dedup": line_dedup.op3,
     "op4_mix_sources": mixing.op4,
     "op5_simhash_near_dedup": simhash.op5,
     "op6_embedding_near_dedup": embed_dedup.op6,
@@ -14,6 +16,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_line_dedup": line_dedup.SQL,
     "op4_mix_sources": mixing.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
