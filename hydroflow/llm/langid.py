@@ -226,10 +226,16 @@ def sample_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents in which a language is found, with the columns of ``docs``."""
     samples = sample_of(docs, id_col, text_col, lang_col)
-    pred, score = fresh(docs, "lang_pred_", "score_")
-    found = identify(docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), quoted(text_col).alias("t")),
-                     samples, "t", [F.col("row")]).withColumnsRenamed({"lang_pred": pred, "score": score})
-    return found.where(F.col(pred) != UND).select("row.*")
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        parser = _parser(samples)
+        for batch in batches:
+            for part in slices(batch, max_rows=2000, max_bytes=4 << 20):
+                names, _ = parser.predict([t or "" for t in part.column(at).to_pylist()])
+                yield part.filter(pa.array([n != UND for n in names], pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema)
 
 
 def op7(spark, sf_dir):

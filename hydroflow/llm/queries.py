@@ -1,9 +1,10 @@
 """Registered queries of this subpackage and their DuckDB SQL."""
 from __future__ import annotations
 
-from . import bpe, embed_dedup, exact_dedup, html_extract, langid, line_dedup, mixing, simhash, substring
+from . import bpe, embed_dedup, exact_dedup, html_extract, langid, line_dedup, lm_scoring, mixing, simhash, substring
 
 QUERIES = {
+    "op1_lm_scoring": lm_scoring.op1,
     "op2_substring_dedup": substring.op2,
     "op3_line_dedup": line_dedup.op3,
     "op4_mix_sources": mixing.op4,
