@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, own_shuffle
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,10 +23,11 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         before = stat
         both = e.select(F.col("u").alias("n"), F.col("v").alias("nb")).unionAll(
             e.select(F.col("v").alias("n"), F.col("u").alias("nb")))
-        low = both.groupBy("n").agg(F.min("nb").alias("m")).select("n", F.least("n", "m").alias("m"))
+        low = both.groupBy("n").agg(F.min("nb").alias("m")).select(own_shuffle("n").alias("n"), F.least("n", "m").alias("m"))
         large = both.join(low, "n").where("nb > n").select(F.col("nb").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        to_low = low.select(own_shuffle("u").alias("u"), "m")
+        small = (large.join(to_low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionAll(low.select("u", F.col("m").alias("v"))))
         e = checkpointed(small.distinct())
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

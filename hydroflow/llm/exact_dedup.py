@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, first_rank, fresh, quoted, stored, with_row_ids, without
+from .common import SPACE, first_rank, fresh, own_shuffle, quoted, stored, with_row_ids, without
 
 FIRST_DIGIT = 64
 WIDEN = 8
@@ -37,7 +37,7 @@ def equal_groups(rows: DataFrame, first_digit: int = FIRST_DIGIT, widen: int = W
         cut = active.select("rid", "rank", "gid", F.substring("bytes", 1, width).alias("digit"),
                             F.expr(f"substring(bytes, {width + 1})").alias("bytes"))
         groups = (cut.groupBy("gid", "digit").agg(F.count(F.lit(1)).alias("size"), F.min("rank").alias("first"))
-                  .where("size > 1"))
+                  .where("size > 1").select(own_shuffle("gid").alias("gid"), "digit", "size", "first"))
         over = F.octet_length("digit") < width
         split = stored(cut.join(groups, ["gid", "digit"])
                        .select("rid", "rank", "size", "first", over.alias("over"),
