@@ -1,11 +1,12 @@
 """Q13: isolation-forest anomaly scores (the data-profile report's anomalous rows).
 
-* sample: ONE pass keeps rows whose key hash falls below trees * 256 / n and deals them to
-  trees by the hash (disjoint ~256-row samples, no per-tree scans, no row explosion);
-* fit: ``applyInPandas`` per tree (a bounded 256-row group) grows an isolation tree to depth
-  ceil(log2 256) = 8 and returns its nodes as rows;
+* sample: one rule for every size. A hash deals each row to one tree, and a tree takes the rows with the 256
+  smallest values of a second hash (ties by the values), so arrival order and partitioning play no part.
+  Only rows whose second hash is below 2 * trees * 256 / n are sent (all rows of a small table);
+* fit: ``applyInPandas`` per tree (about 512 candidate rows) grows an isolation tree to depth
+  ceil(log2 n) of its own n and returns its nodes as rows;
 * score: the node table (trees x <= 511 rows, bounded) is broadcast to a ``mapInPandas``
-  scorer over all rows: score = 2^(-E[h(x)] / c(256)), higher = more anomalous."""
+  scorer over all rows: score = 2^(-E[h(x) / c(n)]) with each tree's own n, higher = more anomalous."""
 from __future__ import annotations
 
 import math
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
 from .ranking import hash32
 
 SAMPLE = 256
@@ -69,26 +71,16 @@ def fit_isolation_forest(df: DataFrame, features: Sequence[str], key: str, trees
     feats = list(features)
     n = df.count()
     vals = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in feats]
-    if trees * SAMPLE < n:
-        # large input: one hash keeps ~trees*256 rows and deals them to trees (disjoint samples;
-        # with n >> trees*256 indistinguishable from independent draws)
-        frac = trees * SAMPLE / n
-        h = hash32(key, seed=seed)
-        s = (df.where(h < F.lit(frac * 2.0 ** 32))
-             .withColumn("tree", F.pmod(hash32(key, seed=seed + 1), F.lit(trees))).select("tree", *vals))
-    else:
-        # small input (n <= trees*256 rows): independent Bernoulli(256/n) membership per tree
-        p = min(1.0, SAMPLE / max(n, 1))
-        thr = int(p * 2 ** 62)
-        member = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
-                          lambda t: F.abs(F.xxhash64(F.col(key), t, F.lit(seed)) % F.lit(2 ** 62)) < F.lit(thr))
-        s = df.select(F.explode(member).alias("tree"), *vals).withColumn("tree", F.col("tree").cast("long"))
+    h = hash32(key, seed=seed)
+    s = (df.select(F.pmod(hash32(key, seed=seed + 1), F.lit(trees)).alias("tree"), h.alias("_h"), *vals)
+         .where(F.col("_h") < F.lit(2.0 * trees * SAMPLE / max(n, 1) * 2.0 ** 32)))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         t = int(pdf["tree"].iloc[0])
-        X = pdf[feats].to_numpy(dtype=float)[:SAMPLE]
+        X = pdf.sort_values(["_h", *feats], kind="stable")[feats].to_numpy(dtype=float)[:SAMPLE]
         return pd.DataFrame(_grow(t, X, seed), columns=[f.name for f in NODE_SCHEMA.fields])
 
+    ship_package(df.sparkSession)
     return s.groupBy("tree").applyInPandas(fit, NODE_SCHEMA)
 
 
@@ -99,16 +91,16 @@ def score(df: DataFrame, forest: DataFrame, features: Sequence[str], out: str =
     for t, g in nodes.groupby("tree"):
         arr = g.sort_values("node")[["feature", "threshold", "left", "right", "size"]].to_numpy(dtype=float)
         adj = np.array([_c(v) for v in arr[:, 4]])  # leaf path-length adjustment, per node
-        trees[t] = np.column_stack([arr, adj])
+        trees[t] = (np.column_stack([arr, adj]), max(_c(arr[0, 4]), 1e-9))  # the root holds the tree's n
     bc = df.sparkSession.sparkContext.broadcast(trees)
-    cn = _c(SAMPLE)
 
     def run(it):
         forest_ = bc.value
         for pdf in it:
             X = pdf[feats].astype(float).fillna(0.0).to_numpy()
             total = np.zeros(len(X))
-            for arr in forest_.values():
+            for arr, cn in forest_.values():
+                path = np.zeros(len(X))
                 node = np.zeros(len(X), dtype=int)
                 depth = np.zeros(len(X))
                 active = np.ones(len(X), dtype=bool)
@@ -117,7 +109,7 @@ def score(df: DataFrame, forest: DataFrame, features: Sequence[str], out: str =
                     leaf = f < 0
                     done = active & leaf
                     if done.any():
-                        total[done] += depth[done] + arr[node[done], 5]
+                        path[done] = depth[done] + arr[node[done], 5]
                         active &= ~leaf
                     if not active.any():
                         break
@@ -125,13 +117,10 @@ def score(df: DataFrame, forest: DataFrame, features: Sequence[str], out: str =
                     go_left = X[rows, f[rows]] < arr[node[rows], 1]
                     node[rows] = np.where(go_left, arr[node[rows], 2], arr[node[rows], 3]).astype(int)
                     depth[rows] += 1
-            pdf[out] = np.power(2.0, -(total / len(forest_)) / cn)
+                total += path / cn
+            pdf[out] = np.power(2.0, -(total / max(len(forest_), 1)))
             yield pdf
 
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType())])
-    # Python scoring is CPU-bound: spread few large input partitions over all cores
-    # (no-op on a cluster-sized input, which already has many partitions)
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        df = df.repartition(par)
+    ship_package(df.sparkSession)
     return df.mapInPandas(run, schema)

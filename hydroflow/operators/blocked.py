@@ -34,20 +34,37 @@ def materialize(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
-# Largest per-series side we broadcast; above it the join stays a sort-merge join and AQE
-# splits skewed partitions (spark.sql.adaptive.skewJoin.enabled).
-BROADCAST_MAX_ROWS = 2_000_000
+# Largest per-series side we broadcast, in bytes; a larger one is joined on (keys, salt).
+BROADCAST_MAX_BYTES = 64 << 20
+SALTS = 64
+
+
+def table_bytes(df: DataFrame) -> int:
+    """Size of a small table: fixed widths by type, strings by their length (one aggregation)."""
+    fixed = 16
+    var = F.lit(0)
+    for f in df.schema.fields:
+        if f.dataType.typeName() in ("string", "binary"):
+            var = var + F.coalesce(F.octet_length(F.col(f.name)), F.lit(0))
+            fixed += 16
+        elif f.dataType.typeName() in ("array", "map", "struct"):
+            var = var + F.coalesce(F.octet_length(F.to_json(F.struct(f.name))), F.lit(0))
+        else:
+            fixed += 16
+    return int(df.agg(F.sum(var + F.lit(fixed))).first()[0] or 0)
 
 
 def attach(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner",
-           max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join a per-series (or per-group) table onto the rows. A hot series would make a
-    shuffle join put a third of all rows in one task, so the small side is broadcast -
-    but only after its row count is checked against ``max_rows``."""
-    small = materialize(small)  # counted and joined: compute it once, hold no executor memory
-    if small.count() <= max_rows:
+           max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Join a per-series (or per-group) table onto the rows. A hot series would make a plain shuffle
+    join put a third of all rows in one task. The small side is broadcast if its measured size allows;
+    else both sides get a salt: rows by a hash of all their columns, the small side one copy per salt."""
+    small = materialize(small)  # measured and joined: compute it once, hold no executor memory
+    if table_bytes(small) <= max_bytes:
         return big.join(F.broadcast(small), list(keys), how)
-    return big.join(small, list(keys), how)
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(SALTS)))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -112,6 +129,19 @@ def dense_position(df: DataFrame, keys: Sequence[str], order: str, bucket: Colum
             .drop("_bkt", "_off"))
 
 
+def row_position(df: DataFrame, keys: Sequence[str], ts: str, out: str = "_pos") -> DataFrame:
+    """Dense row position per series in the order of ``ts`` (one row per hour). A series without gaps has
+    its hour id as a dense position already; that is checked in one aggregation, and any gap makes the
+    positions be counted, so that lags and windows go by row either way."""
+    from ..functions.calendar import hour_id
+    d = df.withColumn(out, hour_id(ts))
+    gaps = (d.groupBy(*keys).agg(F.count(out).alias("_n"), (F.max(out) - F.min(out) + 1).alias("_span"))
+            .where(F.col("_n") != F.col("_span")))
+    if gaps.isEmpty():
+        return d
+    return dense_position(df.withColumn("_hid", hour_id(ts)), keys, "_hid", F.floor(F.col("_hid") / DEFAULT_BLOCK), out).drop("_hid")
+
+
 def fill(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[str] | dict[str, str], how: str = "ffill",
          block: int = DEFAULT_BLOCK) -> DataFrame:
     """Fill NULLs of ``cols`` along each series: ``ffill``, ``bfill`` or ``ffill_bfill``

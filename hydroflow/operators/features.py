@@ -6,8 +6,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.calendar import calendar_columns, hour_id
-from .blocked import DEFAULT_BLOCK, fill, materialize, with_series_windows
+from ..functions.calendar import calendar_columns
+from .blocked import DEFAULT_BLOCK, fill, materialize, row_position, with_series_windows
 from .scan import affine_scan_many
 from .windows import lag, rolling_full
 
@@ -23,11 +23,11 @@ def prep_rainfall(hourly: DataFrame, keys: Sequence[str], ts: str = "ts", rain:
                   fill_how: str | None = "bfill", block: int = DEFAULT_BLOCK,
                   api_decay: float = API_DECAY, soil_decay: float = SOIL_DECAY,
                   soil_max: float = SOIL_MAX) -> DataFrame:
-    """Rain feature block for every series at once. ``hourly`` must be a gap-free hourly grid
-    (``resample.hourly_sum``); lags are by row, so a missing hour would shift every lag.
+    """Rain feature block for every series at once. Lags, windows and recurrences go by row, as on the
+    gap-free grid of ``resample.hourly_sum``; in a series with gaps the previous row counts, however old.
 
     ``fill_how='bfill'`` follows the Python path (leading NULLs back-filled); ``None`` the R path."""
-    d = hourly.withColumn("_pos", hour_id(ts))
+    d = row_position(hourly, keys, ts)
 
     def build(w):
         cols = {f"Rainlag{k}": lag(rain, k, w) for k in RAIN_LAGS}
@@ -56,7 +56,7 @@ def prep_rainfall(hourly: DataFrame, keys: Sequence[str], ts: str = "ts", rain:
 def rain_recurrences(hourly: DataFrame, keys: Sequence[str], ts: str = "ts", rain: str = "Rainfall",
                      block: int = DEFAULT_BLOCK) -> DataFrame:
     """W11 + W12 alone: API and soil moisture without the other rain features."""
-    d = hourly.withColumn("_pos", hour_id(ts))
+    d = row_position(hourly, keys, ts)
     d = materialize(with_series_windows(d, keys, "_pos", lambda w: {
         "_prev": lag(rain, 1, w), "_first": F.lag(F.col("_pos"), 1).over(w).isNull()}, halo=1, block=block))
     first, prev = F.col("_first"), F.col("_prev")
@@ -92,7 +92,7 @@ def add_lag_features(df: DataFrame, keys: Sequence[str], ts: str = "ts", site_na
             lags[f"{site_name} statlag{k}" if site_name else f"statlag{k}"] = (stat, k)
     if not lags and not means:
         return df
-    d = df.withColumn("_pos", hour_id(ts))
+    d = row_position(df, keys, ts)
     halo = max([k for _, k in lags.values()] + [n - 1 for _, n in means.values()] + [1])
 
     def build(w):

@@ -48,36 +48,58 @@ def cardinality_ranking(df: DataFrame, cols: Sequence[str] | None = None) -> Dat
     return distinct_counts(df, list(cols or df.columns))
 
 
+def number(c: str) -> F.Column:
+    """A column as a double; NaN counts as missing, like NULL."""
+    x = F.col(c).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def to_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "column", "x")
+    return df.select(*[number(c).alias(c) for c in cols]).unpivot([], list(cols), "column", "x")
+
+
+def _per_column(agg: DataFrame, cols: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """One row of ``<column>__<name>`` cells -> one row per column."""
+    cells = [F.struct(F.lit(c).alias("column"), *[F.col(f"`{c}__{n}`").alias(n) for n in names]) for c in cols]
+    return agg.select(F.explode(F.array(*cells)).alias("_c")).select("_c.*")
 
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Q3/Q12/Q14: count, mean, median, min, max, std, population skew, Pearson kurtosis
-    (Spark's kurtosis is excess, +3), skew warning (|skew| > 3)."""
-    long = to_long(df, cols).where(F.col("x").isNotNull())
-    # mean from an exact decimal sum: independent of the order in which partitions are added
-    exact_sum = F.sum(F.col("x").cast("decimal(38,6)")).cast("double")
-    stats = long.groupBy("column").agg(
-        F.count("x").alias("n"), (exact_sum / F.count("x")).alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"),
-        F.stddev_pop("x").alias("std"), F.skewness("x").alias("skew"), (F.kurtosis("x") + 3).alias("kurtosis"),
-        F.count_distinct("x").alias("n_unique"))
-    med = quantile_type7(long, ["column"], "x", 0.5, "median")
-    return stats.join(med, "column").withColumn("skew_warning", F.abs(F.col("skew")) > 3)
+    (Spark's kurtosis is excess, +3), skew warning (|skew| > 3), share of missing values. All moments of all
+    columns come from one wide aggregation of the table."""
+    wide = df.select(*[number(c).alias(c) for c in cols])
+    names = ["n", "mean", "min", "max", "std", "skew", "kurtosis", "missing_pct"]
+    aggs = []
+    for c in cols:
+        x = F.col(f"`{c}`")
+        made = [F.count(x), F.avg(x), F.min(x), F.max(x), F.stddev_pop(x), F.skewness(x), F.kurtosis(x) + 3,
+                (F.count(F.lit(1)) - F.count(x)) / F.count(F.lit(1)) * 100]
+        aggs += [m.alias(f"{c}__{n}") for m, n in zip(made, names)]
+    stats = _per_column(wide.agg(*aggs), cols, names)
+    med = quantile_type7(to_long(df, cols), ["column"], "x", 0.5, "median")
+    return (stats.join(distinct_counts(wide, cols), "column").join(med, "column", "left")  # one row per column each
+            .withColumn("skew_warning", F.abs(F.col("skew")) > 3))
 
 
 def outliers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Q4: RSTD = std of the values clipped to [p5, p95]; outliers lie outside median ± 5 RSTD."""
-    long = to_long(df, cols).where(F.col("x").isNotNull())
-    q = quantiles_type7(long, ["column"], "x", {"p5": 0.05, "p95": 0.95, "median": 0.5})
-    j = long.join(q, "column")
-    clipped = F.least(F.greatest(F.col("x"), F.col("p5")), F.col("p95"))
-    rstd = j.groupBy("column", "p5", "p95", "median").agg(F.stddev_pop(clipped).alias("rstd"),
-                                                         F.count(F.lit(1)).alias("n"))
-    k = long.join(rstd, "column")
-    out = (F.col("x") > F.col("median") + 5 * F.col("rstd")) | (F.col("x") < F.col("median") - 5 * F.col("rstd"))
-    return (k.groupBy("column", "p5", "p95", "median", "rstd", "n")
-            .agg(F.sum(out.cast("long")).alias("n_outliers"))
+    """Q4: RSTD = std of the values clipped to [p5, p95]; outliers lie outside median ± 5 RSTD.
+
+    The bounds (three numbers per column) become literals, so both passes are plain wide aggregations."""
+    q = {r["column"]: r for r in quantiles_type7(to_long(df, cols), ["column"], "x",
+                                                 {"p5": 0.05, "p95": 0.95, "median": 0.5}).collect()}
+    cols = [c for c in cols if c in q]  # a column without values has no bounds
+    wide = df.select(*[number(c).alias(c) for c in cols])
+    row = wide.agg(*[F.stddev_pop(F.least(F.greatest(F.col(f"`{c}`"), F.lit(q[c]["p5"])), F.lit(q[c]["p95"]))).alias(c)
+                     for c in cols], F.lit(0).alias("_")).first()
+    names = ["p5", "p95", "median", "rstd", "n", "n_outliers"]
+    aggs = []
+    for c in cols:
+        x, m, r = F.col(f"`{c}`"), q[c]["median"], row[c]
+        out = (x > F.lit(m + 5 * r)) | (x < F.lit(m - 5 * r))
+        made = [F.lit(q[c]["p5"]), F.lit(q[c]["p95"]), F.lit(m), F.lit(r), F.count(x), F.sum(out.cast("long"))]
+        aggs += [v.alias(f"{c}__{n}") for v, n in zip(made, names)]
+    return (_per_column(wide.agg(*aggs), cols, names)
             .withColumn("outlier_pct", F.col("n_outliers") / F.col("n") * 100))
 
 
@@ -118,7 +140,7 @@ def target_histogram(df: DataFrame, x: str, bins: int = 20) -> DataFrame:
     """Q5: histogram of the target without its outliers (equal width between the inlier
     min and max) plus one last bar holding the outliers' count and mean (bin = bins)."""
     from .blocked import with_scalars
-    long = df.select(F.col(x).cast("double").alias("x"), F.lit(0).alias("_g")).where(F.col("x").isNotNull())
+    long = df.select(number(x).alias("x"), F.lit(0).alias("_g")).where(F.col("x").isNotNull())
     rb = _robust_bounds(long, ["_g"])
     j = with_scalars(long, rb.drop("_g"))
     is_out = (F.col("x") > F.col("median") + 5 * F.col("rstd")) | (F.col("x") < F.col("median") - 5 * F.col("rstd"))
@@ -128,18 +150,17 @@ def target_histogram(df: DataFrame, x: str, bins: int = 20) -> DataFrame:
     w = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     b = F.when(F.col("_out"), F.lit(bins)).when(w > 0, F.least(F.floor((F.col("x") - F.col("_lo")) / w),
                                                                  F.lit(bins - 1))).otherwise(F.lit(0))
-    exact_mean = F.sum(F.col("x").cast("decimal(38,6)")).cast("double") / F.count(F.lit(1))
     return (k.withColumn("bin", b.cast("int")).groupBy("bin", F.col("_out").alias("outlier_bar"))
-            .agg(F.count(F.lit(1)).alias("n"), exact_mean.alias("mean_value")))
+            .agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean_value")))
 
 
 def outlier_rows(df: DataFrame, x: str, key: str, n: int = 10, seed: int = 42) -> DataFrame:
     """Q6: a sample of outlier rows (Q4 rule), the n with the smallest key hash."""
     from .blocked import with_scalars
     from .ranking import hash32
-    long = df.select(F.col(x).cast("double").alias("x"), F.lit(0).alias("_g")).where(F.col("x").isNotNull())
+    long = df.select(number(x).alias("x"), F.lit(0).alias("_g")).where(F.col("x").isNotNull())
     rb = _robust_bounds(long, ["_g"]).drop("_g")
-    j = with_scalars(df.where(F.col(x).isNotNull()), rb)
+    j = with_scalars(df.where(number(x).isNotNull()), rb)
     out = (F.col(x) > F.col("median") + 5 * F.col("rstd")) | (F.col(x) < F.col("median") - 5 * F.col("rstd"))
     return (j.where(out).withColumn("_h", hash32(key, seed=seed))
             .orderBy("_h", key).limit(n).drop("_h", "median", "rstd"))
@@ -182,20 +203,31 @@ def prediction_power(df: DataFrame, target: str, features: Sequence[str], key: s
     """Q9 re-aimed: per feature, decile bins fitted on an 80% hash split, the bin's train
     mean as the prediction, validation R2 clipped to [0, 1]. All features in one job on the
     unpivoted table; bin edges are exact quantiles (histogram refinement)."""
-    from .blocked import attach, materialize
     from .ranking import hash32
-    d = df.withColumn("_train", hash32(key, seed=seed) < F.lit(frac * 2.0 ** 32))
-    long = materialize(d.select("_train", F.col(target).cast("double").alias("y"),
-                                *[F.col(c).cast("double").alias(c) for c in features])
-                       .unpivot(["_train", "y"], list(features), "feature", "x").where(F.col("x").isNotNull()))
-    tr = long.where("_train")
-    edges = quantiles_type7(tr, ["feature"], "x", {f"_e{i}": i / bins for i in range(1, bins)})
-    binned = attach(long, edges, ["feature"]).withColumn(
-        "bin", sum((F.col("x") > F.col(f"_e{i}")).cast("int") for i in range(1, bins)))
-    means = binned.where("_train").groupBy("feature", "bin").agg(F.avg("y").alias("_bm"))
-    overall = tr.groupBy("feature").agg(F.avg("y").alias("_om"))
-    v = attach(attach(binned.where(~F.col("_train")), means, ["feature", "bin"], "left"), overall, ["feature"])
-    p = F.coalesce(F.col("_bm"), F.col("_om"))
-    res = v.groupBy("feature").agg(
-        (F.lit(1.0) - F.sum((F.col("y") - p) * (F.col("y") - p)) / (F.count(F.lit(1)) * F.var_pop("y"))).alias("_r2"))
+    d = df.select((hash32(key, seed=seed) < F.lit(frac * 2.0 ** 32)).alias("_train"), number(target).alias("_y"),
+                  *[number(c).alias(c) for c in features])
+    edges = {r["column"]: r for r in quantiles_type7(to_long(d.where("_train"), features), ["column"], "x",
+                                                     {f"e{i}": i / bins for i in range(1, bins)}).collect()}
+    cells = []
+    for c in features:
+        if c in edges:
+            x = F.col(f"`{c}`")
+            b = sum(((x > F.lit(edges[c][f"e{i}"])).cast("int") for i in range(1, bins)), F.lit(0))
+            cells.append(F.when(x.isNotNull(), F.struct(F.lit(c).alias("feature"), b.alias("bin"))))
+    # one scan; every row adds to (feature, bin, split) counts and sums, combined map-side: no write, no join of rows
+    sums = (d.select("_train", "_y", F.explode(F.filter(F.array(*cells), lambda s: s.isNotNull())).alias("_c"))
+            .groupBy("_c.feature", "_c.bin").agg(*[agg.alias(n) for split in ("t", "v") for agg, n in _split_sums(split)]))
+    total = sums.groupBy("feature").agg(F.sum("tn").alias("fn"), F.sum("ts").alias("fs"), F.sum("vn").alias("n"),
+                                        F.sum("vs").alias("s"), F.sum("vq").alias("q"))
+    j = sums.join(total, "feature")  # features x bins rows
+    p = F.coalesce(F.col("ts") / F.when(F.col("tn") > 0, F.col("tn")), F.col("fs") / F.col("fn"))
+    sse = F.when(F.col("vn") > 0, F.col("vq") - 2 * p * F.col("vs") + F.col("vn") * p * p).otherwise(F.lit(0.0))
+    res = j.groupBy("feature").agg((F.lit(1.0) - F.sum(sse) / F.first(F.col("q") - F.col("s") * F.col("s") / F.col("n"))).alias("_r2"))
     return res.select("feature", F.least(F.greatest(F.col("_r2"), F.lit(0.0)), F.lit(1.0)).alias("prediction_power"))
+
+
+def _split_sums(split: str) -> list[tuple[F.Column, str]]:
+    """Count, sum and sum of squares of the target in the train (t) or validation (v) rows."""
+    mine = F.col("_train") if split == "t" else ~F.col("_train")
+    y = F.when(mine, F.col("_y"))
+    return [(F.count(y), split + "n"), (F.coalesce(F.sum(y), F.lit(0.0)), split + "s"), (F.coalesce(F.sum(y * y), F.lit(0.0)), split + "q")]

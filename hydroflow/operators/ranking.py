@@ -66,16 +66,22 @@ def within_quota(df: DataFrame, groups: Sequence[str], h: str, tiebreak: str, qu
     bound = (c1.join(quota, g).where((F.col("_b1") < F.col("_q")) & (F.col("_q") <= F.col("_b1") + F.col("_n1")))
              .select(*g, F.col("_h1").alias("_hb"), F.col("_b1").alias("_bb")))
     j = attach(attach(d, quota, g), bound, g, "left")
-    # rank inside the (group, top-16-bit bucket) partition: ~n/65,536 rows per task
+    edge = F.coalesce((F.col("_q") > 0) & (F.col("_h1") == F.col("_hb")), F.lit(False))
+    # only the boundary buckets (~n / 65,536 rows per group) are shuffled and ranked; every other row is decided
+    # by comparing its bucket with the boundary
     wr = Window.partitionBy(*g, "_h1").orderBy(h, tiebreak)
-    flag = (F.when(F.col("_q") <= 0, F.lit(False)).when(F.col("_hb").isNull(), F.lit(True))
-            .when(F.col("_h1") != F.col("_hb"), F.col("_h1") < F.col("_hb"))
-            .otherwise((F.row_number().over(wr) - 1) < (F.col("_q") - F.col("_bb"))))
-    return j.withColumn(out, flag).drop("_h1", "_q", "_hb", "_bb")
+    near = j.where(edge).withColumn(out, (F.row_number().over(wr) - 1) < (F.col("_q") - F.col("_bb")))
+    rest = j.where(~edge).withColumn(out, (F.col("_q") > 0) & (F.col("_hb").isNull() | (F.col("_h1") < F.col("_hb"))))
+    return near.unionByName(rest).drop("_h1", "_q", "_hb", "_bb")
+
+
+def _log_scale(c: str):
+    """An increasing function of a double: its logarithm by sign (745 is above every -ln of a double)."""
+    return F.when(F.col(c) == 0, F.lit(0.0)).otherwise(F.signum(c) * (F.log(F.abs(c)) + 745.0))
 
 
 def order_statistics(df: DataFrame, groups: Sequence[str], x: str, targets: DataFrame,
-                     bins: int = 4096, final_rows: int = 200_000, max_levels: int = 8) -> DataFrame:
+                     bins: int = 4096, final_rows: int = 200_000) -> DataFrame:
     """Value of 0-based rank ``k`` (ascending, NULLs excluded) for each row of ``targets``
     (columns: groups..., k). Returns groups..., k, value.
 
@@ -85,27 +91,32 @@ def order_statistics(df: DataFrame, groups: Sequence[str], x: str, targets: Data
     equi-join on (group, path) with a small broadcast table - every row matches at most one
     interval and no row is paired with targets. All targets in one interval share its
     histogram. A target is finished when its interval holds one distinct value, or at most
-    ``final_rows`` rows, which are then sorted per interval."""
+    ``final_rows`` rows, which are then sorted per interval. Each level ends in a smaller interval (the two
+    ends of an open one fall into different bins), so the search always ends; NaN counts as missing."""
     if not groups:
         return order_statistics(df.withColumn("_all", F.lit(0)), ["_all"], x,
-                                targets.withColumn("_all", F.lit(0)), bins, final_rows, max_levels).drop("_all")
+                                targets.withColumn("_all", F.lit(0)), bins, final_rows).drop("_all")
     g = list(groups)
-    data = df.select(*g, F.col(x).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    data = df.select(*g, F.col(x).cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
     bounds = data.groupBy(*g).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-    # checked size: one row per group (targets table is at most a few rows per group)
-    from .blocked import materialize
+    # checked size: a few rows per group
+    from .blocked import BROADCAST_MAX_BYTES, materialize, table_bytes
     targets = materialize(targets)
-    small = targets.count() <= 1_000_000
+    small = 4 * table_bytes(targets) <= BROADCAST_MAX_BYTES
     bc = F.broadcast if small else (lambda d: d)
     t = materialize(targets.join(bc(bounds), g).withColumn("_base", F.lit(0).cast("long")))
     rows = data.join(bc(bounds), g)
     path: list[str] = []
     results = []
-    for level in range(1, max_levels + 1):
+    level = 0
+    while True:
+        level += 1
         b = f"_b{level}"
-        span = F.col("_hi") - F.col("_lo")
-        binned = rows.withColumn(b, F.when(span > 0, F.least(F.floor((F.col("_x") - F.col("_lo")) / span * bins),
-                                                           F.lit(bins - 1))).otherwise(F.lit(0)).cast("int"))
+        # equal widths inside a factor of 256, else equal ratios, so that heavy tails shrink as fast
+        wide = F.col("_hi") - F.col("_lo") > 256 * F.least(F.abs("_lo"), F.abs("_hi"))
+        lo, hi, at = (F.when(wide, _log_scale(c)).otherwise(F.col(c)) for c in ("_lo", "_hi", "_x"))
+        binned = rows.withColumn(b, F.when(hi > lo, F.least(F.floor((at - lo) / (hi - lo) * bins), F.lit(bins - 1)))
+                                 .otherwise(F.lit(0)).cast("int"))
         hist = (binned.groupBy(*g, *path, b)
                 .agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_nlo"), F.max("_x").alias("_nhi")))
         wc = Window.partitionBy(*g, *path).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
@@ -119,8 +130,7 @@ def order_statistics(df: DataFrame, groups: Sequence[str], x: str, targets: Data
         path = [*path, b]
         # one distinct value left: resolved without touching rows again
         results.append(t.where(F.col("_lo") == F.col("_hi")).select(*g, "k", F.col("_lo").alias("value")))
-        last = level == max_levels
-        fin = t.where((F.col("_lo") < F.col("_hi")) & ((F.col("_n") <= final_rows) | F.lit(last)))
+        fin = t.where((F.col("_lo") < F.col("_hi")) & (F.col("_n") <= final_rows))
         iv = fin.select(*g, *path).distinct()
         if fin.limit(1).count():
             sub = binned.join(bc(iv), [*g, *path])
@@ -129,7 +139,7 @@ def order_statistics(df: DataFrame, groups: Sequence[str], x: str, targets: Data
             results.append(ranked.join(fin.select(*g, *path, "k", "_base"), [*g, *path])
                            .where(F.col("_base") + F.col("_rn") == F.col("k")).select(*g, "k", F.col("_x").alias("value")))
         t = t.where((F.col("_lo") < F.col("_hi")) & (F.col("_n") > final_rows))
-        if last or t.limit(1).count() == 0:
+        if t.limit(1).count() == 0:
             break
         open_iv = t.select(*g, *path, "_lo", "_hi").distinct()
         rows = binned.drop("_lo", "_hi").join(bc(open_iv), [*g, *path])
@@ -142,7 +152,7 @@ def order_statistics(df: DataFrame, groups: Sequence[str], x: str, targets: Data
 def quantile_type7(df: DataFrame, groups: Sequence[str], x: str, q: float, out: str = "quantile") -> DataFrame:
     """Exact linear-interpolated quantile (R type 7, numpy default, DuckDB quantile_cont)."""
     g = list(groups)
-    n = df.where(F.col(x).isNotNull()).groupBy(*g).agg(F.count(F.lit(1)).alias("_cnt"))
+    n = df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))).groupBy(*g).agg(F.count(F.lit(1)).alias("_cnt"))
     h = (F.col("_cnt") - 1) * F.lit(float(q))
     base = n.withColumns({"_k0": F.floor(h).cast("long"), "_frac": h - F.floor(h)})
     base = base.withColumn("_k1", F.least(F.col("_k0") + 1, F.col("_cnt") - 1))
@@ -158,7 +168,7 @@ def quantiles_type7(df: DataFrame, groups: Sequence[str], x: str, qs: dict[str,
     """Several exact type-7 quantiles per group from ONE refinement run (all target ranks
     searched together). ``qs``: output column -> q."""
     g = list(groups)
-    n = df.where(F.col(x).isNotNull()).groupBy(*g).agg(F.count(F.lit(1)).alias("_cnt"))
+    n = df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))).groupBy(*g).agg(F.count(F.lit(1)).alias("_cnt"))
     ks = []
     for name, q in qs.items():
         h = (F.col("_cnt") - 1) * F.lit(float(q))
