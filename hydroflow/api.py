@@ -25,7 +25,7 @@ def prepare_data(df: DataFrame, keys: Sequence[str], ts: str = "Time", site_name
     d = df.withColumn(ts, clean.parse_ts(ts, ts_formats))
     d = d.withColumns({c: clean.to_number(c) for c in d.columns if c not in (ts, *keys)})
     num = [c for c in d.columns if c not in (ts, *keys)]
-    d = d.withColumn("_pos", cal.hour_id(ts))
+    d = blocked.row_position(d, list(keys), ts)
     d = blocked.fill(blocked.materialize(d), list(keys), "_pos", num, "ffill").drop("_pos", blocked.BLK)
     return features.add_lag_features(d, list(keys), ts, site_name=site_name, temp="Dry bulb degC")
 
@@ -42,24 +42,15 @@ def add_lag_features(df: DataFrame, keys: Sequence[str], ts: str = "Time", site_
 
 def run_acf_analysis(df: DataFrame, keys: Sequence[str], ts: str, target: str, variables: Sequence[str],
                      max_lag: int = 48) -> dict[str, DataFrame]:
-    """ACF, PACF, stationarity (ADF, KPSS, ACF decay) and lag recommendations for the target
-    and each variable, all series and variables in one long table keyed by (keys, variable)."""
+    """ACF and PACF (of the original and the differenced series; the reference reports the latter), stationarity
+    tests of both and lag advice for the target and each variable, all series and variables keyed by
+    (keys, variable, variant)."""
     k = [*keys, "variable"]
     cols = [target, *variables]
-    long = (df.select(*keys, cal.hour_id(ts).alias("_pos"), *cols)
-            .unpivot([*keys, "_pos"], cols, "variable", "v").where(F.col("v").isNotNull()))
+    long = (df.select(*keys, cal.hour_id(ts).alias("_pos"), *[F.col(c).cast("double").alias(c) for c in cols])
+            .unpivot([*keys, "_pos"], cols, "variable", "v").where(F.col("v").isNotNull() & ~F.isnan("v")))
     long = blocked.dense_position(long, k, "_pos", F.floor(F.col("_pos") / 720), out="_dpos").drop("_pos")
-    long = blocked.materialize(long)
-    acf = tsstats.acf(long, k, "_dpos", "v", max_lag)
-    pacf = tsstats.pacf(acf, k, min(max_lag, 48))
-    adf = tsstats.adf_test(long, k, "_dpos", "v").drop("n")
-    kp = tsstats.kpss_level(long, k, "_dpos", "v").drop("n")
-    sig = tsstats.acf_significance(acf, k)
-    stat = (adf.join(kp, k).join(sig, k)
-            .withColumn("stationary", (F.col("adf_pvalue") < 0.05) & (F.col("kpss_pvalue") > 0.05)
-                        & F.col("acf_decays")))
-    recs = tsstats.lag_recommendation(pacf, k, acf.select(*k, "n").distinct())
-    return {"acf": acf, "pacf": pacf, "stationarity": stat, "lag_recommendations": recs}
+    return tsstats.analyse(long, k, "_dpos", "v", max_lag)
 
 
 def feature_ablation_study(df: DataFrame, keys: Sequence[str], ts: str, target: str,
@@ -100,7 +91,7 @@ def create_pivot(long: DataFrame, rows: Sequence[str], col: str, values: Sequenc
 def consolidate_ablation_results(spark: SparkSession, results_dir: str) -> tuple[DataFrame, DataFrame]:
     """Read every ``ablation_<site>_<scenario>.csv`` in one multi-file scan with provenance,
     then the consensus summary per feature group. Returns (combined, summary)."""
-    comb = files.read_csv(spark, f"{results_dir}/ablation_*.csv", with_path=True)
+    comb = files.read_csv(spark, f"{results_dir}/ablation_*.csv", with_path=True, infer=True)
     comb = comb.withColumns(files.ablation_file_metadata(F.col("file_path"))).drop("file_path")
     comb = comb.withColumn("consensus", F.col("consensus").cast("boolean"))
     return comb, reshape.consensus_summary(comb)

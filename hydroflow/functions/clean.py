@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,24 +75,34 @@ def lookup(df: DataFrame, col: str, mapping: Mapping[str, str], out: str) -> Dat
     return df.withColumn(out, F.try_element_at(m, F.col(col)))
 
 
-def lookup_by_substring(df: DataFrame, col: str, table: DataFrame, key: str,
-                        max_entries: int = 10_000) -> DataFrame:
-    """Theta lookup - the row whose ``key`` is a substring of ``col``; rows with no match
-    are skipped (inner join). A substring match has no equi-key, so the dictionary is
-    broadcast and every row is tested against it: its size is checked first (a site -> gauge
-    map has a handful of entries)."""
-    n = table.count()
-    if n > max_entries:
-        raise ValueError(f"substring lookup table has {n} entries (> {max_entries}); use an equi-key lookup")
-    return df.join(F.broadcast(table), F.col(col).contains(F.col(key)), "inner")
+def lookup_by_substring(df: DataFrame, col: str, table: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """The first row of ``table`` (by ``order``, then ``key``) whose ``key`` is a substring of ``col``;
+    rows with no match are skipped (inner join).
+
+    No nested loop and no size limit: for each key length in the table (a handful), the distinct values of
+    ``col`` are cut into their substrings of that length, which meet the keys in an equi-join; the first match
+    per value then joins back on the value."""
+    lengths = [r[0] for r in table.where(F.length(key) > 0).select(F.length(key)).distinct().collect()]
+    values = df.select(F.col(col).alias("_v")).where(F.col("_v").isNotNull()).distinct()
+    none = F.array().cast("array<string>")
+
+    def pieces(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length("_v") - n + 1)
+        return F.when(F.length("_v") >= n, F.transform(starts, lambda i: F.substring("_v", i, F.lit(n)))).otherwise(none)
+
+    cut = values.select("_v", F.explode(F.array_distinct(F.concat(none, *[pieces(n) for n in lengths]))).alias("_k"))
+    rank = F.struct(*([F.col(order)] if order else []), F.col(key))
+    hit = cut.join(table, F.col("_k") == F.col(key)).groupBy("_v").agg(F.min_by(F.struct(*table.columns), rank).alias("_t"))
+    return df.join(hit, F.col(col) == F.col("_v"), "inner").select(*[df[c] for c in df.columns], "_t.*")
 
 
 def in_years_months(ts, years: Sequence[int] | None = None, months: Sequence[int] | None = None) -> Column:
-    """Filter predicate on a year set and/or a month set (pushed to the scan when the
-    table is partitioned by year/month)."""
+    """Filter predicate on a year set and/or a month set. The years also give a range of the raw column,
+    which reaches the scan (parquet row groups are skipped)."""
     cond = F.lit(True)
     if years:
-        cond = cond & F.year(_c(ts)).isin(list(years))
+        lo, hi = date(min(years), 1, 1), date(max(years) + 1, 1, 1)
+        cond = cond & (_c(ts) >= F.lit(lo)) & (_c(ts) < F.lit(hi)) & F.year(_c(ts)).isin(list(years))
     if months:
         cond = cond & F.month(_c(ts)).isin(list(months))
     return cond

@@ -133,16 +133,18 @@ def feature_importance(train: DataFrame, label: str, features: Sequence[str], al
                                               "feature string, importance double")
 
 
-def stacked_ensemble(train: DataFrame, test: DataFrame, label: str, features: Sequence[str], key: str,
+def stacked_ensemble(train: DataFrame, test: DataFrame, label: str, features: Sequence[str], key: str | Sequence[str],
                      layer1: Sequence[str] = ("XGB", "GB", "CB", "RF", "ET", "LR"),
-                     layer2: Sequence[str] = ("RF", "XGB"), folds: int = 5, trees: int = 50) -> dict:
+                     layer2: Sequence[str] = ("RF", "XGB", "ET"), folds: int = 5, trees: int = 50) -> dict:
     """L12-L14. Layer 1: each model x k folds; out-of-fold predictions become columns for the
     train rows, the mean over fold models for the test rows. Layer 2: features + layer-1
     columns, same folds. Layer 3: greedy weights (R2) on the layer-2 out-of-fold columns from
-    ONE Gramian aggregation. Folds come from a hash of ``key`` (same folds in both layers)."""
+    ONE Gramian aggregation. Folds come from a hash of ``key`` (same folds in both layers); ``key`` is one or more columns
+    that identify a row, over several series the series keys and the position."""
     from .split import kfold
     feats = available(train, features)
-    tr = kfold(train, [key], folds, SEED).cache()
+    key = [key] if isinstance(key, str) else list(key)
+    tr = kfold(train, key, folds, SEED).cache()
     te = test
 
     def layer(tr, te, feats, models, prefix):
@@ -151,13 +153,13 @@ def stacked_ensemble(train: DataFrame, test: DataFrame, label: str, features: Se
             oof, tests = None, []
             for f in range(folds):
                 fit = pipeline(feats, mname, label, pred=col, trees=trees).fit(tr.where(F.col("fold") != f))
-                o = fit.transform(tr.where(F.col("fold") == f)).select(key, col)
+                o = fit.transform(tr.where(F.col("fold") == f)).select(*key, col)
                 oof = o if oof is None else oof.unionByName(o)
-                tests.append(fit.transform(te).select(key, F.col(col).alias(f"_t{f}")))
+                tests.append(fit.transform(te).select(*key, F.col(col).alias(f"_t{f}")))
             tmean = tests[0]
             for t in tests[1:]:
                 tmean = tmean.join(t, key)
-            tmean = tmean.select(key, (sum(F.col(f"_t{f}") for f in range(folds)) / folds).alias(col))
+            tmean = tmean.select(*key, (sum(F.col(f"_t{f}") for f in range(folds)) / folds).alias(col))
             tr = tr.join(oof, key)
             te = te.join(tmean, key)
         return tr.cache(), te.cache()

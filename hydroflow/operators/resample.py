@@ -46,13 +46,14 @@ def hourly_sum(df: DataFrame, keys: Sequence[str], ts: str, value: str, out: str
 
 
 def hourly_sum_no_gap(df: DataFrame, keys: Sequence[str], ts: str, values: Sequence[str],
-                      scale: float = 1.0) -> DataFrame:
+                      scale: float = 1.0, count: str | None = None) -> DataFrame:
     """A2 (R ``aggregate``): rows with any NULL among ``values`` dropped first; only hours that
-    have rows are emitted."""
+    have rows are emitted; ``count`` names a column for their number."""
     # explicit IS NOT NULL (not dropna, whose AtLeastNNonNulls is not pushed to the scan)
     cond = F.lit(True)
     for c in values:
         cond = cond & F.col(c).isNotNull()
     d = df.where(cond)
     return (d.groupBy(*keys, trunc_hour(ts).alias(ts))
-            .agg(*[(F.sum(F.col(c).cast("double")) * F.lit(float(scale))).alias(c) for c in values]))
+            .agg(*[(F.sum(F.col(c).cast("double")) * F.lit(float(scale))).alias(c) for c in values],
+                 *([F.count(F.lit(1)).alias(count)] if count else [])))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
 from .blocked import with_series_windows
 from .scan import affine_scan
 
@@ -84,24 +85,57 @@ def pacf(acov_long: DataFrame, keys: Sequence[str], max_lag: int = 20) -> DataFr
         return out[[*k, "lag", "pacf"]]
 
     src = acov_long.where(F.col("lag") <= max_lag).select(*k, "n", F.col("lag").cast("int"), "acf")
+    ship_package(src.sparkSession)
     return src.groupBy(*k).applyInPandas(run, schema)
 
 
 def lag_recommendation(pacf_long: DataFrame, keys: Sequence[str], n_col_df: DataFrame,
                        max_lag: int = 10, min_abs: float = 0.05, max_keep: int = 3) -> DataFrame:
-    """Significant PACF lags in 1..max_lag (|pacf| > 1.96/sqrt(n) and > min_abs); lags
-    <= max_keep are recommended; the first 7 significant lags are listed."""
+    """Significant PACF lags in 1..max_lag (|pacf| > 1.96/sqrt(n)), the first 7 of them listed with
+    their values; of all significant ones, those <= max_keep with |pacf| > min_abs are recommended."""
     k = list(keys)
     j = pacf_long.join(n_col_df.select(*k, "n"), k)
     band = F.lit(1.96) / F.sqrt(F.col("n"))
-    sig = j.where((F.col("lag") >= 1) & (F.col("lag") <= max_lag) & (F.abs(F.col("pacf")) > band)
-                  & (F.abs(F.col("pacf")) > min_abs))
-    lst = F.array_sort(F.collect_list("lag"))
-    found = sig.groupBy(*k).agg(F.slice(lst, 1, 7).alias("sig_pacf_lags"))
+    sig = j.where((F.col("lag") >= 1) & (F.col("lag") <= max_lag) & (F.abs(F.col("pacf")) > band))
+    strong = (F.col("lag") <= max_keep) & (F.abs(F.col("pacf")) > min_abs)
+    listed = F.slice(F.array_sort(F.collect_list(F.struct("lag", "pacf"))), 1, 7)
+    found = sig.groupBy(*k).agg(listed.alias("_l"), F.array_sort(F.collect_list(F.when(strong, F.col("lag")))).alias("recommended_lags"))
     every = n_col_df.select(*k).distinct().join(found, k, "left")
-    lags = F.coalesce(F.col("sig_pacf_lags"), F.array().cast("array<int>"))
-    return (every.withColumn("sig_pacf_lags", lags)
-            .withColumn("recommended_lags", F.filter("sig_pacf_lags", lambda v: v <= max_keep)))
+    return every.select(*k, F.coalesce(F.col("_l.lag"), F.array().cast("array<int>")).alias("sig_pacf_lags"),
+                        F.coalesce(F.transform("_l", lambda e: F.format_string("%.3f", e["pacf"])),
+                                   F.array().cast("array<string>")).alias("pacf_values"),
+                        F.coalesce("recommended_lags", F.array().cast("array<int>")).alias("recommended_lags"))
+
+
+def with_differences(df: DataFrame, keys: Sequence[str], pos: str, x: str) -> DataFrame:
+    """Each series twice, keyed by ``variant``: as it is (orig) and its first differences (diff)."""
+    from .blocked import with_series_windows
+    k = list(keys)
+    d = with_series_windows(df.select(*k, pos, x), k, pos, lambda w: {"_dx": F.col(x) - F.lag(x, 1).over(w)}, halo=1)
+    orig = d.select(*k, F.lit("orig").alias("variant"), pos, x)
+    diff = d.where(F.col("_dx").isNotNull()).select(*k, F.lit("diff").alias("variant"), (F.col(pos) - 1).alias(pos), F.col("_dx").alias(x))
+    return orig.unionByName(diff)
+
+
+def analyse(df: DataFrame, keys: Sequence[str], pos: str, x: str, max_lag: int = 48) -> dict[str, DataFrame]:
+    """Y1-Y7 for every series: ACF and PACF of the original and the differenced series, the stationarity tests of
+    both (the ACF band of either uses the original length), and the lag advice from the original series where that
+    is stationary, else from the differenced one. ``pos`` must be dense. All series and variants go through each test in one job."""
+    from .blocked import materialize
+    k = list(keys)
+    kv = [*k, "variant"]
+    both = materialize(with_differences(df, k, pos, x))
+    n0 = both.where("variant = 'orig'").groupBy(*k).agg(F.count(F.lit(1)).alias("n0"))
+    ac = materialize(acf(both, kv, pos, x, max(max_lag, 40)))
+    sig = acf_significance(ac.where("lag <= 40").drop("n").join(n0, k), kv, "n0").drop("n0", "band")
+    tests = materialize(adf_test(both, kv, pos, x).drop("n").join(kpss_level(both, kv, pos, x).drop("n"), kv).join(sig, kv)
+                        .withColumn("stationary", (F.col("adf_pvalue") < 0.05) & (F.col("kpss_pvalue") > 0.05) & F.col("acf_decays")))
+    n = ac.select(*kv, "n").distinct()
+    used = tests.where("variant = 'orig'").select(*k, F.when(F.col("stationary"), "orig").otherwise("diff").alias("variant"))
+    short = pacf(ac.join(used, kv, "left_semi"), kv, 20)
+    recs = lag_recommendation(short, kv, n.join(used, kv, "left_semi")).withColumn(
+        "data_used", F.when(F.col("variant") == "orig", "original").otherwise("differenced")).drop("variant")
+    return {"acf": ac.where(F.col("lag") <= max_lag), "pacf": pacf(ac, kv, max_lag), "stationarity": tests, "lag_recommendations": recs}
 
 
 # ------------------------------------------------------------------ KPSS (level) and ADF
@@ -170,6 +204,8 @@ def kpss_level(df: DataFrame, keys: Sequence[str], pos: str, x: str, block: int
     cov = max(1, int(np.power(base.agg(F.max("n")).first()[0], 2.0 / 9.0)))
     t1 = base.join(_autocov_sums(d, k, pos, "_e", cov, max(block, cov)), k)
 
+    ship_package(df.sparkSession)
+
     def lags_fn(it):
         for pdf in it:
             pdf["kpss_lags"] = [_kpss_lags(float(n), list(g)) for n, g in zip(pdf["n"], pdf["_g"])]
@@ -204,11 +240,32 @@ def _gram_names(ml: int) -> list[str]:
     return ["_one", "_lev"] + [f"_d{i}" for i in range(1, ml + 1)] + ["_dy"]
 
 
-def _gram_matrix(row: dict, names: list[str], m: int):
-    cols = names[:m]
-    G = np.array([[row[f"{a}*{b}"] if f"{a}*{b}" in row else row[f"{b}*{a}"] for b in cols] for a in cols], float)
-    Xy = np.array([row[f"{a}*_dy"] for a in cols], float)
-    return G, Xy, float(row["_dy*_dy"])
+def _gramians(rows: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Per series the matrix of summed products of the columns ``names`` (NULL counts as 0), row by row in an
+    array: products are summed per Arrow batch and series in numpy, then by an aggregation."""
+    k, names = list(keys), list(names)
+
+    def run(it):
+        import pandas as pd
+        for pdf in it:
+            x = np.nan_to_num(pdf[names].to_numpy(dtype=float))
+            for at in pdf.groupby(k, sort=False, dropna=False).indices.values():
+                cells = (x[at].T @ x[at]).ravel()
+                out = pd.DataFrame({c: [pdf[c].iloc[at[0]]] * len(cells) for c in k})
+                out["_cell"], out["_v"] = np.arange(len(cells)), cells
+                yield out
+
+    ship_package(rows.sparkSession)
+    schema = T.StructType([*[rows.schema[c] for c in k], T.StructField("_cell", T.LongType()), T.StructField("_v", T.DoubleType())])
+    sums = rows.select(*k, *names).mapInPandas(run, schema).groupBy(*k, "_cell").agg(F.sum("_v").alias("_v"))
+    return sums.groupBy(*k).agg(F.transform(F.array_sort(F.collect_list(F.struct("_cell", "_v"))), lambda e: e["_v"]).alias("_g"))
+
+
+def _gram_matrix(g, m: int):
+    """Normal equations of the first ``m`` columns against the last one."""
+    full = np.asarray(list(g), dtype=float)
+    full = full.reshape(math.isqrt(len(full)), -1)
+    return full[:m, :m], full[:m, -1], float(full[-1, -1])
 
 
 def _ols(G, Xy, yy):
@@ -241,11 +298,7 @@ def adf_test(df: DataFrame, keys: Sequence[str], pos: str, x: str, block: int =
     d = materialize(with_series_windows(d, k, pos, build, halo=ml + 1, block=max(block, ml + 1))
                     .withColumn("_one", F.lit(1.0)))
     names = _gram_names(ml)
-    prods = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-
-    def gram(cond):
-        return d.groupBy(*k).agg(F.first("n").alias("n"), F.first("_ml").alias("_ml"),
-                                 *[F.sum(F.when(cond, F.col(a) * F.col(b))).alias(f"{a}*{b}") for a, b in prods])
+    ship_package(df.sparkSession)
 
     def pick(it):
         for pdf in it:
@@ -254,7 +307,7 @@ def adf_test(df: DataFrame, keys: Sequence[str], pos: str, x: str, block: int =
                 L, nobs = int(row["_ml"]), int(row["n"]) - 1 - int(row["_ml"])
                 aics = []
                 for p in range(0, L + 1):
-                    G, Xy, yy = _gram_matrix(row, names, 2 + p)
+                    G, Xy, yy = _gram_matrix(row["_g"], 2 + p)
                     _, ssr = _ols(G, Xy, yy)
                     llf = -nobs / 2.0 * (math.log(2 * math.pi) + math.log(ssr / nobs) + 1)
                     aics.append((-2 * llf + 2 * (2 + p), p))
@@ -263,13 +316,11 @@ def adf_test(df: DataFrame, keys: Sequence[str], pos: str, x: str, block: int =
             out["_bp"] = best
             yield out
 
-    bp = gram(F.col("_t") >= F.col("_ml") + 1).mapInPandas(
-        pick, T.StructType([*[df.schema[c] for c in k], T.StructField("_bp", T.LongType())]))
-    own = attach(d, materialize(bp), k)
-    d = own
-    g2 = d.groupBy(*k).agg(F.first("n").alias("n"), F.first("_bp").alias("_bp"),
-                           *[F.sum(F.when(F.col("_t") >= F.col("_bp") + 1, F.col(a) * F.col(b))).alias(f"{a}*{b}")
-                             for a, b in prods])
+    size = first.select(*k, "n", "_ml")
+    common = _gramians(d.where(F.col("_t") >= F.col("_ml") + 1), k, names).join(size, k)
+    bp = materialize(common.mapInPandas(pick, T.StructType([*[df.schema[c] for c in k], T.StructField("_bp", T.LongType())])))
+    g2 = (_gramians(attach(d, bp, k).where(F.col("_t") >= F.col("_bp") + 1), k, names)
+          .join(size.drop("_ml"), k).join(bp, k))
 
     def final(it):
         for pdf in it:
@@ -277,7 +328,7 @@ def adf_test(df: DataFrame, keys: Sequence[str], pos: str, x: str, block: int =
             for row in pdf.to_dict("records"):
                 p = int(row["_bp"])
                 nobs = int(row["n"]) - 1 - p
-                G, Xy, yy = _gram_matrix(row, names, 2 + p)
+                G, Xy, yy = _gram_matrix(row["_g"], 2 + p)
                 beta, ssr = _ols(G, Xy, yy)
                 se = math.sqrt(ssr / (nobs - (2 + p)) * np.linalg.inv(G)[1, 1])
                 v = float(beta[1] / se)

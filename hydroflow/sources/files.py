@@ -8,17 +8,21 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.blocked import attach, dense_position
+from ..session import cut_lineage
+
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str | None = None,
-             header: bool = True, with_path: bool = False) -> DataFrame:
-    """CSV scan with or without header; an explicit schema avoids an inference pass.
+             header: bool = True, with_path: bool = False, infer: bool = False) -> DataFrame:
+    """CSV scan with or without header. Types come from ``schema``; without one all columns are
+    strings (``clean.to_number`` coerces), or ``infer`` spends a pass over the files on guessing.
     Malformed numbers become NULL (the reference's ``errors='coerce'``)."""
     r = spark.read.option("header", header).option("mode", "PERMISSIVE")
-    r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
+    r = r.schema(schema) if schema is not None else r.option("inferSchema", infer)
     df = r.csv(path if isinstance(path, str) else list(path))
     if with_path:
         df = df.withColumn("file_path", F.col("_metadata.file_path"))
@@ -40,13 +44,13 @@ def list_files(spark: SparkSession, root: str, glob: str = "*", recursive: bool
 
 def climate_file_metadata(path: Column) -> dict[str, Column]:
     """S3: ``<gauge>_<gcm>_<ssp|hist>_adjusted_<from>_<to>.csv`` -> gauge, gcm, experiment;
-    ``hist`` is spelled ``historical``."""
+    ``hist`` is spelled ``historical``, blanks in the gauge are dropped."""
     name = F.try_element_at(F.split(path, "/"), F.lit(-1))
     m = F.regexp_extract(name, r"^([^_]+)_(.+)_adjusted", 2)
     parts = F.split(m, "_")
     exp = F.try_element_at(parts, F.lit(-1))
     return {
-        "gauge": F.regexp_extract(name, r"^([^_]+)_", 1),
+        "gauge": F.regexp_replace(F.regexp_extract(name, r"^([^_]+)_", 1), " ", ""),
         "gcm": F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(1))), "_"),
         "experiment": F.when(exp == "hist", F.lit("historical")).otherwise(exp),
     }
@@ -75,12 +79,13 @@ def read_ragged(spark: SparkSession, path: str, header_rows: int = 12, names_use
                 keep: str = "wet weather") -> DataFrame:
     """The flow export whose first ``header_rows`` lines name the columns. The last
     ``names_used`` header names label the value columns after ``hour`` and ``day_num``; only
-    columns whose name contains ``keep`` are returned. Line numbers come from
-    ``zipWithIndex`` (exact order of the text scan); the header (<= 25 lines) is the only
+    columns whose name contains ``keep`` are returned. Line numbers count the lines before a block of the file
+    (one row per block) plus the place in the block; the header lines, all in the first block, are the only
     thing collected to the driver."""
-    lines = spark.createDataFrame(spark.read.text(path).rdd.zipWithIndex().map(lambda t: (t[1], t[0][0])),
-                                  "line long, value string")
-    header = [r.value for r in lines.where(F.col("line") < header_rows).orderBy("line").collect()]
+    text = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_blk"),
+                                        F.monotonically_increasing_id().alias("_id"))
+    header = [r.value for r in text.where("_blk = 0").orderBy("_id").limit(header_rows).collect()]
+    lines = dense_position(text, [], "_id", F.col("_blk"), out="line")
     names = [h.split(",")[0].strip() for h in header][-names_used:]
     body = lines.where(F.col("line") >= header_rows + 1)
     parts = F.split("value", ",")
@@ -103,11 +108,21 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), fmt:
         w.format(fmt).save(path)
 
 
-def write_chunked(df: DataFrame, path: str, rows_per_file: int = 5000, fmt: str = "csv",
+def write_chunked(df: DataFrame, path: str, order: str, rows_per_file: int = 5000, fmt: str = "csv",
                   header: bool = False) -> None:
-    """Fixed-size chunks (the reference's 5,000 / 1,000-row files) via maxRecordsPerFile."""
-    (df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).option("header", header)
-     .format(fmt).save(path))
+    """Numbered chunks of exactly ``rows_per_file`` rows in the order of ``order`` (the reference's 5,000 / 1,000-row
+    files), each under ``chunk=<number>``. Rows are range-partitioned and sorted, so a row's number is its place in
+    its partition plus the sizes of the partitions before (one row per partition)."""
+    placed = cut_lineage(df.repartitionByRange(F.col(order)).sortWithinPartitions(order)
+                         .withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    row = F.col("_off") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = attach(placed.withColumn("_part", part), sizes, ["_part"]).withColumn("chunk", F.floor(row / F.lit(rows_per_file)))
+    out = numbered.repartition("chunk").sortWithinPartitions("chunk", "_id").drop("_id", "_part", "_off")
+    out.write.mode("overwrite").partitionBy("chunk").option("header", header).format(fmt).save(path)
 
 
 def read_if_exists(spark: SparkSession, path: str, reader: Callable[[str], DataFrame],
