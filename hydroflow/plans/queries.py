@@ -6,8 +6,10 @@ daily series and the actual-vs-predicted pairs.
 
 Every query returns doubles rounded to 6 decimals, in Spark and in SQL alike, so that
 different (equally valid) float summation orders compare equal. Both sides round with the
-same IEEE arithmetic, floor(x * 1e6 + 0.5) / 1e6 (Spark's ``round`` is decimal HALF_UP,
-DuckDB's works on the binary value; they disagree on ties such as 3.4238255).
+same IEEE arithmetic, floor(x * 1e6 + 0.5000001) / 1e6 (Spark's ``round`` is decimal HALF_UP,
+DuckDB's works on the binary value; they disagree on ties such as 3.4238255). The small excess over a half puts exact
+decimal ties, common in prices, on one side whatever the summation order. Magnitudes from 1e12 on, where a double has
+fewer than 6 exact decimals and floor() leaves the long range, stay unrounded.
 """
 from __future__ import annotations
 
@@ -38,11 +40,12 @@ def register(name: str, sql: str | None = None):
 
 
 _SCALE = 10.0 ** ROUND
+_HALF = 0.5000001
 
 
 def _round_col(c):
     x = c.cast("double")
-    r = F.floor(x * F.lit(_SCALE) + F.lit(0.5)).cast("double") / F.lit(_SCALE)
+    r = F.floor(x * F.lit(_SCALE) + F.lit(_HALF)).cast("double") / F.lit(_SCALE)
     return F.when(F.abs(x) < F.lit(1e12), r + F.lit(0.0)).otherwise(x)
 
 
@@ -54,7 +57,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 def R(expr: str, alias: str) -> str:
     x = f"CAST({expr} AS DOUBLE)"
-    return (f"(CASE WHEN abs({x}) < {D(1e12)} THEN floor({x} * {D(_SCALE)} + {D(0.5)}) / {D(_SCALE)} "
+    return (f"(CASE WHEN abs({x}) < {D(1e12)} THEN floor({x} * {D(_SCALE)} + {D(_HALF)}) / {D(_SCALE)} "
             f"+ CAST(0 AS DOUBLE) ELSE {x} END) AS {alias}")
 
 
@@ -114,9 +117,8 @@ SELECT event_type AS site, date_trunc('hour', ts) AS ts, {R(f'sum(value) * {D(RA
 FROM events WHERE value IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2""")
 def q_hourly_sum_no_gap(spark, sf_dir):
     """A2: hourly sums without gap fill, NULL rows dropped first (R path)."""
-    ev = sensor_feed(spark, sf_dir).where(F.col("value").isNotNull() & F.col("ts").isNotNull())
-    return rounded(ev.groupBy("site", cal.trunc_hour("ts").alias("ts"))
-                   .agg((F.sum("value") * F.lit(RAIN_SCALE)).alias("Rainfall"), F.count(F.lit(1)).alias("n")))
+    ev = sensor_feed(spark, sf_dir).where(F.col("ts").isNotNull())
+    return rounded(resample.hourly_sum_no_gap(ev, ["site"], "ts", ["value"], RAIN_SCALE, "n").withColumnRenamed("value", "Rainfall"))
 
 
 @register("calendar_features", f"""WITH {SQL_HOURLY}
@@ -239,7 +241,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 from ..operators import joins, metrics, ranking, reshape, split  # noqa: E402
 from ..operators.blocked import fill as blocked_fill  # noqa: E402
-from ..operators.blocked import materialize  # noqa: E402
+from ..operators.blocked import attach, materialize  # noqa: E402
 from ..operators.blocked import with_series_windows  # noqa: E402
 
 TEMP_SCALE = 0.1
@@ -478,7 +480,7 @@ def q_high_inflow_flag(spark, sf_dir):
     The quantile is found by histogram refinement, never by sorting a site in one task."""
     p = order_pairs(spark, sf_dir)
     t = ranking.quantile_type7(p, ["site"], "actual", 0.9, "threshold")
-    j = p.join(t, "site")
+    j = attach(p, t, ["site"])
     return rounded(j.groupBy("site", "threshold").agg(
         F.sum((F.col("actual") > F.col("threshold")).cast("long")).alias("n_high"),
         F.count(F.lit(1)).alias("n")))
@@ -775,19 +777,19 @@ def q_job_matrix_anti(spark, sf_dir):
 
 
 @register("theta_first_match", """
-WITH c AS (SELECT s.s_suppkey, n.n_nationkey FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey
-           WHERE contains(s.s_name, replace(n.n_name, 'NATION_', '')))
-SELECT s.s_suppkey, s.s_nationkey, min(c.n_nationkey) AS match_n_nationkey
-FROM supplier s LEFT JOIN c ON s.s_suppkey = c.s_suppkey GROUP BY s.s_suppkey, s.s_nationkey""")
+WITH l AS (SELECT s_suppkey, s_nationkey, s_name, s_nationkey % 5 AS grp FROM supplier),
+r AS (SELECT n_nationkey, n_name, n_nationkey % 5 AS grp, CAST(n_nationkey % 7 AS VARCHAR) AS tag FROM nation),
+c AS (SELECT s_suppkey, min(n_nationkey) AS k FROM l JOIN r ON l.grp = r.grp WHERE contains(s_name, tag) GROUP BY s_suppkey)
+SELECT l.s_suppkey, l.s_nationkey, c.k AS match_n_nationkey, r.n_name AS match_n_name
+FROM l LEFT JOIN c ON l.s_suppkey = c.s_suppkey LEFT JOIN r ON c.k = r.n_nationkey""")
 def q_theta_first_match(spark, sf_dir):
-    """Equal key AND the listing entry's tag is a substring of the name; first match by
-    listing order; unmatched rows kept with NULL (reported, never reusing a previous match).
-    The right side is the nation listing (bounded), so it is broadcast."""
-    s = load(spark, sf_dir, "supplier", ["s_suppkey", "s_nationkey", "s_name"])
-    n = load(spark, sf_dir, "nation", ["n_nationkey", "n_name"]).withColumn("s_nationkey", F.col("n_nationkey"))
-    cond = F.col("s_name").contains(F.regexp_replace("n_name", "NATION_", ""))
-    out = joins.first_match(s, n, ["s_nationkey"], cond, "n_nationkey", "s_suppkey", small_right=True)
-    return out.select("s_suppkey", "s_nationkey", "match_n_nationkey")
+    """Equal key AND the listing entry's tag is a substring of the name; of up to five candidates per row the
+    first by listing order, with its columns; unmatched rows kept with NULL (never reusing a previous match)."""
+    s = load(spark, sf_dir, "supplier", ["s_suppkey", "s_nationkey", "s_name"]).withColumn("grp", F.col("s_nationkey") % 5)
+    n = load(spark, sf_dir, "nation", ["n_nationkey", "n_name"]).withColumns(
+        {"grp": F.col("n_nationkey") % 5, "tag": (F.col("n_nationkey") % 7).cast("string")})
+    out = joins.first_match(s, n, ["grp"], F.col("s_name").contains(F.col("tag")), "n_nationkey", "s_suppkey")
+    return out.select("s_suppkey", "s_nationkey", "match_n_nationkey", "match_n_name")
 
 
 @register("leap_free_calendar", f"""
@@ -822,15 +824,40 @@ def q_top_features(spark, sf_dir):
     return rounded(reshape.top_n(m, "importance", 10, "feature"))
 
 
-@register("greedy_weights")
+def _sql_greedy() -> str:
+    """The search of L14 over its possible outcomes: (1), (1/2, 1/2), (1/4, 1/4, 1/2), the last one added last."""
+    k = range(len(MODELS))
+    sums = [f"sum(actual * {m}) AS y{i}" for i, m in enumerate(MODELS)] + [
+        f"sum({MODELS[i]} * {MODELS[j]}) AS s{i}{j}" for i in k for j in k if i <= j]
+    rows = []
+    for order in [(i,) for i in k] + [(i, j) for i in k for j in k if i != j] + [
+            (i, j, x) for i in k for j in k for x in k if len({i, j, x}) == 3]:
+        w = dict.fromkeys(k, 0.0) | dict(zip(order, {1: (1.0,), 2: (0.5, 0.5), 3: (0.25, 0.25, 0.5)}[len(order)]))
+        spp = " + ".join(f"{D(w[i] * w[j])} * s{min(i, j)}{max(i, j)}" for i in order for j in order)
+        syp = " + ".join(f"{D(w[i])} * y{i}" for i in order)
+        path = [*order, -1, -1][:3]
+        rows.append(f"SELECT {len(order)} AS step, {path[0]} AS a, {path[1]} AS b, {path[2]} AS c, "
+                    + ", ".join(f"{D(w[i])} AS w{i}" for i in k) + f", 1 - (syy - 2 * ({syp}) + {spp}) / (syy - sy * sy / n) AS r2 FROM g")
+    out = " UNION ALL ".join(f"SELECT '{m}' AS model, w{i} AS weight, {R('r2', 'r2')} FROM best" for i, m in enumerate(MODELS))
+    ok = " AND ".join(f"{m} IS NOT NULL" for m in MODELS)
+    return (f"WITH {SQL_PAIRS}, g AS (SELECT count(*) AS n, sum(actual) AS sy, sum(actual * actual) AS syy, {', '.join(sums)} "
+            f"FROM pairs WHERE {ok}), t AS ({' UNION ALL '.join(rows)}), "
+            "s1 AS (SELECT * FROM t WHERE step = 1 ORDER BY r2 DESC, a LIMIT 1), "
+            "s2 AS (SELECT t.* FROM t, s1 WHERE t.step = 2 AND t.a = s1.a AND t.r2 > s1.r2 ORDER BY t.r2 DESC, t.b LIMIT 1), "
+            "s3 AS (SELECT t.* FROM t, s2 WHERE t.step = 3 AND t.a = s2.a AND t.b = s2.b AND t.r2 > s2.r2 ORDER BY t.r2 DESC LIMIT 1), "
+            "best AS (SELECT * FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3) ORDER BY step DESC LIMIT 1) "
+            + out)
+
+
+@register("greedy_weights", _sql_greedy())
 def q_greedy_weights(spark, sf_dir):
     """Greedy forward ensemble weights of the three predictors maximising R2. The data
     pass is ONE aggregation (Gramian); the search runs on its 15 numbers on the driver."""
     p = order_pairs(spark, sf_dir).dropna(subset=list(MODELS))
     g = metrics.gramian(p, "actual", MODELS).first().asDict()
     w, r2 = metrics.greedy_weights_from_gramian(g, MODELS)
-    return spark.createDataFrame([(m, float(x), float(r2)) for m, x in zip(MODELS, w)],
-                                 "model string, weight double, r2 double")
+    return rounded(spark.createDataFrame([(m, float(x), float(r2)) for m, x in zip(MODELS, w)],
+                                         "model string, weight double, r2 double"))
 
 
 # ---------------------------------------------------------------- data profile (Q1, Q3, Q4, Q7, Q8, Q10-Q12, Q14)
@@ -872,14 +899,14 @@ def q_profile_cardinality(spark, sf_dir):
 
 def _sql_describe(c: str) -> str:
     x = f"CAST({c} AS DOUBLE)"
-    mean = f"CAST(sum(CAST({x} AS DECIMAL(38, 6))) AS DOUBLE) / count({x})"
-    return (f"SELECT '{c}' AS column, CAST(count({x}) AS BIGINT) AS n, {R(mean, 'mean')}, "
+    return (f"SELECT '{c}' AS column, CAST(count({x}) AS BIGINT) AS n, {R(f'avg({x})', 'mean')}, "
+            f"{R(f'(max(mm.t) - count({x})) * 100.0 / max(mm.t)', 'missing_pct')}, "
             f"{R(f'min({x})', 'min')}, {R(f'max({x})', 'max')}, {R(f'stddev_pop({x})', 'std')}, "
             f"{R(f'avg(power({x} - m, 3)) / power(avg(power({x} - m, 2)), 1.5)', 'skew')}, "
             f"{R(f'avg(power({x} - m, 4)) / power(avg(power({x} - m, 2)), 2)', 'kurtosis')}, "
             f"CAST(count(DISTINCT {x}) AS BIGINT) AS n_unique, {R(f'quantile_cont({x}, 0.5)', 'median')}, "
             f"abs(avg(power({x} - m, 3)) / power(avg(power({x} - m, 2)), 1.5)) > 3 AS skew_warning "
-            f"FROM lineitem, (SELECT avg({x}) AS m FROM lineitem) mm WHERE {x} IS NOT NULL")
+            f"FROM lineitem, (SELECT avg({x}) AS m, count(*) AS t FROM lineitem) mm WHERE {x} IS NOT NULL")
 
 
 @register("profile_describe", "SELECT * FROM (" + _union_cols(PROF_NUM, _sql_describe) + ")")
@@ -1010,15 +1037,10 @@ def q_pacf(spark, sf_dir):
 
 @register("lag_recommendation")
 def q_lag_recommendation(spark, sf_dir):
-    """Significant PACF lags 1..10 (|pacf| > band and > 0.05); lags <= 3 recommended."""
-    a = rain_acf(spark, sf_dir)
-    n = a.select("site", "n").distinct()
-    return tsstats.lag_recommendation(tsstats.pacf(a, ["site"], 20), ["site"], n)
-
-
-def _diff_series(h: DataFrame) -> DataFrame:
-    d = windows.add_diff(h, ["site"], "_pos", {"dx": "Rainfall"}).where(F.col("dx").isNotNull())
-    return d.withColumn("_pos", F.col("_pos") - 1).drop("_blk")
+    """Significant PACF lags 1..10 of the original series where it is stationary, else of the differenced
+    one; those <= 3 with |pacf| > 0.05 recommended."""
+    h = hourly_rain(spark, sf_dir).withColumn("_pos", cal.hour_id("ts"))
+    return tsstats.analyse(h, ["site"], "_pos", "Rainfall", 40)["lag_recommendations"]
 
 
 @register("stationarity")
@@ -1028,18 +1050,8 @@ def q_stationarity(spark, sf_dir):
     KPSS p > .05 and fewer than 17 of lags 1..24 significant. Original and differenced
     series are two keys of ONE long table, so every test runs once over all series. The
     differenced series reuses the original n for its ACF band, as the reference does."""
-    h = materialize(hourly_rain(spark, sf_dir).withColumn("_pos", cal.hour_id("ts")).select("site", "_pos", "Rainfall"))
-    orig = h.select("site", F.lit("orig").alias("variant"), "_pos", F.col("Rainfall").alias("v"))
-    diff = _diff_series(h).select("site", F.lit("diff").alias("variant"), "_pos", F.col("dx").alias("v"))
-    both = materialize(orig.unionByName(diff))
-    k = ["site", "variant"]
-    adf = tsstats.adf_test(both, k, "_pos", "v").drop("n")
-    kp = tsstats.kpss_level(both, k, "_pos", "v").drop("n")
-    n0 = h.groupBy("site").agg(F.count(F.lit(1)).alias("n0"))
-    ac = tsstats.acf(both, k, "_pos", "v", 40).drop("n").join(n0, "site")
-    sig = tsstats.acf_significance(ac, k, "n0").drop("n0", "band")
-    long = adf.join(kp, k).join(sig, k).withColumn(
-        "stationary", (F.col("adf_pvalue") < 0.05) & (F.col("kpss_pvalue") > 0.05) & F.col("acf_decays"))
+    h = hourly_rain(spark, sf_dir).withColumn("_pos", cal.hour_id("ts"))
+    long = tsstats.analyse(h, ["site"], "_pos", "Rainfall", 40)["stationarity"]
     vals = ["adf_pvalue", "kpss_pvalue", "sig_lags", "stationary"]
     wide = long.groupBy("site").pivot("variant", ["orig", "diff"]).agg(*[F.first(c).alias(c) for c in vals])
     return wide.select("site", *[F.col(f"{t}_{c}") for t in ("orig", "diff") for c in vals])
@@ -1079,7 +1091,7 @@ r AS (SELECT min(v) AS lo, max(v) AS hi FROM j WHERE NOT o),
 b AS (SELECT v, o, CAST(CASE WHEN o THEN 20 WHEN (hi - lo) / {D(20.0)} > 0
                  THEN least(floor((v - lo) / ((hi - lo) / {D(20.0)})), 19) ELSE 0 END AS INTEGER) AS bin FROM j, r)
 SELECT bin, o AS outlier_bar, CAST(count(*) AS BIGINT) AS n,
-       {R('CAST(sum(CAST(v AS DECIMAL(38, 6))) AS DOUBLE) / count(*)', 'mean_value')} FROM b GROUP BY bin, o""")
+       {R('avg(v)', 'mean_value')} FROM b GROUP BY bin, o""")
 def q_target_histogram(spark, sf_dir):
     """Q5: histogram of raw readings, outliers (median ± 5 RSTD) averaged in a last bar."""
     ev = load(spark, sf_dir, "events", ["value"])
@@ -1234,10 +1246,11 @@ def q_pivot_summary(spark, sf_dir):
     """Count, mean, std, min, quartiles, max of each column of the site x model R2 table
     (exact quartiles)."""
     m = long_pairs(spark, sf_dir).groupBy("site", "model").agg(*metrics.error_metric_columns("actual", "pred"))
+    # m has one row per (site, model): its exact quartiles need no refinement over the facts
+    q = [F.percentile("r2", F.lit(v)).alias(n) for n, v in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))]
     st = m.groupBy("model").agg(F.count("r2").alias("count"), F.avg("r2").alias("mean"),
-                                F.stddev_samp("r2").alias("std"), F.min("r2").alias("min"), F.max("r2").alias("max"))
-    q = ranking.quantiles_type7(m, ["model"], "r2", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    return rounded(st.join(q, "model").select("model", "count", "mean", "std", "min", "q25", "q50", "q75", "max"))
+                                F.stddev_samp("r2").alias("std"), F.min("r2").alias("min"), F.max("r2").alias("max"), *q)
+    return rounded(st.select("model", "count", "mean", "std", "min", "q25", "q50", "q75", "max"))
 
 
 @register("leaderboard_top20", f"""WITH {SQL_PAIRS}
@@ -1248,3 +1261,6 @@ def q_leaderboard_top20(spark, sf_dir):
     m = long_pairs(spark, sf_dir).groupBy("site", "scenario", "model").agg(
         F.sqrt(F.avg((F.col("pred") - F.col("actual")) ** 2)).alias("rmse"))
     return rounded(m.orderBy("rmse", "site", "scenario", "model").limit(20))
+
+
+from . import ingest_queries  # noqa: E402,F401  (registers its queries)

@@ -27,9 +27,23 @@ def test_units_names_lookups(spark):
     assert [x.gauge for x in m] == [None, "Pinehaven"]
     tbl = spark.createDataFrame([("Birch Lane",)], "key string")
     assert clean.lookup_by_substring(df, "g", tbl, "key").count() == 1
+    many = spark.createDataFrame([(3, "Birch"), (1, "Lane"), (2, "gauge"), (0, "absent"), (0, "")], "rank int, key string")
+    got = clean.lookup_by_substring(df, "g", many, "key", "rank").collect()
+    assert [(r.g, r.key) for r in got] == [("Birch Lane gauge", "Lane")]
+    assert clean.lookup_by_substring(df, "g", many.limit(0), "key").count() == 0
     assert clean.model_matrix(df.withColumn("Time", F.lit(1)), "k") == ["name", "g"]
 
 
+def test_first_match_and_jobs(spark):
+    left = spark.createDataFrame([(1, "k", "abc"), (2, "k", "zzz")], "id int, g string, s string")
+    right = spark.createDataFrame([("k", 5, "b", "late"), ("k", 2, "c", "first"), ("k", 1, "q", "no")], "g string, o int, tag string, v string")
+    got = {r.id: (r.match_o, r.match_v) for r in joins.first_match(left, right, ["g"], F.col("s").contains(F.col("tag")), "o", "id").collect()}
+    assert got == {1: (2, "first"), 2: (None, None)}
+    files = spark.createDataFrame([("f1", "A"), ("f2", "B"), ("f3", "none")], "f string, gauge string")
+    jobs = joins.scoring_jobs(files, "gauge", {"A": ["x", "y"], "B": ["z"]}, ["1", "2"])
+    assert sorted((r.f, r.job) for r in jobs.collect()) == [("f1", "x 1"), ("f1", "x 2"), ("f1", "y 1"), ("f1", "y 2"), ("f2", "z 1"), ("f2", "z 2")]
+
+
 def test_calendar_and_filters(spark):
     df = spark.createDataFrame([(dt.datetime(2020, 2, 29, 5, 30),), (dt.datetime(2021, 12, 31, 23, 0),)],
                                "ts timestamp_ntz")

@@ -12,7 +12,7 @@ def _dir():
 
 def test_csv_roundtrip_listing_and_metadata(spark):
     d = _dir()
-    names = ["BirchLane_ACCESS-CM2_ssp245_adjusted_2015_2100.csv", "BirchLane_ACCESS-CM2_hist_adjusted_1960_2014.csv",
+    names = ["Birch Lane_ACCESS-CM2_ssp245_adjusted_2015_2100.csv", "BirchLane_ACCESS-CM2_hist_adjusted_1960_2014.csv",
              "notes.txt"]
     for n in names:
         with open(os.path.join(d, n), "w") as f:
@@ -57,9 +57,11 @@ def test_sinks_and_read_if_exists(spark):
     df = spark.range(0, 12000).withColumn("site", (F.col("id") % 3).cast("string"))
     files.write_table(df, os.path.join(d, "t"), ["site"])
     assert spark.read.parquet(os.path.join(d, "t")).count() == 12000
-    files.write_chunked(df.repartition(1), os.path.join(d, "c"), 5000)
-    parts = [f for f in os.listdir(os.path.join(d, "c")) if f.endswith(".csv")]
-    assert len(parts) == 3
+    files.write_chunked(df.repartition(7), os.path.join(d, "c"), "id", 5000)
+    back = files.read_csv(spark, os.path.join(d, "c"), "id long, site string, chunk int", header=False)
+    got = {r.chunk: (r.n, r.lo, r.hi) for r in back.groupBy("chunk").agg(
+        F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).collect()}
+    assert got == {0: (5000, 0, 4999), 1: (5000, 5000, 9999), 2: (2000, 10000, 11999)}
     got = files.read_if_exists(spark, os.path.join(d, "missing"), spark.read.parquet, lambda: spark.range(1))
     assert got.count() == 1
 
