@@ -1029,10 +1029,51 @@ def q_scored_predictions(spark, sf_dir):
 
 # ---------------------------------------------------------------- stationarity, PACF, lag recommendation (tier 3)
 
-@register("pacf")
+PACF_LAGS = 20
+
+
+def _sql_pacf() -> str:
+    """Durbin-Levinson unrolled: step k adds the coefficients f<k>_1..k and the residual variance v<k>."""
+    r = ", ".join(f"max(CASE WHEN lag = {k} THEN acf * n / (n - {k}) END) AS r{k}" for k in range(1, PACF_LAGS + 1))
+    steps = [f"d0 AS (SELECT site, {r}, 1.0 AS v0 FROM acf GROUP BY site)"]
+    for k in range(1, PACF_LAGS + 1):
+        dot = " + ".join(f"f{k - 1}_{j} * r{k - j}" for j in range(1, k)) or "0"
+        new = "".join(f", f{k - 1}_{j} - a{k} * f{k - 1}_{k - j} AS f{k}_{j}" for j in range(1, k))
+        steps.append(f"e{k} AS (SELECT *, (r{k} - ({dot})) / v{k - 1} AS a{k} FROM d{k - 1})")
+        steps.append(f"d{k} AS (SELECT *{new}, a{k} AS f{k}_{k}, v{k - 1} * (1 - a{k} * a{k}) AS v{k} FROM e{k})")
+    rows = " UNION ALL ".join([f"SELECT site, 0 AS lag, 1.0 AS p FROM d{PACF_LAGS}"]
+                              + [f"SELECT site, {k}, a{k} FROM d{PACF_LAGS}" for k in range(1, PACF_LAGS + 1)])
+    return f"{', '.join(steps)} SELECT site, CAST(lag AS INTEGER) AS lag, {R('p', 'pacf')} FROM ({rows})"
+
+
+@register("pacf", f"WITH {SQL_HOURLY}, {SQL_ACF}, {_sql_pacf()}")
 def q_pacf(spark, sf_dir):
     """Y2: Yule-Walker PACF (adjusted autocovariances) of hourly rain, lags 0..20, per site."""
-    return tsstats.pacf(rain_acf(spark, sf_dir), ["site"], 20)
+    return rounded(tsstats.pacf(rain_acf(spark, sf_dir), ["site"], PACF_LAGS))
+
+
+def _sql_kpss() -> str:
+    """KPSS from the autocovariance sums s0..s48: bandwidth rule, Bartlett weights, interpolated p."""
+    cov = range(1, ACF_LAGS + 1)
+    cut = "floor(power(n, 2.0 / 9.0))"
+    t0 = f"(s0 + {' + '.join(f'CASE WHEN {i} <= {cut} THEN 2 * s{i} ELSE 0 END' for i in range(1, 9))}) / n"
+    t1 = f"({' + '.join(f'CASE WHEN {i} <= {cut} THEN {2 * i} * s{i} ELSE 0 END' for i in range(1, 9))}) / n"
+    lr = "(s0 + " + " + ".join(f"CASE WHEN {i} <= l THEN 2 * (1 - {i} / (l + 1)) * s{i} ELSE 0 END" for i in cov) + ") / n"
+    crit = [(0.347, 0.10), (0.463, 0.05), (0.574, 0.025), (0.739, 0.01)]
+    p = "CASE WHEN k <= 0.347 THEN 0.1 " + " ".join(
+        f"WHEN k <= {b} THEN {pa} + (k - {a}) / ({b} - {a}) * ({pb} - {pa})" for (a, pa), (b, pb) in zip(crit, crit[1:])) + " ELSE 0.01 END"
+    return (f"cs AS (SELECT site, sum(x) OVER (PARTITION BY site ORDER BY ts) AS s FROM cx), "
+            f"ss AS (SELECT site, sum(s * s) AS ss FROM cs GROUP BY site), "
+            f"b AS (SELECT *, least(floor(1.1447 * power(power(({t1}) / ({t0}), 2), 1.0 / 3.0) * power(n, 1.0 / 3.0)), n - 1) AS l FROM sa), "
+            f"k AS (SELECT b.site, b.n, b.l, ss.ss / (n * n) / ({lr}) AS k FROM b JOIN ss ON b.site = ss.site) "
+            f"SELECT site, CAST(n AS BIGINT) AS n, {R('k', 'kpss_stat')}, CAST(l AS BIGINT) AS kpss_lags, {R(p, 'kpss_pvalue')} FROM k")
+
+
+@register("kpss", f"WITH {SQL_HOURLY}, {SQL_ACF}, {_sql_kpss()}")
+def q_kpss(spark, sf_dir):
+    """KPSS level test of hourly rain per site (automatic bandwidth)."""
+    h = hourly_rain(spark, sf_dir).withColumn("_pos", cal.hour_id("ts"))
+    return rounded(tsstats.kpss_level(h, ["site"], "_pos", "Rainfall"))
 
 
 @register("lag_recommendation")
