@@ -57,7 +57,7 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
 
 def _attend(p, inputs):
     """Masked attention of the last STEP positions of each window over all positions up to them."""
-    x = p["emb"][inputs]
+    x = np.take(p["emb"], inputs, axis=0)
     xq = x[:, CONTEXT:]
     q = (xq @ p["wq"]) * np.float32(DIM ** -0.5)
     k, v = x @ p["wk"], x @ p["wv"]
@@ -68,48 +68,62 @@ def _attend(p, inputs):
     np.exp(s, out=s)
     s /= s.sum(-1, keepdims=True)
     o = s @ v
-    h = np.tanh(xq @ p["w1"] + o @ p["w2"] + p["b"])
+    h = np.maximum(xq @ p["w1"] + o @ p["w2"] + p["b"], 0)
     return x, xq, q, k, v, s, o, h
 
 
-def log_probs(p, bigram, inputs, targets) -> np.ndarray:
-    """Natural log probability of every target (0 where there is none).
-
-    The same function as in ``gradients`` without what only training needs: projections are taken per symbol,
-    not per position, and PAD has no weight because its row of (values, 1) is zero."""
+def prepared(p, bigram) -> dict[str, np.ndarray]:
+    """Tables for scoring: what depends on one symbol only is taken per symbol, not per position; the
+    biases are added to the bigram tables. PAD has no weight because its row of (values, 1) is zero."""
     by_class, by_place = bigram
     emb = p["emb"]
     value = np.concatenate([emb @ p["wv"], np.ones((len(emb), 1), dtype=emb.dtype)], axis=1)
     value[PAD] = 0
-    own = inputs[:, CONTEXT:]
-    s = np.matmul((emb @ p["wq"] * np.float32(DIM ** -0.5))[own], (emb @ p["wk"])[inputs].transpose(0, 2, 1))
-    s += np.where(_DISTANCE >= 0, p["rel"][np.maximum(_DISTANCE, 0)], _NEVER)
-    np.minimum(s, 80, out=s)
+    t = {"q": emb @ p["wq"] * np.float32(DIM ** -0.5), "k": emb @ p["wk"], "v": value, "h": emb @ p["w1"] + p["b"], "w2": p["w2"], "wc": p["wc"],
+         "wt": p["wt"], "rel": np.where(_DISTANCE >= 0, p["rel"][np.maximum(_DISTANCE, 0)], _NEVER),
+         "class": by_class + p["bc"], "place": np.ascontiguousarray((by_place + p["bt"]).transpose(1, 0, 2))}
+    largest = np.linalg.norm(t["q"], axis=1).max() * np.linalg.norm(t["k"], axis=1).max() + p["rel"].max()
+    return t | {"large": np.array(largest > 80)}
+
+
+def score(t, inputs, targets) -> np.ndarray:
+    """Natural log probability of every target (0 where there is none), from ``prepared`` tables."""
+    own = np.ascontiguousarray(inputs[:, CONTEXT:])
+    s = np.matmul(np.take(t["q"], own, axis=0), np.take(t["k"], inputs, axis=0).transpose(0, 2, 1))
+    s += t["rel"]
+    if t["large"]:  # only then could the exponentials overflow
+        s -= s.max(-1, keepdims=True)
     np.exp(s, out=s)
-    o = np.matmul(s, value[inputs])
-    real = targets >= 0
-    o, y, prev = o[real], targets[real], own[real]
-    o = o[:, :DIM] / o[:, DIM:]
-    hv = (emb @ p["w1"] + p["b"])[prev]
-    hv += o @ p["w2"]
-    np.tanh(hv, out=hv)
+    o = np.matmul(s, np.take(t["v"], inputs, axis=0)).reshape(-1, DIM + 1)
+    real = np.flatnonzero(targets >= 0)
+    y, prev = targets.ravel()[real], own.ravel()[real]
+    order = np.argsort((y // WITHIN).astype(np.int16), kind="stable")  # by class, so that each is one product
+    real, y, prev = real[order], y[order], prev[order]
     c, w = y // WITHIN, y % WITHIN
-    z = hv @ p["wc"]
-    z += (by_class + p["bc"])[prev]
-    out = z[np.arange(len(y)), c].astype(np.float64)
+    o = np.take(o, real, axis=0)
+    hv = (o[:, :DIM] / o[:, DIM:]) @ t["w2"]
+    hv += np.take(t["h"], prev, axis=0)
+    np.maximum(hv, 0, out=hv)
+    rows = np.arange(len(y))
+    z = hv @ t["wc"]
+    z += np.take(t["class"], prev, axis=0)
+    out = z[rows, c].astype(np.float64)
     out -= np.log(np.exp(z, out=z).sum(-1))
-    order = np.argsort(c.astype(np.int16), kind="stable")
-    cuts = np.searchsorted(c[order], np.arange(CLASSES + 1))
+    cuts = np.searchsorted(c, np.arange(CLASSES + 1))
     for k in range(CLASSES):
-        at = order[cuts[k]:cuts[k + 1]]
-        if len(at):
-            z = hv[at] @ p["wt"][k]
-            z += (by_place[:, k] + p["bt"][k])[prev[at]]
-            out[at] += z[np.arange(len(at)), w[at]]
-            out[at] -= np.log(np.exp(z, out=z).sum(-1))
-    full = np.zeros(targets.shape, dtype=np.float64)
+        a, b = cuts[k], cuts[k + 1]
+        if a < b:
+            np.matmul(hv[a:b], t["wt"][k], out=z[a:b])
+    z += np.take(t["place"].reshape(-1, WITHIN), c * (SYMBOLS + 1) + prev, axis=0)
+    out += z[rows, w]
+    out -= np.log(np.exp(z, out=z).sum(-1))
+    full = np.zeros(targets.size, dtype=np.float64)
     full[real] = out
-    return full
+    return full.reshape(targets.shape)
+
+
+def log_probs(p, bigram, inputs, targets) -> np.ndarray:
+    return score(prepared(p, bigram), inputs, targets)
 
 
 def gradients(p, bigram, inputs, targets) -> tuple[float, dict[str, np.ndarray]]:
@@ -121,7 +135,7 @@ def gradients(p, bigram, inputs, targets) -> tuple[float, dict[str, np.ndarray]]
     hv, y, prev = h[real], targets[real], inputs[:, CONTEXT:][real]
     c, w = y // WITHIN, y % WITHIN
     rows = np.arange(len(y))
-    lc = _log_softmax(hv @ p["wc"] + p["bc"] + by_class[prev])
+    lc = _log_softmax(hv @ p["wc"] + p["bc"] + np.take(by_class, prev, axis=0))
     loss = -lc[rows, c].sum()
     d = np.exp(lc)
     d[rows, c] -= 1
@@ -142,7 +156,7 @@ def gradients(p, bigram, inputs, targets) -> tuple[float, dict[str, np.ndarray]]
             g["wt"][j], g["bt"][j] = hv[at].T @ dt, dt.sum(0)
             dh[at] += dt @ p["wt"][j].T
     pre = np.zeros_like(h)
-    pre[real] = dh * (1 - hv * hv)
+    pre[real] = dh * (hv > 0)
     flat = lambda z: z.reshape(-1, z.shape[-1])
     g["w1"], g["w2"], g["b"] = flat(xq).T @ flat(pre), flat(o).T @ flat(pre), flat(pre).sum(0)
     do = pre @ p["w2"].T

@@ -27,76 +27,106 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import attention as A
-from .bpe import default_path
 from .common import map_arrow, quoted, remainder, slices, stored, with_fields
 
 TOP_WORDS = 100_000
 TOP_BYTES = 64
 ROUND_SHARE = 64
-MIN_SYMBOLS = 1_000_000
+MIN_SYMBOLS = 500_000
 ROUNDS = 4
 BATCH_WINDOWS = 64
 SCORE_WINDOWS = 512
-MEMO_WORDS = 400_000
+MEMO_WORDS = 700_000
 REST, END = 0, 1  # symbols before they are ordered by class
 _FLUSH = 500_000
 
 
-def words_of(text: str | None) -> list[bytes]:
+def words_of(text: str | bytes | None) -> list[bytes]:
     """Words after lower-casing A-Z (bytes: other letters and blanks beyond ASCII stay as they are)."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b"").lower().split()
+
+
+def ranks_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 class Subwords:
-    """Distinct words met by this worker, each encoded once, with their numbers."""
+    """Distinct words met by this worker, each encoded once, with their numbers; ``path``: a file of ranks."""
 
     def __init__(self, path: str):
-        import os
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        import base64
+
+        import public_tokenizers
+        import tiktoken
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.tokenizer = tiktoken.Encoding("subwords", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.size = max(ranks.values()) + 1
+        self.begins = np.zeros(self.size, dtype=bool)  # a word's first subword holds the blank before it
+        self.begins[[i for b, i in ranks.items() if b.startswith(b" ")]] = True
+        self.top: dict[bytes, int] = {}
         self.clear()
 
     def clear(self):
         self.number: dict[bytes, int] = {}
-        self.flat: list[np.ndarray] = []
-        self.cache = None
+        self.flat = np.zeros(1 << 16, dtype=np.int32)  # all words' subwords in a row, with room to grow
+        self.start = np.zeros(1 << 14, dtype=np.int64)
+        self.count = np.zeros(1 << 14, dtype=np.int64)
+        self.frequency = np.zeros(1 << 14, dtype=np.int64)  # in ``top``, -1: not there
+        self.used = 0
+
+    def use(self, top: dict[bytes, int]):
+        """Frequencies to give with the words' numbers."""
+        if self.top is not top:
+            self.top = top
+            self.clear()
 
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        texts = [" " + w.decode("utf-8", "replace") for w in words]
-        return [e.ids for i in range(0, len(texts), 50_000) for e in self.tokenizer.encode_batch_fast(texts[i:i + 50_000], add_special_tokens=False)]
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Subwords of the words in a row, and how many each has: many words are encoded as one text and cut
+        at the subwords that begin with a blank (word by word if a word has such a one inside)."""
+        flat, sizes = [], []
+        for i in range(0, len(words), 5_000):
+            some = [w.decode("utf-8", "replace") for w in words[i:i + 5_000]]
+            ids = np.array(self.tokenizer.encode_ordinary(" " + " ".join(some)), dtype=np.int32)
+            at = np.flatnonzero(self.begins[ids])
+            if len(at) != len(some):
+                each = [self.tokenizer.encode_ordinary(" " + w) for w in some]
+                ids, n = np.array([x for t in each for x in t], dtype=np.int32), np.array([len(t) for t in each])
+            else:
+                n = np.diff(np.append(at, len(ids)))
+            flat.append(ids)
+            sizes.append(n)
+        return (np.concatenate(flat), np.concatenate(sizes).astype(np.int64)) if flat else (np.zeros(0, np.int32), np.zeros(0, np.int64))
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        """A number for every word; ``table`` has their subwords."""
+        """A number for every word; ``ids`` gives their subwords."""
         if len(self.number) > MEMO_WORDS:
             self.clear()
         number = self.number
         new = list({w for w in words if w not in number})
         if new:
-            for w, ids in zip(new, self.encode(new)):
-                number[w] = len(number)
-                self.flat.append(np.array(ids, dtype=np.int32))
-            self.cache = None
+            ids, sizes = self.encode(new)
+            n, end = len(number), len(number) + len(new)
+            self.flat = _room(self.flat, self.used + len(ids))
+            self.start, self.count, self.frequency = (_room(x, end) for x in (self.start, self.count, self.frequency))
+            self.flat[self.used:self.used + len(ids)] = ids
+            self.start[n:end] = self.used + np.cumsum(sizes) - sizes
+            self.count[n:end] = sizes
+            self.frequency[n:end] = [self.top.get(w, -1) for w in new]
+            self.used += len(ids)
+            number.update(zip(new, range(n, end)))
         return np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
 
-    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All subwords in a row, and the start and size of each word's."""
-        if self.cache is None:
-            sizes = np.fromiter(map(len, self.flat), dtype=np.int64, count=len(self.flat))
-            flat = np.concatenate(self.flat) if self.flat else np.zeros(0, dtype=np.int32)
-            self.cache = (flat, np.cumsum(sizes) - sizes, sizes)
-            self.flat = np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
-        return self.cache
-
     def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Subwords of a run of words, and how many each has."""
-        flat, start, size = self.table()
-        n = size[numbers]
+        n = self.count[numbers]
         ends = np.cumsum(n)
-        return flat[np.repeat(start[numbers] - (ends - n), n) + np.arange(int(n.sum()))], n
+        return self.flat[np.repeat(self.start[numbers] - (ends - n), n) + np.arange(int(n.sum()))], n
+
+
+def _room(a: np.ndarray, size: int) -> np.ndarray:
+    return a if size <= len(a) else np.concatenate([a, np.zeros(max(size - len(a), len(a)), dtype=a.dtype)])
 
 
 _subwords: dict[str, Subwords] = {}
@@ -110,7 +140,7 @@ def _worker(path: str) -> Subwords:
 
 def _texts(batch, name="text"):
     for part in slices(batch, max_rows=400, max_bytes=2 << 20):
-        yield part, [words_of(t) for t in part.column(name).to_pylist()]
+        yield part, [words_of(t) for t in part.column(name).cast(pa.binary()).to_pylist()]
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -142,9 +172,7 @@ def subword_counts(words: DataFrame, path: str) -> np.ndarray:
         for batch in batches:
             for i in range(0, batch.num_rows, 50_000):
                 part = batch.slice(i, 50_000)
-                ids = sub.encode(part.column("word").to_pylist())
-                n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-                flat = np.fromiter((x for t in ids for x in t), dtype=np.int64, count=int(n.sum()))
+                flat, n = sub.encode(part.column("word").to_pylist())
                 total += np.bincount(flat, weights=np.repeat(part.column("c").to_numpy(), n), minlength=sub.size).astype(np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "c"])
@@ -172,8 +200,7 @@ def bigram_counts(train: DataFrame, symbol: np.ndarray, path: str) -> np.ndarray
         for batch in batches:
             for _, docs in _texts(batch):
                 row = np.concatenate([[END], *_symbol_texts(sub, docs, symbol, END)]).astype(np.int64)
-                at, n = np.unique(row[:-1] * A.SYMBOLS + row[1:], return_counts=True)
-                total[at] += n
+                total += np.bincount(row[:-1] * A.SYMBOLS + row[1:], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "c"])
 
@@ -204,6 +231,12 @@ class Model:
         self.bigram = A.bigram_tables(bigrams[np.ix_(order, order)])
         self.params = A.initial(vectors)
 
+    def tables(self) -> dict[str, np.ndarray]:
+        """Scoring tables, made once where the finished model is used."""
+        if "prepared" not in self.__dict__:
+            self.prepared = A.prepared(self.params, self.bigram)
+        return self.prepared
+
 
 def _train_round(sample: DataFrame, model: Model, path: str) -> dict[str, np.ndarray] | None:
     """One round: every task trains on its own texts; the average of the tasks' parameters."""
@@ -262,25 +295,27 @@ def fit(train: DataFrame, words: DataFrame, path: str, share: int = ROUND_SHARE,
     return model
 
 
-def score_texts(model: Model, sub: Subwords, docs: list[list[bytes]]) -> np.ndarray:
+def score_texts(model: Model, sub: Subwords, docs: list[list[bytes]], numbers: np.ndarray | None = None) -> np.ndarray:
     """Natural log probability of each text with its end."""
-    numbers = sub.numbers([w for d in docs for w in d])
+    if numbers is None:
+        numbers = sub.numbers([w for d in docs for w in d])
     ids, n = sub.ids(numbers)
     sym, rest = model.symbol[ids], model.rest[ids]
     ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0] + [len(d) for d in docs])]
     texts = [np.append(sym[a:b], model.end) for a, b in zip(ends[:-1], ends[1:])]
     total = np.array([rest[a:b].sum() for a, b in zip(ends[:-1], ends[1:])])
     inputs, targets, of = A.windows(texts, model.end)
+    tables = model.tables()
     for i in range(0, len(inputs), SCORE_WINDOWS):
         part = slice(i, i + SCORE_WINDOWS)
-        total += np.bincount(of[part], weights=A.log_probs(model.params, model.bigram, inputs[part], targets[part]).sum(1), minlength=len(docs))
+        total += np.bincount(of[part], weights=A.score(tables, inputs[part], targets[part]).sum(1), minlength=len(docs))
     return total
 
 
 def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1,
              path: str | None = None, share: int = ROUND_SHARE, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
-    path = path or default_path()
+    path = path or ranks_path()
     rows = docs.select(quoted(id_col).alias("id"), (remainder(quoted(id_col), folds) == held).alias("held_out"),
                        F.coalesce(quoted(text_col), F.lit("")).alias("text"))
     train = rows.where(~F.col("held_out"))
@@ -299,19 +334,24 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
     def run(batches):
         model, top = shared.value
         sub = _worker(path)
+        sub.use(top)
         for batch in batches:
             for part, docs in _texts(batch):
-                known = [list(map(top.get, d)) for d in docs]
-                base, n_known, tail = [], [], []
-                for d, cs in zip(docs, known):
-                    c = np.array([x for x in cs if x is not None] + [ends], dtype=np.float64)
-                    base.append(np.log10((c + 0.5) / denominator).sum())
-                    n_known.append(len(c) - 1 + (ends > 0))
-                    tail.append([w for w, x in zip(d, cs) if x is None])
-                score = score_texts(model, sub, docs) / ln10
+                flat = [w for d in docs for w in d]
+                numbers = sub.numbers(flat)
+                c = sub.frequency[numbers]
+                seen = c >= 0
+                cuts = np.cumsum([0] + [len(d) for d in docs])
+                of = np.repeat(np.arange(len(docs)), np.diff(cuts))
+                base = np.bincount(of, weights=np.where(seen, np.log10((c + 0.5) / denominator), 0.0), minlength=len(docs))
+                n_known = np.bincount(of[seen], minlength=len(docs))
+                rare = np.flatnonzero(~seen)
+                tail = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, cuts).astype(np.int32)), pa.array([flat[i] for i in rare], pa.binary()))
+                score = score_texts(model, sub, docs, numbers) / ln10
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("held_out"), pa.array([len(d) + 1 for d in docs], pa.int64()), pa.array(n_known, pa.int64()),
-                     pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(tail, pa.list_(pa.binary()))],
+                    [part.column("id"), part.column("held_out"), pa.array([len(d) + 1 for d in docs], pa.int64()),
+                     pa.array(n_known + int(ends > 0), pa.int64()), pa.array(base + np.log10((ends + 0.5) / denominator), pa.float64()),
+                     pa.array(score, pa.float64()), tail],
                     ["id", "held_out", "n_tokens", "known", "base", "score", "tail"])
 
     schema = with_fields(rows.select("id", "held_out").schema, ("n_tokens", "long"), ("known", "long"), ("base", "double"),

@@ -76,7 +76,8 @@ def test_windows_score_each_symbol_once():
         assert list(inputs[of == k][0][:attention.CONTEXT]) == [attention.PAD] * attention.CONTEXT
         assert inputs[of == k][0][attention.CONTEXT] == 7
     second = np.flatnonzero(of == 4)[1]
-    assert list(inputs[second][:attention.CONTEXT]) == [7, *range(31)]
+    before = attention.STEP - attention.CONTEXT
+    assert list(inputs[second]) == [7, *range(99)][before:before + attention.CONTEXT + attention.STEP]
 
 
 def test_gradients_and_paths_agree():
@@ -142,7 +143,7 @@ def test_op1_beats_the_base(spark):
 
 
 def test_score_is_the_sum_over_the_text():
-    sub = lm_scoring.Subwords(default_path())
+    sub = lm_scoring.Subwords(lm_scoring.ranks_path())
     counts = np.ones(sub.size, dtype=np.int64)
     model = lm_scoring.Model(counts)
     model.order(np.ones((attention.SYMBOLS, attention.SYMBOLS)))
@@ -152,6 +153,18 @@ def test_score_is_the_sum_over_the_text():
         assert lm_scoring.score_texts(model, sub, [d])[0] == pytest.approx(s, abs=1e-3)
 
 
+def test_subwords_equal_the_tokenizer_per_word():
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(default_path())
+    sub = lm_scoring.Subwords(lm_scoring.ranks_path())
+    words = [w.encode() for w in ("the", "thntblere", "of,", "it's", "1234", "数字", "😀", "a\u00a0b", "\u00a0", "x\u3000", "é", "\x1c")] * 3
+    ids, n = sub.ids(sub.numbers(words))
+    want = [tok.encode(" " + w.decode(), add_special_tokens=False).ids for w in words]
+    assert list(n) == [len(t) for t in want] and list(ids) == [x for t in want for x in t]
+    sub.use({b"the": 7})
+    assert list(sub.frequency[sub.numbers([b"the", b"of,"])]) == [7, -1]
+
+
 def test_helpers(spark, edge_docs):
     assert fresh(edge_docs, "SIZE", "new", "new") == ["_SIZE", "new", "_new"]
     row = spark.createDataFrame([(5,), (None,)], "k long").select(own_shuffle("k").alias("k"), remainder(F.col("k"), 5).alias("m")).collect()
