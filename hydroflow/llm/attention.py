@@ -9,8 +9,8 @@ import numpy as np
 
 CLASSES, WITHIN = 32, 32
 SYMBOLS = CLASSES * WITHIN
-DIM, HIDDEN = 16, 32
-CONTEXT, STEP = 32, 32
+DIM, HIDDEN = 16, 24
+CONTEXT, STEP = 16, 32
 PAD = SYMBOLS  # input only: before the start of a text
 _NEVER = np.float32(-1e9)
 _DISTANCE = (CONTEXT + np.arange(STEP))[:, None] - np.arange(CONTEXT + STEP)[None, :]

@@ -189,18 +189,28 @@ def _symbol_texts(sub: Subwords, docs: list[list[bytes]], symbol: np.ndarray, en
     ids, n = sub.ids(numbers)
     sym = symbol[ids]
     ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0] + [len(d) for d in docs])]
-    return [np.append(sym[a:b], end).astype(np.int32) for a, b in zip(ends[:-1], ends[1:])]
+    last = np.array([end], dtype=np.int32)
+    return [np.concatenate((sym[a:b], last)) for a, b in zip(ends[:-1], ends[1:])]
 
 
 def bigram_counts(train: DataFrame, symbol: np.ndarray, path: str) -> np.ndarray:
     """SYMBOLS x SYMBOLS counts of neighbours (the end also comes before a text's first symbol)."""
     def run(batches):
-        sub = _worker(path)
+        sub, waiting, held = _worker(path), [], 0
         total = np.zeros(A.SYMBOLS * A.SYMBOLS, dtype=np.int64)
+
+        def add():
+            row = np.concatenate([np.full(1, END, dtype=np.int32), *waiting])
+            total[:] += np.bincount(row[:-1] * A.SYMBOLS + row[1:], minlength=len(total))
+
         for batch in batches:
             for _, docs in _texts(batch):
-                row = np.concatenate([[END], *_symbol_texts(sub, docs, symbol, END)]).astype(np.int64)
-                total += np.bincount(row[:-1] * A.SYMBOLS + row[1:], minlength=len(total))
+                waiting += _symbol_texts(sub, docs, symbol, END)
+                held += sum(map(len, waiting[-len(docs):]))
+                if held > 3_000_000:
+                    add()
+                    waiting, held = [], 0
+        add()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "c"])
 
@@ -312,6 +322,20 @@ def score_texts(model: Model, sub: Subwords, docs: list[list[bytes]], numbers: n
     return total
 
 
+def top_words(words: DataFrame, most: int | None = None) -> dict[bytes, int]:
+    """The words whose count reaches a bound, chosen by a histogram of the counts' logarithms so that they are
+    at most ``most``; only those come to the driver. Any choice gives the same scores."""
+    most = TOP_WORDS if most is None else most
+    short = words.where(F.octet_length("word") <= TOP_BYTES).withColumn("size", F.floor(F.log2("c") * 16).cast("int"))
+    bound = total = 0
+    for r in sorted(short.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["size"]):
+        total += r["n"]
+        if total > most:
+            bound = r["size"] + 1
+            break
+    return {bytes(r["word"]): r["c"] for r in short.where(F.col("size") >= bound).collect()}
+
+
 def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1,
              path: str | None = None, share: int = ROUND_SHARE, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
@@ -325,8 +349,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
     n_words, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n_train, distinct = n_words + ends, kinds + (ends > 0)
     denominator = n_train + 0.5 * (distinct + 1)
-    top = {bytes(r["word"]): r["c"] for r in words.where(F.octet_length("word") <= TOP_BYTES)
-           .orderBy(F.col("c").desc(), "word").limit(TOP_WORDS).collect()}
+    top = top_words(words)
     context = docs.sparkSession.sparkContext
     shared = context.broadcast((model, top))
     ln10 = np.log(10)
