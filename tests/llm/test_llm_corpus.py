@@ -109,6 +109,18 @@ def test_probabilities_sum_to_one_and_look_back_only():
     assert attention.log_probs(p, bigram, later, many_out[:1])[0, 2] == pytest.approx(lp[0], abs=1e-6)
 
 
+def test_every_symbol_sees_at_least_33_symbols_back():
+    rng, p, bigram = setup()
+    text = rng.integers(0, attention.SYMBOLS, 120)
+    other = text.copy()
+    other[64 - 33] = (text[64 - 33] + 1) % attention.SYMBOLS
+    got = []
+    for t in (text, other):
+        inputs, targets, _ = attention.windows([t], 3)
+        got.append(attention.log_probs(p, bigram, inputs, targets).ravel()[64])
+    assert got[0] != got[1]
+
+
 def brute_base(rows, folds=5, held=1):
     c = Counter()
     out = lambda i: zlib.crc32(str("" if i is None else i).encode()) % folds == held
