@@ -4,8 +4,8 @@ Statistics, all over every training document and summed by Spark:
 * word counts (the base, and through each distinct word's subwords the subword counts);
 * counts of neighbouring symbols, where the symbols are the most frequent subwords, one for all others, and the end.
   They give the classes, the first embedding and the bigram that the model starts from.
-Training: each of ``ROUNDS`` rounds draws one training document in ``ROUND_SHARE`` by hash, so that what it learns
-from grows with the corpus (of a small corpus more, up to all, for about ``MIN_SYMBOLS`` symbols). In a round each task trains the current model on its own documents in numpy, then the
+Training: the training documents are dealt over ``ROUNDS`` rounds by hash, so that each is trained on once, at every
+size of the corpus. In a round each task trains the current model on its own documents in numpy, then the
 parameters are averaged, weighted by symbols. The model and the bigram table have a fixed size; that is all that is
 sent to the tasks, with the ``TOP_WORDS`` most frequent words' counts (words of up to ``TOP_BYTES`` bytes).
 Scoring: whole texts; overlapping windows score each symbol once with batched masked attention. Words that are not
@@ -31,8 +31,6 @@ from .common import map_arrow, quoted, remainder, slices, stored, with_fields
 
 TOP_WORDS = 100_000
 TOP_BYTES = 64
-ROUND_SHARE = 64
-MIN_SYMBOLS = 500_000
 ROUNDS = 4
 BATCH_WINDOWS = 64
 SCORE_WINDOWS = 512
@@ -292,16 +290,14 @@ def _train_round(sample: DataFrame, model: Model, path: str) -> dict[str, np.nda
     return out
 
 
-def fit(train: DataFrame, words: DataFrame, path: str, share: int = ROUND_SHARE, rounds: int = ROUNDS) -> Model:
+def fit(train: DataFrame, words: DataFrame, path: str, rounds: int = ROUNDS) -> Model:
     """``train`` (id, text) and its word counts -> the model."""
     model = Model(subword_counts(words, path))
     bigrams = bigram_counts(train, model.symbol, path)
     model.order(bigrams)
-    part = max(1 / share, min(1.0, MIN_SYMBOLS / max(bigrams.sum(), 1.0)))
-    draws = [F.shiftrightunsigned(F.xxhash64("id", "text", F.lit(r)), 11) / F.lit(float(1 << 53)) < part for r in range(rounds)]
-    sample = stored(train.select("text", F.array(*draws).alias("drawn")).where(F.exists("drawn", lambda x: x)))
+    deal = F.pmod(F.xxhash64("id", "text"), F.lit(rounds))
     for r in range(rounds):
-        model.params = _train_round(sample.where(F.col("drawn")[r]), model, path) or model.params
+        model.params = _train_round(train.where(deal == r), model, path) or model.params
     return model
 
 
@@ -337,14 +333,14 @@ def top_words(words: DataFrame, most: int | None = None) -> dict[bytes, int]:
 
 
 def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1,
-             path: str | None = None, share: int = ROUND_SHARE, rounds: int = ROUNDS) -> DataFrame:
+             path: str | None = None, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     path = path or ranks_path()
     rows = docs.select(quoted(id_col).alias("id"), (remainder(quoted(id_col), folds) == held).alias("held_out"),
                        F.coalesce(quoted(text_col), F.lit("")).alias("text"))
     train = rows.where(~F.col("held_out"))
     words = stored(word_counts(train))
-    model = fit(train, words, path, share, rounds)
+    model = fit(train, words, path, rounds)
     ends = train.count()
     n_words, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n_train, distinct = n_words + ends, kinds + (ends > 0)

@@ -146,6 +146,15 @@ def test_lm_edges(edge_docs, edge_rows, no_docs, monkeypatch):
     assert lm_scoring.lm_score(no_docs, rounds=1).count() == 0
 
 
+@pytest.mark.parametrize("rounds", [1, 4])
+def test_every_training_document_is_trained_on_once(spark, monkeypatch, rounds):
+    docs = spark.createDataFrame([(i, f"text {i // 2} of many") for i in range(60)], "id long, text string")
+    seen = []
+    monkeypatch.setattr(lm_scoring, "_train_round", lambda sample, model, path: seen.extend(r.text for r in sample.collect()))
+    lm_scoring.fit(docs, lm_scoring.word_counts(docs), lm_scoring.ranks_path(), rounds=rounds)
+    assert sorted(seen) == sorted(r.text for r in docs.collect())
+
+
 def test_op1_beats_the_base(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
     got = lm_scoring.op1(spark, "/root/testdata/sf0.01").collect()
