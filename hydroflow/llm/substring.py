@@ -4,7 +4,8 @@ A text is cut into units: paragraphs (at blank lines), lines, or the sentences o
 normalised (A-Z lower-cased, runs of blanks to one space, trimmed) and hashed (MD5). Digests are grouped globally; the earliest
 occurrence by (document id, position) stays, every later one is a repeat. Consecutive repeats of a document form a
 span; a span is removed if its units of two or more words have at least ``min_words`` words together, so chance repeats of short units
-stay and short units inside a repeated passage go with it. Spans keep the character offsets of the original.
+stay and short units inside a repeated passage go with it. In scripts written without blanks (Han, kana, Thai, Lao, Khmer,
+Burmese) each character counts as a word there. Spans keep the character offsets of the original.
 
 Production units are sentences: passages pasted into the middle of a line share no whole line or paragraph
 with their other copies (README has figures).
@@ -33,16 +34,18 @@ _UNITS = {
     "line": re.compile(r"[^\n]+"),
     "sentence": re.compile(r"[^.!?\n]+[.!?]*|[.!?]+"),
 }
+#: Letters of scripts written without blanks between words.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def units(rows: DataFrame, unit: str = "sentence") -> DataFrame:
-    """rid, id, text -> one row per unit: rid, id, no, start, end (code points), words, d1, d2."""
+    """rid, id, text -> one row per unit: rid, id, no, start, end (code points), words, size, d1, d2."""
     pattern = _UNITS[unit]
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                row, no, start, end, words, digests = [], [], [], [], [], []
+                row, no, start, end, words, sizes, digests = [], [], [], [], [], [], []
                 for r, text in enumerate(part.column("text").to_pylist()):
                     n = 0
                     for m in pattern.finditer(text or ""):
@@ -53,17 +56,18 @@ def units(rows: DataFrame, unit: str = "sentence") -> DataFrame:
                             start.append(m.start())
                             end.append(m.end())
                             words.append(len(u))
+                            sizes.append(len(u) if m.group().isascii() else max(len(u), len(_UNSPACED.findall(m.group()))))
                             digests.append(hashlib.md5(b" ".join(u)).digest())
                             n += 1
                 d = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
                 at = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("rid").take(at), part.column("id").take(at), *[pa.array(x, pa.int32()) for x in (no, start, end, words)],
-                     pa.array(d[:, 0]), pa.array(d[:, 1])], ["rid", "id", "no", "start", "end", "words", "d1", "d2"])
+                    [part.column("rid").take(at), part.column("id").take(at), *[pa.array(x, pa.int32()) for x in (no, start, end, words, sizes)],
+                     pa.array(d[:, 0]), pa.array(d[:, 1])], ["rid", "id", "no", "start", "end", "words", "size", "d1", "d2"])
 
     rows = rows.select("rid", "id", "text")
     schema = with_fields(rows.select("rid", "id").schema, ("no", "int"), ("start", "int"), ("end", "int"), ("words", "int"),
-                         ("d1", "long"), ("d2", "long"))
+                         ("size", "int"), ("d1", "long"), ("d2", "long"))
     return map_arrow(rows, run, schema)
 
 
@@ -79,7 +83,7 @@ def repeated_spans(rows: DataFrame, unit: str = "sentence", min_words: int = MIN
     return (runs.groupBy("rid", "id", "run")
             .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).cast("int").alias("n_units"),
                  F.sum("words").cast("int").alias("n_words"),
-                 F.sum(F.when(F.col("words") > 1, F.col("words")).otherwise(0)).alias("counted"),
+                 F.sum(F.when(F.col("size") > 1, F.col("size")).otherwise(0)).alias("counted"),
                  F.min_by("first.id", "no").alias("keep_id"))
             .where(F.col("counted") >= min_words).drop("run", "counted"))
 
