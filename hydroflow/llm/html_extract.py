@@ -10,7 +10,7 @@ Pass 2 gives an open block the label of its nearest decided neighbours, those in
 first; if both sides are equally near and differ, that of the following one for a heading, else bad. With no decided
 neighbour at all it is good, as in a page of one short line.
 
-Scripts, styles, the head, comments in the markup and hidden elements are no blocks. Character references
+A head without end tag ends at the first tag that cannot stand in it. Scripts, styles, the head, comments in the markup and hidden elements are no blocks. Character references
 are decoded, white space inside a block becomes one space (``br`` included, two of them end a block), good blocks are joined in
 page order by one newline. Nothing is cut.
 
@@ -51,6 +51,7 @@ promotion banner cookie cookies consent gdpr notice notification alert popup mod
 subscription signup login register paywall sidebar menu navbar nav navigation breadcrumb breadcrumbs footer
 masthead topbar share sharing social widget toolbar pagination pager search skip""".split())
 HEADER_NAMES = frozenset("header pageheader siteheader".split())
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MIN_WORDS, MIN_STOP, MAX_LINKS = 8, 0.12, 0.5
 
@@ -91,6 +92,8 @@ class BlockParser(HTMLParser):
         self.breaks = 0
 
     def handle_starttag(self, tag, attrs):
+        if self.open and self.open[-1][0] == "head" and tag not in IN_HEAD:
+            self.restore(len(self.open) - 1)  # a head left open
         if tag == "br":
             self.breaks += 1
             if self.breaks > 1:

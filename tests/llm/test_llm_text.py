@@ -131,6 +131,15 @@ def test_html_rules():
     assert len(html_extract.main_text("<p>" + "the word of " * 100_000)) == 1_200_000 - 1
 
 
+def test_html_head_left_open():
+    body = "<p>This is the first paragraph of the article and it is long enough to be good."
+    want = body[3:]
+    for head in ("<head><title>T</title><meta charset=utf-8>", "<head><style>p{}</style>", "<head>", "<head><title>T</title></head>"):
+        assert html_extract.main_text(f"<html>{head}<body>{body}") == want
+        assert html_extract.main_text(f"<html>{head}{body}") == want
+        assert html_extract.main_text(f"<html>{head}<br>{body}") == want
+
+
 def test_html_edges(spark):
     df = spark.createDataFrame([(1, None, "u", "t"), (1, "", None, "t"), (None, "<p>a  b", "u", "t")], "page_id long, html string, url string, text string")
     out = html_extract.extract(df).collect()
