@@ -6,8 +6,9 @@ share of stop words, the share of its letters inside links, and where it stands.
 Pass 1 decides the clear cases. Bad: inside menus, page headers, footers, sidebars, forms, notices, adverts
 and reader comments (by tag, role, or a class or id that says so), or mostly links. Good: enough words
 with enough stop words. The rest (short, or few stop words) stays open.
+In a section without any good block (another language, say) open blocks that are long and poor in links are good.
 Pass 2 gives an open block the label of its nearest decided neighbours, those in its own section (article)
-first; if both sides are equally near and differ, that of the following one for a heading, else bad. With no decided
+first (blocks in menus and the like decide for no other); if both sides are equally near and differ, that of the following one for a heading, else bad. With no decided
 neighbour at all it is good, as in a page of one short line.
 
 A head without end tag ends at the first tag that cannot stand in it. Scripts, styles, the head, comments in the markup and hidden elements are no blocks. Character references
@@ -54,6 +55,7 @@ HEADER_NAMES = frozenset("header pageheader siteheader".split())
 IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MIN_WORDS, MIN_STOP, MAX_LINKS = 8, 0.12, 0.5
+MIN_CHARS = 5 * MIN_WORDS
 
 _NAME = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
@@ -212,10 +214,19 @@ def _first_pass(b: Block) -> bool | None:
     return True if len(words) >= MIN_WORDS and stop >= MIN_STOP else None
 
 
+def _long(b: Block) -> bool:
+    """Enough words, or as much text without blanks between words."""
+    return len(b.words) >= MIN_WORDS or b.chars >= MIN_CHARS
+
+
 def labels(blocks: list[Block]) -> list[bool]:
     """Good or not, after both passes."""
     first = [_first_pass(b) for b in blocks]
     n = len(blocks)
+    known = {b.section for b, good in zip(blocks, first) if good}
+    for i, b in enumerate(blocks):
+        if first[i] is None and b.section not in known and _long(b) and b.linked / b.chars < MAX_LINKS:
+            first[i] = True
 
     def neighbours(within: bool):
         """Label and distance of the nearest decided block on each side; ``within``: of the same section."""
@@ -224,9 +235,9 @@ def labels(blocks: list[Block]) -> list[bool]:
             out: list[tuple[bool, int] | None] = [None] * n
             for i in order:
                 key = blocks[i].section if within else 0
-                if first[i] is not None and not (within and blocks[i].bad):
+                if first[i] is not None and not blocks[i].bad:
                     last[key] = i
-                elif key in last:
+                elif first[i] is None and key in last:
                     out[i] = (first[last[key]], abs(i - last[key]))
             return out
         return sweep(range(n)), sweep(range(n - 1, -1, -1))

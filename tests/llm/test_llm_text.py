@@ -140,6 +140,17 @@ def test_html_head_left_open():
         assert html_extract.main_text(f"<html>{head}<br>{body}") == want
 
 
+def test_html_other_languages():
+    polish = "Wczoraj wieczorem mieszkańcy miasta zebrali się przed ratuszem, żeby porozmawiać o nowym moście."
+    chinese = "昨天晚上，市民们聚集在市政厅前讨论新桥的建设，市长回答了许多问题，并承诺在明年春天之前完成所有的工程。"
+    for text in (polish, chinese):
+        menu = '<nav><a href="/">Start</a><a href="/b">Blog</a></nav>'
+        page = f'{menu}<div><h2>Most</h2><p>{text}</p><p>Tak.</p></div><div class="ad">{text}</div><ul><li><a href="/c">{text}</a></li></ul><footer>{text}</footer>'
+        assert html_extract.main_text(page) == f"Most\n{text}\nTak."
+        assert html_extract.main_text(f"{menu}<article><h1>Most</h1><p>{text}</p></article><footer>{text}</footer>") == f"Most\n{text}"
+    assert html_extract.main_text('<nav><a href="/">Start</a></nav><p>Krótki tekst.</p><footer>Stopka</footer>') == "Krótki tekst."
+
+
 def test_html_edges(spark):
     df = spark.createDataFrame([(1, None, "u", "t"), (1, "", None, "t"), (None, "<p>a  b", "u", "t")], "page_id long, html string, url string, text string")
     out = html_extract.extract(df).collect()
