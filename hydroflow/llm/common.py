@@ -12,6 +12,10 @@ from hydroflow.session import cut_lineage, ensure_checkpoint_dir, ship_package
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: DuckDB expression for the CRC-32 of an ASCII string (reflected polynomial 0xEDB88320).
+CRC32_SQL = ("xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)), "
+        "lambda a, b: list_reduce([xor(a, b), 1, 1, 1, 1, 1, 1, 1, 1], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """A given table through Spark's reader (any file system), pruned to ``columns``."""

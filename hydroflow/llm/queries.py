@@ -1,7 +1,7 @@
 """Registered queries of this subpackage and their DuckDB SQL."""
 from __future__ import annotations
 
-from . import bpe, embed_dedup, exact_dedup, html_extract, langid, line_dedup, lm_scoring, mixing, simhash, substring
+from . import bpe, embed_dedup, exact_dedup, html_extract, langid, line_dedup, lm_scoring, mixing, prefix_trie, quality, simhash, substring, turn_repair
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.op1,
@@ -14,10 +14,15 @@ QUERIES = {
     "op8_html_extraction": html_extract.op8,
     "op9_bpe": bpe.op9,
     "op10_exact_dedup": exact_dedup.op10,
+    "op11_quality": quality.op11,
+    "op12_turn_repair": turn_repair.op12,
+    "op13_prefix_trie": prefix_trie.op13,
 }
 
 SQL = {
     "op3_line_dedup": line_dedup.SQL,
     "op4_mix_sources": mixing.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op12_turn_repair": turn_repair.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
 }
