@@ -1,11 +1,15 @@
 """Accuracy metrics (A7-A15, A19-A21, L14) as single-pass aggregations.
 
+Ratios without a value are NULL: R2 and NSE of constant actuals, correlations with a constant side, z-scores of equal metrics,
+improvements on a first value of 0. The other columns of such a group keep their values.
+
 Every metric is a sum over rows, so Spark aggregates partially on each partition and
 shuffles one row per group: no group is ever gathered in one task."""
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +18,13 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _corr(y, p) -> Column:
+    """Pearson r, NULL where a side is constant (``corr`` itself divides by zero there)."""
+    both = _c(y).isNotNull() & _c(p).isNotNull()
+    a, b = F.when(both, _c(y)), F.when(both, _c(p))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def error_metric_columns(y: str, p: str) -> list[Column]:
     """A7 + A8: n, mse, rmse, mae, r2 = 1 - SSE/SST (SST = n * var_pop(y))."""
     e = _c(p) - _c(y)
@@ -21,14 +32,14 @@ def error_metric_columns(y: str, p: str) -> list[Column]:
     n = F.count(e)
     return [n.alias("n"), (sse / n).alias("mse"), F.sqrt(sse / n).alias("rmse"),
             F.avg(F.abs(e)).alias("mae"),
-            (F.lit(1.0) - sse / (n * F.var_pop(F.when(e.isNotNull(), _c(y))))).alias("r2")]
+            (F.lit(1.0) - F.try_divide(sse, n * F.var_pop(F.when(e.isNotNull(), _c(y))))).alias("r2")]
 
 
 def agreement_columns(y: str, p: str) -> list[Column]:
     """A9 + A10: NSE (same formula as R2), mean bias p - y, Pearson r and its square (R's 'R2')."""
     e = _c(p) - _c(y)
-    r = F.corr(_c(y), _c(p))
-    return [(F.lit(1.0) - F.sum(e * e) / (F.count(e) * F.var_pop(F.when(e.isNotNull(), _c(y))))).alias("nse"),
+    r = _corr(y, p)
+    return [(F.lit(1.0) - F.try_divide(F.sum(e * e), F.count(e) * F.var_pop(F.when(e.isNotNull(), _c(y))))).alias("nse"),
             F.avg(e).alias("bias"), r.alias("r"), (r * r).alias("r2_corr")]
 
 
@@ -41,14 +52,16 @@ def taylor_stats(df: DataFrame, groups: Sequence[str], y: str, p: str) -> DataFr
     """Sd of observations and simulations, correlation, centred RMS difference."""
     return df.groupBy(*groups).agg(
         F.stddev_samp(_c(y)).alias("sd_obs"), F.stddev_samp(_c(p)).alias("sd_sim"),
-        F.corr(_c(y), _c(p)).alias("r"), F.stddev_pop(_c(p) - _c(y)).alias("crmsd"))
+        _corr(y, p).alias("r"), F.stddev_pop(_c(p) - _c(y)).alias("crmsd"))
 
 
 def fit_line(df: DataFrame, groups: Sequence[str], y: str, p: str) -> DataFrame:
     """Least-squares line prediction ~ actual."""
-    return df.groupBy(*groups).agg(F.regr_slope(_c(p), _c(y)).alias("slope"),
-                                   F.regr_intercept(_c(p), _c(y)).alias("intercept"),
-                                   F.regr_r2(_c(p), _c(y)).alias("fit_r2"))
+    both = _c(y).isNotNull() & _c(p).isNotNull()
+    a, b = F.when(both, _c(y)), F.when(both, _c(p))
+    slope = F.try_divide(F.covar_pop(a, b), F.var_pop(a))
+    r = _corr(y, p)
+    return df.groupBy(*groups).agg(slope.alias("slope"), (F.avg(b) - slope * F.avg(a)).alias("intercept"), (r * r).alias("fit_r2"))
 
 
 def zscore(metrics: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -59,7 +72,7 @@ def zscore(metrics: DataFrame, cols: Sequence[str]) -> DataFrame:
                         *[F.stddev_samp(c).alias(f"_s_{c}") for c in cols])
     j = with_scalars(metrics, stats)
     return j.select(*[c for c in metrics.columns if c not in cols],
-                    *[((F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).alias(f"z_{c}") for c in cols])
+                    *[F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")).alias(f"z_{c}") for c in cols])
 
 
 def residual_histogram(df: DataFrame, groups: Sequence[str], e: str, bins: int = 60) -> DataFrame:
@@ -78,50 +91,40 @@ def residual_histogram(df: DataFrame, groups: Sequence[str], e: str, bins: int =
 
 def improvement_pct(first: Column, last: Column) -> Column:
     """(first - last) / first * 100."""
-    return (first - last) / first * F.lit(100.0)
+    return F.try_divide(first - last, first) * F.lit(100.0)
 
 
-def greedy_weights_from_gramian(g: dict, models: Sequence[str]) -> tuple[list[float], float]:
-    """L14 on the aggregated Gramian (driver-side arithmetic on a handful of numbers).
+def halving_weights(g: dict, models: Sequence[str]) -> tuple[list[float], float]:
+    """L14 on summed products (``gramian_columns``): blend weights and the R2 of the blend.
 
-    ``g`` holds n, sy, syy, s_y_<m> and s_<m>_<k> (all sums). Each round tries every model
-    with zero weight: set its weight to 1, renormalise, score R2; the best candidate is
-    kept only if it beats the best R2 so far. Weights are renormalised after each round,
-    so the possible results are (1), (1/2, 1/2), (1/4, 1/4, 1/2), ..."""
-    n, sy, syy = g["n"], g["sy"], g["syy"]
-    sst = syy - sy * sy / n
+    Weights sum to 1, so giving an unused model weight 1 and renormalising maps w to (w + e_i) / 2. With b = sums of y * p and
+    A = sums of p * p the blend's squared error is syy - 2 w.b + w.A w; each round scores all unused models at once and stops
+    where none lowers the error. A constant target has no R2 (NaN); its weights still minimise the error."""
     k = len(models)
-
-    def r2(a):
-        spp = sum(a[i] * a[j] * g[f"s_{models[i]}_{models[j]}"] for i in range(k) for j in range(k))
-        syp = sum(a[i] * g[f"s_y_{models[i]}"] for i in range(k))
-        return 1 - (syy - 2 * syp + spp) / sst
-
-    w = [0.0] * k
-    best = float("-inf")
-    for _ in range(k):
-        pick = None
-        for i in range(k):
-            if w[i] > 0:
-                continue
-            t = list(w)
-            t[i] = 1.0
-            t = [x / sum(t) for x in t]
-            s = r2(t)
-            if s > best:
-                best, pick = s, i
-        if pick is None:
+    a = np.array([[g[f"s_{m}_{q}"] for q in models] for m in models], float).reshape(k, k)
+    b = np.array([g[f"s_y_{m}"] for m in models], float)
+    w, error = np.zeros(k), np.inf
+    while (w == 0).any():
+        trials = np.eye(k) if not w.any() else (w + np.eye(k)) / 2
+        cost = g["syy"] - 2 * trials @ b + ((trials @ a) * trials).sum(1)
+        cost[w > 0] = np.inf
+        best = int(np.argmin(cost))
+        if not cost[best] < error:
             break
-        w[pick] = 1.0
-        w = [x / sum(w) for x in w]
-    return w, best
+        w, error = trials[best], cost[best]
+    sst = g["syy"] - g["sy"] ** 2 / g["n"] if g["n"] else 0.0
+    return w.tolist(), float(1 - error / sst) if sst > 0 else float("nan")
 
 
-def gramian(df: DataFrame, y: str, models: Sequence[str]) -> DataFrame:
-    """One aggregation giving every sum ``greedy_weights_from_gramian`` needs."""
+def gramian_columns(y: str, models: Sequence[str]) -> list[Column]:
+    """The sums that ``halving_weights`` needs."""
     cols = [F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(F.col(y) * F.col(y)).alias("syy")]
-    for i, m in enumerate(models):
+    for m in models:
         cols.append(F.sum(F.col(y) * F.col(m)).alias(f"s_y_{m}"))
-        for k in models:
-            cols.append(F.sum(F.col(m) * F.col(k)).alias(f"s_{m}_{k}"))
-    return df.agg(*cols)
+        cols += [F.sum(F.col(m) * F.col(k)).alias(f"s_{m}_{k}") for k in models]
+    return cols
+
+
+def gramian(df: DataFrame, y: str, models: Sequence[str]) -> DataFrame:
+    """One row of ``gramian_columns``."""
+    return df.agg(*gramian_columns(y, models))

@@ -17,7 +17,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import error_metric_columns, gramian, greedy_weights_from_gramian
+from .metrics import error_metric_columns, gramian, halving_weights
 from .reshape import consensus_from_ablation
 
 SEED = 42
@@ -169,7 +169,7 @@ def stacked_ensemble(train: DataFrame, test: DataFrame, label: str, features: Se
     tr2, te2 = layer(tr1, te1, feats + l1cols, layer2, "l2_")
     l2cols = [f"l2_{m}" for m in layer2]
     g = gramian(tr2, label, l2cols).first().asDict()
-    w, train_r2 = greedy_weights_from_gramian(g, l2cols)
+    w, train_r2 = halving_weights(g, l2cols)
     blend = sum(F.col(c) * F.lit(x) for c, x in zip(l2cols, w))
     test_m = te2.withColumn("_p", blend).agg(*error_metric_columns(label, "_p")).first().asDict()
     return {"weights": dict(zip(l2cols, w)), "train_r2": float(train_r2), "test_r2": float(test_m["r2"]),

@@ -1,5 +1,9 @@
 """Time-series statistics (Y1-Y7): ACF from one window pass + one aggregation, PACF by
-Durbin-Levinson on the tiny (series x lag) table, ADF and KPSS from aggregated sums."""
+Durbin-Levinson on the tiny (series x lag) table, ADF and KPSS from aggregated sums.
+
+A constant series (a dry site) has no autocorrelation: its ACF is 1 at lag 0 and NULL elsewhere, it has no significant lags and no
+PACF; KPSS and ADF statistics and p-values are NULL with 0 lags, as for series too short for a test. Its verdict is ``stationary`` NULL
+(unknown), and its lag advice comes from the differenced series, which has none. Empty tables give empty results."""
 from __future__ import annotations
 
 import math
@@ -27,7 +31,7 @@ def acf(df: DataFrame, keys: Sequence[str], pos: str, x: str, max_lag: int = 48)
                                                   for j in range(1, max_lag + 1)}, halo=max_lag)
     agg = d.groupBy(*k).agg(F.first("n").alias("n"), F.sum(F.col("_c") * F.col("_c")).alias("_s0"),
                             *[F.sum(f"_p{j}").alias(f"_s{j}") for j in range(1, max_lag + 1)])
-    cells = [F.struct(F.lit(j).alias("lag"), (F.col(f"_s{j}") / F.col("_s0") if j else F.lit(1.0)).alias("acf"))
+    cells = [F.struct(F.lit(j).alias("lag"), (F.try_divide(F.col(f"_s{j}"), F.col("_s0")) if j else F.lit(1.0)).alias("acf"))
              for j in range(0, max_lag + 1)]
     return agg.select(*k, "n", F.explode(F.array(*cells)).alias("_e")).select(*k, "n", "_e.lag", "_e.acf")
 
@@ -44,13 +48,15 @@ def acf_significance(acf_long: DataFrame, keys: Sequence[str], n_col: str = "n",
 
 
 def durbin_levinson(r: np.ndarray, nlags: int) -> np.ndarray:
-    """PACF from autocorrelations r[0..nlags] (r[0] = 1)."""
-    pacf = np.zeros(nlags + 1)
+    """PACF from autocorrelations r[0..nlags] (r[0] = 1); NaN from the lag on at which a step divides by zero."""
+    pacf = np.full(nlags + 1, np.nan)
     pacf[0] = 1.0
     phi = np.zeros(nlags + 1)
     v = 1.0
     prev = np.zeros(nlags + 1)
     for k in range(1, nlags + 1):
+        if not np.isfinite(r[k]) or v == 0:
+            break
         a = (r[k] - np.dot(prev[1:k], r[1:k][::-1])) / v if k > 1 else r[1]
         phi[:] = prev
         phi[k] = a
@@ -81,7 +87,7 @@ def pacf(acov_long: DataFrame, keys: Sequence[str], max_lag: int = 20) -> DataFr
         p = durbin_levinson(adj, int(lags.max()))
         out = pd.DataFrame({c: pdf[c].iloc[0] for c in k}, index=range(len(p)))
         out["lag"] = range(len(p))
-        out["pacf"] = p
+        out["pacf"] = [None if np.isnan(v) else v for v in p]
         return out[[*k, "lag", "pacf"]]
 
     src = acov_long.where(F.col("lag") <= max_lag).select(*k, "n", F.col("lag").cast("int"), "acf")
@@ -182,8 +188,10 @@ def _autocov_sums(d: DataFrame, keys: Sequence[str], pos: str, e: str, lags: int
 def _kpss_lags(n: float, g: list) -> int:
     """Hobijn et al. (1998) automatic bandwidth from autocovariance sums g[0..]."""
     cl = int(np.power(n, 2.0 / 9.0))
-    s0 = g[0] / n + sum(2 * g[i] / n for i in range(1, cl + 1))
-    s1 = sum(i * 2 * g[i] / n for i in range(1, cl + 1))
+    s0 = g[0] / n + sum(2 * g[i] / n for i in range(1, cl + 1) if g[i] is not None)
+    s1 = sum(i * 2 * g[i] / n for i in range(1, cl + 1) if g[i] is not None)
+    if not s0 > 0:
+        return 0
     gamma = 1.1447 * np.power((s1 / s0) ** 2, 1.0 / 3.0)
     return min(int(gamma * np.power(n, 1.0 / 3.0)), int(n) - 1)
 
@@ -201,7 +209,7 @@ def kpss_level(df: DataFrame, keys: Sequence[str], pos: str, x: str, block: int
     d = affine_scan(d, k, pos, cap=F.lit(None), coef=F.lit(1.0), offset=F.col("_e"), out="_S").drop("_blk")
     d = materialize(d)
     base = d.groupBy(*k).agg(F.first("n").alias("n"), F.sum(F.col("_S") * F.col("_S")).alias("_ss"))
-    cov = max(1, int(np.power(base.agg(F.max("n")).first()[0], 2.0 / 9.0)))
+    cov = max(1, int(np.power(base.agg(F.max("n")).first()[0] or 1, 2.0 / 9.0)))
     t1 = base.join(_autocov_sums(d, k, pos, "_e", cov, max(block, cov)), k)
 
     ship_package(df.sparkSession)
@@ -213,7 +221,7 @@ def kpss_level(df: DataFrame, keys: Sequence[str], pos: str, x: str, block: int
 
     t1 = materialize(t1.mapInPandas(lags_fn, T.StructType([f for f in t1.schema.fields if f.name != "_g"]
                                                           + [T.StructField("kpss_lags", T.LongType())])))
-    mx = max(1, int(t1.agg(F.max("kpss_lags")).first()[0]))
+    mx = max(1, int(t1.agg(F.max("kpss_lags")).first()[0] or 1))
     t2 = t1.join(_autocov_sums(d, k, pos, "_e", mx, max(block, mx)), k)
 
     def stat_fn(it):
@@ -222,12 +230,12 @@ def kpss_level(df: DataFrame, keys: Sequence[str], pos: str, x: str, block: int
             st, pv = [], []
             for n, ss, L, g in zip(pdf["n"], pdf["_ss"], pdf["kpss_lags"], pdf["_g"]):
                 n, L = float(n), int(L)
-                lr = (g[0] + 2 * sum((1 - i / (L + 1)) * g[i] for i in range(1, L + 1))) / n
-                v = ss / (n * n) / lr
-                st.append(float(v))
-                pv.append(kpss_pvalue(v))
+                lr = (g[0] + 2 * sum((1 - i / (L + 1)) * g[i] for i in range(1, L + 1) if g[i] is not None and not np.isnan(g[i]))) / n
+                v = ss / (n * n) / lr if lr > 0 else None
+                st.append(v if v is None else float(v))
+                pv.append(v if v is None else kpss_pvalue(v))
             out = pdf[k + ["n", "kpss_lags"]].copy()
-            out["kpss_stat"], out["kpss_pvalue"] = st, pv
+            out["kpss_stat"], out["kpss_pvalue"] = pd.Series(st, dtype=object, index=out.index), pd.Series(pv, dtype=object, index=out.index)
             yield out[k + ["n", "kpss_stat", "kpss_lags", "kpss_pvalue"]]
 
     schema = T.StructType([*[df.schema[c] for c in k], T.StructField("n", T.LongType()),
@@ -269,8 +277,13 @@ def _gram_matrix(g, m: int):
 
 
 def _ols(G, Xy, yy):
+    """Coefficients and squared error, or None where the columns are dependent (to 1e-12 of their scale) or nothing is left to explain."""
+    scale = np.sqrt(np.diag(G))
+    if not scale.all() or np.linalg.matrix_rank(G / np.outer(scale, scale), tol=1e-12, hermitian=True) < len(G):
+        return None
     beta = np.linalg.solve(G, Xy)
-    return beta, yy - 2 * beta @ Xy + beta @ G @ beta
+    ssr = yy - 2 * beta @ Xy + beta @ G @ beta
+    return (beta, ssr) if ssr > 0 else None
 
 
 def adf_test(df: DataFrame, keys: Sequence[str], pos: str, x: str, block: int = 720) -> DataFrame:
@@ -283,10 +296,9 @@ def adf_test(df: DataFrame, keys: Sequence[str], pos: str, x: str, block: int =
     from .blocked import attach, materialize
     k = list(keys)
     first = df.groupBy(*k).agg(F.min(pos).alias("_p0"), F.count(x).alias("n"))
-    first = first.withColumn("_ml", F.least(F.floor(F.col("n") / 2) - 2,
-                                            F.ceil(F.lit(12.0) * F.pow(F.col("n") / 100.0, 0.25))).cast("int"))
-    first = materialize(first)
-    ml = int(first.agg(F.max("_ml")).first()[0])
+    longest = F.least(F.floor(F.col("n") / 2) - 2, F.ceil(F.lit(12.0) * F.pow(F.col("n") / 100.0, 0.25)))
+    first = materialize(first.withColumn("_ml", F.greatest(longest, F.lit(0)).cast("int")))
+    ml = int(first.agg(F.max("_ml")).first()[0] or 0)
     d = attach(df, first, k).withColumn("_t", F.col(pos) - F.col("_p0"))
 
     def build(w):
@@ -307,11 +319,12 @@ def adf_test(df: DataFrame, keys: Sequence[str], pos: str, x: str, block: int =
                 L, nobs = int(row["_ml"]), int(row["n"]) - 1 - int(row["_ml"])
                 aics = []
                 for p in range(0, L + 1):
-                    G, Xy, yy = _gram_matrix(row["_g"], 2 + p)
-                    _, ssr = _ols(G, Xy, yy)
+                    if nobs <= 2 + p or (fit := _ols(*_gram_matrix(row["_g"], 2 + p))) is None:
+                        continue
+                    ssr = fit[1]
                     llf = -nobs / 2.0 * (math.log(2 * math.pi) + math.log(ssr / nobs) + 1)
                     aics.append((-2 * llf + 2 * (2 + p), p))
-                best.append(min(aics)[1])
+                best.append(min(aics)[1] if aics else 0)
             out = pdf[k].copy()
             out["_bp"] = best
             yield out
@@ -323,20 +336,20 @@ def adf_test(df: DataFrame, keys: Sequence[str], pos: str, x: str, block: int =
           .join(size.drop("_ml"), k).join(bp, k))
 
     def final(it):
+        import pandas as pd
         for pdf in it:
             st, pv, lags = [], [], []
             for row in pdf.to_dict("records"):
                 p = int(row["_bp"])
                 nobs = int(row["n"]) - 1 - p
                 G, Xy, yy = _gram_matrix(row["_g"], 2 + p)
-                beta, ssr = _ols(G, Xy, yy)
-                se = math.sqrt(ssr / (nobs - (2 + p)) * np.linalg.inv(G)[1, 1])
-                v = float(beta[1] / se)
+                fit = _ols(G, Xy, yy) if nobs > 2 + p else None
+                v = None if fit is None else float(fit[0][1] / math.sqrt(fit[1] / (nobs - (2 + p)) * np.linalg.inv(G)[1, 1]))
                 st.append(v)
-                pv.append(adf_pvalue(v))
+                pv.append(None if v is None else adf_pvalue(v))
                 lags.append(p)
             out = pdf[k + ["n"]].copy()
-            out["adf_stat"], out["adf_lags"], out["adf_pvalue"] = st, lags, pv
+            out["adf_stat"], out["adf_lags"], out["adf_pvalue"] = pd.Series(st, dtype=object, index=out.index), lags, pd.Series(pv, dtype=object, index=out.index)
             yield out
 
     schema = T.StructType([*[df.schema[c] for c in k], T.StructField("n", T.LongType()),

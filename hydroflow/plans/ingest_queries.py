@@ -12,7 +12,7 @@ from ..functions import clean
 from ..operators import features, joins, resample
 from ..session import ensure_checkpoint_dir
 from ..sources import files
-from ..sources.tables import load, sensor_feed
+from ..sources.tables import load
 from .queries import RAIN_SCALE, D, R, register, rounded
 
 
@@ -58,23 +58,24 @@ def q_union_with_provenance(spark, sf_dir):
     return rounded(per.join(listed.withColumn("listed", F.lit(True)), "folder", "left"))
 
 
-_FILE_SQL = """concat('/x/', replace(n_name, '_', ' '), '_', r_name, '_M1_', CASE WHEN n_nationkey % 2 = 0 THEN 'hist' ELSE 'ssp245' END,
-  '_adjusted_1960_2014.csv')"""
+_FILE_SQL = """concat(replace(n_name, '_', ' '), ' +', '_', c_mktsegment, '-M1_', CASE WHEN c_acctbal < 0 THEN 'hist' ELSE 'ssp245' END, '_adjusted_1960_2014.csv')"""
 
 
-@register("file_name_metadata", """
-SELECT n_nationkey, replace(n_name, '_', '') AS gauge, r_name || '_M1' AS gcm,
-  CASE WHEN n_nationkey % 2 = 0 THEN 'historical' ELSE 'ssp245' END AS experiment
-FROM nation JOIN region ON n_regionkey = r_regionkey WHERE NOT contains(r_name, '_')
-UNION ALL
-SELECT n_nationkey, replace(n_name, '_', '') AS gauge, r_name || '_M1' AS gcm,
-  CASE WHEN n_nationkey % 2 = 0 THEN 'historical' ELSE 'ssp245' END AS experiment
-FROM nation JOIN region ON n_regionkey = r_regionkey WHERE contains(r_name, '_')""")
+@register("file_name_metadata", f"""
+SELECT replace(n_name, '_', '') || '+' AS gauge, c_mktsegment || '-M1' AS gcm, CASE WHEN c_acctbal < 0 THEN 'historical' ELSE 'ssp245' END AS experiment,
+  CAST(count(*) AS BIGINT) AS n, {R('sum(c_acctbal * 0.001)', 'total')}
+FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3""")
 def q_file_name_metadata(spark, sf_dir):
-    """S3: gauge, model and experiment from climate file names built of the nation and region listings."""
-    n, r = load(spark, sf_dir, "nation"), load(spark, sf_dir, "region")
-    p = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select("n_nationkey", F.expr(_FILE_SQL).alias("path"))
-    return p.select("n_nationkey", *[c.alias(k) for k, c in files.climate_file_metadata(F.col("path")).items()])
+    """S3: customers written under climate file names (with blanks and plus signs), read back, and gauge, model and experiment taken from
+    the path of each row's file."""
+    c, n = load(spark, sf_dir, "customer", ["c_nationkey", "c_mktsegment", "c_acctbal"]), load(spark, sf_dir, "nation", ["n_nationkey", "n_name"])
+    rows = c.join(n, c["c_nationkey"] == n["n_nationkey"]).select(F.expr(_FILE_SQL).alias("name"), "c_acctbal")
+    path = _folder(spark, "named")
+    files.write_table(rows, path, ["name"], fmt="csv")
+    back = files.read_csv(spark, f"{path}/*", "c_acctbal double", with_path=True)
+    name = F.regexp_replace(F.regexp_replace("file_path", "/[^/]*$", ""), "/name=", "/")
+    got = back.select("c_acctbal", *[c.alias(k) for k, c in files.climate_file_metadata(name).items()])
+    return rounded(got.groupBy("gauge", "gcm", "experiment").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("c_acctbal") * 0.001).alias("total")))
 
 
 @register("url_parts", """
@@ -125,15 +126,15 @@ def _ffbf(x: str) -> str:
 
 
 @register("lags_gapped_series", f"""
-WITH h AS (SELECT event_type AS site, date_trunc('hour', ts) AS ts, sum(value) * {D(RAIN_SCALE)} AS Rainfall, CAST(count(*) AS DOUBLE) AS temp
+WITH g AS (SELECT event_type || ':' || user_id AS site, date_trunc('hour', ts) AS ts, sum(value) * {D(RAIN_SCALE)} AS Rainfall, CAST(count(*) AS DOUBLE) AS temp
   FROM events WHERE value IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2),
-g AS (SELECT * FROM h WHERE NOT (day(ts) BETWEEN 3 AND 6) AND hour(ts) % 5 <> 2),
 l AS (SELECT site, ts, {_lag('Rainfall', 3)} AS r3, {_lag('temp', 1)} AS t1, {_lag('temp', 24)} AS t24 FROM g WINDOW w AS (PARTITION BY site ORDER BY ts))
 SELECT site, ts, {R(_ffbf('r3'), 'Rainlag3')}, {R(_ffbf('t1'), '"temp lag1"')}, {R(_ffbf('t24'), '"temp lag24"')} FROM l""")
 def q_lags_gapped_series(spark, sf_dir):
-    """W2 on the hourly table without gap fill, with days and hours missing: lags go by row."""
-    h = (resample.hourly_sum_no_gap(sensor_feed(spark, sf_dir), ["site"], "ts", ["value"], RAIN_SCALE, "n")
-         .withColumnRenamed("value", "Rainfall"))
-    g = h.where(~F.dayofmonth("ts").between(3, 6) & (F.hour("ts") % 5 != 2)).withColumn("temp", F.col("n").cast("double"))
+    """W2 on hourly sums without gap fill of every (event type, user), which read in few hours only: lags go by row."""
+    e = load(spark, sf_dir, "events", ["event_type", "user_id", "ts", "value"])
+    e = e.select(F.concat_ws(":", "event_type", "user_id").alias("site"), "ts", "value")
+    g = (resample.hourly_sum_no_gap(e.where(F.col("ts").isNotNull()), ["site"], "ts", ["value"], RAIN_SCALE, "n")
+         .withColumnRenamed("value", "Rainfall").withColumn("temp", F.col("n").cast("double")))
     out = features.add_lag_features(g, ["site"], "ts")
     return rounded(out.select("site", "ts", "Rainlag3", "temp lag1", "temp lag24"))

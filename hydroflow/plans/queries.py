@@ -855,7 +855,7 @@ def q_greedy_weights(spark, sf_dir):
     pass is ONE aggregation (Gramian); the search runs on its 15 numbers on the driver."""
     p = order_pairs(spark, sf_dir).dropna(subset=list(MODELS))
     g = metrics.gramian(p, "actual", MODELS).first().asDict()
-    w, r2 = metrics.greedy_weights_from_gramian(g, MODELS)
+    w, r2 = metrics.halving_weights(g, MODELS)
     return rounded(spark.createDataFrame([(m, float(x), float(r2)) for m, x in zip(MODELS, w)],
                                          "model string, weight double, r2 double"))
 
@@ -994,13 +994,6 @@ def _split(t: DataFrame):
     return s.where("split = 'train'"), s.where("split = 'test'")
 
 
-@register("algorithm_benchmark")
-def q_algorithm_benchmark(spark, sf_dir):
-    """Six MLlib regressors on the full feature set, time split 70/30 per site."""
-    tr, te = _split(training_table(spark, sf_dir))
-    return models.algorithm_benchmark(tr, te, "flow", ALL_FEATURES)
-
-
 @register("feature_importance")
 def q_feature_importance(spark, sf_dir):
     """Impurity importances (extra-trees configuration), sorted."""
@@ -1016,17 +1009,6 @@ def q_hybrid_model(spark, sf_dir):
     return p.groupBy("site").agg(*metrics.error_metric_columns("flow", "prediction"))
 
 
-@register("scored_predictions")
-def q_scored_predictions(spark, sf_dir):
-    """L20 + L21: fit two models once, score every hour of every site (features built once),
-    clip at 0, and the accuracy table per (site, model) over all rows."""
-    t = training_table(spark, sf_dir)
-    tr, _ = _split(t)
-    fitted = {a: models.pipeline(ALL_FEATURES, a, "flow").fit(tr) for a in ("LR", "RF")}
-    scored = models.score(fitted, t, ["site", "ts", "flow"])
-    return scored.groupBy("site", "model").agg(*metrics.error_metric_columns("flow", "pred"))
-
-
 # ---------------------------------------------------------------- stationarity, PACF, lag recommendation (tier 3)
 
 PACF_LAGS = 20
@@ -1304,4 +1286,4 @@ def q_leaderboard_top20(spark, sf_dir):
     return rounded(m.orderBy("rmse", "site", "scenario", "model").limit(20))
 
 
-from . import ingest_queries  # noqa: E402,F401  (registers its queries)
+from . import ingest_queries, model_queries  # noqa: E402,F401  (register their queries)

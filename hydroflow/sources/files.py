@@ -25,10 +25,15 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructTyp
     r = r.schema(schema) if schema is not None else r.option("inferSchema", infer)
     df = r.csv(path if isinstance(path, str) else list(path))
     if with_path:
-        df = df.withColumn("file_path", F.col("_metadata.file_path"))
+        df = df.withColumn("file_path", plain_path(F.col("_metadata.file_path")))
     return df
 
 
+def plain_path(path: Column) -> Column:
+    """A file path as it is named: ``_metadata.file_path`` is percent-encoded (a blank is %20). A plus sign stands for itself."""
+    return F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def list_files(spark: SparkSession, root: str, glob: str = "*", recursive: bool = True,
                contains: str | None = None, prefix: str | None = None) -> DataFrame:
     """Path, size and modification time of matching files (contents are not read)."""

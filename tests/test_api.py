@@ -20,7 +20,9 @@ def test_prepare_acf_evaluate(spark):
     assert prep.where(F.col("Dry bulb degC").isNull()).count() == 0  # coerced then forward-filled
     res = api.run_acf_analysis(prep, ["site"], "Time", "flow", ["Rainfall"], max_lag=10)
     st = res["stationarity"].collect()
-    assert len(st) == 4 and all(r.adf_pvalue is not None for r in st)
+    # one row per (site, variable, variant): the original and the differenced series of the target and each variable
+    assert {(r.site, r.variable, r.variant) for r in st} == {(s, v, x) for s in "ab" for v in ("flow", "Rainfall") for x in ("orig", "diff")}
+    assert len(st) == 8 and all(r.adf_pvalue is not None for r in st)
     assert res["acf"].where("lag = 0").agg(F.min("acf"), F.max("acf")).first() == (1.0, 1.0)
     ev = api.evaluate_predictions(prep.withColumn("m1", F.col("flow") * 1.1).withColumn("m2", F.lit(0.5)),
                                   "flow", ["m1", "m2"], ["site"])

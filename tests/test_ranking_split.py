@@ -57,7 +57,7 @@ def test_greedy_weights_never_below_best_single(spark):
                         "b": y + rng.normal(scale=0.7, size=2000), "c": rng.normal(size=2000)})
     df = spark.createDataFrame(pdf)
     g = metrics.gramian(df, "y", ["a", "b", "c"]).first().asDict()
-    w, r2 = metrics.greedy_weights_from_gramian(g, ["a", "b", "c"])
+    w, r2 = metrics.halving_weights(g, ["a", "b", "c"])
     singles = [1 - ((pdf[m] - y) ** 2).sum() / ((y - y.mean()) ** 2).sum() for m in "abc"]
     assert r2 >= max(singles) - 1e-12
     assert abs(sum(w) - 1) < 1e-12
