@@ -6,6 +6,10 @@ share of stop words, the share of its letters inside links, and where it stands.
 Pass 1 decides the clear cases. Bad: inside menus, page headers, footers, sidebars, forms, notices, adverts
 and reader comments (by tag, role, or a class or id that says so), or mostly links. Good: enough words
 with enough stop words. The rest (short, or few stop words) stays open.
+A name says so if all its parts do, apart from words of place ("site-footer", "ad_box2", but not "has-sidebar" or
+"category-promotion"). Names never decide against ``main`` or an outermost ``article``, nor against a container with
+most of the link-poor words of a page without ``main`` or ``article`` (comments excepted). A form is bad if it has few words for its controls. ``main`` and ``article``
+end a menu left open. If all blocks end bad, those that are bad by a name alone are decided again by density.
 In a section without any good block (another language, say) open blocks that are long and poor in links are good.
 Pass 2 gives an open block the label of its nearest decided neighbours, those in its own section (article)
 first (blocks in menus and the like decide for no other); if both sides are equally near and differ, that of the following one for a heading, else bad. With no decided
@@ -42,7 +46,8 @@ section summary table tbody td tfoot th thead tr ul""".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NO_TEXT = frozenset("""script style noscript template head title svg math iframe object canvas audio video select
 textarea button datalist map""".split())
-BAD_TAGS = frozenset("nav footer aside form menu dialog".split())
+BAD_TAGS = frozenset("nav footer aside menu dialog".split())
+CONTROLS = frozenset("input select textarea button".split())
 BAD_ROLES = frozenset("""navigation banner contentinfo complementary search form alert alertdialog dialog
 menu menubar""".split())
 COMMENT_NAMES = frozenset("""comment comments commentlist reply replies respond disqus discussion related
@@ -52,22 +57,29 @@ promotion banner cookie cookies consent gdpr notice notification alert popup mod
 subscription signup login register paywall sidebar menu navbar nav navigation breadcrumb breadcrumbs footer
 masthead topbar share sharing social widget toolbar pagination pager search skip""".split())
 HEADER_NAMES = frozenset("header pageheader siteheader".split())
+#: Words of place and shape that may stand in a name beside those above.
+PLACES = frozenset("""site page main global left right top bottom upper lower sticky fixed primary secondary box bar block area section
+container wrapper wrap inner outer content list item items link links button buttons icon icons slot unit zone banner form text body
+post posts article articles entry footer header panel column col row the id div""".split())
 IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MIN_WORDS, MIN_STOP, MAX_LINKS = 8, 0.12, 0.5
 MIN_CHARS = 5 * MIN_WORDS
+#: Words that a form needs, once and per control, to count as a part of the page.
+FORM_WORDS = 20
 
-_NAME = re.compile(r"[a-z0-9]+")
+_NAME = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class Block:
-    __slots__ = ("words", "linked", "chars", "bad", "section", "heading")
+    __slots__ = ("words", "linked", "chars", "bad", "section", "heading", "marks", "form")
 
-    def __init__(self, words, linked, chars, bad, section, heading):
+    def __init__(self, words, linked, chars, bad, section, heading, marks=(), form=0):
         self.words, self.linked, self.chars = words, linked, chars
         self.bad, self.section, self.heading = bad, section, heading
+        self.marks, self.form = marks, form  # containers with a bad name, form
 
 
 class BlockParser(HTMLParser):
@@ -76,8 +88,10 @@ class BlockParser(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.open: list[tuple[str, int, int, bool, bool]] = []  # tag, bad (2: for good), section, silent, link
-        self.bad, self.section, self.silent, self.link = 0, 0, False, False
+        self.open: list[tuple] = []  # tag, and what held before it: bad, section, silent, link, marks, form
+        self.bad, self.section, self.silent, self.link = False, 0, False, False
+        self.marks, self.form = (), 0
+        self.n_marks, self.controls = 0, [0]
         self.sections = 0
         self.heading = False
         self.breaks = 0
@@ -89,7 +103,7 @@ class BlockParser(HTMLParser):
         if self.text:
             words = "".join(self.text).split()
             if words:
-                self.blocks.append(Block(words, self.linked, max(self.chars, 1), self.bad > 0, self.section, self.heading))
+                self.blocks.append(Block(words, self.linked, max(self.chars, 1), self.bad, self.section, self.heading, self.marks, self.form))
             self.text, self.linked, self.chars = [], 0, 0
         self.breaks = 0
 
@@ -105,11 +119,15 @@ class BlockParser(HTMLParser):
             return
         if tag in BLOCK_TAGS:
             self.flush()
+        if tag in CONTROLS:
+            self.controls[self.form] += 1
         if tag in VOID_TAGS:
             return
+        if tag in ("main", "article"):
+            self.end_menu(tag)
         if tag == "p" or tag == "li" or tag == "a":
             self.close_open(tag)
-        self.open.append((tag, self.bad, self.section, self.silent, self.link))
+        self.open.append((tag, self.bad, self.section, self.silent, self.link, self.marks, self.form))
         if self.silent:
             return
         if tag in HEADINGS:
@@ -125,27 +143,38 @@ class BlockParser(HTMLParser):
         if hidden:
             self.silent = True
         elif tag in ("article", "main"):
-            if names & COMMENT_NAMES or names & BAD_NAMES:
-                self.bad = 2
-            elif self.bad < 2:
-                self.bad = 0
+            inner = any(o[0] == "article" for o in self.open[:-1])
+            if inner and says(names, COMMENT_NAMES):
+                self.bad = True
+            elif not self.bad:
+                self.marks, self.form = (), 0
             self.sections += 1
             self.section = self.sections
         elif tag in ("html", "body"):
             pass
-        elif tag in BAD_TAGS or role in BAD_ROLES or names & COMMENT_NAMES:
-            self.bad = 2
-        elif names & BAD_NAMES and self.bad == 0:
-            self.bad = 1
-        elif (tag == "header" or names & HEADER_NAMES) and not self.section:
-            self.bad = max(self.bad, 1)
+        elif tag in BAD_TAGS or role in BAD_ROLES or says(names, COMMENT_NAMES):
+            self.bad = True
+        elif tag == "form":
+            self.controls.append(0)
+            self.form = len(self.controls) - 1
+        elif says(names, BAD_NAMES) or (tag == "header" or says(names, HEADER_NAMES)) and not self.section:
+            self.n_marks += 1
+            self.marks = (*self.marks, self.n_marks if tag != "header" else -self.n_marks)
+
+    def end_menu(self, tag):
+        """``main`` and ``article`` end a nav left open before them, ``main`` an aside too."""
+        for i, o in enumerate(self.open):
+            if o[0] == "nav" or o[0] == "aside" and tag == "main":
+                self.flush()
+                self.restore(i)
+                return
 
     @staticmethod
     def names(attrs):
         found, role, hidden = set(), "", False
         for k, v in attrs:
             if k in ("class", "id") and v:
-                found.update(_NAME.findall(_CAMEL.sub(" ", v).lower()))
+                found.update(tuple(_NAME.findall(_CAMEL.sub("-", name).lower())) for name in v.split())
             elif k == "role":
                 role = (v or "").lower()
             elif k == "hidden" or k == "aria-hidden" and v == "true":
@@ -165,7 +194,7 @@ class BlockParser(HTMLParser):
                 return
 
     def restore(self, i):
-        _, self.bad, self.section, self.silent, self.link = self.open[i]
+        _, self.bad, self.section, self.silent, self.link, self.marks, self.form = self.open[i]
         del self.open[i:]
 
     def handle_endtag(self, tag):
@@ -195,16 +224,38 @@ class BlockParser(HTMLParser):
         self.text.append(data)
 
 
+def says(names: set[tuple[str, ...]], words: frozenset) -> bool:
+    """Whether a class or id says one of ``words`` and nothing else but boilerplate and words of place."""
+    return any(any(p in words for p in parts) and all(p in words or p in PLACES or p in BAD_NAMES for p in parts) for parts in names)
+
+
 def blocks_of(html: str) -> list[Block]:
     parser = BlockParser()
     parser.feed(html)
     parser.close()
     parser.flush()
-    return parser.blocks
+    blocks = parser.blocks
+    words: dict[tuple[str, int], int] = {}
+    total = 0
+    for b in blocks:
+        if not b.bad:
+            poor = len(b.words) if b.linked / b.chars < MAX_LINKS else 0
+            total += poor
+            for key in [("mark", m) for m in b.marks]:
+                words[key] = words.get(key, 0) + poor
+            if b.form:
+                words["form", b.form] = words.get(("form", b.form), 0) + len(b.words)
+    marked = any(b.section and not b.bad for b in blocks)
+    for b in blocks:
+        if b.form and words.get(("form", b.form), 0) < FORM_WORDS * (1 + parser.controls[b.form]):
+            b.bad = True
+        # a named container that holds most of a page without article is no side matter (page headers are)
+        b.marks = tuple(m for m in b.marks if m < 0 or marked or 2 * words.get(("mark", m), 0) <= total)
+    return blocks
 
 
 def _first_pass(b: Block) -> bool | None:
-    if b.bad:
+    if b.bad or b.marks:
         return False
     links = b.linked / b.chars
     words = _LETTERS.findall(" ".join(b.words).lower())
@@ -220,7 +271,16 @@ def _long(b: Block) -> bool:
 
 
 def labels(blocks: list[Block]) -> list[bool]:
-    """Good or not, after both passes."""
+    """Good or not, after both passes; once more without names if nothing is left."""
+    good = _both_passes(blocks)
+    if not any(good) and any(b.marks and not b.bad for b in blocks):
+        for b in blocks:
+            b.marks = ()
+        good = _both_passes(blocks)
+    return good
+
+
+def _both_passes(blocks: list[Block]) -> list[bool]:
     first = [_first_pass(b) for b in blocks]
     n = len(blocks)
     known = {b.section for b, good in zip(blocks, first) if good}
@@ -235,7 +295,7 @@ def labels(blocks: list[Block]) -> list[bool]:
             out: list[tuple[bool, int] | None] = [None] * n
             for i in order:
                 key = blocks[i].section if within else 0
-                if first[i] is not None and not blocks[i].bad:
+                if first[i] is not None and not blocks[i].bad and not blocks[i].marks:
                     last[key] = i
                 elif first[i] is None and key in last:
                     out[i] = (first[last[key]], abs(i - last[key]))

@@ -20,6 +20,7 @@ named like an output are replaced."""
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -223,21 +224,35 @@ def sample_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return learn(docs.where(~held_out(id_col)), id_col, text_col, lang_col)
 
 
-def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents in which a language is found, with the columns of ``docs``."""
+def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *,
+                      languages: Sequence[str] | None = None, min_score: float = 0.0) -> DataFrame:
+    """The documents in which a language is found, with the columns of ``docs``. Rejected: documents without a letter, those
+    predicted to be in a language that is not among ``languages`` (default: every learned one), and those whose score is below
+    ``min_score`` (0: two languages fit equally well, 1: only one fits)."""
     samples = sample_of(docs, id_col, text_col, lang_col)
     at = docs.columns.index(text_col)
+    wanted = None if languages is None else frozenset(languages)
 
     def run(batches):
         parser = _parser(samples)
         for batch in batches:
             for part in slices(batch, max_rows=2000, max_bytes=4 << 20):
-                names, _ = parser.predict([t or "" for t in part.column(at).to_pylist()])
-                yield part.filter(pa.array([n != UND for n in names], pa.bool_()))
+                names, scores = parser.predict([t or "" for t in part.column(at).to_pylist()])
+                keep = [n != UND and (wanted is None or n in wanted) and s >= min_score for n, s in zip(names, scores, strict=True)]
+                yield part.filter(pa.array(keep, pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)
 
 
+def rejections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *,
+               languages: Sequence[str] | None = None, min_score: float = 0.0) -> DataFrame:
+    """What ``drop_unidentified`` does, counted: lang_pred, kept, n."""
+    out = identify(docs, sample_of(docs, id_col, text_col, lang_col), text_col, keep=[])
+    known = F.col("lang_pred") != UND
+    listed = F.lit(True) if languages is None else F.col("lang_pred").isin(*languages)
+    return out.groupBy("lang_pred", (known & listed & (F.col("score") >= min_score)).alias("kept")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def op7(spark, sf_dir):
     from .common import table
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")

@@ -200,7 +200,7 @@ def test_pipeline_against_brute_force(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     docs = [(r.doc_id, r.text, r.source) for r in table.collect()]
     parser = langid.CrossParser(langid.sample_of(table))
-    docs = [d for d, n in zip(docs, parser.predict([d[1] or "" for d in docs])[0]) if n != "und"]
+    docs = [d for d, n, s in zip(docs, *parser.predict([d[1] or "" for d in docs])) if n != "und" and s >= 0.01]
     first = {}
     for d in sorted(docs):
         first.setdefault(brute.SPACE.sub(" ", d[1] or ""), d)

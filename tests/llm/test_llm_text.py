@@ -56,6 +56,17 @@ def test_language_edges(edge_docs, no_docs):
     assert langid.drop_unidentified(no_docs).count() == 0
 
 
+def test_language_rejections(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    pred = {r.doc_id: (r.lang_pred, r.score) for r in langid.op7(spark, SF).collect()}
+    for languages, least in ((None, 0.0), (["de", "fr"], 0.0), (None, 0.55), (["en"], 0.6)):
+        want = {i for i, (n, s) in pred.items() if n != "und" and (languages is None or n in languages) and s >= least}
+        got = langid.drop_unidentified(docs, languages=languages, min_score=least)
+        assert {r.doc_id for r in got.collect()} == want and 0 < len(want) < len(pred) + (languages is None and not least)
+        counts = {(r.lang_pred, r.kept): r.n for r in langid.rejections(docs, languages=languages, min_score=least).collect()}
+        assert sum(n for (_, kept), n in counts.items() if kept) == got.count() and sum(counts.values()) == docs.count()
+
+
 def test_op7_held_out_accuracy(spark):
     langs = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").collect()}
     rows = langid.op7(spark, "/root/testdata/sf0.01").collect()
@@ -151,6 +162,34 @@ def test_html_other_languages():
     assert html_extract.main_text('<nav><a href="/">Start</a></nav><p>Krótki tekst.</p><footer>Stopka</footer>') == "Krótki tekst."
 
 
+ARTICLE = ("The river is at its highest for ten years and the people of the town have gone to the hills with all that they could carry. "
+           "It was not known on Monday when they would be back, or what they are to find.")
+
+
+@pytest.mark.parametrize("page", [
+    "<form id=aspnetForm><input type=hidden><div>{}</div></form>", "<form><article><p>{}</p></article><input><input></form>",
+    "<div class='wrapper has-sidebar'><p>{}</p></div>", "<main class='site-main with-sidebar'><p>{}</p></main>",
+    "<article class='post category-promotion'><p>{}</p></article>", "<article class='hentry tag-social'><p>{}</p></article>",
+    "<div class='discussion-paper'><p>{}</p></div>", "<nav><ul><li><a href=/>Home</a><article><p>{}</p></article>",
+    "<div id=sidebar-page class=social><p>{}</p></div>", "<div class=widget><p>{}</p></div><footer>All the rights of the site are with us and with it</footer>",
+    "<article class=sponsored><p>{}</p></article>", "<nav>Menu<main><p>{}</p></main>",
+])
+def test_html_real_markup(page):
+    menu = "<nav><a href=/a>One</a> <a href=/b>Two</a></nav>" if "<nav" not in page else ""
+    assert html_extract.main_text(f"<html><body>{menu}{page.format(ARTICLE)}</body></html>") == ARTICLE
+
+
+@pytest.mark.parametrize("side", [
+    "<div class='site-footer'>{}</div>", "<div id=cookieNotice>{}</div>", "<section class='ad-box2'>{}</section>", "<ul class='comment-list'><li>{}</li></ul>",
+    "<form class=search><label>{}</label><input><select></select></form>", "<div class='sidebar left'><p>{}</p></div>", "<aside><article><p>{}</p></article></aside>",
+    "<ol class=comments><li><article class=comment-body><p>{}</p></article></ol>", "<div role=complementary>{}</div>", "<div class='newsletter-signup'>{}</div>",
+])
+def test_html_side_matter_still_goes(side):
+    text = "This is what we say to all of the readers that are on the page."
+    for main in ("<article><p>{}</p></article>", "<div><p>{}</p></div>"):
+        assert html_extract.main_text(main.format(ARTICLE) + side.format(text)) == ARTICLE
+
+
 def test_html_edges(spark):
     df = spark.createDataFrame([(1, None, "u", "t"), (1, "", None, "t"), (None, "<p>a  b", "u", "t")], "page_id long, html string, url string, text string")
     out = html_extract.extract(df).collect()
