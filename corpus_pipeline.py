@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 next stage's ``docs``. All stages but the last return the columns of ``documents``; each works on every row that
 its predecessor kept:
 
-1. language_id: documents without a language (no letters, or no text) go;
+1. language_id: documents without a language go: no letters, no text, or two languages that fit equally well (a score below ``MIN_SCORE``); ``LANGUAGES``
+   restricts the languages kept (None: all that are learned);
 2. exact_dedup: of equal texts (runs of blanks folded) the smallest id stays;
 3. simhash_near_dedup: of each group of texts whose SimHash fingerprints (3-word shingles) link at 2 bits or fewer,
    the smallest id stays;
@@ -20,8 +21,12 @@ from hydroflow.llm import bpe, exact_dedup, langid, mixing, simhash
 from hydroflow.llm.common import stored, table
 
 
+LANGUAGES = None
+MIN_SCORE = 0.01
+
+
 def language_id(spark, docs, sf_dir):
-    return langid.drop_unidentified(docs)
+    return langid.drop_unidentified(docs, languages=LANGUAGES, min_score=MIN_SCORE)
 
 
 def exact(spark, docs, sf_dir):
