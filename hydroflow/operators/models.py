@@ -231,12 +231,13 @@ def gam_fit(train: DataFrame, label: str, basis: Sequence[str], reg: float = 0.1
 
 
 def preprocessing(numeric: Sequence[str], categorical: Sequence[str] = (), pca_k: int | None = None,
-                  min_level_share: float = 0.01) -> tuple[list, str]:
-    """The candidate pipelines' preprocessing as MLlib stages: median imputation of
-    numeric columns plus missing indicators, rare-level folding (levels below
-    ``min_level_share`` -> one bucket via StringIndexer frequency order + handleInvalid),
-    one-hot encoding, standard scaling, optional PCA. Returns (stages, output column)."""
-    from pyspark.ml.feature import Imputer, OneHotEncoder, PCA, SQLTransformer, StandardScaler, StringIndexer
+                  min_level_share: float = 0.01, clip: tuple[float, float] | None = None, ordinal: bool = False) -> tuple[list, str]:
+    """The candidate pipelines' preprocessing as pipeline stages: median imputation of numeric columns plus missing
+    indicators, optional clipping at two quantiles (``clip``), folding of levels below ``min_level_share`` of the rows into one
+    (``preprocess.LevelEncoder``), one-hot encoding of the rest (``ordinal``: their indices instead), standard scaling, optional
+    PCA. Returns (stages, output column)."""
+    from pyspark.ml.feature import Imputer, OneHotEncoder, PCA, SQLTransformer, StandardScaler
+    from .preprocess import ExtremeClipper, LevelEncoder
     stages: list = []
     num = list(numeric)
     imp = [f"{c}_imp" for c in num]
@@ -244,16 +245,15 @@ def preprocessing(numeric: Sequence[str], categorical: Sequence[str] = (), pca_k
         ind = ", ".join(f"CAST(`{c}` IS NULL AS DOUBLE) AS `{c}_missing`" for c in num)
         stages.append(SQLTransformer(statement=f"SELECT *, {ind} FROM __THIS__"))
         stages.append(Imputer(inputCols=num, outputCols=imp, strategy="median"))
-    cat_out = []
+        if clip:
+            stages.append(ExtremeClipper(inputCols=imp, outputCols=[f"{c}_clip" for c in num], lower=clip[0], upper=clip[1]))
+            imp = [f"{c}_clip" for c in num]
     for c in categorical:
-        stages.append(StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep",
-                                    stringOrderType="frequencyDesc"))
-        cat_out.append(f"{c}_oh")
-    if categorical:
-        stages.append(OneHotEncoder(inputCols=[f"{c}_idx" for c in categorical], outputCols=cat_out,
-                                    handleInvalid="keep"))
-    va = VectorAssembler(inputCols=imp + [f"{c}_missing" for c in num] + cat_out, outputCol="_pre_raw",
-                         handleInvalid="keep")
+        stages.append(LevelEncoder(inputCol=c, outputCol=f"{c}_idx", minShare=min_level_share))
+    cat_out = [f"{c}_idx" if ordinal else f"{c}_oh" for c in categorical]
+    if categorical and not ordinal:
+        stages.append(OneHotEncoder(inputCols=[f"{c}_idx" for c in categorical], outputCols=cat_out, handleInvalid="keep"))
+    va = VectorAssembler(inputCols=imp + [f"{c}_missing" for c in num] + cat_out, outputCol="_pre_raw", handleInvalid="keep")
     stages += [va, StandardScaler(inputCol="_pre_raw", outputCol="_pre_scaled", withMean=True, withStd=True)]
     out = "_pre_scaled"
     if pca_k:
@@ -262,24 +262,42 @@ def preprocessing(numeric: Sequence[str], categorical: Sequence[str] = (), pca_k
     return stages, out
 
 
+# The published search ranges (low, high, logarithmic) under the names of the MLlib parameters that carry them; the
+# booster's gamma, lambda and alpha and the linear learner's batch size have none.
+SEARCH_RANGES = {
+    "booster": {"maxIter": (64, 1024, True), "maxDepth": (2, 8, True), "stepSize": (1e-3, 1.0, True), "minInstancesPerNode": (1, 32, True),
+                "subsamplingRate": (0.5, 1.0, False), "featureSubsetStrategy": (0.3, 1.0, False)},
+    "linear": {"regParam": (1e-12, 1e-2, True)},
+}
+
+
+def random_params(est, rnd, ranges: dict) -> dict:
+    """One draw from ``ranges`` for the parameters that ``est`` has (a forest has no step size and takes ``numTrees`` for ``maxIter``)."""
+    import math
+    out = {}
+    for name, (lo, hi, log) in ranges.items():
+        if name == "maxIter" and not est.hasParam(name):
+            name = "numTrees"
+        if not est.hasParam(name):
+            continue
+        v = math.exp(rnd.uniform(math.log(lo), math.log(hi))) if log else rnd.uniform(lo, hi)
+        whole = isinstance(lo, int)
+        out[est.getParam(name)] = min(max(round(v), lo), hi) if whole else f"{min(v, 1.0):.6f}" if name == "featureSubsetStrategy" else v
+    return out
+
+
 def random_search(train: DataFrame, label: str, features: Sequence[str], algo: str = "XGB", n_trials: int = 20,
-                  parallelism: int = 7, train_ratio: float = 0.8, seed: int = SEED):
-    """Random search over the booster / linear model ranges minimising MSE with
-    ``TrainValidationSplit`` (fits run ``parallelism`` at a time). The Bayesian strategy of the
-    hosted tuner is not built; random search over the same ranges is its stated fallback."""
+                  parallelism: int = 7, train_ratio: float = 0.8, seed: int = SEED, ranges: dict | None = None):
+    """Random search over ``ranges`` (default: the published ones for boosters or the linear learner) minimising MSE with
+    ``TrainValidationSplit``, ``parallelism`` fits at a time. The Bayesian strategy of the hosted tuner is not built."""
     import random
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.tuning import TrainValidationSplit
     rnd = random.Random(seed)
     va = VectorAssembler(inputCols=available(train, features), outputCol="_fv_rs", handleInvalid="keep")
     est = regressor(algo, label, "_fv_rs", "prediction", trees=20)
-    grid = []
-    for _ in range(n_trials):
-        if algo in ("LR", "LinearRegression"):
-            grid.append({est.regParam: 10 ** rnd.uniform(-6, 1), est.elasticNetParam: rnd.uniform(0, 1)})
-        else:
-            grid.append({est.maxDepth: rnd.randint(2, 8), est.stepSize: 10 ** rnd.uniform(-2, -0.3),
-                         est.maxIter: rnd.randint(10, 60), est.subsamplingRate: rnd.uniform(0.5, 1.0)})
+    ranges = ranges or SEARCH_RANGES["linear" if algo in ("LR", "LinearRegression") else "booster"]
+    grid = [random_params(est, rnd, ranges) for _ in range(n_trials)]
     tvs = TrainValidationSplit(estimator=Pipeline(stages=[va, est]), estimatorParamMaps=grid,
                                evaluator=RegressionEvaluator(labelCol=label, metricName="mse"),
                                trainRatio=train_ratio, parallelism=parallelism, seed=seed)

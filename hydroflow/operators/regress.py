@@ -8,7 +8,7 @@ range. Here, per series and all series in one job:
 3. forecast over the test positions: u_hat(T+h) = first row of A^h (companion matrix) applied
    to the last p training residuals; the (h -> coefficients) table is built per series in
    ``mapInPandas`` (bounded by the test length), then joined on (series, h).
-The seasonal/MA order search of the reference is not built."""
+``arma.arma_error_regression`` adds moving-average terms."""
 from __future__ import annotations
 
 import math
@@ -21,6 +21,9 @@ from pyspark.sql import types as T
 
 from .blocked import attach, materialize, with_series_windows
 
+#: Horizons of forecast coefficients held at once.
+CHUNK = 10_000
+
 
 def _gram_aggs(cols: Sequence[str], cond=None):
     out = []
@@ -109,6 +112,9 @@ def ar_error_regression(train: DataFrame, test: DataFrame, keys: Sequence[str],
                 for h in range(1, int(row["_H"]) + 1):
                     M = A @ M
                     out.append([row[c] for c in k] + [h] + [float(v) for v in M[0]] + [0.0] * (max_p - p))
+                    if len(out) == CHUNK:
+                        yield pd.DataFrame(out, columns=[*k, "_h", *[f"_c{i}" for i in range(max_p)]])
+                        out = []
             yield pd.DataFrame(out, columns=[*k, "_h", *[f"_c{i}" for i in range(max_p)]])
 
     cschema = T.StructType([*keyschema, T.StructField("_h", T.LongType()),

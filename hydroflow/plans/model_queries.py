@@ -98,3 +98,40 @@ def q_scored_predictions(spark, sf_dir):
     model = kt.fit(tr, ["site"], ALL_FEATURES, "flow", series_models.learners(series_models.BENCH_ALGOS, 50), ["ts"])
     p = materialize(series_models.predictions_table(model, tr.drop("split"), te.drop("split"), ["ts"], "flow", clip=True))
     return p.withColumnRenamed("algorithm", "model").groupBy("site", "model").agg(*metrics.error_metric_columns("ground_truth", "prediction"))
+
+
+@register("arma_error_regression")
+def q_arma_error_regression(spark, sf_dir):
+    """Per site, regression of the inflow proxy on rain features with ARMA(p, q) errors (orders by BIC), forecast over the last 30% of
+    hours; test metrics per site."""
+    from ..functions.calendar import hour_id
+    from ..operators.arma import arma_error_regression
+    tr, te = _split(training_table(spark, sf_dir).withColumn("_pos", hour_id("ts")))
+    p = arma_error_regression(tr, te, ["site"], "_pos", "flow", ["Rainfall", "Rain_L6HR", "API", "SoilMoisture"])
+    return p.groupBy("site", "ar_p", "ma_q").agg(*metrics.error_metric_columns("flow", "prediction"))
+
+
+#: Trees of each learner in the registered ablation: 15 steps x 4 learners x all sites take minutes at the library's default of 50.
+ABLATION_TREES = 10
+
+
+@register("series_ablation")
+def q_series_ablation(spark, sf_dir):
+    """Cumulative ablation over the 15 feature groups with four learners per site (``ABLATION_TREES`` trees each), and the vote."""
+    tr, te = _split(training_table(spark, sf_dir))
+    return series_models.ablation(tr, te, ["site"], "flow", ["ts"], trees=ABLATION_TREES)[1]
+
+
+_SHARE = 0.05
+
+
+@register("rare_levels", f"""
+WITH c AS (SELECT source AS level, count(*) AS n FROM documents GROUP BY source),
+k AS (SELECT level, row_number() OVER (ORDER BY n DESC, level) - 1 AS i FROM c WHERE level IS NOT NULL AND n >= {D(_SHARE)} * (SELECT count(*) FROM documents))
+SELECT coalesce(k.i, (SELECT count(*) FROM k)) AS level_index, CAST(sum(c.n) AS BIGINT) AS n FROM c LEFT JOIN k ON c.level = k.level GROUP BY 1""")
+def q_rare_levels(spark, sf_dir):
+    """Documents per encoded source, sources below ``_SHARE`` of the rows folded into one level."""
+    from ..operators.preprocess import LevelEncoder
+    d = load(spark, sf_dir, "documents", ["source"])
+    coded = LevelEncoder(inputCol="source", outputCol="i", minShare=_SHARE).fit(d).transform(d)
+    return coded.groupBy(F.col("i").cast("long").alias("level_index")).agg(F.count(F.lit(1)).alias("n"))
