@@ -135,3 +135,13 @@ def q_rare_levels(spark, sf_dir):
     d = load(spark, sf_dir, "documents", ["source"])
     coded = LevelEncoder(inputCol="source", outputCol="i", minShare=_SHARE).fit(d).transform(d)
     return coded.groupBy(F.col("i").cast("long").alias("level_index")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("gam_per_site")
+def q_gam_per_site(spark, sf_dir):
+    """Per site, smooth of rain + cyclic smooth of the hour + weekday effect, smoothing by GCV; effective degrees of freedom and test metrics."""
+    from ..operators import gam
+    tr, te = _split(training_table(spark, sf_dir))
+    model = gam.fit(tr, ["site"], "Rainfall", "hour", "wday", "flow")
+    p = gam.predict(model, te, ["site"], "Rainfall", "hour", "wday")
+    return p.groupBy("site").agg(*metrics.error_metric_columns("flow", "prediction")).join(model.select("site", "edf"), "site")
