@@ -117,12 +117,21 @@ def evaluate_predictions(df: DataFrame, actual: str, model_cols: Sequence[str],
                                               *metrics.agreement_columns(actual, "pred"))
 
 
+STRATA = "Restriction level"
+
+
 def _split(df, keys, ts, frac, method, key):
+    """Train and test rows: ``time`` (first part of each series), ``stratified`` (exact share of each ``STRATA`` level if the table has
+    that column, else by hash, as in the reference) or any other name: by hash of the row's key."""
     if method == "time":
         s = split.time_split(df, keys, ts, frac)
+    elif method == "stratified" and STRATA in df.columns:
+        level = F.coalesce(F.col(f"`{STRATA}`").cast("double").cast("int"), F.lit(0))
+        ident = F.concat_ws("|", *[F.col(f"`{c}`").cast("string") for c in dict.fromkeys([*keys, key or ts])])
+        s = split.stratified_split(df.withColumns({"_level": level, "_row": ident}), "_level", "_row", frac).drop("_level", "_row")
     else:
         s = split.hash_split(df, [key or ts, *keys], frac)
-    s = s.cache()
+    s = blocked.materialize(s)
     return s.where("split = 'train'"), s.where("split = 'test'")
 
 

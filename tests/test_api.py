@@ -54,3 +54,17 @@ def test_run_experiments_pipeline(spark):
     res = api.run_experiments(s, ["site"], "ts", "flow", ["Rainfall"], run_acf=False, trees=3)
     assert {"ablation", "votes", "algorithms", "importance"} <= set(res)
     assert res["algorithms"].count() == 6
+
+
+def test_stratified_split_of_the_api(spark):
+    rows = [("a" if i % 2 else "b", i, None if i % 10 == 0 else float(i % 3), 1.0) for i in range(600)]
+    df = spark.createDataFrame(rows, "site string, ts int, `Restriction level` double, y double")
+    tr, te = api._split(df, ["site"], "ts", 0.7, "stratified", None)
+    assert set(tr.columns) == {*df.columns, "split"} and tr.count() + te.count() == 600
+    level = F.coalesce(F.col("Restriction level").cast("int"), F.lit(0))
+    n = {r[0]: r[1] for r in df.groupBy(level).count().collect()}
+    got = {r[0]: r[1] for r in tr.groupBy(level).count().collect()}
+    assert all(abs(got[k] - 0.7 * n[k]) < 1 for k in n)
+    plain = api._split(df.drop("Restriction level"), ["site"], "ts", 0.7, "stratified", None)[0]
+    by_hash = api._split(df.drop("Restriction level"), ["site"], "ts", 0.7, "hash", None)[0]
+    assert sorted(r.ts for r in plain.collect()) == sorted(r.ts for r in by_hash.collect())
