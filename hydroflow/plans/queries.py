@@ -990,7 +990,7 @@ TEMP_COL = "Dry bulb degC"  # the reference's temperature column name (feature g
 
 
 def _split(t: DataFrame):
-    s = split.time_split(t, ["site"], "ts", 0.7).cache()
+    s = materialize(split.time_split(t, ["site"], "ts", 0.7))
     return s.where("split = 'train'"), s.where("split = 'test'")
 
 
@@ -1224,7 +1224,7 @@ def q_ar_error_regression(spark, sf_dir):
     AR(p) errors (p by AIC), forecast over the last 30% of hours; test metrics per site."""
     from ..operators.regress import ar_error_regression
     t = training_table(spark, sf_dir).withColumn("_pos", cal.hour_id("ts"))
-    s = split.time_split(t, ["site"], "ts", 0.7).cache()
+    s = materialize(split.time_split(t, ["site"], "ts", 0.7))
     tr, te = s.where("split = 'train'"), s.where("split = 'test'")
     p = ar_error_regression(tr, te, ["site"], "_pos", "flow", ["Rainfall", "Rain_L6HR", "API", "SoilMoisture"])
     return p.groupBy("site", "ar_p").agg(*metrics.error_metric_columns("flow", "prediction"))
