@@ -6,12 +6,14 @@ exactly cosine 0.93 share a bucket in at least one of 24 tables with probability
 always do. All that share a bucket are checked by their cosine in double precision.
 
 Equal vectors of a label are one representative with a count. A bucket's members are cut into blocks of up to
-``block``; a task holds two blocks at a time, so a hot bucket is spread over many tasks and only links come out,
-each from the first table that finds it. Degrees and components come from those links.
+``block``; a task holds two blocks at a time, so a hot bucket is spread over many tasks. Of each pair of blocks come
+out, per vector, the number of its links (each from the first table that finds it) and the smallest vector that those links
+reach within the pair: at most one row per row read, however many links a bucket holds. Degrees and components come from those.
 
 Defined results: a null, empty, zero or non-finite vector, and a vector with a null label, links with nothing;
 rows that repeat an id are vectors of their own; a null vec_id links like any other, component_id is
-the smallest id of the component (nulls last, null if it has none), and such a row is kept if no id is in its component; an empty table gives an empty table."""
+the smallest id of the component (nulls last, null if it has none), and such a row is kept if no id is in its component; an empty table gives an empty table.
+Only the id and the four results are returned: other columns, clashing names among them, are not read."""
 from __future__ import annotations
 
 from math import erf, exp, pi, sqrt
@@ -76,7 +78,9 @@ def representatives(vectors: DataFrame, id_col: str, vec_col: str, label_col: st
 
 def vector_links(reps: DataFrame, cosine: float = COSINE, hashes: int = HASHES, tables: int = TABLES,
                  width: float = WIDTH, block: int = BLOCK) -> DataFrame:
-    """``reps`` -> a, b: every two nodes of a label (and length) that meet in a table and reach the cosine."""
+    """``reps`` -> node, root, links: for every two nodes of a label (and length) that meet in a table and reach the cosine,
+    counted once. A node has one row per pair of blocks that links it: ``links`` vectors (copies counted) are linked to it
+    there, and ``root`` is the smallest node they connect it with."""
     def keys(batches):
         for batch in batches:
             dims = np.diff(batch.column("vec").offsets.to_numpy())
@@ -99,11 +103,11 @@ def vector_links(reps: DataFrame, cosine: float = COSINE, hashes: int = HASHES,
     cells = (placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("node", F.xxhash64(*bucket, F.least("own", "other"), F.greatest("own", "other")).alias("cell"),
                      *bucket, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
-    carried = cells.join(reps.select("node", "vec"), "node")
+    carried = cells.join(reps.select("node", "n", "vec"), "node")
     parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["cell", *bucket, "i", "j", "own", "node"]
     dealt = (carried.repartition(parts, "cell").sortWithinPartitions(*order)
-             .select("node", "vec", *bucket, "i", "j", "own"))
+             .select("node", "n", "vec", *bucket, "i", "j", "own"))
 
     def check(batches):
         rest = None
@@ -117,7 +121,7 @@ def vector_links(reps: DataFrame, cosine: float = COSINE, hashes: int = HASHES,
         if rest is not None and rest.num_rows:
             yield from _cell_links(rest, cosine, hashes, tables, width)
 
-    return map_arrow(dealt, check, "a long, b long")
+    return map_arrow(dealt, check, "node long, root long, links long")
 
 
 def _runs(t: pa.Table, names: list[str]) -> np.ndarray:
@@ -158,20 +162,34 @@ def _cell_links(t: pa.Table, cosine: float, hashes: int, tables: int, width: flo
     k = _hash_keys(x[used], hashes, tables, width)[:, :tab]
     new = ~(k[where[:len(r)]] == k[where[len(r):]]).any(1)  # not found by an earlier table
     if new.any():
-        a, b = node[r[new]], node[c[new]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        yield _linked_nodes(node, t.column("n").to_numpy(), r[new], c[new])
+
+
+def _linked_nodes(node: np.ndarray, copies: np.ndarray, r: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    """node, root, links of the rows that the links (r, c) touch."""
+    at, where = np.unique(np.concatenate([r, c]), return_inverse=True)
+    left, right = where[:len(r)], where[len(r):]
+    links = (np.bincount(left, weights=copies[c], minlength=len(at)) + np.bincount(right, weights=copies[r], minlength=len(at))).astype(np.int64)
+    ids = node[at]
+    root = ids.copy()
+    while True:  # the smallest node spreads along links, and from each root to those that point to it
+        before = root.copy()
+        low = np.minimum(root[left], root[right])
+        np.minimum.at(root, left, low)
+        np.minimum.at(root, right, low)
+        order = np.argsort(ids)
+        root = np.minimum(root, root[order[np.searchsorted(ids, root, sorter=order)]])
+        if (root == before).all():
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(root), pa.array(links)], ["node", "root", "links"])
 
 
 def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
                     **kw) -> DataFrame:
     """One row per vector: its id, n_links, component_id, kept."""
     reps = representatives(vectors, id_col, vec_col, label_col)
-    links = stored(vector_links(reps, **kw))
-    n = reps.select("node", "n")
-    ends = links.join(n.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "n").unionAll(
-        links.join(n.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), "n"))
-    degree = ends.groupBy("node").agg(F.sum("n").alias("links"))
-    comp = connected_components(links)
+    linked = stored(vector_links(reps, **kw))
+    degree = linked.groupBy("node").agg(F.sum("links").alias("links"))
+    comp = connected_components(linked, "node", "root")
     rooted = (reps.select("node", "label", "vec", "n", "first").join(degree, "node", "left").join(comp, "node", "left")
               .withColumn("root", F.coalesce("root", "node")))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
