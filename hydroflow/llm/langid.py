@@ -3,9 +3,10 @@
 A suffix automaton of each language's sample recognises every substring of it. A text is cut, left to right,
 into the longest phrases that occur in the sample; ``phrases * log2(sample length) / text length`` estimates
 the cross-entropy in bits a letter, and the language with the least wins (ties: first by name). The
-automaton's forward links, with a restart at the root where a phrase ends, form one transition table, so a
-batch of texts is parsed in lockstep: whole texts are cut into segments of ``SEGMENT`` symbols (a phrase ends
-where a segment does, alike for all languages), one table step per symbol for all segments at once.
+automaton's forward links lie in a hash table of (state, symbol), whose size follows the links and not the alphabet (4 MB a
+language, Han as well as Latin), with a restart at the root where a phrase ends. A batch of texts is parsed in lockstep: whole
+texts are cut into segments of ``SEGMENT`` symbols (a phrase ends where a segment does, alike for all languages), one look-up
+per symbol for all segments at once.
 
 Learning: a bounded sample of the labelled rows. Every language gives up to ``SAMPLE_DOCS`` documents in hash order,
 of each the first ``EXCERPT`` characters, cut at ``SAMPLE_SYMBOLS`` symbols in all; the number of languages is
@@ -35,6 +36,8 @@ SAMPLE_SYMBOLS = 24_000
 SEGMENT = 512
 UND = "und"
 _BLANK, _UNKNOWN, _PAD = 0, 1, 2
+#: Room for a state beside state * alphabet + symbol in 63 bits: 2 ** 21 states and 2 ** 21 symbols.
+_STATE_BITS = 21
 
 
 class SuffixAutomaton:
@@ -68,18 +71,64 @@ class SuffixAutomaton:
                     link[q] = link[cur] = clone
             last = cur
 
-    def parse_table(self, alphabet: int) -> np.ndarray:
-        """states x alphabet: 2 * next state + (1 if a phrase begins with this symbol)."""
-        n = len(self.next)
-        t = np.full((n, alphabet), -1, dtype=np.int64)
-        for s, row in enumerate(self.next):
-            for c, to in row.items():
-                t[s, c] = 2 * to
-        start = np.where(t[0] >= 0, t[0] + 1, 1)  # from the root a phrase begins; an unknown symbol is one by itself
-        t = np.where(t >= 0, t, start)
-        t[0] = start
-        t[:, _PAD] = 2 * np.arange(n)
-        return t.astype(np.int32)
+    def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """from, symbol, to of all forward links."""
+        n = np.fromiter(map(len, self.next), dtype=np.int64, count=len(self.next))
+        symbol = np.fromiter((c for row in self.next for c in row), dtype=np.int64, count=int(n.sum()))
+        to = np.fromiter((t for row in self.next for t in row.values()), dtype=np.int64, count=int(n.sum()))
+        return np.repeat(np.arange(len(n)), n), symbol, to
+
+
+class LinkTable:
+    """Forward links of one automaton for whole arrays of states: open addressing, at most an eighth full, the
+    next state in the low bits of its link."""
+
+    def __init__(self, automaton: SuffixAutomaton, alphabet: int):
+        state, symbol, to = automaton.links()
+        self.alphabet = alphabet
+        self.start = np.zeros(alphabet, dtype=np.int64)  # from the root a phrase begins; an unknown symbol is one by itself
+        self.start[symbol[state == 0]] = to[state == 0]
+        inner = state != 0
+        bits = max(int(8 * inner.sum()).bit_length(), 4)
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.links = np.full(1 << bits, -1, dtype=np.int64)
+        keys, to = state[inner] * alphabet + symbol[inner], to[inner]
+        slot = self._slots(keys)
+        while len(keys):  # of those that want a free slot the first takes it, the others go on
+            free = np.flatnonzero(self.links[slot] < 0)
+            first = free[np.unique(slot[free], return_index=True)[1]]
+            self.links[slot[first]] = (keys[first] << _STATE_BITS) | to[first]
+            left = np.ones(len(keys), dtype=bool)
+            left[first] = False
+            keys, to, slot = keys[left], to[left], (slot[left] + 1) & self.mask
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    @property
+    def nbytes(self) -> int:
+        return self.links.nbytes + self.start.nbytes
+
+    def follow(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states, and where a phrase begins."""
+        want = state * self.alphabet + symbol
+        slot = self._slots(want)
+        link = self.links[slot]
+        key = link >> _STATE_BITS
+        begins = key != want
+        open_ = np.flatnonzero(begins & (key >= 0))
+        while len(open_):
+            at = (slot[open_] + 1) & self.mask
+            slot[open_] = at
+            here = self.links[at]
+            key = here >> _STATE_BITS
+            hit = key == want[open_]
+            link[open_[hit]] = here[hit]
+            begins[open_[hit]] = False
+            open_ = open_[~hit & (key >= 0)]
+        to = link & ((1 << _STATE_BITS) - 1)
+        np.copyto(to, self.start[symbol], where=begins)
+        return to, begins
 
 
 _letters: np.ndarray | None = None
@@ -111,41 +160,34 @@ class CrossParser:
     def __init__(self, samples: dict[str, list[str]], sample_symbols: int = SAMPLE_SYMBOLS):
         self.languages = sorted(samples)
         letters = _letter_table()
-        code = np.where(letters, _UNKNOWN, _BLANK).astype(np.uint16)
+        code = np.where(letters, _UNKNOWN, _BLANK).astype(np.int32)
         seen = sorted({ord(c) for ts in samples.values() for t in ts for c in t.lower() if letters[ord(c)]})
         code[np.array(seen, dtype=np.int64)] = np.arange(3, 3 + len(seen))
         self.code, self.alphabet = code, 3 + len(seen)
-        tables, self.bits, base = [], [], 0
-        self.roots = []
+        self.tables, self.bits = [], []
         for name in self.languages:
             sym = symbols_of([" ".join(samples[name])], code)[0][:sample_symbols]
-            t = SuffixAutomaton(sym.tolist()).parse_table(self.alphabet)
-            tables.append(t + 2 * base)
-            self.roots.append(base)
+            self.tables.append(LinkTable(SuffixAutomaton(sym.tolist()), self.alphabet))
             self.bits.append(math.log2(max(len(sym), 2)))
-            base += len(t)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, dtype=np.int32)
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """texts x languages cross-entropies (bits a symbol), and letters per text."""
         sym, n, letters = symbols_of(texts, self.code)
         lanes = -(-n // SEGMENT)
         first_lane = np.concatenate([[0], np.cumsum(lanes)])
-        flat = np.full(first_lane[-1] * SEGMENT, _PAD, dtype=np.int32)
+        flat = np.full(first_lane[-1] * SEGMENT, _PAD, dtype=np.int64)
         starts = np.concatenate([[0], np.cumsum(n)])[:-1]
         flat[np.arange(len(sym)) + np.repeat(first_lane[:-1] * SEGMENT - starts, n)] = sym
         steps = np.ascontiguousarray(flat.reshape(-1, SEGMENT).T)
         of = np.repeat(np.arange(len(texts)), lanes)
+        lanes_padding = (steps == _PAD).sum(0)  # has no link, so each counts as a phrase of its own
         out = np.zeros((len(texts), len(self.languages)))
-        for k, root in enumerate(self.roots):
-            state = np.full(steps.shape[1], root, dtype=np.int32)
-            count = np.zeros(steps.shape[1], dtype=np.int32)
+        for k, table in enumerate(self.tables):
+            state = np.zeros(steps.shape[1], dtype=np.int64)
+            count = -lanes_padding
             for row in steps:
-                state *= self.alphabet
-                state += row
-                np.take(self.table, state, out=state, mode="clip")
-                count += state & 1
-                state >>= 1
+                state, begins = table.follow(state, row)
+                count += begins
             out[:, k] = np.bincount(of, weights=count, minlength=len(texts)) * self.bits[k]
         return out / np.maximum(n, 1)[:, None], letters
 

@@ -32,6 +32,22 @@ def test_cross_parsing_counts_longest_phrases():
         assert h[0, 0] == pytest.approx(phrases(t, sample) * np.log2(len(sample)) / len(t))
 
 
+def test_large_alphabets_stay_small_and_exact():
+    """3,000 distinct letters beside Latin: phrases as defined, tables that follow the sample and not the alphabet."""
+    rng = random.Random(4)
+    han = "".join(chr(0x4E00 + i) for i in rng.sample(range(3000), 3000)) + "".join(chr(0x4E00 + int(3000 * rng.random() ** 3)) for _ in range(6000))
+    latin = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7))) for _ in range(1500))
+    parser = langid.CrossParser({"han": [han], "latin": [latin]})
+    assert parser.alphabet > 3000 and sum(t.nbytes for t in parser.tables) < 8 << 20
+    for _ in range(20):
+        at = rng.randrange(len(han) - 60)
+        t = han[at:at + rng.randint(1, 60)] + "".join(chr(0x4E00 + rng.randrange(4000)) for _ in range(rng.randint(0, 30)))
+        h, letters = parser.entropies([t])
+        assert letters[0] == len(t) and parser.predict([t])[0] == ["han"]
+        assert h[0, 0] == pytest.approx(phrases(t, han) * np.log2(len(han)) / len(t))
+        assert h[0, 1] == pytest.approx(np.log2(len(latin)))
+
+
 def test_batches_do_not_change_predictions():
     parser = langid.CrossParser({"en": ["the cat and the dog of the house"], "fr": ["le chat et le chien de la maison"]})
     texts = ["the dog", "le chien", "", "12 34", "THE CAT " * 400, "数字"]
