@@ -211,10 +211,10 @@ def test_pairs_at_the_limit_meet(spark):
     assert abs(met - embed_dedup.recall_at(0.93)) < 0.02 and met > 0.95
 
 
-def brute_spans(rows, min_words=25):
+def brute_spans(rows, unit="sentence", min_words=25):
     """rows (order, text) in rank order -> {order: [(start, end)]}."""
     seen, out = set(), {}
-    pattern = substring._UNITS["sentence"]
+    pattern = substring._UNITS[unit]
     for key, text in rows:
         spans, run = [], []
         for m in list(pattern.finditer(text or "")) + [None]:
@@ -233,28 +233,52 @@ def brute_spans(rows, min_words=25):
     return out
 
 
+def union(spans):
+    out = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def test_substring(spark, edge_docs, no_docs):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    want = brute_spans(sorted(docs.items()))
-    got = defaultdict(list)
+    wants = {unit: brute_spans(sorted(docs.items()), unit, least) for unit, least in (("paragraph", 0), ("sentence", 25))}
+    got = {unit: defaultdict(list) for unit in wants}
     for r in substring.op2(spark, SF).collect():
-        got[r.doc_id].append((r.start, r.end))
+        got[r.unit][r.doc_id].append((r.start, r.end))
         assert r.keep_doc_id <= r.doc_id
-    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+    for unit, want in wants.items():
+        assert {k: sorted(v) for k, v in got[unit].items()} == {k: v for k, v in want.items() if v} != {}
     clean = substring.substring_dedup(spark.read.parquet(f"{SF}/documents.parquet"))
     for r in clean.collect():
         t, at, left = docs[r.doc_id], 0, []
-        for a, b in want[r.doc_id]:
+        spans = union(wants["paragraph"][r.doc_id] + wants["sentence"][r.doc_id])
+        for a, b in spans:
             left.append(t[at:a])
             at = b
         assert r.text == "".join(left) + t[at:]
-        assert [(s.start, s.end) for s in r.removed] == want[r.doc_id]
+        assert [(s.start, s.end) for s in r.removed] == spans
     out = substring.substring_dedup(edge_docs, min_words=2)
     assert out.count() == edge_docs.count() and set(out.columns) == set(edge_docs.columns) | {"removed"}
     assert out.where("doc_id = 1").first().text is None
     assert substring.substring_dedup(no_docs).count() == 0
 
 
+def test_repeats_of_any_length(spark):
+    """Whole repeated paragraphs go at any length, repeated lines where asked for; the earliest stays."""
+    rows = [(3, "One\n\nshort text."), (1, "short  text.\nmore here"), (2, "Short text."), (5, "one"), (4, "more here\n\nSHORT text.\n\n one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    by = lambda **kw: {r.doc_id: r.text for r in substring.substring_dedup(df, **kw).collect()}
+    assert by() == {1: "short  text.\nmore here", 2: "Short text.", 3: "One\n\n", 4: "more here\n\n", 5: ""}  # consecutive repeats are one span
+    for least in (0, 1, 2):
+        want = brute_spans(sorted(rows), "line", least)
+        got = {r.doc_id: [(s.start, s.end) for s in r.removed] for r in substring.substring_dedup(df, unit="line", min_words=least).collect()}
+        assert got == want
+
+
 def test_passage_inside_a_line(spark):
     p = "one two three four five six. " + "seven eight nine ten eleven twelve thirteen fourteen. " + "w " * 15 + "end. "
     rows = [(1, "Start of it " + p + "Tail one."), (2, "Quite another head\n and " + p + "Other tail."), (3, "nothing shared at all here. none.")]
