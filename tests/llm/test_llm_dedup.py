@@ -298,8 +298,9 @@ def test_scripts_without_blanks_count_characters(spark):
     han = "\n".join(f"第{chr(0x4e00 + i)}行在这里写了十个字以上" for i in range(4))
     thai = "ภาษาไทยเขียนติดกันโดยไม่มีช่องว่างระหว่างคำ"
     df = spark.createDataFrame([(i, t) for i, t in enumerate([han, thai, "短い行"] * 2)], "doc_id long, text string")
-    out = {r.doc_id: r.text for r in substring.substring_dedup(df).collect()}
-    assert [out[i] for i in range(6)] == [han, thai, "短い行", "", "", "短い行"]
+    for unit, last in (("sentence", "短い行"), (None, "")):  # a whole paragraph goes at any length
+        out = {r.doc_id: r.text for r in substring.substring_dedup(df, unit=unit).collect()}
+        assert [out[i] for i in range(6)] == [han, thai, "短い行", "", "", last]
 
 
 def brute_lines(rows):
