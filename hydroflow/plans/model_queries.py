@@ -145,3 +145,42 @@ def q_gam_per_site(spark, sf_dir):
     model = gam.fit(tr, ["site"], "Rainfall", "hour", "wday", "flow")
     p = gam.predict(model, te, ["site"], "Rainfall", "hour", "wday")
     return p.groupBy("site").agg(*metrics.error_metric_columns("flow", "prediction")).join(model.select("site", "edf"), "site")
+
+
+_SEG_FEATURES, _SEG_BINS = ["l_quantity", "l_discount", "l_tax", "l_linenumber"], 64
+
+
+def _sql_feature_segments() -> str:
+    longs = " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y, (l_orderkey % 5) <> 0 AS tr FROM lineitem"
+                               for f in _SEG_FEATURES)
+    part = [f"sum({c}) FILTER (WHERE {w})" for w in ("bin <= c1", "bin > c1 AND bin <= c2", "bin > c2") for c in ("n", "s")]
+    m = "CASE WHEN bin <= c1 THEN m1 WHEN bin <= c2 THEN m2 ELSE m3 END"
+    return f"""
+WITH lg AS ({longs}),
+rg AS (SELECT feature, min(x) AS lo, max(x) AS hi FROM lg GROUP BY feature),
+b AS (SELECT lg.feature, CAST(least(floor((x - lo) / (hi - lo) * {_SEG_BINS}), {_SEG_BINS - 1}) AS INTEGER) AS bin, min(lo) AS lo, min(hi) AS hi,
+      sum(CASE WHEN tr THEN 1.0 ELSE 0 END) AS n, sum(CASE WHEN tr THEN y ELSE 0 END) AS s, sum(CASE WHEN tr THEN y * y ELSE 0 END) AS ss,
+      sum(CASE WHEN tr THEN 0 ELSE 1.0 END) AS nv, sum(CASE WHEN tr THEN 0 ELSE y END) AS sv, sum(CASE WHEN tr THEN 0 ELSE y * y END) AS ssv
+      FROM lg JOIN rg ON lg.feature = rg.feature GROUP BY 1, 2),
+p AS (SELECT feature, bin, sum(n) OVER w AS cn, sum(s) OVER w AS cs, sum(n) OVER (PARTITION BY feature) AS tn, sum(s) OVER (PARTITION BY feature) AS ts
+      FROM b WHERE n > 0 WINDOW w AS (PARTITION BY feature ORDER BY bin)),
+g AS (SELECT i.feature, i.bin AS c1, j.bin AS c2,
+      i.cs * i.cs / i.cn + (j.cs - i.cs) * (j.cs - i.cs) / (j.cn - i.cn) + (i.ts - j.cs) * (i.ts - j.cs) / (i.tn - j.cn) AS gain
+      FROM p i JOIN p j ON i.feature = j.feature AND i.bin < j.bin WHERE j.cn < j.tn),
+c AS (SELECT feature, c1, c2 FROM g QUALIFY row_number() OVER (PARTITION BY feature ORDER BY gain DESC, c1, c2) = 1),
+t AS (SELECT b.*, c1, c2 FROM b JOIN c ON b.feature = c.feature),
+ms AS (SELECT feature, {part[1]} / {part[0]} AS m1, {part[3]} / {part[2]} AS m2, {part[5]} / {part[4]} AS m3 FROM t GROUP BY feature),
+e AS (SELECT t.*, {m} AS m FROM t JOIN ms ON t.feature = ms.feature)
+SELECT feature, [min(lo) + (min(hi) - min(lo)) * (min(c1) + 1) / {_SEG_BINS}, min(lo) + (min(hi) - min(lo)) * (min(c2) + 1) / {_SEG_BINS}] AS cuts,
+       {R('1 - sum(ss - 2 * m * s + m * m * n) / (sum(ss) - sum(s) * sum(s) / sum(n))', 'train_r2')},
+       {R('least(greatest(1 - sum(ssv - 2 * m * sv + m * m * nv) / (sum(ssv) - sum(sv) * sum(sv) / sum(nv)), 0.0), 1.0)', 'power')}
+FROM e GROUP BY feature"""
+
+
+@register("feature_segments", _sql_feature_segments())
+def q_feature_segments(spark, sf_dir):
+    """Q9: per feature, the three segments that predict the price best (cuts by dynamic programming on bin sums), R2 on the training
+    orders and on the held-out fifth."""
+    from ..operators.segmentation import feature_segments
+    l = load(spark, sf_dir, "lineitem", ["l_orderkey", *_SEG_FEATURES, "l_extendedprice"])
+    return rounded(feature_segments(l, "l_extendedprice", _SEG_FEATURES, F.col("l_orderkey") % 5 != 0, segments=3, bins=_SEG_BINS))
