@@ -49,27 +49,21 @@ def windows(texts: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndarray
     return inputs[at], targets[at[:, CONTEXT:]], of
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(-1, keepdims=True)
-    x -= np.log(np.exp(x).sum(-1, keepdims=True))
-    return x
-
-
-def _attend(p, inputs):
-    """Masked attention of the last STEP positions of each window over all positions up to them."""
-    x = np.take(p["emb"], inputs, axis=0)
-    xq = x[:, CONTEXT:]
-    q = (xq @ p["wq"]) * np.float32(DIM ** -0.5)
-    k, v = x @ p["wk"], x @ p["wv"]
-    s = q @ k.transpose(0, 2, 1)
-    s += np.where(_DISTANCE >= 0, p["rel"][np.maximum(_DISTANCE, 0)], _NEVER)
-    s += np.where(inputs == PAD, _NEVER, np.float32(0))[:, None, :]
-    s -= s.max(-1, keepdims=True)
-    np.exp(s, out=s)
-    s /= s.sum(-1, keepdims=True)
-    o = s @ v
-    h = np.maximum(xq @ p["w1"] + o @ p["w2"] + p["b"], 0)
-    return x, xq, q, k, v, s, o, h
+def line_windows(lines: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Windows (inputs, targets) of lines cut from texts: CONTEXT symbols, then each target's input, then the
+    last target, so that a line of CONTEXT + 1 + n symbols has n targets."""
+    sizes = np.array([len(x) - CONTEXT - 1 for x in lines], dtype=np.int64)
+    count = -(-sizes // STEP)
+    room = CONTEXT + count * STEP
+    base = np.concatenate([[0], np.cumsum(room)])
+    inputs = np.full(base[-1] + 1, PAD, dtype=np.int32)
+    targets = np.full(base[-1] + 1, -1, dtype=np.int32)
+    for x, b, n in zip(lines, base, sizes):
+        inputs[b:b + CONTEXT + n] = x[:-1]
+        targets[b + CONTEXT:b + CONTEXT + n] = x[CONTEXT + 1:]
+    first = np.repeat(base[:-1], count) + STEP * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+    at = first[:, None] + np.arange(CONTEXT + STEP)
+    return inputs[at], targets[at[:, CONTEXT:]]
 
 
 def prepared(p, bigram) -> dict[str, np.ndarray]:
@@ -126,69 +120,111 @@ def log_probs(p, bigram, inputs, targets) -> np.ndarray:
     return score(prepared(p, bigram), inputs, targets)
 
 
+def _by_symbol(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of ``rows`` per symbol ``at``."""
+    width = rows.shape[1]
+    out = np.zeros((SYMBOLS + 1) * width, dtype=rows.dtype)
+    np.add.at(out, (at.astype(np.intp)[:, None] * width + np.arange(width)).ravel(), rows.ravel())  # one dimension: numpy's fast path
+    return out.reshape(-1, width)
+
+
 def gradients(p, bigram, inputs, targets) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean negative log probability of the targets and its gradients."""
+    """Mean negative log probability of the targets and its gradients.
+
+    As in ``score``, projections are taken per symbol and exponentials divided after the sum, and the targets are
+    sorted by class; gradients of the projections are summed per symbol before they meet the weights."""
     by_class, by_place = bigram
-    x, xq, q, k, v, a, o, h = _attend(p, inputs)
-    real = targets >= 0
-    n = max(int(real.sum()), 1)
-    hv, y, prev = h[real], targets[real], inputs[:, CONTEXT:][real]
-    c, w = y // WITHIN, y % WITHIN
-    rows = np.arange(len(y))
-    lc = _log_softmax(hv @ p["wc"] + p["bc"] + np.take(by_class, prev, axis=0))
-    loss = -lc[rows, c].sum()
-    d = np.exp(lc)
-    d[rows, c] -= 1
-    d /= n
-    g = {"wc": hv.T @ d, "bc": d.sum(0), "wt": np.zeros_like(p["wt"]), "bt": np.zeros_like(p["bt"])}
-    dh = d @ p["wc"].T
-    order = np.argsort(c, kind="stable")
-    cuts = np.searchsorted(c[order], np.arange(CLASSES + 1))
+    emb, scale = p["emb"], np.float32(DIM ** -0.5)
+    q_of, k_of, h_of = emb @ p["wq"] * scale, emb @ p["wk"], emb @ p["w1"] + p["b"]
+    v_of = np.concatenate([emb @ p["wv"], np.ones((len(emb), 1), dtype=emb.dtype)], axis=1)
+    v_of[PAD] = 0
+    own = np.ascontiguousarray(inputs[:, CONTEXT:])
+    q, k, v = np.take(q_of, own, axis=0), np.take(k_of, inputs, axis=0), np.take(v_of, inputs, axis=0)
+    e = np.matmul(q, k.transpose(0, 2, 1))
+    e += np.where(_DISTANCE >= 0, p["rel"][np.maximum(_DISTANCE, 0)], _NEVER).astype(emb.dtype)
+    if np.linalg.norm(q_of, axis=1).max() * np.linalg.norm(k_of, axis=1).max() + p["rel"].max() > 80:
+        e -= e.max(-1, keepdims=True)  # only then could the exponentials overflow
+    np.exp(e, out=e)
+    real = np.flatnonzero(targets >= 0)
+    y, prev = targets.ravel()[real], own.ravel()[real]
+    order = np.argsort((y // WITHIN).astype(np.int16), kind="stable")  # by class, so that each is one product
+    real, y, prev = real[order], y[order], prev[order]
+    c, w, rows, n = y // WITHIN, y % WITHIN, np.arange(len(y)), max(len(y), 1)
+    o = np.take(np.matmul(e, v).reshape(-1, DIM + 1), real, axis=0)
+    total = o[:, DIM:]
+    o = o[:, :DIM] / total
+    hv = o @ p["w2"]
+    hv += np.take(h_of, prev, axis=0)
+    np.maximum(hv, 0, out=hv)
+    cuts = np.searchsorted(c, np.arange(CLASSES + 1))
+
+    def errors(z, at):  # of the softmax, in place
+        mine = z[rows, at]
+        np.exp(z, out=z)
+        sums = z @ np.ones((z.shape[1], 1), dtype=z.dtype)
+        z /= sums * z.dtype.type(n)
+        z[rows, at] -= z.dtype.type(1 / n)
+        return float((np.log(sums[:, 0]) - mine).sum(dtype=np.float64))
+
+    z = hv @ p["wc"] + p["bc"]
+    z += np.take(by_class, prev, axis=0)
+    t = np.empty((len(y), WITHIN), dtype=z.dtype)
     for j in range(CLASSES):
-        at = order[cuts[j]:cuts[j + 1]]
-        if len(at):
-            lt = _log_softmax(hv[at] @ p["wt"][j] + p["bt"][j] + by_place[prev[at], j])
-            here = np.arange(len(at))
-            loss -= lt[here, w[at]].sum()
-            dt = np.exp(lt)
-            dt[here, w[at]] -= 1
-            dt /= n
-            g["wt"][j], g["bt"][j] = hv[at].T @ dt, dt.sum(0)
-            dh[at] += dt @ p["wt"][j].T
-    pre = np.zeros_like(h)
-    pre[real] = dh * (hv > 0)
-    flat = lambda z: z.reshape(-1, z.shape[-1])
-    g["w1"], g["w2"], g["b"] = flat(xq).T @ flat(pre), flat(o).T @ flat(pre), flat(pre).sum(0)
-    do = pre @ p["w2"].T
-    dv = a.transpose(0, 2, 1) @ do
-    ds = do @ v.transpose(0, 2, 1)
-    ds = a * (ds - (ds * a).sum(-1, keepdims=True))
-    g["rel"] = np.bincount(np.maximum(_DISTANCE, 0).ravel(), weights=np.where(_DISTANCE >= 0, ds.sum(0), 0).ravel(),
-                           minlength=CONTEXT + STEP).astype(np.float32)
-    scale = np.float32(DIM ** -0.5)
-    dq = (ds @ k) * scale
-    dk = ds.transpose(0, 2, 1) @ q
-    g["wq"], g["wk"], g["wv"] = flat(xq).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-    dx = dk @ p["wk"].T + dv @ p["wv"].T
-    dx[:, CONTEXT:] += dq @ p["wq"].T + pre @ p["w1"].T
-    g["emb"] = np.zeros_like(p["emb"])
-    np.add.at(g["emb"], inputs.ravel(), flat(dx))
-    return float(loss) / n, g
+        lo, hi = cuts[j], cuts[j + 1]
+        if lo < hi:
+            np.matmul(hv[lo:hi], p["wt"][j], out=t[lo:hi])
+    t += np.take(p["bt"], c, axis=0)
+    t += np.take(by_place.reshape(-1, WITHIN), prev * CLASSES + c, axis=0)
+    loss = errors(z, c) + errors(t, w)
+    dh = z @ p["wc"].T
+    g = {"wc": hv.T @ z, "bc": z.sum(0), "wt": np.zeros_like(p["wt"]), "bt": np.zeros_like(p["bt"])}
+    for j in range(CLASSES):
+        lo, hi = cuts[j], cuts[j + 1]
+        if lo < hi:
+            np.matmul(hv[lo:hi].T, t[lo:hi], out=g["wt"][j])
+            dh[lo:hi] += t[lo:hi] @ p["wt"][j].T
+            g["bt"][j] = t[lo:hi].sum(0)
+    dh *= hv > 0
+    g["w2"], g["b"] = o.T @ dh, dh.sum(0)
+    do = dh @ p["w2"].T
+    d_sum = np.zeros((targets.size, DIM + 1), dtype=do.dtype)  # of the weighted values and of the weights' sum
+    d_sum[real] = np.concatenate([do, -(do * o).sum(-1, keepdims=True)], axis=1) / total
+    d_sum = d_sum.reshape(*targets.shape, DIM + 1)
+    dv = np.matmul(e.transpose(0, 2, 1), d_sum)
+    e *= np.matmul(d_sum, v.transpose(0, 2, 1))
+    g["rel"] = np.bincount(np.maximum(_DISTANCE, 0).ravel(), weights=np.where(_DISTANCE >= 0, e.sum(0), 0).ravel(),
+                           minlength=CONTEXT + STEP).astype(emb.dtype)
+    dq, dk = np.matmul(e, k), np.matmul(e.transpose(0, 2, 1), q)
+    all_in = _by_symbol(inputs.ravel(), np.concatenate([dk, dv[:, :, :DIM]], axis=2).reshape(-1, 2 * DIM))
+    dk_of, dv_of = all_in[:, :DIM], all_in[:, DIM:].copy()
+    dv_of[PAD] = 0
+    dq_of = _by_symbol(own.ravel(), dq.reshape(-1, DIM)) * scale
+    dh_of = _by_symbol(prev, dh)
+    g["wq"], g["wk"], g["wv"], g["w1"] = emb.T @ dq_of, emb.T @ dk_of, emb.T @ dv_of, emb.T @ dh_of
+    g["emb"] = dq_of @ p["wq"].T + dk_of @ p["wk"].T + dv_of @ p["wv"].T + dh_of @ p["w1"].T
+    return loss / n, g
 
 
 class Adam:
+    """Updates of all parameters as one vector; ``p``'s arrays become views of it."""
+
     def __init__(self, p, rate=3e-3):
-        self.m = {k: np.zeros_like(v) for k, v in p.items()}
-        self.v = {k: np.zeros_like(v) for k, v in p.items()}
+        self.names = list(p)
+        self.all = np.concatenate([p[k].ravel() for k in self.names])
+        cuts = np.cumsum([0] + [p[k].size for k in self.names])
+        for k, a, b in zip(self.names, cuts[:-1], cuts[1:]):
+            p[k] = self.all[a:b].reshape(p[k].shape)
+        self.m, self.v = np.zeros_like(self.all), np.zeros_like(self.all)
         self.t, self.rate = 0, rate
 
-    def step(self, p, g):
+    def step(self, g):
         self.t += 1
+        f = self.all.dtype.type
         c1, c2 = 1 - 0.9 ** self.t, 1 - 0.98 ** self.t
-        for k in p:
-            self.m[k] += 0.1 * (g[k] - self.m[k])
-            self.v[k] += 0.02 * (g[k] * g[k] - self.v[k])
-            p[k] -= (self.rate * (self.m[k] / c1) / (np.sqrt(self.v[k] / c2) + 1e-8)).astype(np.float32)
+        flat = np.concatenate([g[k].ravel() for k in self.names])
+        self.m += f(0.1) * (flat - self.m)
+        self.v += f(0.02) * (flat * flat - self.v)
+        self.all -= f(self.rate / c1) * self.m / (np.sqrt(self.v * f(1 / c2)) + f(1e-8))
 
 
 def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

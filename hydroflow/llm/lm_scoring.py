@@ -4,10 +4,10 @@ Statistics, all over every training document and summed by Spark:
 * word counts (the base, and through each distinct word's subwords the subword counts);
 * counts of neighbouring symbols, where the symbols are the most frequent subwords, one for all others, and the end.
   They give the classes, the first embedding and the bigram that the model starts from.
-Training: the training documents are dealt over ``ROUNDS`` rounds by hash, so that each is trained on once, at every
-size of the corpus. In a round each task trains the current model on its own documents in numpy, then the
-parameters are averaged, weighted by symbols. The model and the bigram table have a fixed size; that is all that is
-sent to the tasks, with the ``TOP_WORDS`` most frequent words' counts (words of up to ``TOP_BYTES`` bytes).
+Training: the training documents are stored once as lines of symbols, which are dealt by hash over ``ROUNDS`` rounds and
+the shards of a round (``shards_of``), so that each is trained on once, at every size of the corpus, and the model does not
+depend on how the table is split. In a round each shard trains a copy of the current model in numpy, then the copies are
+averaged, weighted by symbols. The model and the bigram table have a fixed size; that is all that is sent to the tasks, with the ``TOP_WORDS`` most frequent words' counts (words of up to ``TOP_BYTES`` bytes).
 Scoring: whole texts; overlapping windows score each symbol once with batched masked attention. Words that are not
 among the top ones meet their count in a join.
 
@@ -19,7 +19,9 @@ rows that repeat an id are scored each; with no training document every count is
 columns are not carried."""
 from __future__ import annotations
 
+import math
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ TOP_WORDS = 100_000
 TOP_BYTES = 64
 ROUNDS = 4
 BATCH_WINDOWS = 64
+LINE = 4096  # targets of a line, the unit that is dealt
+SHARD_TARGETS = 1 << 16
 SCORE_WINDOWS = 512
 MEMO_WORDS = 700_000
 REST, END = 0, 1  # symbols before they are ordered by class
@@ -191,28 +195,38 @@ def _symbol_texts(sub: Subwords, docs: list[list[bytes]], symbol: np.ndarray, en
     return [np.concatenate((sym[a:b], last)) for a, b in zip(ends[:-1], ends[1:])]
 
 
-def bigram_counts(train: DataFrame, symbol: np.ndarray, path: str) -> np.ndarray:
-    """SYMBOLS x SYMBOLS counts of neighbours (the end also comes before a text's first symbol)."""
+def symbol_lines(train: DataFrame, symbol: np.ndarray, path: str) -> DataFrame:
+    """Every training text as lines of at most ``LINE`` targets (``attention.line_windows``): its hash, the line's
+    number in the text, the symbols (int16). Texts are split into words here for the last time before scoring."""
     def run(batches):
-        sub, waiting, held = _worker(path), [], 0
-        total = np.zeros(A.SYMBOLS * A.SYMBOLS, dtype=np.int64)
+        sub = _worker(path)
+        for batch in batches:
+            for part, docs in _texts(batch):
+                at, number, lines = [], [], []
+                for i, t in enumerate(_symbol_texts(sub, docs, symbol, END)):
+                    whole = np.concatenate([np.full(A.CONTEXT, A.PAD, dtype=np.int32), [END], t]).astype(np.int16)
+                    for j in range(-(-len(t) // LINE)):
+                        at.append(i)
+                        number.append(j)
+                        lines.append(whole[j * LINE:(j + 1) * LINE + A.CONTEXT + 1].tobytes())
+                yield pa.RecordBatch.from_arrays([part.column("h").take(pa.array(at, pa.int64())), pa.array(number, pa.int64()),
+                                                  pa.array(lines, pa.binary())], ["h", "line", "symbols"])
 
-        def add():
-            row = np.concatenate([np.full(1, END, dtype=np.int32), *waiting])
-            total[:] += np.bincount(row[:-1] * A.SYMBOLS + row[1:], minlength=len(total))
+    return map_arrow(train.select(F.xxhash64("id", "text").alias("h"), "text"), run, "h long, line long, symbols binary")
 
+
+def bigram_counts(lines: DataFrame) -> np.ndarray:
+    """SYMBOLS x SYMBOLS counts of neighbours (the end also comes before a text's first symbol)."""
+    def run(batches):
+        total = np.zeros(A.SYMBOLS * A.SYMBOLS, dtype=np.int64)
         for batch in batches:
-            for _, docs in _texts(batch):
-                waiting += _symbol_texts(sub, docs, symbol, END)
-                held += sum(map(len, waiting[-len(docs):]))
-                if held > 3_000_000:
-                    add()
-                    waiting, held = [], 0
-        add()
+            for part in slices(batch, max_rows=5_000):
+                some = [np.frombuffer(x, dtype=np.int16)[A.CONTEXT:].astype(np.int32) for x in part.column("symbols").to_pylist()]
+                total += np.bincount(np.concatenate([x[:-1] * A.SYMBOLS + x[1:] for x in some]), minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "c"])
 
-    pairs = map_arrow(train.select("text"), run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toPandas()
+    pairs = map_arrow(lines.select("symbols"), run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toPandas()
     out = np.zeros(A.SYMBOLS * A.SYMBOLS)
     out[pairs["pair"].to_numpy(dtype=np.int64)] = pairs["c"].to_numpy()
     return out.reshape(A.SYMBOLS, A.SYMBOLS)
@@ -235,6 +249,7 @@ class Model:
         order, vectors = A.classes_of(bigrams)
         place = np.empty(A.SYMBOLS, dtype=np.int32)
         place[order] = np.arange(A.SYMBOLS)
+        self.place = np.append(place, A.PAD)
         self.symbol, self.end = place[self.symbol], int(place[END])
         self.bigram = A.bigram_tables(bigrams[np.ix_(order, order)])
         self.params = A.initial(vectors)
@@ -246,37 +261,40 @@ class Model:
         return self.prepared
 
 
-def _train_round(sample: DataFrame, model: Model, path: str) -> dict[str, np.ndarray] | None:
-    """One round: every task trains on its own texts; the average of the tasks' parameters."""
+def _train_round(dealt: DataFrame, model: Model) -> dict[str, np.ndarray] | None:
+    """One round over rows (shard, key, line, symbols), each partition sorted by them: every shard trains a copy
+    of the model on its own lines; the copies' average, weighted by targets."""
     names = sorted(model.params)
 
-    def run(batches):
-        sub, p, weight = _worker(path), {k: v.copy() for k, v in model.params.items()}, 0
-        adam, waiting, held = A.Adam(p), [], 0
+    def train(lines):
+        p, weight, waiting, held = {k: v.copy() for k, v in model.params.items()}, 0, [], 0
+        adam = A.Adam(p)
 
         def learn():
-            inputs, targets, _ = A.windows(waiting, model.end)
+            inputs, targets = A.line_windows(waiting)
             mixed = np.random.default_rng(1).permutation(len(inputs))
             for i in range(0, len(mixed), BATCH_WINDOWS):
                 at = mixed[i:i + BATCH_WINDOWS]
-                adam.step(p, A.gradients(p, model.bigram, inputs[at], targets[at])[1])
-
-        for batch in batches:
-            for _, docs in _texts(batch):
-                texts = _symbol_texts(sub, docs, model.symbol, model.end)
-                waiting += texts
-                held += sum(map(len, texts))
-                if held > 200_000:
-                    learn()
-                    weight, waiting, held = weight + held, [], 0
+                adam.step(A.gradients(p, model.bigram, inputs[at], targets[at])[1])
+
+        for x in lines:
+            waiting.append(model.place[np.frombuffer(x, dtype=np.int16)])
+            held += len(waiting[-1]) - A.CONTEXT - 1
+            if held > 200_000:
+                learn()
+                weight, waiting, held = weight + held, [], 0
         if held:
             learn()
-            weight += held
-        if weight:
-            flat = np.concatenate([p[k].ravel() for k in names]).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * weight), pa.array(np.full(len(flat), float(weight)))], ["i", "p", "w"])
+        flat = np.concatenate([p[k].ravel() for k in names]).astype(np.float64)
+        weight = float(weight + held)
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * weight), pa.array(np.full(len(flat), weight))], ["i", "p", "w"])
 
-    mean = (map_arrow(sample.select("text"), run, "i long, p double, w double").groupBy("i")
+    def run(batches):
+        rows = (r for b in batches for part in slices(b) for r in zip(part.column("shard").to_pylist(), part.column("symbols").to_pylist()))
+        for _, mine in groupby(rows, key=lambda r: r[0]):
+            yield train(x for _, x in mine)
+
+    mean = (map_arrow(dealt.select("shard", "symbols"), run, "i long, p double, w double").groupBy("i")
             .agg((F.sum("p") / F.sum("w")).alias("p")).toPandas())
     if not len(mean):
         return None
@@ -290,14 +308,26 @@ def _train_round(sample: DataFrame, model: Model, path: str) -> dict[str, np.nda
     return out
 
 
+def shards_of(targets: float, rounds: int) -> int:
+    """Shards of one round: their number and the targets of each grow alike, with the square root of the corpus."""
+    return max(1, math.ceil(math.sqrt(targets / rounds / SHARD_TARGETS)))
+
+
 def fit(train: DataFrame, words: DataFrame, path: str, rounds: int = ROUNDS) -> Model:
-    """``train`` (id, text) and its word counts -> the model."""
+    """``train`` (id, text) and its word counts -> the model. Rounds and shards go by the hash of id, text and line
+    number, so that the model is the same however the table is split into files or partitions."""
     model = Model(subword_counts(words, path))
-    bigrams = bigram_counts(train, model.symbol, path)
+    lines = stored(symbol_lines(train, model.symbol, path))
+    bigrams = bigram_counts(lines)
+    model.ends = int(bigrams[:, END].sum())
     model.order(bigrams)
-    deal = F.pmod(F.xxhash64("id", "text"), F.lit(rounds))
+    shards = shards_of(bigrams.sum(), rounds)
+    key = F.xxhash64("h", "line")
+    rows = lines.select(F.pmod(key, F.lit(rounds)).alias("round"),
+                        F.pmod(F.xxhash64(key, F.lit(1)), F.lit(shards)).cast("int").alias("shard"), "h", "line", "symbols")
     for r in range(rounds):
-        model.params = _train_round(train.where(deal == r), model, path) or model.params
+        dealt = rows.where(F.col("round") == r).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "h", "line")
+        model.params = _train_round(dealt, model) or model.params
     return model
 
 
@@ -341,7 +371,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
     train = rows.where(~F.col("held_out"))
     words = stored(word_counts(train))
     model = fit(train, words, path, rounds)
-    ends = train.count()
+    ends = model.ends
     n_words, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n_train, distinct = n_words + ends, kinds + (ends > 0)
     denominator = n_train + 0.5 * (distinct + 1)

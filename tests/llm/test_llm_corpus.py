@@ -150,9 +150,63 @@ def test_lm_edges(edge_docs, edge_rows, no_docs, monkeypatch):
 def test_every_training_document_is_trained_on_once(spark, monkeypatch, rounds):
     docs = spark.createDataFrame([(i, f"text {i // 2} of many") for i in range(60)], "id long, text string")
     seen = []
-    monkeypatch.setattr(lm_scoring, "_train_round", lambda sample, model, path: seen.extend(r.text for r in sample.collect()))
-    lm_scoring.fit(docs, lm_scoring.word_counts(docs), lm_scoring.ranks_path(), rounds=rounds)
-    assert sorted(seen) == sorted(r.text for r in docs.collect())
+    monkeypatch.setattr(lm_scoring, "LINE", 4)
+    monkeypatch.setattr(lm_scoring, "_train_round", lambda dealt, model: seen.extend((r.h, r.line) for r in dealt.collect()))
+    model = lm_scoring.fit(docs, lm_scoring.word_counts(docs), lm_scoring.ranks_path(), rounds=rounds)
+    sub = lm_scoring.Subwords(lm_scoring.ranks_path())
+    want = Counter()
+    for r in docs.select(F.xxhash64("id", "text").alias("h"), "text").collect():
+        n = len(sub.encode(brute.words(r.text))[0]) + 1
+        want.update((r.h, j) for j in range(-(-n // 4)))
+    assert Counter(seen) == want and model.ends == 60
+
+
+def test_lines_give_the_windows_of_whole_texts():
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, attention.SYMBOLS, n).astype(np.int32) for n in (1, 64, 65, 200)]
+    inputs, targets, _ = attention.windows(texts, 7)
+    lines = []
+    for t in texts:
+        whole = np.concatenate([np.full(attention.CONTEXT, attention.PAD), [7], t])
+        lines += [whole[i:i + 64 + attention.CONTEXT + 1] for i in range(0, len(t), 64)]
+    got = attention.line_windows(lines)
+    real = lambda i, t: Counter((*a[:attention.CONTEXT + (b >= 0).sum()], *b) for a, b in zip(i, t))
+    assert real(*got) == real(inputs, targets)
+
+
+def test_model_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SHARD_TARGETS", 256)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(60)
+    a, b = ({r.doc_id: r.score for r in lm_scoring.lm_score(docs.repartition(n), rounds=2).collect()} for n in (1, 7))
+    assert a.keys() == b.keys() and all(a[i] == pytest.approx(b[i], rel=1e-4) for i in a)
+
+
+def brute_score(model, sub, text):
+    """log10 probability by the definition: one symbol at a time, sums over plain loops."""
+    p, (by_class, by_place) = {k: v.astype(float) for k, v in model.params.items()}, model.bigram
+    t = [model.symbol[i] for w in brute.words(text) for i in sub.encode([w])[0]] + [model.end]
+    out = sum(model.rest[i] for w in brute.words(text) for i in sub.encode([w])[0])
+    before = [model.end, *t]
+    for n, y in enumerate(t):
+        seen = before[max(0, n // attention.STEP * attention.STEP - attention.CONTEXT):n + 1]
+        x = p["emb"][seen]
+        a = np.array([x[-1] @ p["wq"] @ (z @ p["wk"]) / attention.DIM ** 0.5 + p["rel"][len(seen) - 1 - i] for i, z in enumerate(x)])
+        a = np.exp(a - a.max())
+        h = np.maximum(x[-1] @ p["w1"] + (a / a.sum()) @ (x @ p["wv"]) @ p["w2"] + p["b"], 0)
+        c, w = divmod(int(y), attention.WITHIN)
+        for z, at in ((h @ p["wc"] + p["bc"] + by_class[seen[-1]], c), (h @ p["wt"][c] + p["bt"][c] + by_place[seen[-1], c], w)):
+            out += z[at] - np.log(np.exp(z - z.max()).sum()) - z.max()
+    return out / np.log(10)
+
+
+def test_scores_equal_the_definition(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("id"), "text").limit(40)
+    model = lm_scoring.fit(docs, lm_scoring.word_counts(docs), lm_scoring.ranks_path(), rounds=1)
+    sub = lm_scoring.Subwords(lm_scoring.ranks_path())
+    texts = sorted((r.text for r in docs.collect()), key=len)[::5]
+    got = lm_scoring.score_texts(model, sub, [lm_scoring.words_of(t) for t in texts]) / np.log(10)
+    for t, s in zip(texts, got):
+        assert s == pytest.approx(brute_score(model, sub, t), rel=1e-4)
 
 
 def test_op1_beats_the_base(spark):
