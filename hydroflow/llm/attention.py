@@ -142,7 +142,7 @@ def gradients(p, bigram, inputs, targets) -> tuple[float, dict[str, np.ndarray]]
     q, k, v = np.take(q_of, own, axis=0), np.take(k_of, inputs, axis=0), np.take(v_of, inputs, axis=0)
     e = np.matmul(q, k.transpose(0, 2, 1))
     e += np.where(_DISTANCE >= 0, p["rel"][np.maximum(_DISTANCE, 0)], _NEVER).astype(emb.dtype)
-    if np.linalg.norm(q_of, axis=1).max() * np.linalg.norm(k_of, axis=1).max() + p["rel"].max() > 80:
+    if (np.einsum("ij,ij->i", q_of, q_of).max() * np.einsum("ij,ij->i", k_of, k_of).max()) ** 0.5 + p["rel"].max() > 80:
         e -= e.max(-1, keepdims=True)  # only then could the exponentials overflow
     np.exp(e, out=e)
     real = np.flatnonzero(targets >= 0)
@@ -153,7 +153,9 @@ def gradients(p, bigram, inputs, targets) -> tuple[float, dict[str, np.ndarray]]
     o = np.take(np.matmul(e, v).reshape(-1, DIM + 1), real, axis=0)
     total = o[:, DIM:]
     o = o[:, :DIM] / total
-    hv = o @ p["w2"]
+    one = np.ones((len(y), HIDDEN + 1), dtype=o.dtype)  # the last column meets the biases
+    hv = one[:, :HIDDEN]
+    np.matmul(o, p["w2"], out=hv)
     hv += np.take(h_of, prev, axis=0)
     np.maximum(hv, 0, out=hv)
     cuts = np.searchsorted(c, np.arange(CLASSES + 1))
@@ -166,26 +168,25 @@ def gradients(p, bigram, inputs, targets) -> tuple[float, dict[str, np.ndarray]]
         z[rows, at] -= z.dtype.type(1 / n)
         return float((np.log(sums[:, 0]) - mine).sum(dtype=np.float64))
 
-    z = hv @ p["wc"] + p["bc"]
+    z = one @ np.concatenate([p["wc"], p["bc"][None]])
     z += np.take(by_class, prev, axis=0)
+    wt = np.concatenate([p["wt"], p["bt"][:, None]], axis=1)
     t = np.empty((len(y), WITHIN), dtype=z.dtype)
     for j in range(CLASSES):
         lo, hi = cuts[j], cuts[j + 1]
         if lo < hi:
-            np.matmul(hv[lo:hi], p["wt"][j], out=t[lo:hi])
-    t += np.take(p["bt"], c, axis=0)
+            np.matmul(one[lo:hi], wt[j], out=t[lo:hi])
     t += np.take(by_place.reshape(-1, WITHIN), prev * CLASSES + c, axis=0)
     loss = errors(z, c) + errors(t, w)
     dh = z @ p["wc"].T
-    g = {"wc": hv.T @ z, "bc": z.sum(0), "wt": np.zeros_like(p["wt"]), "bt": np.zeros_like(p["bt"])}
+    g_c, g_t = one.T @ z, np.zeros_like(wt)
     for j in range(CLASSES):
         lo, hi = cuts[j], cuts[j + 1]
         if lo < hi:
-            np.matmul(hv[lo:hi].T, t[lo:hi], out=g["wt"][j])
+            np.matmul(one[lo:hi].T, t[lo:hi], out=g_t[j])
             dh[lo:hi] += t[lo:hi] @ p["wt"][j].T
-            g["bt"][j] = t[lo:hi].sum(0)
     dh *= hv > 0
-    g["w2"], g["b"] = o.T @ dh, dh.sum(0)
+    g = {"wc": g_c[:HIDDEN], "bc": g_c[HIDDEN], "wt": g_t[:, :HIDDEN], "bt": g_t[:, HIDDEN], "w2": o.T @ dh, "b": dh.sum(0)}
     do = dh @ p["w2"].T
     d_sum = np.zeros((targets.size, DIM + 1), dtype=do.dtype)  # of the weighted values and of the weights' sum
     d_sum[real] = np.concatenate([do, -(do * o).sum(-1, keepdims=True)], axis=1) / total

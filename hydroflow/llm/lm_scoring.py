@@ -36,7 +36,7 @@ TOP_BYTES = 64
 ROUNDS = 4
 BATCH_WINDOWS = 64
 LINE = 4096  # targets of a line, the unit that is dealt
-SHARD_TARGETS = 1 << 16
+SHARD_TARGETS = 1 << 18  # fewer would leave a copy of a small corpus too few steps
 SCORE_WINDOWS = 512
 MEMO_WORDS = 700_000
 REST, END = 0, 1  # symbols before they are ordered by class
