@@ -11,13 +11,13 @@ its id falls below the fraction. Reruns give the same copies.
 Defined results: null text has size 0; a null source is a source of its own, after all others; a source of
 size 0 has target 0 and rate 0 (nothing to take words from), so its empty documents get no copies; rows
 that repeat an id share the same draw; an empty table gives an empty table; an extra column with a work
-column's name is kept."""
+column's name is kept, one with an output's name is replaced."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, fresh, quoted
+from .common import WORD, checkpointed, fresh, quoted, without
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
@@ -64,10 +64,12 @@ def draw(id_col: Column, seed: str) -> Column:
 def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = "mix",
                out: tuple[str, str, str, str] = ("size", "source_size", "target", "copies")) -> DataFrame:
-    """``docs`` with four more columns, named by ``out`` (they must be new to ``docs``)."""
+    """``docs`` with four more columns, named by ``out``; a column of ``docs`` with such a name is replaced (its
+    values still serve as id, text or source where it is named as one)."""
     size, source_size, target, copies = out
-    sized = docs.withColumn(size, n_words(quoted(text_col)))
-    per_source = sized.groupBy(quoted(source_col).alias("source")).agg(F.sum(size).alias("source_size"))
+    (words,) = fresh(docs, "_words")
+    sized = docs.withColumn(words, n_words(quoted(text_col)))
+    per_source = sized.groupBy(quoted(source_col).alias("source")).agg(F.sum(words).alias("source_size"))
     rates = checkpointed(source_targets(per_source, weights, max_repeat))
     bound = rates.agg(F.sum(F.coalesce(F.octet_length("source"), F.lit(0)) + 64)).first()[0] or 0
     key, s_size, t, rate, salt = fresh(sized, "_key", "_ssize", "_target", "_rate", "_salt")
@@ -81,7 +83,7 @@ def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         joined = left.join(rates, quoted(source_col).eqNullSafe(F.col(key)) & (left[salt] == rates[salt]), "left")
     whole = F.floor(F.col(rate)).cast("int")
     n = whole + F.when(draw(quoted(id_col), seed) < F.col(rate) - whole, 1).otherwise(0)
-    return joined.select(*[quoted(c) for c in sized.columns], F.col(s_size).alias(source_size),
+    return joined.select(*without(docs, *out), F.col(words).alias(size), F.col(s_size).alias(source_size),
                          F.col(t).alias(target), n.alias(copies))
 
 

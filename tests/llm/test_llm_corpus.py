@@ -33,7 +33,8 @@ def check_mix(rows, got):
 @pytest.mark.parametrize("bound", [mixing.BROADCAST_BYTES, -1])
 def test_mixing_edges(edge_docs, edge_rows, no_docs, monkeypatch, bound):
     monkeypatch.setattr(mixing, "BROADCAST_BYTES", bound)
-    docs = edge_docs.drop("size")
+    docs = edge_docs.withColumn("Source_Size", F.lit(-1)).withColumn("copies", F.lit("x"))  # replaced, like "size"
+    assert "size" in docs.columns
     out = mixing.mix_counts(docs).select("doc_id", "size", "source_size", "target", F.col("size") * F.col("copies")).collect()
     check_mix([(r[0], r[1], r[3]) for r in edge_rows], out)
     mixed = mixing.mix(edge_docs)
