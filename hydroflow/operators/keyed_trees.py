@@ -4,8 +4,8 @@ The reference fits every learner per site and scenario, file by file. Here the s
 configurations ("models") grow level by level together, so the number of jobs depends on rounds and depth alone and no
 loop runs over keys.
 
-* Rows are packed into blocks of one series (at most 2**``BLOCK_BITS`` rows: values, bin codes, label, row hash), so a long series
-  spreads over as many tasks as it has blocks.
+* Rows are packed into blocks of one series (at most 2**``BLOCK_BITS`` rows: values, label, row hash, and bin codes where a learner
+  uses them) by one range shuffle, so a long series spreads over as many tasks as it has blocks. No later step moves the rows again.
 * One level: each block meets the nodes of its series (broadcast while their bound allows, else joined on salted keys), sends its rows
   down, and emits one table of partial sums per (model, tree, node). The partial tables of a node meet in a sorted stream that adds
   them up and picks the split. A chain of levels is one job; the finished trees are stored.
@@ -27,8 +27,10 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship_package
 from .blocked import BROADCAST_MAX_BYTES, SALTS, materialize
@@ -74,6 +76,11 @@ class Learner:
         """Its features among all that are packed."""
         return np.array(self.features if self.features else range(n_features), np.int64)
 
+    @property
+    def binned(self) -> bool:
+        """Whether it reads bin codes."""
+        return self.kind not in ("extra", "linear")
+
     def steps(self) -> list[tuple[str, int]]:
         """Passes over the rows for one round."""
         if self.kind == "linear":
@@ -112,19 +119,77 @@ def _key_column(keys: Sequence[str]):
     return F.to_json(F.struct(*[F.col(f"`{k}`") for k in keys])) if keys else F.lit("{}")
 
 
+def _order(df: DataFrame, keys: Sequence[str]) -> tuple[list, bool]:
+    """Columns that tell the series apart: the keys as they are (plain) where equal JSON means equal keys and the reverse, so that JSON is
+    written once a block and not once a row; else the JSON."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    plain = bool(keys) and all(isinstance(kinds.get(k), (T.StringType, T.IntegralType, T.BooleanType)) for k in keys)
+    return [F.col(f"`{k}`") for k in keys] if plain else [_key_column(keys)], plain
+
+
+def _key_of(names: Sequence[str], keys: Sequence[str], plain: bool):
+    """_key from the columns that the rows went by."""
+    return F.to_json(F.struct(*[F.col(n).alias(k) for n, k in zip(names, keys, strict=True)])) if plain else F.col(names[0])
+
+
+def _changes(column) -> np.ndarray:
+    """Rows that differ from the row before (nulls are alike); the first row does not count."""
+    a, b = column.slice(0, max(len(column) - 1, 0)), column.slice(1)
+    other = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.not_equal(pc.is_null(a), pc.is_null(b)))
+    return np.concatenate(([False], other.to_numpy(zero_copy_only=False)))
+
+
+def _blocks(n_keys: int, width: int, keep: bool):
+    """Sorted rows (key columns, blk, x, y, h, k) to blocks; ``first`` marks a series' first block in the task."""
+    def cut(rows, starts, first):
+        ends = np.append(starts, rows.num_rows).astype(np.int32)
+        x, y, h = rows.column("x").flatten().to_numpy(), *(rows.column(c).to_numpy(zero_copy_only=False) for c in "yh")
+        data = [_bytes([v[a * k:b * k] for a, b in zip(ends[:-1], ends[1:])]) for v, k in ((x, width), (y, 1), (h, 1))]
+        kept = [pa.ListArray.from_arrays(pa.array(ends), rows.column("k"))] if keep else []
+        at = pa.array(starts)
+        return pa.RecordBatch.from_arrays([*[rows.column(i).take(at) for i in range(n_keys + 1)], pa.array(first), *data, *kept],
+                                          names=[*rows.schema.names[:n_keys + 1], "first", "x", "y", "h", *(["keep"] if keep else [])])
+
+    def run(batches):
+        held, lead = None, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            series = np.logical_or.reduce([_changes(rows.column(i)) for i in range(n_keys)])
+            starts = np.concatenate(([0], np.flatnonzero(series | _changes(rows.column(n_keys)))))
+            first = np.concatenate(([lead], series[starts[1:]]))
+            if len(starts) > 1:
+                yield cut(rows.slice(0, starts[-1]), starts[:-1], first[:-1])
+            held, lead = rows.slice(starts[-1]), bool(first[-1])
+        if held is not None:
+            yield cut(held, np.zeros(1, np.int64), np.array([lead]))
+
+    return run
+
+
 def pack(df: DataFrame, keys: Sequence[str], features: Sequence[str], label: str | None, ids: Sequence[str] = (), keep: Sequence[str] = (),
          bits: int = BLOCK_BITS) -> DataFrame:
-    """Blocks of rows: _key, blk, x (values row by row), y, h (hash of the values and ``ids``, which deals rows to folds and bootstraps) and
-    keep (array of structs of the columns ``keep``)."""
+    """Blocks of rows: _key, blk, first (the series' first block in its partition), the numbers of x (values row by row), y and h (hash of the
+    values and ``ids``, which deals rows to folds and bootstraps) as bytes, and keep (array of structs of the columns ``keep``).
+
+    Rows go by one number, half of it the hash of the series and half that of the row: it sorts by digits, and the order does not depend
+    on the table's files. Series whose halves agree by chance only get shorter blocks: blocks are cut where the series itself changes."""
     vals = F.array(*[_value(f) for f in features])
     y = F.col(f"`{label}`").cast("double") if label else F.lit(0.0)
     h = F.xxhash64(vals, *[F.col(f"`{k}`") for k in ids])
-    rows = df.select(_key_column(keys).alias("_key"), F.struct(*[F.col(f"`{k}`") for k in keep]).alias("k") if keep else F.lit(None).cast("int").alias("k"),
-                     vals.alias("x"), y.alias("y"), h.alias("h"))
-    rows = rows.repartitionByRange("_key", "h").sortWithinPartitions("_key", "h").withColumn("blk", F.shiftright(F.monotonically_increasing_id(), bits))
-    packed = rows.groupBy("_key", "blk").agg(F.sort_array(F.collect_list(F.struct("h", "y", "x", "k"))).alias("r"))
-    out = packed.select("_key", "blk", F.flatten(F.col("r.x")).alias("x"), F.col("r.y").alias("y"), F.col("r.h").alias("h"), F.col("r.k").alias("keep"))
-    return out if keep else out.drop("keep")
+    order, plain = _order(df, keys)
+    names = [f"_k{i}" for i in range(len(order))]
+    rows = df.select(*[c.alias(n) for c, n in zip(order, names, strict=True)], vals.alias("x"), y.alias("y"), h.alias("h"),
+                     *([F.struct(*[F.col(f"`{k}`") for k in keep]).alias("k")] if keep else []))
+    place = F.shiftleft(F.shiftright(F.xxhash64(*names), 32), 32).bitwiseOR(F.shiftrightunsigned("h", 32))
+    rows = (rows.withColumn("_place", place).repartitionByRange("_place").sortWithinPartitions("_place")
+            .withColumn("blk", F.shiftright(F.monotonically_increasing_id(), bits)))
+    kinds = [*[T.StructField(n, rows.schema[n].dataType) for n in names], T.StructField("blk", T.LongType()), T.StructField("first", T.BooleanType()),
+             *[T.StructField(c, T.BinaryType()) for c in "xyh"], *([T.StructField("keep", T.ArrayType(rows.schema["k"].dataType))] if keep else [])]
+    ship_package(df.sparkSession)
+    out = rows.select(*names, "blk", "x", "y", "h", *(["k"] if keep else [])).mapInArrow(_blocks(len(names), len(features), bool(keep)), T.StructType(kinds))
+    return out.select(_key_of(names, keys, plain).alias("_key"), *out.columns[len(names):])
 
 
 def _cuts(features: Sequence[str]):
@@ -141,8 +206,10 @@ def _code(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return out
 
 
-def with_codes(blocks: DataFrame, cuts: DataFrame, n_features: int, margins: int = 0) -> DataFrame:
-    """Blocks with their bin codes and ``margins`` rows of starting margins (the series' mean label); ``first`` marks one block a series."""
+def with_codes(blocks: DataFrame, cuts: DataFrame, n_features: int, margins: int = 0, binned: bool = True, bound: int | None = None) -> DataFrame:
+    """Blocks with their bin codes (empty if nobody reads them: not ``binned``) and ``margins`` rows of starting margins (the series' mean label)."""
+    if not binned:
+        return blocks.withColumns({"code": F.lit(b""), "margin": F.lit(b"")})
     names = blocks.columns
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.schema.fields)
 
@@ -150,15 +217,14 @@ def with_codes(blocks: DataFrame, cuts: DataFrame, n_features: int, margins: int
         for batch in batches:
             codes, starts = [], []
             for i in range(batch.num_rows):
-                x, e = _floats(batch, "x", i).reshape(-1, n_features), _floats(batch, "edges", i).reshape(n_features, -1)
-                codes.append(_code(x, e).tobytes())
+                x, e = _numbers(batch, "x", i).reshape(-1, n_features), _floats(batch, "edges", i).reshape(n_features, -1)
+                codes.append(_code(x, e))
                 starts.append(np.full(margins * len(x), batch.column("base")[i].as_py() or 0.0))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(codes, pa.binary()), _lists(starts), batch.column("first")],
-                                             names=[*names, "code", "margin", "first"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], _bytes(codes), _bytes(starts)], names=[*names, "code", "margin"])
 
-    ship_package(blocks.sparkSession)
-    first = F.col("blk") == F.min("blk").over(Window.partitionBy("_key"))
-    return join_by_key(blocks.withColumn("first", first), cuts).mapInArrow(run, f"{kinds}, code binary, margin array<double>, first boolean")
+    if bound is None or bound > BROADCAST_MAX_BYTES:
+        blocks = materialize(blocks)  # the salted join reads them twice
+    return join_by_key(blocks, cuts, bound).mapInArrow(run, f"{kinds}, code binary, margin binary")
 
 
 def join_by_key(blocks: DataFrame, small: DataFrame, bound: int | None = None) -> DataFrame:
@@ -180,6 +246,15 @@ def _floats(batch, column: str, i: int) -> np.ndarray:
     return np.zeros(0) if v is None else v.to_numpy(zero_copy_only=False)
 
 
+def _bytes(arrays) -> pa.Array:
+    return pa.array([a.tobytes() for a in arrays], pa.binary())
+
+
+def _numbers(batch, column: str, i: int, kind=np.float64) -> np.ndarray:
+    """The numbers that ``_bytes`` wrote."""
+    return np.frombuffer(batch.column(column)[i].as_py(), kind)
+
+
 # ---------------------------------------------------------------- inside a block
 
 def uniform(*parts) -> np.ndarray:
@@ -212,7 +287,7 @@ class _Model:
     values, coefficients."""
 
     def __init__(self, rows, learners):
-        self.trees, self.draws, self.prefix, self.linear, self.rows = {}, {}, {}, {}, []
+        self.trees, self.draws, self.prefix, self.linear, self.rows, self.paths = {}, {}, {}, {}, [], {}
         if rows is None:
             return
         m, t, node, kind = (rows.field(k).to_numpy() for k in ("m", "t", "node", "kind"))
@@ -237,14 +312,23 @@ class _Model:
                 f[n], cut[n], val[n] = int(v[0]), v[1], v[2]
             self.trees[key] = (f, cut, val)
 
+    def _path(self, key):
+        """Feature and cut of each node, and where its rows go: entry 2 * node to the left, the next to the right, a leaf to itself."""
+        if key not in self.paths:
+            f, cut, _ = self.trees[key]
+            at = np.arange(len(f))
+            go = np.where(f < 0, at, 2 * at + 1)
+            self.paths[key] = np.maximum(f, 0), cut, np.stack((go, go + (f >= 0)), 1).ravel()
+        return self.paths[key]
+
     def descend(self, key, x, depth):
         """Node of each row ``depth`` levels down, or the leaf it stops at."""
-        node, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+        node = np.zeros(len(x), np.int64)
         if key in self.trees:
-            f, cut, _ = self.trees[key]
+            f, cut, go = self._path(key)
+            flat, rows = x.ravel(), np.arange(len(x)) * x.shape[1]
             for _ in range(depth):
-                g = f[node]
-                node = np.where(g < 0, node, 2 * node + 1 + (x[rows, np.maximum(g, 0)] > cut[node]))
+                node = go.take(2 * node + (flat.take(f.take(node) + rows) > cut.take(node)))
         return node
 
     def value(self, key, x, depth):
@@ -262,6 +346,33 @@ class _Model:
         return table[node, _place(h)]
 
 
+def _numbered(node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes that occur, in order, and each row's place among them."""
+    seen = np.bincount(node) > 0
+    return np.flatnonzero(seen), (np.cumsum(seen) - 1).take(node)
+
+
+def _ranges(flat, rows, columns, at, n) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest value of each column in each of ``n`` groups ``at`` of the rows that start at ``rows`` in ``flat``."""
+    if n > 1:
+        order = np.argsort(at.astype(np.uint16) if n <= 1 << 16 else at, kind="stable")  # short integers sort by digits
+        rows, start = rows.take(order), np.searchsorted(at.take(order), np.arange(n))
+    else:
+        start = np.zeros(1, np.int64)
+    values = [flat.take(rows + c) for c in columns]
+    return tuple(np.stack([f.reduceat(v, start) for v in values], 1) for f in (np.minimum, np.maximum))
+
+
+def _left_sums(flat, rows, columns, at, n, cuts, g) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of ``g`` and numbers of rows at or below each column's cut of the row's group."""
+    sums, counts = np.empty((n, len(columns))), np.empty((n, len(columns)))
+    for j, c in enumerate(columns):
+        cell = 2 * at + (flat.take(rows + c) <= cuts[:, j].take(at))
+        sums[:, j] = np.bincount(cell, g, 2 * n)[1::2]
+        counts[:, j] = np.bincount(cell, minlength=2 * n)[1::2]
+    return sums, counts
+
+
 def _model_of(batch, i, learners):
     return _Model(batch.column("model")[i].values if "model" in batch.schema.names else None, learners)
 
@@ -274,14 +385,16 @@ def _out(rows):
 
 def _partials(learners, members, n_features, step):
     """Partial sums of every block for the ``step``-th pass of a round."""
-    def one(batch, i):
+    def one(batch, i, models):
         key = batch.column("_key")[i].as_py()
-        x, y = _floats(batch, "x", i).reshape(-1, n_features), _floats(batch, "y", i)
-        code = np.frombuffer(batch.column("code")[i].as_py(), np.uint8).reshape(-1, n_features)
-        h = batch.column("h")[i].values.to_numpy()
-        margins = _floats(batch, "margin", i).reshape(-1, len(y))
+        x, y, h = _numbers(batch, "x", i).reshape(-1, n_features), _numbers(batch, "y", i), _numbers(batch, "h", i, np.int64)
+        code = _numbers(batch, "code", i, np.uint8).reshape(-1, n_features)
+        margins = _numbers(batch, "margin", i).reshape(-1, len(y))
         known = ~np.isnan(y)
-        model = _model_of(batch, i, learners)
+        if key not in models:  # one model at a time: a task's blocks come by series
+            models.clear()
+            models[key] = _model_of(batch, i, learners)
+        model = models[key]
         if batch.column("first")[i].as_py():
             yield from ((key, *r) for r in model.rows)
         for m, t in members:
@@ -306,25 +419,24 @@ def _partials(learners, members, n_features, step):
                     w = np.searchsorted(_POISSON, uniform(h, m, t, a.seed), "right").astype(float)
                     live &= w > 0
                 g = y * w
-            nodes, at = np.unique(node[live], return_inverse=True)
-            g, w, n = g[live], w[live], len(nodes)
-            if not n:
+            if not live.any():
                 continue
+            rows = np.flatnonzero(live)
+            nodes, at = _numbered(node.take(rows))
+            g, w, n = g.take(rows), w.take(rows), len(nodes)
             if what == "prefix":
                 cell = at * FOLDS + _place(h[live])
                 table = np.stack([np.bincount(cell, v, n * FOLDS).reshape(n, FOLDS) for v in (g, w)], 2)
                 yield from ((key, m, t, int(k), _SUMS, table[j].ravel()) for j, k in enumerate(nodes))
             elif a.kind == "extra":
-                order = np.argsort(at, kind="stable")
-                start = np.searchsorted(at[order], np.arange(n))
-                xs = x[live][:, a.columns(n_features)]
+                flat, rows, own = x.ravel(), rows * n_features, a.columns(n_features)
                 if what == "draw":
-                    lo, hi = (f.reduceat(xs[order], start, axis=0) for f in (np.minimum, np.maximum))
+                    lo, hi = _ranges(flat, rows, own, at, n)
                     yield from ((key, m, t, int(k), _SUMS, np.concatenate((lo[j], hi[j]))) for j, k in enumerate(nodes))
                 else:
-                    left = xs <= np.stack([model.draws[m, t, int(k)] for k in nodes])[at]
-                    sums = [np.add.reduceat(v[order], start, axis=0) for v in (left * g[:, None], left.astype(float), g, w)]
-                    yield from ((key, m, t, int(k), _SUMS, np.concatenate((sums[0][j], sums[1][j], [sums[2][j], sums[3][j]]))) for j, k in enumerate(nodes))
+                    gl, hl = _left_sums(flat, rows, own, at, n, np.stack([model.draws[m, t, int(k)] for k in nodes]), g)
+                    whole = np.stack((np.bincount(at, g, n), np.bincount(at, minlength=n)), 1)
+                    yield from ((key, m, t, int(k), _SUMS, np.concatenate((gl[j], hl[j], whole[j]))) for j, k in enumerate(nodes))
             else:
                 own = a.columns(n_features)
                 cell = ((at[:, None] * len(own) + np.arange(len(own))) * BINS + code[live][:, own]).ravel()
@@ -333,11 +445,11 @@ def _partials(learners, members, n_features, step):
 
     def run(batches):
         # blocks of one task add up before they are sent, up to COMBINE numbers
-        sums, size = {}, 0
+        sums, size, models = {}, 0, {}
         for batch in batches:
             for i in range(batch.num_rows):
                 rest = []
-                for r in one(batch, i):
+                for r in one(batch, i, models):
                     if r[4] != _SUMS:
                         rest.append(r)
                     elif r[:4] in sums:
@@ -468,7 +580,8 @@ def _merge(learners, n_features, step):
                 if kind[i] == _DRAW:
                     draw = v.copy()
                 elif kind[i] != _SUMS:
-                    old.append((*ident, kind[i], v.copy()))
+                    if all(r[4] != kind[i] for r in old):  # every partition that has the series sends them
+                        old.append((*ident, kind[i], v.copy()))
                 else:
                     sums = v.copy() if sums is None else _added(learners[m[i]], step, sums, v)
             yield _out(rows)
@@ -507,13 +620,13 @@ def _refreshed(blocks: DataFrame, rows: DataFrame, learners, n_features: int, bo
             margins = []
             for i in range(batch.num_rows):
                 model = _model_of(batch, i, learners)
-                code = np.frombuffer(batch.column("code")[i].as_py(), np.uint8).reshape(-1, n_features)
-                h = batch.column("h")[i].values.to_numpy()
-                old = _floats(batch, "margin", i).reshape(len(learners), -1).copy()
+                code = _numbers(batch, "code", i, np.uint8).reshape(-1, n_features)
+                h = _numbers(batch, "h", i, np.int64)
+                old = _numbers(batch, "margin", i).reshape(len(learners), -1).copy()
                 for m, t in sorted(model.trees):
                     old[m] += model.train_value((m, t), code, learners[m].depth, h)
                 margins.append(old.ravel())
-            cols = [batch.column(c) if c != "margin" else _lists(margins) for c in names]
+            cols = [batch.column(c) if c != "margin" else _bytes(margins) for c in names]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return join_by_key(blocks, _packed(rows), bound).mapInArrow(run, schema)
@@ -527,15 +640,20 @@ def fit(train: DataFrame, keys: Sequence[str], features: Sequence[str], label: s
     features, learners = list(features), list(learners)
     ship_package(train.sparkSession)
     known = train.where(F.col(f"`{label}`").isNotNull())
-    if edges is None:
+    binned, width = any(a.binned for a in learners), len(features)
+    if not binned:
+        cuts = F.first(F.array().cast("array<double>"))
+    elif edges is None:
         cuts = _cuts(features)
     else:
-        cuts = F.lit([float(v) for e in edges for v in (*e, *[float("inf")] * (BINS - 1 - len(e)))])
-    cuts = materialize(known.groupBy(_key_column(keys).alias("_key")).agg(F.first(cuts) if edges is not None else cuts, F.avg(F.col(f"`{label}`").cast("double")))
-                       .toDF("_key", "edges", "base"))
+        cuts = F.first(F.lit([float(v) for e in edges for v in (*e, *[float("inf")] * (BINS - 1 - len(e)))]))
+    order, plain = _order(known, keys)
+    names = [f"_k{i}" for i in range(len(order))]
+    means = known.groupBy(*[c.alias(n) for c, n in zip(order, names, strict=True)]).agg(cuts.alias("edges"), F.avg(F.col(f"`{label}`").cast("double")).alias("base"))
+    cuts = materialize(means.select(_key_of(names, keys, plain).alias("_key"), "edges", "base"))
     n_series = cuts.count()
-    width = len(features)
-    blocks = materialize(with_codes(pack(known, keys, features, label, ids), cuts, width, len(learners)))
+    margins = len(learners) if any(a.kind in ("boost", "symmetric") for a in learners) else 0
+    blocks = materialize(with_codes(pack(known, keys, features, label, ids), cuts, width, margins, binned, n_series * (8 * BINS * width + 128)))
     bound = n_series * REFRESH * sum(1 << (a.depth + 1) for a in learners) * (96 + 8 * FOLDS)
     done = None
     at_once = [(m, t) for m, a in enumerate(learners) if a.rounds == 1 for t in range(a.trees)]
@@ -569,14 +687,15 @@ def predict(model: dict, table: DataFrame, keep: Sequence[str], out_of_fold: boo
     size = model["n_series"] * sum(a.trees << (a.depth + 1) for a in learners) * 64
     packed = _packed(model["nodes"].where(F.col("kind") == _NODE)).join(model["cuts"], "_key")
     blocks = join_by_key(pack(table, keys, model["features"], None, model["ids"], list(dict.fromkeys([*keys, *keep]))), packed, size)
-    kept = blocks.schema["keep"].dataType.simpleString()
+    kept = blocks.schema["keep"].dataType.elementType.fields
+    columns = [f"c{i}" for i in range(len(kept))]
 
     def one(batch, i):
-        x = _floats(batch, "x", i).reshape(-1, width)
+        x = _numbers(batch, "x", i).reshape(-1, width)
         if batch.column("base")[i].as_py() is None:
             return [np.full(len(x), np.nan)] * len(learners)
         trees = _model_of(batch, i, learners)
-        code = _code(x, _floats(batch, "edges", i).reshape(width, -1))
+        code = _code(x, _floats(batch, "edges", i).reshape(width, -1)) if any(a.binned for a in learners) else None
         out = []
         for m, a in enumerate(learners):
             if a.kind == "linear":
@@ -585,19 +704,21 @@ def predict(model: dict, table: DataFrame, keep: Sequence[str], out_of_fold: boo
                 mine = [trees.value(k, x if a.kind == "extra" else code, a.depth) for k in sorted(trees.trees) if k[0] == m]
                 p = sum(mine) + batch.column("base")[i].as_py() if a.rounds > 1 else sum(mine) / len(mine)
             if out_of_fold and a.fold >= 0:
-                p = np.where(fold_of(batch.column("h")[i].values.to_numpy(), a.folds) == a.fold, p, np.nan)
+                p = np.where(fold_of(_numbers(batch, "h", i, np.int64), a.folds) == a.fold, p, np.nan)
             out.append(p)
         return out
 
     def run(batches):
         for batch in batches:
-            cols = list(zip(*[one(batch, i) for i in range(batch.num_rows)], strict=True)) or [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([batch.column("keep"), *[_lists(list(c)) for c in cols]], names=["keep", *names])
-
-    scored = blocks.mapInArrow(run, f"keep {kept}, " + ", ".join(f"{n} array<double>" for n in names))
-    row = F.explode(F.arrays_zip("keep", *names)).alias("r")
-    return scored.select(row).select(*[F.col(f"r.keep.`{c}`").alias(c) for c in keep],
-                                     *[F.when(~F.isnan(f"r.{n}"), F.col(f"r.{n}")).alias(a.name) for n, a in zip(names, learners, strict=True)])
+            if batch.num_rows:
+                cols = [np.concatenate(c) for c in zip(*[one(batch, i) for i in range(batch.num_rows)], strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.column("keep").flatten().flatten(), *map(pa.array, cols)], names=[*columns, *names])
+
+    scored = blocks.mapInArrow(run, T.StructType([*[T.StructField(c, f.dataType) for c, f in zip(columns, kept, strict=True)],
+                                                  *[T.StructField(n, T.DoubleType()) for n in names]]))
+    at = {f.name: c for c, f in zip(columns, kept, strict=True)}
+    return scored.select(*[F.col(at[c]).alias(c) for c in keep],
+                         *[F.when(~F.isnan(n), F.col(n)).alias(a.name) for n, a in zip(names, learners, strict=True)])
 
 
 def importance(model: dict) -> DataFrame:

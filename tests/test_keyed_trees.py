@@ -151,3 +151,43 @@ def test_stacking_per_series(split):
     assert set(t) == {"a", "b"} and all(sum(r.weights) == pytest.approx(1) and r.r2 > 0.5 for r in t.values())
     p = pred.toPandas()
     assert len(p) == 1500 and set(p.split) == {"train", "test"} and p.prediction.notna().all()
+
+
+def test_rows_are_shuffled_once_whatever_the_series(split, monkeypatch):
+    plans, plain = [], kt.materialize
+    monkeypatch.setattr(kt, "materialize", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df))
+    kt.fit(split[0], ["site"], FEATS, "y", [kt.learner("ET", trees=1, depth=1)], ["id"])
+    blocks = [p for p in plans if "rangepartitioning" in p]
+    assert len(blocks) == 1 and "hashpartitioning" not in blocks[0]  # no second shuffle by series, which would leave one task a series
+    assert not any("Window" in p or "percentile" in p for p in plans)
+
+
+@pytest.mark.parametrize("keys", [["s", "n"], ["d"], []])
+def test_packed_rows_come_back_once_in_blocks_of_one_series(spark, keys):
+    rows = [(None if i % 3 == 0 else "ab"[i % 2], i % 4 if i % 5 else None, f"2020-01-0{1 + i % 2}", i, float(i % 7) if i % 11 else None, float(i)) for i in range(900)]
+    df = spark.createDataFrame(rows, "s string, n int, d string, id int, x double, y double").withColumn("d", F.col("d").cast("date")).repartition(3)
+    got = kt.pack(df, keys, ["x", "id"], "y", ["id"], ["id", "y"], bits=4).withColumn("p", F.spark_partition_id()).collect()
+    ids, firsts = [], {}
+    want = {r.id: r._key for r in df.select("id", kt._key_column(keys).alias("_key")).collect()}
+    for r in got:
+        x, y, h = np.frombuffer(r.x).reshape(-1, 2), np.frombuffer(r.y), np.frombuffer(r.h, np.int64)
+        assert 0 < len(y) <= 16 and len(h) == len(y) and [k.id for k in r.keep] == list(y) == list(x[:, 1])
+        assert all(want[k.id] == r._key for k in r.keep) and all(x[:, 0] == [i % 7 if i % 11 else 0 for i in y])
+        ids += [k.id for k in r.keep]
+        firsts[r.p, r._key] = firsts.get((r.p, r._key), 0) + r.first
+    assert sorted(ids) == list(range(900)) and set(firsts.values()) == {1}
+
+
+def test_sums_and_ranges_of_nodes():
+    rng = np.random.default_rng(3)
+    x, node, g = rng.integers(0, 6, (500, 3)).astype(float), rng.choice([3, 4, 6], 500), rng.normal(size=500)
+    nodes, at = kt._numbered(node)
+    assert list(nodes) == [3, 4, 6] and (nodes[at] == node).all()
+    own, rows, cuts = np.array([0, 2]), np.arange(500) * 3, rng.random((3, 2)) * 5
+    lo, hi = kt._ranges(x.ravel(), rows, own, at, 3)
+    sums, counts = kt._left_sums(x.ravel(), rows, own, at, 3, cuts, g)
+    for i, k in enumerate(nodes):
+        mine = x[node == k][:, own]
+        left = mine <= cuts[i]
+        assert (lo[i] == mine.min(0)).all() and (hi[i] == mine.max(0)).all() and (counts[i] == left.sum(0)).all()
+        assert np.allclose(sums[i], (left * g[node == k][:, None]).sum(0))
