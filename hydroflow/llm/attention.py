@@ -122,10 +122,11 @@ def log_probs(p, bigram, inputs, targets) -> np.ndarray:
 
 def _by_symbol(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Sums of ``rows`` per symbol ``at``."""
-    width = rows.shape[1]
-    out = np.zeros((SYMBOLS + 1) * width, dtype=rows.dtype)
-    np.add.at(out, (at.astype(np.intp)[:, None] * width + np.arange(width)).ravel(), rows.ravel())  # one dimension: numpy's fast path
-    return out.reshape(-1, width)
+    pairs = np.ascontiguousarray(rows).view(np.result_type(rows, np.complex64))  # two numbers are added at once
+    width = pairs.shape[1]
+    out = np.zeros((SYMBOLS + 1) * width, dtype=pairs.dtype)
+    np.add.at(out, (at.astype(np.intp)[:, None] * width + np.arange(width)).ravel(), pairs.ravel())  # one dimension: numpy's fast path
+    return out.view(rows.dtype).reshape(-1, rows.shape[1])
 
 
 def gradients(p, bigram, inputs, targets) -> tuple[float, dict[str, np.ndarray]]:
@@ -153,19 +154,20 @@ def gradients(p, bigram, inputs, targets) -> tuple[float, dict[str, np.ndarray]]
     o = np.take(np.matmul(e, v).reshape(-1, DIM + 1), real, axis=0)
     total = o[:, DIM:]
     o = o[:, :DIM] / total
-    one = np.ones((len(y), HIDDEN + 1), dtype=o.dtype)  # the last column meets the biases
-    hv = one[:, :HIDDEN]
-    np.matmul(o, p["w2"], out=hv)
+    hv = o @ p["w2"]
     hv += np.take(h_of, prev, axis=0)
     np.maximum(hv, 0, out=hv)
+    one = np.ones((len(y), HIDDEN + 1), dtype=o.dtype)  # the last column meets the biases
+    one[:, :HIDDEN] = hv
     cuts = np.searchsorted(c, np.arange(CLASSES + 1))
 
     def errors(z, at):  # of the softmax, in place
-        mine = z[rows, at]
+        at = rows * z.shape[1] + at
+        mine = np.take(z, at)
         np.exp(z, out=z)
         sums = z @ np.ones((z.shape[1], 1), dtype=z.dtype)
         z /= sums * z.dtype.type(n)
-        z[rows, at] -= z.dtype.type(1 / n)
+        z.reshape(-1)[at] -= z.dtype.type(1 / n)
         return float((np.log(sums[:, 0]) - mine).sum(dtype=np.float64))
 
     z = one @ np.concatenate([p["wc"], p["bc"][None]])
@@ -178,19 +180,24 @@ def gradients(p, bigram, inputs, targets) -> tuple[float, dict[str, np.ndarray]]
             np.matmul(one[lo:hi], wt[j], out=t[lo:hi])
     t += np.take(by_place.reshape(-1, WITHIN), prev * CLASSES + c, axis=0)
     loss = errors(z, c) + errors(t, w)
-    dh = z @ p["wc"].T
+    dh, more = z @ p["wc"].T, np.empty_like(hv)
     g_c, g_t = one.T @ z, np.zeros_like(wt)
     for j in range(CLASSES):
         lo, hi = cuts[j], cuts[j + 1]
         if lo < hi:
             np.matmul(one[lo:hi].T, t[lo:hi], out=g_t[j])
-            dh[lo:hi] += t[lo:hi] @ p["wt"][j].T
+            np.matmul(t[lo:hi], p["wt"][j].T, out=more[lo:hi])
+    dh += more
     dh *= hv > 0
     g = {"wc": g_c[:HIDDEN], "bc": g_c[HIDDEN], "wt": g_t[:, :HIDDEN], "bt": g_t[:, HIDDEN], "w2": o.T @ dh, "b": dh.sum(0)}
     do = dh @ p["w2"].T
-    d_sum = np.zeros((targets.size, DIM + 1), dtype=do.dtype)  # of the weighted values and of the weights' sum
-    d_sum[real] = np.concatenate([do, -(do * o).sum(-1, keepdims=True)], axis=1) / total
-    d_sum = d_sum.reshape(*targets.shape, DIM + 1)
+    d_sum = np.zeros((len(y) + 1, DIM + 1), dtype=do.dtype)  # of the weighted values and of the weights' sum
+    d_sum[:-1, :DIM] = do
+    d_sum[:-1, DIM] = -(do * o).sum(-1)
+    d_sum[:-1] /= total
+    place = np.full(targets.size, len(y))  # of each position among the sorted targets; without target: the row of zeros
+    place[real] = rows
+    d_sum = np.take(d_sum, place, axis=0).reshape(*targets.shape, DIM + 1)
     dv = np.matmul(e.transpose(0, 2, 1), d_sum)
     e *= np.matmul(d_sum, v.transpose(0, 2, 1))
     g["rel"] = np.bincount(np.maximum(_DISTANCE, 0).ravel(), weights=np.where(_DISTANCE >= 0, e.sum(0), 0).ravel(),
@@ -215,17 +222,27 @@ class Adam:
         cuts = np.cumsum([0] + [p[k].size for k in self.names])
         for k, a, b in zip(self.names, cuts[:-1], cuts[1:]):
             p[k] = self.all[a:b].reshape(p[k].shape)
-        self.m, self.v = np.zeros_like(self.all), np.zeros_like(self.all)
+        self.m, self.v, self.work = (np.zeros_like(self.all) for _ in range(3))
         self.t, self.rate = 0, rate
 
     def step(self, g):
         self.t += 1
-        f = self.all.dtype.type
+        f, work = self.all.dtype.type, self.work
         c1, c2 = 1 - 0.9 ** self.t, 1 - 0.98 ** self.t
         flat = np.concatenate([g[k].ravel() for k in self.names])
-        self.m += f(0.1) * (flat - self.m)
-        self.v += f(0.02) * (flat * flat - self.v)
-        self.all -= f(self.rate / c1) * self.m / (np.sqrt(self.v * f(1 / c2)) + f(1e-8))
+        np.subtract(flat, self.m, out=work)
+        work *= f(0.1)
+        self.m += work
+        flat *= flat
+        flat -= self.v
+        flat *= f(0.02)
+        self.v += flat
+        np.multiply(self.v, f(1 / c2), out=work)
+        np.sqrt(work, out=work)
+        work += f(1e-8)
+        np.multiply(self.m, f(self.rate / c1), out=flat)
+        flat /= work
+        self.all -= flat
 
 
 def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -4,7 +4,9 @@ Statistics, all over every training document and summed by Spark:
 * word counts (the base, and through each distinct word's subwords the subword counts);
 * counts of neighbouring symbols, where the symbols are the most frequent subwords, one for all others, and the end.
   They give the classes, the first embedding and the bigram that the model starts from.
-Training: the training documents are stored once as lines of symbols, which are dealt by hash over ``ROUNDS`` rounds and
+Texts are split into words twice, in Arrow: for the word counts, then every text is stored as its symbols, with all that
+its score needs beside the model, so that training and scoring read symbols only.
+Training: the training documents are cut into lines of symbols, which are dealt by hash over ``ROUNDS`` rounds and
 the shards of a round (``shards_of``), so that each is trained on once, at every size of the corpus, and the model does not
 depend on how the table is split. In a round each shard trains a copy of the current model in numpy, then the copies are
 averaged, weighted by symbols. The model and the bigram table have a fixed size; that is all that is sent to the tasks, with the ``TOP_WORDS`` most frequent words' counts (words of up to ``TOP_BYTES`` bytes).
@@ -20,11 +22,11 @@ columns are not carried."""
 from __future__ import annotations
 
 import math
-from collections import Counter
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,28 +142,40 @@ def _worker(path: str) -> Subwords:
     return _subwords[path]
 
 
-def _texts(batch, name="text"):
-    for part in slices(batch, max_rows=400, max_bytes=2 << 20):
-        yield part, [words_of(t) for t in part.column(name).cast(pa.binary()).to_pylist()]
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words of the texts as ``words_of`` gives them: where each text's begin (and the last one's end), the number of
+    every word among the distinct ones, and those (binary)."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.binary()).view(pa.string())))
+    offsets, words = lists.offsets.to_numpy(), lists.values
+    real = pc.binary_length(words).to_numpy() > 0  # blanks at an end of a text leave an empty one
+    cuts = np.concatenate([[0], np.cumsum(real)])[offsets]
+    coded = (words if real.all() else words.filter(pa.array(real))).dictionary_encode()
+    return cuts, coded.indices.to_numpy(), coded.dictionary.view(pa.binary())
 
 
 def word_counts(train: DataFrame) -> DataFrame:
     """word, c over all training texts; counted within a task first."""
-    def run(batches):
-        seen: Counter = Counter()
-
-        def out():
-            made = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "c"])
-            seen.clear()
-            return made
+    def merged(parts):
+        got = pa.Table.from_batches(parts).group_by("word", use_threads=False).aggregate([("c", "sum")])
+        return pa.table({"word": got["word"], "c": got["c_sum"]}).to_batches(max_chunksize=100_000)
 
+    def run(batches):
+        held, rows = [], 0
         for batch in batches:
-            for _, docs in _texts(batch):
-                for d in docs:
-                    seen.update(d)
-                if len(seen) > _FLUSH:
-                    yield out()
-        yield out()
+            for part in slices(batch, max_rows=2_000, max_bytes=4 << 20):
+                _, at, words = split_words(part.column("text"))
+                held.append(pa.RecordBatch.from_arrays([words, pa.array(np.bincount(at, minlength=len(words)), pa.int64())], ["word", "c"]))
+                rows += len(words)
+                if rows > 2 * _FLUSH:
+                    held = merged(held)
+                    rows = sum(x.num_rows for x in held)
+                    if rows > _FLUSH:
+                        yield from held
+                        held, rows = [], 0
+        if held:
+            yield from merged(held)
+        held.clear()
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return map_arrow(train.select("text"), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -185,37 +199,49 @@ def subword_counts(words: DataFrame, path: str) -> np.ndarray:
     return out
 
 
-def _symbol_texts(sub: Subwords, docs: list[list[bytes]], symbol: np.ndarray, end: int) -> list[np.ndarray]:
-    """Each text's symbols with the end."""
-    numbers = sub.numbers([w for d in docs for w in d])
-    ids, n = sub.ids(numbers)
-    sym = symbol[ids]
-    ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0] + [len(d) for d in docs])]
-    last = np.array([end], dtype=np.int32)
-    return [np.concatenate((sym[a:b], last)) for a, b in zip(ends[:-1], ends[1:])]
-
+def encoded(rows: DataFrame, model: Model, top: dict[bytes, int], path: str) -> DataFrame:
+    """``rows`` (id, text and more) without the text, and: its hash; n_tokens; of its words in ``top``, their number (known)
+    and the sum of log10(c + 0.5) (base); its other words (tail); the natural log of the shares of its subwords outside
+    the symbols (rest); its symbols with the end, after ``CONTEXT`` PADs and the end as a line has them (int16)."""
+    shared = rows.sparkSession.sparkContext.broadcast((model.symbol, model.rest, top))
+    first = np.array([A.PAD] * A.CONTEXT + [END], dtype=np.int16)
+    last = np.array([END], dtype=np.int16)
 
-def symbol_lines(train: DataFrame, symbol: np.ndarray, path: str) -> DataFrame:
-    """Every training text as lines of at most ``LINE`` targets (``attention.line_windows``): its hash, the line's
-    number in the text, the symbols (int16). Texts are split into words here for the last time before scoring."""
     def run(batches):
+        symbol, rest, top = shared.value
+        symbol = symbol.astype(np.int16)
         sub = _worker(path)
+        sub.use(top)
         for batch in batches:
-            for part, docs in _texts(batch):
-                at, number, lines = [], [], []
-                for i, t in enumerate(_symbol_texts(sub, docs, symbol, END)):
-                    whole = np.concatenate([np.full(A.CONTEXT, A.PAD, dtype=np.int32), [END], t]).astype(np.int16)
-                    for j in range(-(-len(t) // LINE)):
-                        at.append(i)
-                        number.append(j)
-                        lines.append(whole[j * LINE:(j + 1) * LINE + A.CONTEXT + 1].tobytes())
-                yield pa.RecordBatch.from_arrays([part.column("h").take(pa.array(at, pa.int64())), pa.array(number, pa.int64()),
-                                                  pa.array(lines, pa.binary())], ["h", "line", "symbols"])
-
-    return map_arrow(train.select(F.xxhash64("id", "text").alias("h"), "text"), run, "h long, line long, symbols binary")
-
-
-def bigram_counts(lines: DataFrame) -> np.ndarray:
+            for part in slices(batch, max_rows=1_000, max_bytes=2 << 20):
+                cuts, at, words = split_words(part.column("text"))
+                words = words.to_pylist()
+                numbers = sub.numbers(words)
+                c = sub.frequency[numbers]
+                log = np.where(c >= 0, np.log10(np.maximum(c, 0) + 0.5), 0.0)
+                rare = np.flatnonzero((c < 0)[at])
+                of = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+                tail = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, cuts).astype(np.int32)),
+                                                pa.array(words, pa.binary()).take(pa.array(at[rare])))
+                ids, n = sub.ids(numbers[at])
+                sym, ends = symbol[ids], np.concatenate([[0], np.cumsum(n)])[cuts]
+                shares = rest[ids]
+                more = {"n_tokens": pa.array(np.diff(cuts) + 1, pa.int64()),
+                        "known": pa.array(np.bincount(of, weights=(c >= 0)[at], minlength=len(cuts) - 1).astype(np.int64)),
+                        "base": pa.array(np.bincount(of, weights=log[at], minlength=len(cuts) - 1)), "tail": tail,
+                        "rest": pa.array([shares[a:b].sum() for a, b in zip(ends, ends[1:])], pa.float64()),
+                        "symbols": pa.array([np.concatenate((first, sym[a:b], last)).tobytes() for a, b in zip(ends, ends[1:])], pa.binary())}
+                kept = [x for x in part.schema.names if x != "text"]
+                yield pa.RecordBatch.from_arrays([part.column(x) for x in kept] + list(more.values()), kept + list(more))
+        sub.use({})  # training and scoring, which come next in this worker, need no words
+        pa.default_memory_pool().release_unused()
+
+    rows = rows.select(*[x for x in rows.columns if x != "text"], F.xxhash64("id", "text").alias("h"), "text")
+    return map_arrow(rows, run, with_fields(rows.drop("text").schema, ("n_tokens", "long"), ("known", "long"), ("base", "double"),
+                                            ("tail", "array<binary>"), ("rest", "double"), ("symbols", "binary")))
+
+
+def bigram_counts(texts: DataFrame) -> np.ndarray:
     """SYMBOLS x SYMBOLS counts of neighbours (the end also comes before a text's first symbol)."""
     def run(batches):
         total = np.zeros(A.SYMBOLS * A.SYMBOLS, dtype=np.int64)
@@ -226,7 +252,7 @@ def bigram_counts(lines: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "c"])
 
-    pairs = map_arrow(lines.select("symbols"), run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toPandas()
+    pairs = map_arrow(texts.select("symbols"), run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toPandas()
     out = np.zeros(A.SYMBOLS * A.SYMBOLS)
     out[pairs["pair"].to_numpy(dtype=np.int64)] = pairs["c"].to_numpy()
     return out.reshape(A.SYMBOLS, A.SYMBOLS)
@@ -313,41 +339,54 @@ def shards_of(targets: float, rounds: int) -> int:
     return max(1, math.ceil(math.sqrt(targets / rounds / SHARD_TARGETS)))
 
 
-def fit(train: DataFrame, words: DataFrame, path: str, rounds: int = ROUNDS) -> Model:
-    """``train`` (id, text) and its word counts -> the model. Rounds and shards go by the hash of id, text and line
-    number, so that the model is the same however the table is split into files or partitions."""
-    model = Model(subword_counts(words, path))
-    lines = stored(symbol_lines(train, model.symbol, path))
-    bigrams = bigram_counts(lines)
+def lines_of(texts: DataFrame) -> DataFrame:
+    """Lines of at most ``LINE`` targets (``attention.line_windows``) of texts (h, symbols): h, the line's number in the
+    text, the symbols."""
+    before = A.CONTEXT + 1
+    last = F.floor((F.octet_length("symbols") / 2 - before - 1) / LINE).cast("long")
+    return (texts.select("h", "symbols", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("line"))
+            .select("h", "line", F.substr("symbols", (F.col("line") * (2 * LINE) + 1).cast("int"), F.lit(2 * (LINE + before))).alias("symbols")))
+
+
+def learn(model: Model, texts: DataFrame, rounds: int) -> Model:
+    """Bigrams and parameters of ``model`` from the training texts (h, symbols). Rounds and shards go by the hash of
+    id, text and line number, so that the model is the same however the table is split into files or partitions."""
+    bigrams = bigram_counts(texts)
     model.ends = int(bigrams[:, END].sum())
     model.order(bigrams)
     shards = shards_of(bigrams.sum(), rounds)
     key = F.xxhash64("h", "line")
-    rows = lines.select(F.pmod(key, F.lit(rounds)).alias("round"),
-                        F.pmod(F.xxhash64(key, F.lit(1)), F.lit(shards)).cast("int").alias("shard"), "h", "line", "symbols")
+    rows = lines_of(texts).select(F.pmod(key, F.lit(rounds)).alias("round"),
+                                  F.pmod(F.xxhash64(key, F.lit(1)), F.lit(shards)).cast("int").alias("shard"), "h", "line", "symbols")
     for r in range(rounds):
         dealt = rows.where(F.col("round") == r).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "h", "line")
         model.params = _train_round(dealt, model) or model.params
     return model
 
 
-def score_texts(model: Model, sub: Subwords, docs: list[list[bytes]], numbers: np.ndarray | None = None) -> np.ndarray:
-    """Natural log probability of each text with its end."""
-    if numbers is None:
-        numbers = sub.numbers([w for d in docs for w in d])
-    ids, n = sub.ids(numbers)
-    sym, rest = model.symbol[ids], model.rest[ids]
-    ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0] + [len(d) for d in docs])]
-    texts = [np.append(sym[a:b], model.end) for a, b in zip(ends[:-1], ends[1:])]
-    total = np.array([rest[a:b].sum() for a, b in zip(ends[:-1], ends[1:])])
+def fit(train: DataFrame, words: DataFrame, path: str, rounds: int = ROUNDS) -> Model:
+    """``train`` (id, text) and its word counts -> the model."""
+    model = Model(subword_counts(words, path))
+    return learn(model, stored(encoded(train, model, {}, path).select("h", "symbols")), rounds)
+
+
+def score_symbols(model: Model, texts: list[np.ndarray], rest: np.ndarray) -> np.ndarray:
+    """Natural log probability of each text (its symbols with the end), added to ``rest``."""
+    total = rest + 0.0
     inputs, targets, of = A.windows(texts, model.end)
     tables = model.tables()
     for i in range(0, len(inputs), SCORE_WINDOWS):
         part = slice(i, i + SCORE_WINDOWS)
-        total += np.bincount(of[part], weights=A.score(tables, inputs[part], targets[part]).sum(1), minlength=len(docs))
+        total += np.bincount(of[part], weights=A.score(tables, inputs[part], targets[part]).sum(1), minlength=len(texts))
     return total
 
 
+def score_texts(model: Model, sub: Subwords, docs: list[list[bytes]]) -> np.ndarray:
+    """Natural log probability of each text (its words) with its end."""
+    each = [sub.encode(d)[0] for d in docs]
+    return score_symbols(model, [np.append(model.symbol[x], model.end) for x in each], np.array([model.rest[x].sum() for x in each]))
+
+
 def top_words(words: DataFrame, most: int | None = None) -> dict[bytes, int]:
     """The words whose count reaches a bound, chosen by a histogram of the counts' logarithms so that they are
     at most ``most``; only those come to the driver. Any choice gives the same scores."""
@@ -370,48 +409,32 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
                        F.coalesce(quoted(text_col), F.lit("")).alias("text"))
     train = rows.where(~F.col("held_out"))
     words = stored(word_counts(train))
-    model = fit(train, words, path, rounds)
+    model = Model(subword_counts(words, path))
+    texts = stored(encoded(rows, model, top_words(words), path).withColumn("rid", F.monotonically_increasing_id()))
+    learn(model, texts.where(~F.col("held_out")), rounds)
     ends = model.ends
     n_words, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n_train, distinct = n_words + ends, kinds + (ends > 0)
     denominator = n_train + 0.5 * (distinct + 1)
-    top = top_words(words)
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast((model, top))
-    ln10 = np.log(10)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        model, top = shared.value
-        sub = _worker(path)
-        sub.use(top)
+        model = shared.value
         for batch in batches:
-            for part, docs in _texts(batch):
-                flat = [w for d in docs for w in d]
-                numbers = sub.numbers(flat)
-                c = sub.frequency[numbers]
-                seen = c >= 0
-                cuts = np.cumsum([0] + [len(d) for d in docs])
-                of = np.repeat(np.arange(len(docs)), np.diff(cuts))
-                base = np.bincount(of, weights=np.where(seen, np.log10((c + 0.5) / denominator), 0.0), minlength=len(docs))
-                n_known = np.bincount(of[seen], minlength=len(docs))
-                rare = np.flatnonzero(~seen)
-                tail = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, cuts).astype(np.int32)), pa.array([flat[i] for i in rare], pa.binary()))
-                score = score_texts(model, sub, docs, numbers) / ln10
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("held_out"), pa.array([len(d) + 1 for d in docs], pa.int64()),
-                     pa.array(n_known + int(ends > 0), pa.int64()), pa.array(base + np.log10((ends + 0.5) / denominator), pa.float64()),
-                     pa.array(score, pa.float64()), tail],
-                    ["id", "held_out", "n_tokens", "known", "base", "score", "tail"])
-
-    schema = with_fields(rows.select("id", "held_out").schema, ("n_tokens", "long"), ("known", "long"), ("base", "double"),
-                         ("score", "double"), ("tail", "array<binary>"))
-    scored = stored(map_arrow(rows, run, schema).withColumn("rid", F.monotonically_increasing_id()))
-    rare = (scored.select("rid", F.explode("tail").alias("word")).join(words, "word", "left")
-            .groupBy("rid").agg(F.sum(F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(denominator))).alias("more"),
-                                F.count("c").alias("found")))
-    return scored.drop("tail").join(rare, "rid", "left").select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"),
-        F.lit(n_train).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+            for part in slices(batch, max_rows=400, max_bytes=2 << 20):
+                symbols = [model.place[np.frombuffer(x, dtype=np.int16)[A.CONTEXT + 1:]] for x in part.column("symbols").to_pylist()]
+                score = score_symbols(model, symbols, part.column("rest").to_numpy()) / np.log(10)
+                kept = [x for x in part.schema.names if x not in ("rest", "symbols")]
+                yield pa.RecordBatch.from_arrays([part.column(x) for x in kept] + [pa.array(score)], [*kept, "score"])
+
+    scored = texts.select("rid", "id", "held_out", "n_tokens", "known", "base", "rest", "symbols")
+    scored = stored(map_arrow(scored, run, with_fields(scored.drop("rest", "symbols").schema, ("score", "double"))))
+    rare = (texts.select("rid", F.explode("tail").alias("word")).join(words, "word", "left")
+            .groupBy("rid").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.count("c").alias("found")))
+    base = F.col("base") + F.coalesce("more", F.lit(0.0)) + F.lit(float(np.log10(ends + 0.5))) - F.col("n_tokens") * F.lit(float(np.log10(denominator)))
+    return scored.join(rare, "rid", "left").select(
+        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("found", F.lit(0)) + F.lit(int(ends > 0))).alias("n_known"),
+        F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op1(spark, sf_dir):

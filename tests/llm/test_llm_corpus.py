@@ -5,6 +5,7 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +163,31 @@ def test_every_training_document_is_trained_on_once(spark, monkeypatch, rounds):
     assert Counter(seen) == want and model.ends == 60
 
 
+def test_texts_are_split_twice(spark):
+    """Once for the word counts, once into the symbols that training and scoring read."""
+    docs = spark.createDataFrame([(i, f"text {i // 2} of many") for i in range(60)], "doc_id long, text string").cache()
+    n, train = docs.count(), docs.where(remainder(F.col("doc_id"), 5) != 1).count()
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        read.add(1)
+        return text
+
+    lm_scoring.lm_score(docs.select("doc_id", told("text").alias("text")), rounds=2).collect()
+    assert read.value == n + train
+
+
+def test_split_words_equal_the_definition():
+    odd = [b"  A\x00b \xff\xfe Z\x1c\x1d\x85q \xc2\xa0x", b"", b"   ", "ÀB c\x0b\x0cd".encode(), b"a A b\n", b"x" * 5000]
+    for texts in (pa.array(odd, pa.binary()), pa.array([b"x", *odd], pa.binary()).slice(1), pa.array(["", ""]), pa.array([], pa.string()),
+                  pa.array(["q  W"], pa.large_string())):
+        cuts, at, words = lm_scoring.split_words(texts)
+        words = words.to_pylist()
+        assert len(set(words)) == len(words)
+        assert [[words[i] for i in at[a:b]] for a, b in zip(cuts, cuts[1:])] == [lm_scoring.words_of(t) for t in texts.cast(pa.binary()).to_pylist()]
+
+
 def test_lines_give_the_windows_of_whole_texts():
     rng = np.random.default_rng(5)
     texts = [rng.integers(0, attention.SYMBOLS, n).astype(np.int32) for n in (1, 64, 65, 200)]
