@@ -40,7 +40,7 @@ BATCH_WINDOWS = 64
 LINE = 4096  # targets of a line, the unit that is dealt
 SHARD_TARGETS = 1 << 18  # fewer would leave a copy of a small corpus too few steps
 SCORE_WINDOWS = 512
-MEMO_WORDS = 700_000
+MEMO_WORDS = 300_000  # more would save few encodings: most words beyond are rare
 REST, END = 0, 1  # symbols before they are ordered by class
 _FLUSH = 500_000
 
